@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe
+from quillspark.llm import byte_bpe, packed_ids, scratch, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), scratch.folder(spark, "warc"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.read(packed_ids.write(table(spark, sf_dir, "documents"), scratch.folder(spark, "ids"), WORD_BPE))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_warc": op4_warc,
+    "op7_packed_ids": op7_packed_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
