@@ -290,7 +290,7 @@ def decode_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         x[j] = np.where(has, signed(peek(8), 8), 0)
         pos = pos + 8 * has
     weights, shift = np.zeros((most, lanes), np.int64), np.zeros(lanes, np.int64)
-    for p in range(1, 5):
+    for p in range(1, min(4, most) + 1):
         for j, c in enumerate(FIXED[p]):
             weights[j][fixed & (order == p)] = c
     if linear.any():
