@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, flac, jaccard_join, packed_ids, scratch, warc
+from quillspark.llm import byte_bpe, flac, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,15 +32,25 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read(packed_ids.write(table(spark, sf_dir, "documents"), scratch.folder(spark, "ids"), WORD_BPE))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_flac": op1_flac,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_suffix_automaton": op6_suffix_automaton,
     "op7_packed_ids": op7_packed_ids,
+    "op9_suffix_array": op9_suffix_array,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -112,9 +112,22 @@ def window_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U64(k))
 
 
-def text_key(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit hash of every whole text, as a signed integer."""
-    return span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+    import xxhash
+
+    whole = memoryview(np.ascontiguousarray(data))
+    return np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U64).view(np.int64)
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of every n consecutive values."""
+    span = 1
+    while span < n and len(x):
+        step = min(span, n - span)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        span += step
+    return x
 
 
 def batches_by_bytes(batches, column: str, limit: int = 8 << 20):
