@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, flac, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, warc
+from quillspark.llm import byte_bpe, flac, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read(packed_ids.write(table(spark, sf_dir, "documents"), scratch.folder(spark, "ids"), WORD_BPE))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digests(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_suffix_automaton": op6_suffix_automaton,
     "op7_packed_ids": op7_packed_ids,
+    "op8_toxicity": op8_toxicity,
     "op9_suffix_array": op9_suffix_array,
 }
 ORACLE_SQL: dict[str, str] = {}

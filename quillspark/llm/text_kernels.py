@@ -140,3 +140,16 @@ def batches_by_bytes(batches, column: str, limit: int = 8 << 20):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capital letters of ASCII and Latin-1 made small."""
+    out = data.copy()
+    capital = (out >= 65) & (out <= 90)
+    capital[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[capital] += 0x20
+    return out
