@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, flac, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
+from quillspark.llm import byte_bpe, flac, hidden_markov, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,10 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_flac": op1_flac,
     "op2_byte_bpe": op2_byte_bpe,
@@ -57,5 +61,6 @@ QUERIES = {
     "op7_packed_ids": op7_packed_ids,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array": op9_suffix_array,
+    "op10_hidden_markov": op10_hidden_markov,
 }
 ORACLE_SQL: dict[str, str] = {}
