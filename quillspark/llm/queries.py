@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, flac, hidden_markov, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
+from quillspark.llm import byte_bpe, decontamination, flac, hidden_markov, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"), scratch.folder(spark, "warc"))
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,6 +59,7 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_flac": op1_flac,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_suffix_automaton": op6_suffix_automaton,
@@ -63,4 +68,6 @@ QUERIES = {
     "op9_suffix_array": op9_suffix_array,
     "op10_hidden_markov": op10_hidden_markov,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE_SQL,
+}
