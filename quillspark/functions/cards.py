@@ -91,7 +91,7 @@ def suspicious_fallback(method: Column, translation: Column) -> Column:
 def goes_on(c: Column) -> Column:
     """A translation that ends open: empty, or with a soft hyphen, comma, slash or dash."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+$", "")
-    return (t == "") | t.rlike("[­,/\\-–—]$")
+    return (t == "") | t.rlike("[\u00ad,/\\-–—]$")
 
 
 def goes_on_strict(c: Column, endings: tuple[str, ...] = OPEN_ENDINGS) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
-SOFT_HYPHEN = "­"
+SOFT_HYPHEN = "\u00ad"
 #: Blanks that part a headword from its translation.
-SEPARATORS = "    "
+SEPARATORS = "\u2002\u2003\u2009\u202f"
 #: Punctuation that may surround a whole expression.
 EDGES = " \\t\\r\\n.,!?;:\"'“”‘’()\\[\\]{}"
 
@@ -33,7 +33,7 @@ def strip(c: Column) -> Column:
 
 def normalize_basic(c: Column) -> Column:
     """Null as empty; no-break blanks and dashes in plain form; zero-width marks dropped; white space collapsed."""
-    return collapse(F.translate(F.coalesce(c, F.lit("")), " –—−​﻿", " ---"))
+    return collapse(F.translate(F.coalesce(c, F.lit("")), "\u00a0–—−\u200b\ufeff", " ---"))
 
 
 def normalize_forms(c: Column) -> Column:
@@ -61,7 +61,7 @@ def clean_output(c: Column) -> Column:
 
 def clean_field(c: Column) -> Column:
     """Soft hyphens and zero-width blanks dropped, ends stripped; null stays null."""
-    return strip(F.translate(c, SOFT_HYPHEN + "​", ""))
+    return strip(F.translate(c, SOFT_HYPHEN + "\u200b", ""))
 
 
 def match_key(c: Column) -> Column:

@@ -9,7 +9,7 @@ from quillspark.functions import cards as C
 from quillspark.functions import text as T
 
 #: Marks that extraction leaves behind, and literals that stand for nothing.
-BAD_CHARACTERS = {"­": "soft hyphen", "​": "zero width space", "�": "replacement character", "\x00": "NULL character"}
+BAD_CHARACTERS = {"\u00ad": "soft hyphen", "\u200b": "zero width space", "�": "replacement character", "\x00": "NULL character"}
 LITERALS = ("null", "none", "nan", "undefined")
 CEFR = ("A1", "A2", "B1", "B2", "C1", "C2")
 

@@ -18,7 +18,7 @@ def strip(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    return collapse(f"translate(coalesce({x}, ''), ' –—−​﻿', ' ---')")
+    return collapse(f"translate(coalesce({x}, ''), '\u00a0–—−\u200b\ufeff', ' ---')")
 
 
 def forms(x: str) -> str:
@@ -35,7 +35,7 @@ def clean_output(x: str) -> str:
 
 
 def clean_field(x: str) -> str:
-    return strip(f"translate({x}, '{T.SOFT_HYPHEN}​', '')")
+    return strip(f"translate({x}, '{T.SOFT_HYPHEN}\u200b', '')")
 
 
 def key(x: str) -> str:

@@ -79,7 +79,7 @@ def extract_morphology(spark, sf):
     return view(spark, sf, "entries").select("id", m["text"].alias("rest"), m["forms"].alias("forms"))
 
 
-_SEPARATED = "replace(raw, ' sig ', '  ')"
+_SEPARATED = "replace(raw, ' sig ', '\u2002 ')"
 _WORDS = "[w FOR w IN regexp_split_to_array(" + _SEPARATED + ", '[ \\t\\n\\r]+') IF w <> '']"
 
 

@@ -19,7 +19,7 @@ CARD = {
     "method": "CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN 'UNICODE_SEPARATOR' WHEN 1 THEN 'MORPHOLOGY_FALLBACK' WHEN 2 THEN 'MANUAL_REVIEW' WHEN 3 THEN 'MANUAL_REVIEW_FIXED' ELSE 'OTHER' END",
 }
 #: Documents with the marks of badly extracted text.
-MESSY = "replace(replace(replace(replace(replace(text, 'e ', 'e '), ' a', ' –a'), 'th', 't​h'), 'en ', 'e­n, '), ' de ', ' - de ')"
+MESSY = "replace(replace(replace(replace(replace(text, 'e ', 'e '), ' a', ' –a'), 'th', 't\u200bh'), 'en ', 'e\u00adn, '), ' de ', ' - de ')"
 TEXT = {"id": "doc_id", "t": MESSY}
 #: Rows of an entry list made from documents: a headword, sometimes forms, sometimes a separator.
 ROW = {

@@ -22,7 +22,7 @@ def read_words(spark: SparkSession, path: str, schema: str = WORD) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
     listed = F.from_json("v", f"array<struct<{_fields(schema)}>>")
     nested = F.from_json("v", f"struct<words: array<struct<{_fields(schema)}>>>")["words"]
-    shape = F.regexp_extract("v", r"^﻿?\s*(.)", 1)
+    shape = F.regexp_extract("v", r"^\ufeff?\s*(.)", 1)
     rows = F.when(shape == "[", listed).when(shape == "{", nested)
     rows = F.coalesce(rows, F.raise_error(F.lit("words must be a list or stand under 'words'")).cast(f"array<struct<{_fields(schema)}>>"))
     return whole.select(F.explode(rows).alias("w")).select("w.*")
@@ -38,7 +38,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     ord follows the order of lines within a file: Spark splits keep it in the high bits.
     """
     lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    line = F.regexp_replace("value", "^﻿", "")
+    line = F.regexp_replace("value", "^\ufeff", "")
     rows = lines.select(F.regexp_extract(line, r"^\s*(\S+)\s+(.*\S)\s*$", 1).alias("word"), "ord", F.regexp_extract(line, r"^\s*(\S+)\s+(.*\S)\s*$", 2).alias("sampa"))
     return rows.where("word <> ''")
 
