@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import scratch
 
 #: Edges that one task may finish, and edges a task holds at once when it thins them.
-FINISH, HELD = 15_000, 1 << 20
+FINISH, HELD = 15_000, 1 << 18
 
 
 class Forest:

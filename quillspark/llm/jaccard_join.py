@@ -2,10 +2,11 @@
 
 1. Every text becomes the set of its distinct n-word shingles (64-bit hashes); equal sets fall into one
    class by a 128-bit fingerprint, and only the smallest id of a class goes on.
-2. Prefix filter: in one order of all shingles, frequent ones last, two sets as similar as asked share a
-   shingle among the first n - ceil(t*n) + 1 of each. Holders of a shared prefix shingle whose size ranges
-   touch are tied; the components of these ties are blocks, and no link leaves a block. Which shingles
-   count as frequent changes the order and so the cost, never the result.
+2. Parts: two sets as similar as asked differ in at most D elements, D following from their sizes. The
+   hash range is cut into more than D parts, so some part holds equal elements in both. Sets with an equal
+   part are tied; the components of these ties are blocks, and no link leaves a block. Size bands give D;
+   a set near the upper border of its band also enters the next one. Parts without elements are matched
+   only for sets that have more such parts than the cut allows for.
 3. Each block is joined by a signature tree. Nodes hold the OR of their sets' token bitmaps, the range of
    set sizes and the most bits lost to collisions; a dual traversal drops node pairs whose sizes or whose
    largest possible overlap rule out a link. What is left is verified on the whole sets, unless both
@@ -22,6 +23,11 @@ no component; rows that share an id are one node; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import math
+import zlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +35,10 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
 from quillspark.llm.components import Forest, components, sorted_groups
-from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, window_hashes, words
+from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, text_buffers, window_hashes, words
 
-#: Share of documents from which a shingle counts as frequent (so at most mean set size / share are listed), and the smallest count.
-FREQUENT_SHARE, FREQUENT_LEAST = 1e-4, 8
-#: Count in a part of HELD shingles from which a shingle is reported.
-LOCAL_LEAST, HELD = 3, 1 << 21
+#: Part signatures that a map task holds at once, and texts' bytes for each bucket of signatures.
+HELD, BUCKET_BYTES = 1 << 19, 32 << 20
 #: Documents of a page, children of a tree node, rows up to which a side is broadcast.
 PAGE, FANOUT, BROADCAST_ROWS = 256, 8, 1_000_000
 
@@ -59,118 +63,118 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ U64(seed)).sum(dtype=U64).view(np.int64)) for seed in (0x51ED270B, 0xA0761D64))
 
 
-def prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
+@lru_cache(8)
+def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
+    """(smallest size of each band, its parts, empty parts it allows for); a similar pair spans at most two bands."""
+    least, parts, empty = [1], [], []
+    while least[-1] < 1 << 40:
+        low = least[-1]
+        least.append(max(low + 1, low * 10_000 // percent**2 + 1, (low * 100 // percent + 1) * 100 // percent + 1))
+        differ = 2 * (least[-1] - 1) * (100 - percent) // (100 + percent)
+        spare = 0
+        if differ:
+            for _ in range(8):
+                p = differ + 1 + spare
+                mean = p * math.exp(-low * percent / 100 / p)
+                spare = math.ceil(mean + 4 * math.sqrt(mean) + 1)
+        parts.append(differ + 1 + spare)
+        empty.append(spare)
+    return least, parts, empty
+
+
+def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of the parts of a set, in its band and, near the border, in the next one."""
+    least, parts, empty = bands(percent)
+    band = bisect.bisect_right(least, len(s)) - 1
+    mixed, out = mix(s + U64(0x632BE59BD9B4E019)), []
+    for g in (band, band + 1) if len(s) * 100 >= percent * least[band + 1] else (band,):
+        part = (s >> U64(20)) % U64(parts[g])
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sums, own = np.add.reduceat(mixed[order], first), part[first]
+        if parts[g] - len(first) > empty[g]:
+            none = np.setdiff1d(np.arange(parts[g], dtype=U64), own)
+            sums, own = np.append(sums, np.zeros(len(none), U64)), np.append(own, none)
+        out.append(mix(sums + mix(own + U64(g << 40))))
+    return np.concatenate(out)
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (kind 0: id, size, fingerprint) and for each locally frequent shingle (kind 1)."""
-
-    def counts(held):
-        values, count = np.unique(np.concatenate(held), return_counts=True)
-        often = count >= LOCAL_LEAST
-        return values[often].view(np.int64), count[often]
-
-    def rows(kind, i, size, f1, f2):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), kind), pa.int32()), i, pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["kind", "i", "n", "f1", "f2"])
+    """A row for each document: id, set size, fingerprint, bytes of the text."""
 
     def run(batches):
-        held, n_held, seen = [], 0, set()
         for b in batches_by_bytes(batches, "t"):
             sets = shingle_sets(b.column(1), n)
             prints = [fingerprint(s) for s in sets]
-            yield rows(0, b.column(0), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])
-            for s, p in zip(sets, prints, strict=True):
-                if p not in seen:
-                    seen.add(p)
-                    held.append(s)
-                    n_held += len(s)
-            if n_held > HELD:
-                values, count = counts(held)
-                yield rows(1, pa.nulls(len(values), pa.int64()), count, values, values)
-                held, n_held, seen = [], 0, set()
-        if held:
-            values, count = counts(held)
-            yield rows(1, pa.nulls(len(values), pa.int64()), count, values, values)
+            size = np.diff(text_buffers(b.column(1))[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], size))], ["i", "n", "f1", "f2", "size"])
 
-    return docs.mapInArrow(run, "kind int, i long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "i long, n long, f1 long, f2 long, size long")
 
 
-def _ties(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """Edges (a, b) between documents that share a prefix shingle and whose size ranges touch."""
-    where = docs.sparkSession.sparkContext.broadcast((frequent, levels))
+def _ties(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between documents whose sets have an equal part."""
 
-    def flush(tokens, sizes, ids):
-        """Ties within the task, and one row for each shingle and run of touching sizes."""
-        tokens, sizes, ids = np.concatenate(tokens), np.concatenate(sizes), np.concatenate(ids)
-        order = np.lexsort((sizes, tokens))
-        tokens, sizes, ids = tokens[order], sizes[order], ids[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (sizes[:-1] * 100 < sizes[1:] * percent)
+    def emit(held):
+        """Ties within the task, and one row for each signature, dealt by signature in packed columns."""
+        sig = np.concatenate([h[1] for h in held])
+        ids = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+        order = np.lexsort((ids, sig))
+        sig, ids = sig[order], ids[order]
+        new = np.append(True, sig[1:] != sig[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(tokens)) - 1
-        run = np.cumsum(new) - 1
-        tied = np.flatnonzero(~new)
-        token = np.concatenate([tokens[first].view(np.int64), mix(ids[tied].view(U64)).view(np.int64)])
-        a = np.concatenate([ids[first], ids[first][run[tied]]])
-        b = np.concatenate([np.zeros(len(first), np.int64), ids[tied]])
-        local = np.concatenate([np.zeros(len(first), bool), np.ones(len(tied), bool)])
-        lo, hi = np.concatenate([sizes[first], sizes[tied] * 0]), np.concatenate([sizes[last], sizes[tied] * 0])
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(a), pa.array(b, mask=~local), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["token", "a", "b", "lo", "hi"])
-
-    def emit(batches):
-        frequent, levels = where.value
-        tokens, sizes, ids, held, seen = [], [], [], 0, set()
+        a, b = ids[first][np.cumsum(new) - 1][~new], ids[~new]
+        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        bucket = (sig[first] % U64(buckets)).astype(np.int64)
+        deal = np.argsort(bucket, kind="stable")
+        found, at = np.unique(bucket[deal], return_index=True)
+        payloads = []
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(deal)], strict=True):
+            rows = first[deal[lo:hi]]
+            own, local = np.unique(ids[rows], return_inverse=True)
+            payloads.append(zlib.compress(sig[rows].tobytes() + local.astype(np.uint32).tobytes() + own.tobytes(), 1))
+        edges = zlib.compress(pairs.tobytes(), 1)
+        found, counts = [*found.tolist(), int(mix(sig[:1])[0] % U64(buckets))], [*np.diff([*at.tolist(), len(deal)]).tolist(), -1]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64()), pa.array([*payloads, edges], pa.binary())], ["bucket", "n", "payload"])
+
+    def deal(batches):
+        held, n_held, seen = [], 0, set()
         for b in batches_by_bytes(batches, "t"):
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
                 if i is None or not len(s) or (p := fingerprint(s)) in seen:
                     continue
                 seen.add(p)
-                size = len(s)
-                keep = prefix_length(size, percent)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    level = np.where(frequent[at] == s, levels[at], 0)
-                    if level.any():
-                        s = s[np.lexsort((s, level))]
-                tokens.append(s[:keep])
-                sizes.append(np.full(keep, size))
-                ids.append(np.full(keep, i))
-                held += keep
-            if held > HELD:
-                yield flush(tokens, sizes, ids)
-                tokens, sizes, ids, held, seen = [], [], [], 0, set()
+                held.append((i, part_signatures(s, percent)))
+                n_held += len(held[-1][1])
+            if n_held > HELD:
+                yield emit(held)
+                held, n_held = [], 0
         if held:
-            yield flush(tokens, sizes, ids)
-
-    def tie(batches):
-        token, node, most = None, None, 0
-        for b in batches:
-            tokens, a, lo, hi = (b.column(k).to_numpy() for k in (0, 1, 3, 4))
-            ready = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            x, y = [a[ready]], [b.column(2).drop_null().to_numpy()]
-            rest = np.flatnonzero(~ready)
-            tokens, a, lo, hi = tokens[rest], a[rest], lo[rest], hi[rest]
-            if len(tokens):
-                same = np.zeros(len(tokens) + 1, bool)
-                same[1:-1] = tokens[1:] == tokens[:-1]
-                same[0] = tokens[0] == token
-                busy = same[:-1] | same[1:]
-                busy[-1] = True
-                ex, ey = [], []
-                for k in np.flatnonzero(busy).tolist():
-                    if tokens[k] == token and lo[k] * percent <= most * 100 and lo[k] * percent <= 100 * most:
-                        ex.append(node)
-                        ey.append(int(a[k]))
-                        most = max(most, int(hi[k]))
-                    else:
-                        token, node, most = int(tokens[k]), int(a[k]), int(hi[k])
-                x.append(np.array(ex, np.int64))
-                y.append(np.array(ey, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)), pa.array(np.concatenate(y).astype(np.int64))], ["a", "b"])
-
-    rows = docs.mapInArrow(emit, "token long, a long, b long, lo int, hi int")
-    return rows.repartition("token").sortWithinPartitions("token", "lo").mapInArrow(tie, "a long, b long")
+            yield emit(held)
+
+    def meet(batches):
+        for _, rows in sorted_groups(batches):
+            sig, ids, pairs = [], [], []
+            for m, x in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                x = zlib.decompress(x)
+                if m < 0:
+                    pairs.append(np.frombuffer(x, np.int64).reshape(-1, 2))
+                else:
+                    sig.append(np.frombuffer(x, U64, m))
+                    ids.append(np.frombuffer(x, np.int64, offset=12 * m)[np.frombuffer(x, np.uint32, m, 8 * m)] if m % 2 == 0 else np.frombuffer(x[12 * m :], np.int64)[np.frombuffer(x, np.uint32, m, 8 * m)])
+            if sig:
+                sig, ids = np.concatenate(sig), np.concatenate(ids)
+                order = np.lexsort((ids, sig))
+                sig, ids = sig[order], ids[order]
+                new = np.append(True, sig[1:] != sig[:-1])
+                head = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+                pairs.append(np.stack([head[~new], ids[~new]], 1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    rows = docs.mapInArrow(deal, "bucket long, n long, payload binary")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 class SignatureTree:
@@ -269,8 +273,7 @@ def _join_tasks(rows: DataFrame, n: int, percent: int, spanning: bool) -> DataFr
 
 def _links(docs: DataFrame, members: DataFrame, n: int, percent: int, page: int, spanning: bool) -> DataFrame:
     """Verified links between the members (i, n, block) of blocks; spanning: enough of them to join all components."""
-    step = 100 / percent
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / np.log(step)).cast("long")
+    band = F.col("n") if percent >= 100 else F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(100 / percent))).cast("long")
     counted = members.groupBy("block").agg(F.count("*").alias("in_block"))
     small = members.join(counted.where(F.col("in_block") <= page), "block").select("i", F.col("block").alias("task"), F.col("i").alias("label"))
     large = members.join(counted.where(F.col("in_block") > page), "block").withColumn("band", band)
@@ -320,25 +323,20 @@ def _prepared(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     """(documents, profile, copies, members): the stored tables that both results need."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    profile = scratch.saved(_profile(docs, n), "jaccard-profile")
-    rows = profile.where("kind = 0").select("i", "n", "f1", "f2")
-    often = profile.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("c"))
-    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * rows.count()))
-    table = often.where(F.col("c") >= least).toPandas()  # at most mean set size / FREQUENT_SHARE rows
-    frequent = table["f1"].to_numpy(np.int64).view(U64)
-    order = np.argsort(frequent)
-    levels = np.log2(table["c"].to_numpy(float)).astype(np.int64)[order] + 1 if len(table) else np.zeros(0, np.int64)
+    rows = scratch.saved(_profile(docs, n), "jaccard-profile")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
     whole = rows.where("i IS NOT NULL AND n > 0")
     classes = whole.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.count("*").alias("c"))
     copies = whole.join(classes.where("c > 1"), ["f1", "f2", "n"]).where("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
     copies = scratch.saved(copies, "jaccard-copies")
-    ties = _ties(docs, n, percent, frequent[order], levels)
-    to = copies.select(F.col("b").alias("node"), F.col("a").alias("rep")).groupBy("node").agg(F.min("rep").alias("rep"))
-    for c in ("a", "b"):
-        ties = ties.join(to.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep")), c, "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
-    blocks = components(ties.select("a", "b"), "jaccard-blocks")
-    sizes = whole.groupBy("i").agg(F.max("n").alias("n"))
-    members = scratch.saved(sizes.join(blocks.withColumnRenamed("node", "i"), "i").select("i", "n", F.col("component").alias("block")), "jaccard-members")
+    ties = _ties(docs, n, percent, buckets)
+    # Copies join the candidate graph, so that ties found through any of them lead to their representative.
+    blocks = components(ties.distinct().unionByName(copies), "jaccard-blocks")
+    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")).join(blocks, "node").select(F.col("node").alias("i"), "n", F.col("component").alias("block"))
+    reps = scratch.saved(reps, "jaccard-reps")
+    several = reps.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
+    members = scratch.saved(reps.join(several, "block"), "jaccard-members")
     return docs, rows, copies, members
 
 
@@ -355,3 +353,16 @@ def join_pairs(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "do
     """All links between representatives of equal sets, (a, b, overlap, n_union), a < b; equal sets are join_classes()."""
     texts, _, _, members = _prepared(docs, n, percent, id_col, text_col)
     return _links(texts, members, n, percent, page, False).distinct()
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:
+    """docs with one row of each component: that of the smallest id; rows with a null id all stay."""
+    found = join_components(docs, n, percent, id_col, text_col, page)
+    gone = scratch.saved(found.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "jaccard-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    twice = scratch.saved(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "jaccard-twice")
+    if not twice.count():
+        return kept
+    single = kept.join(twice, id_col, "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))

@@ -130,7 +130,7 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def batches_by_bytes(batches, column: str, limit: int = 8 << 20):
+def batches_by_bytes(batches, column: str, limit: int = 2 << 20):
     """Record batches cut so that the texts of one column hold at most limit bytes, or one text."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
