@@ -95,46 +95,33 @@ def _hashes(tokens: list[bytes], n: int) -> np.ndarray:
     return np.unique(window_hashes(h, n)) if len(h) >= n else window_hashes(h, len(h))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], n: int, percent: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    kept: list = []
-
-    def run(batches):
-        if not kept:
-            kept.append(Sketches(sent.value, n, percent))
-        index = kept[0]
-        for b in batches_by_bytes(batches, "t", 4 << 20):
-            data, starts, ends, first, h = words(b.column(1), fold=True)
-            counts = np.diff(first)
-            text = np.repeat(np.arange(len(counts)), counts)
-            grams = window_hashes(h, n)
-            whole = text[: len(grams)] == text[n - 1 : n - 1 + len(grams)]
-            t, g = text[: len(grams)][whole], grams[whole]
-            for k in index.short:  # an item shorter than the shingle is one shingle of its own length
-                short = window_hashes(h, k)
-                if len(short):
-                    same = (text[: len(short)] == text[k - 1 : k - 1 + len(short)]) & (counts[text[: len(short)]] == k)
-                    t, g = np.append(t, text[: len(short)][same]), np.append(g, short[same])
-            found, item = index.candidates(t, g)
-            rows, at, tokens = [], -1, None
-            for d, i in zip(found.tolist(), item.tolist(), strict=True):
-                if d != at:
-                    lo, hi = first[d], first[d + 1]
-                    at, whole_text = d, data[starts[lo] : ends[hi - 1]].tobytes().lower()
-                    tokens = shingles(whole_text.split(), n)
-                key, wanted = index.items[i]
-                met = len(wanted & tokens)
-                if met * 100 >= percent * len(wanted):
-                    rows.append((b.column(0)[d].as_py(), key, met, len(wanted)))
-            columns = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "item_id", "n_met", "n_shingles"])
-
-    return docs.mapInArrow(run, "i long, item_id long, n_met long, n_shingles long")
-
-
-def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
-    """(id, item_id, n_met, n_shingles) for each document and item that it contains."""
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+def _matches(index: Sketches, column: pa.Array, n: int, percent: int):
+    """(row, item key, shingles met, shingles of the item) for each item that a text contains."""
+    data, starts, ends, first, h = words(column, fold=True)
+    counts = np.diff(first)
+    text = np.repeat(np.arange(len(counts)), counts)
+    grams = window_hashes(h, n)
+    whole = text[: len(grams)] == text[n - 1 : n - 1 + len(grams)]
+    t, g = text[: len(grams)][whole], grams[whole]
+    for k in index.short:  # an item shorter than the shingle is one shingle of its own length
+        short = window_hashes(h, k)
+        if len(short):
+            same = (text[: len(short)] == text[k - 1 : k - 1 + len(short)]) & (counts[text[: len(short)]] == k)
+            t, g = np.append(t, text[: len(short)][same]), np.append(g, short[same])
+    found, item = index.candidates(t, g)
+    at, held = -1, set()
+    for d, i in zip(found.tolist(), item.tolist(), strict=True):
+        if d != at:
+            at = d
+            held = shingles(data[starts[first[d]] : ends[first[d + 1] - 1]].tobytes().lower().split(), n)
+        key, wanted = index.items[i]
+        met = len(wanted & held)
+        if met * 100 >= percent * len(wanted):
+            yield d, key, met, len(wanted)
+
+
+def _slices(items: DataFrame, item_col: str, item_text: str, index_rows: int) -> list[list[tuple[int, str]]]:
+    """The items in slices of bounded sketch size."""
     rows = items.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     slices, held, size = [], [], 0
     for r in rows.toLocalIterator():
@@ -145,13 +132,54 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
             held, size = [], 0
     if held or not slices:
         slices.append(held)
+    return slices
+
+
+def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
+    """(id, item_id, n_met, n_shingles) for each document and item that it contains."""
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+
+    def search(part):
+        sent, kept = docs.sparkSession.sparkContext.broadcast(part), []
+
+        def run(batches):
+            if not kept:
+                kept.append(Sketches(sent.value, n, percent))
+            for b in batches_by_bytes(batches, "t"):
+                rows = list(_matches(kept[0], b.column(1), n, percent))
+                d, key, met, size = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d, pa.int64())), *(pa.array(c, pa.int64()) for c in (key, met, size))], ["i", "item_id", "n_met", "n_shingles"])
+
+        return texts.mapInArrow(run, "i long, item_id long, n_met long, n_shingles long")
+
     out = None
-    for s in slices:
-        found = _search(texts, s, n, percent)
+    for part in _slices(items, item_col, item_text, index_rows):
+        found = search(part)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("i", id_col)
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
+    """docs without the rows that contain an item."""
+
+    def without(rows, part):
+        sent, kept = docs.sparkSession.sparkContext.broadcast(part), []
+
+        def run(batches):
+            if not kept:
+                kept.append(Sketches(sent.value, n, percent))
+            for b in batches_by_bytes(batches, text_col):
+                keep = np.ones(b.num_rows, bool)
+                keep[[d for d, *_ in _matches(kept[0], b.column(b.schema.get_field_index(text_col)), n, percent)]] = False
+                yield b.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for part in _slices(items, item_col, item_text, index_rows):
+        docs = without(docs, part)
+    return docs
+
+
 #: DuckDB's form of contained() for the tables documents and benchmark with the default parameters.
 ORACLE_SQL = r"""
 WITH texts AS (

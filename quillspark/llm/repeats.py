@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from quillspark.llm import scratch
 from quillspark.llm.text_kernels import TABLES, U64, batches_by_bytes, mix, sliding_min, spans, span_hashes, text_buffers, text_keys, window_hashes
 
-#: Bytes of text for each bucket, runs a map task holds, rows up to which a side is broadcast, and symbols a shard indexes at once.
-BUCKET_BYTES, HELD, BROADCAST_ROWS, SHARD_SYMBOLS = 16 << 20, 1 << 20, 500_000, 1 << 20
+#: Bytes of text for each bucket, runs a map task holds, bytes up to which a side is broadcast, and symbols a shard indexes at once.
+BUCKET_BYTES, HELD, BROADCAST_BYTES, SHARD_SYMBOLS = 8 << 20, 1 << 19, 48 << 20, 1 << 19
 NO_ID = 2**63 - 1
+PACKED = "bucket long, payload binary"
 
 
 @dataclass(frozen=True)
@@ -69,18 +70,24 @@ class Unit:
         return v[lo], text[lo], at[lo], at[hi]
 
 
-def _packed(columns: dict[str, np.ndarray], order: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    """Columns cut into parts, each compressed."""
+def _by_bucket(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
+    """Arrow rows (bucket, payload): columns dealt by bucket, in their order, each part packed and compressed."""
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
     moved = {k: c[order] for k, c in columns.items()}
-    return [zlib.compress(pickle.dumps({k: c[a:b] for k, c in moved.items()}, 5), 1) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    payloads = [zlib.compress(pickle.dumps({k: c[a:b] for k, c in moved.items()}, 5), 1) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
-def _by_bucket(columns: dict[str, np.ndarray], bucket: np.ndarray, sort: np.ndarray):
-    """Arrow rows (bucket, payload) of columns dealt by bucket; small kinds are stored small."""
-    order = np.lexsort((sort, bucket))
-    found, at = np.unique(bucket[order], return_index=True)
-    payloads = _packed(columns, order, np.append(at, len(order)))
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
+def _by_text(key: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Columns dealt by text key, small numbers stored small."""
+    small = {k: c.astype(np.uint32) if k in "an" else c for k, c in columns.items()}
+    order = np.argsort(key, kind="stable")
+    return _by_bucket({"key": key[order]} | {k: c[order] for k, c in small.items()}, (mix(key[order].view(U64)) % U64(buckets)).astype(np.int64))
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def _gathered(batches):
@@ -165,19 +172,31 @@ def _candidates(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             rows = np.concatenate([np.flatnonzero(ready), order[keep]])
             if not len(rows):
                 continue
-            rows = rows[np.argsort(key[rows], kind="stable")]
-            texts, at = np.unique(key[rows], return_index=True)
-            packed = np.stack([a[rows], n[rows]], 1).astype(np.uint32)
-            runs = [packed[lo:hi].tobytes() for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(rows)], strict=True)]
+            yield _by_text(key[rows], {"a": a[rows], "n": n[rows]}, buckets)
+
+    def merge(batches):
+        for _, c in _gathered(batches):
+            order = np.lexsort((c["a"], c["key"]))
+            texts, at = np.unique(c["key"][order], return_index=True)
+            packed = np.stack([c["a"][order], c["n"][order]], 1).astype(np.uint32)
+            runs = [packed[lo:hi].tobytes() for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(runs, pa.binary())], ["key", "runs"])
 
-    rows = docs.mapInArrow(deal, "bucket long, payload binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "key long, runs binary")
+    rows = _dealt(docs.mapInArrow(deal, PACKED), buckets).mapInArrow(meet, PACKED)
+    return _dealt(rows, buckets).mapInArrow(merge, "key long, runs binary")
+
 
+def _joined(rows: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with a stored table that states the bytes of its rows: broadcast if they are few in sum, else shuffled."""
+    size = found.agg(F.sum("bytes")).first()[0] or 0
+    found = found.drop("bytes")
+    return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, key, how)
 
-def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs (i, t) joined by id with a stored table; broadcast where that table has few rows, else shuffled."""
-    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "i", how)
+
+def _listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(i, name, bytes): the (key, value) pairs of each id."""
+    grouped = rows.groupBy("i").agg(F.collect_list(F.struct("key", value)).alias(name), F.sum(F.octet_length(value) + 40).alias("bytes"))
+    return grouped.where("i IS NOT NULL")
 
 
 def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[DataFrame, DataFrame]:
@@ -201,10 +220,9 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
     classes = rows.groupBy("key").agg(F.min(F.coalesce("i", F.lit(NO_ID))).alias("rep"), F.count("*").alias("n"))
     classes = scratch.saved(classes, f"{name}-classes")
-    runs = _candidates(docs, unit, buckets).groupBy("key").agg(F.collect_list("runs").alias("runs"))
-    runs = scratch.saved(runs.join(classes, "key").select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("i"), "key", "runs"), f"{name}-runs")
-    by_id = runs.groupBy("i").agg(F.collect_list(F.struct("key", "runs")).alias("wanted"))
-    by_id = scratch.saved(by_id.where("i IS NOT NULL"), f"{name}-wanted")
+    runs = _candidates(docs, unit, buckets).join(classes, "key").select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("i"), "key", "runs")
+    runs = scratch.saved(runs, f"{name}-runs")
+    by_id = scratch.saved(_listed(runs, "runs", "wanted"), f"{name}-wanted")
     lone = runs.where("i IS NULL").select("key", "runs")  # texts that only rows without an id hold
 
     def ship(batches):
@@ -221,8 +239,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
                     if x["key"] != keys[k] or (i, x["key"]) in done:
                         continue
                     done.add((i, x["key"]))
-                    found = np.concatenate([np.frombuffer(r, np.uint32) for r in x["runs"]]).reshape(-1, 2).astype(np.int64)
-                    found = found[np.argsort(found[:, 0])]
+                    found = np.frombuffer(x["runs"], np.uint32).reshape(-1, 2).astype(np.int64)
                     base = int(first[k])
                     for a, n in found.tolist():
                         v = grams[base + a : base + a + window - unit.gram + 1].min()
@@ -230,7 +247,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
                         content = b" ".join(whole[s:e] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)) if unit.words else whole[lo:hi]
                         held.append((int(v), NO_ID if i is None else i, x["key"], a, content))
                         n_held += len(content) + 32
-            if n_held > 24 << 20:
+            if n_held > 12 << 20:
                 yield packed(held)
                 held, n_held = [], 0
         if held:
@@ -242,7 +259,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
         columns = {"v": v, "i": np.array([r[1] for r in held], np.int64), "key": np.array([r[2] for r in held], np.int64), "a": np.array([r[3] for r in held], np.uint32)}
         text = np.empty(len(held), object)
         text[:] = [r[4] for r in held]
-        return _by_bucket(columns | {"text": text}, (mix(v) % U64(buckets)).astype(np.int64), np.arange(len(v)))
+        return _by_bucket(columns | {"text": text}, (mix(v) % U64(buckets)).astype(np.int64))
 
     def search(batches):
         for _, c in _gathered(batches):
@@ -263,8 +280,19 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 shard(v[lo:hi], ids[lo:hi], keys[lo:hi], at[lo:hi], texts[lo:hi], out)
             if out:
-                spans = [np.concatenate(x).astype(np.uint32).tobytes() for x in out.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(spans, pa.binary())], ["i", "key", "spans"])
+                n = [sum(map(len, x)) for x in out.values()]
+                found = np.concatenate([y for x in out.values() for y in x])
+                who = np.repeat(np.array(list(out), np.int64), n, 0)
+                yield _by_text(who[:, 1], {"i": who[:, 0], "a": found[:, 0], "n": found[:, 1]}, buckets)
+
+    def merge(batches):
+        for _, c in _gathered(batches):
+            order = np.lexsort((c["a"], c["i"], c["key"]))
+            i, key = c["i"][order], c["key"][order]
+            at = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (key[1:] != key[:-1])))
+            packed = np.stack([c["a"][order], c["n"][order]], 1)
+            spans = [packed[lo:hi].tobytes() for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(key[at]), pa.array(spans, pa.binary())], ["i", "key", "spans"])
 
     def shard(v, ids, keys, at, texts, out):
         first: dict = {}
@@ -282,19 +310,16 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
             if len(rel):
                 out.setdefault((int(ids[k]), int(keys[k])), []).append(rel.astype(np.int64) + int(at[k]))
 
-    texts = _joined(docs, by_id, "inner").select("i", "t", "wanted")
-    shipped = texts.mapInArrow(ship, "bucket long, payload binary")
+    shipped = _joined(docs, by_id, "i", "inner").select("i", "t", "wanted").mapInArrow(ship, PACKED)
     if lone.limit(1).count():
-        shipped = shipped.unionByName(_lone(docs, lone).mapInArrow(ship, "bucket long, payload binary"))
-    hits = shipped.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "i long, key long, spans binary")
-    hits = hits.groupBy("i", "key").agg(F.array_join(F.transform(F.collect_list("spans"), lambda x: F.hex(x)), "").alias("spans")).withColumn("spans", F.unhex("spans"))
+        shipped = shipped.unionByName(_lone(docs, lone).mapInArrow(ship, PACKED))
+    hits = _dealt(_dealt(shipped, buckets).mapInArrow(search, PACKED), buckets).mapInArrow(merge, "i long, key long, spans binary")
     copies = rows.join(classes.where("n > 1"), "key").where((F.coalesce("i", F.lit(NO_ID)) > F.col("rep")) & (F.col("symbols") >= window)).select(F.coalesce("i", F.lit(NO_ID)).alias("i"), "key", F.lit(b"").alias("spans")).distinct()
-    both = hits.unionByName(copies).groupBy("i").agg(F.collect_list(F.struct("key", "spans")).alias("found"))
-    return docs, scratch.saved(both, f"{name}-spans")
+    return docs, scratch.saved(_listed(hits.unionByName(copies), "spans", "found"), f"{name}-spans")
 
 
 def _lone(docs: DataFrame, lone: DataFrame) -> DataFrame:
-    """Rows without an id beside the runs wanted of each of their texts."""
+    """Rows without an id beside the runs wanted of their texts."""
     schema = "i long, t string, key long"
 
     def keyed(batches):
@@ -307,10 +332,9 @@ def _lone(docs: DataFrame, lone: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(i, t, found): every row of docs beside what was found for its id."""
+    """Every row of docs (i, t and more) beside what was found for its id."""
     rows = docs.withColumn("j", F.coalesce("i", F.lit(NO_ID)))
-    side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    return rows.join(side.withColumnRenamed("i", "j"), "j", "left").select("i", "t", "found")
+    return _joined(rows, spans.withColumnRenamed("i", "j"), "j", "left").select(*docs.columns, "found")
 
 
 def row_spans(key: int, found: list | None, n: int) -> np.ndarray:

@@ -130,7 +130,7 @@ def _rows(batches):
         keys = text_keys(data, off)
         starts, ends, first = spans(data, off)
         whole = data.tobytes()
-        for k, (i, found) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+        for k, (i, found) in enumerate(zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
             lo, hi = first[k], first[k + 1]
             yield i, whole[off[k] : off[k + 1]], starts[lo:hi] - off[k], ends[lo:hi] - off[k], repeats.row_spans(int(keys[k]), found, int(hi - lo))
 
@@ -168,17 +168,20 @@ def cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray)
 
 
 def remove(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_removed): texts without the words that documents with smaller ids hold; a null text stays null."""
+    """docs, its texts without the words that documents with smaller ids hold; a null text stays null."""
+    _, found = find_repeats(docs, window, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
+    schema = rows.select("t", "row").schema
 
     def run(batches):
         for b in batches:
             null = b.column(1).is_null().to_pylist()
-            rows = [(i, cut_text(text, starts, ends, cut), int((cut[:, 1] - cut[:, 0]).sum())) for i, text, starts, ends, cut in _rows([b])]
-            ids, texts, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if x else t for x, t in zip(null, texts, strict=True)], pa.string()), pa.array(n, pa.int64())], ["i", "t", "n_removed"])
+            made = [cut_text(text, starts, ends, cut) for _, text, starts, ends, cut in _rows([b])]
+            texts = pa.array([None if x else t for x, t in zip(null, made, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, b.column(2)], ["t", "row"])
 
-    out = repeats.with_spans(*find_repeats(docs, window, id_col, text_col)).mapInArrow(run, "i long, t string, n_removed long")
-    return out.withColumnsRenamed({"i": id_col, "t": text_col})
+    out = repeats.with_spans(rows, found).mapInArrow(run, schema)
+    return out.select(*(F.col("t").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def reference_spans(docs: DataFrame, reference: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -256,27 +256,46 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     return bases, vocabulary, Index(vectors, found["toxic"].to_numpy(np.int64), found["votes"].to_numpy(np.int64), found["sample"].to_numpy(np.int64), idf, min(max(base, 0.0), 1.0))
 
 
+class _Scorer:
+    """Scores of texts with those of recent vectors kept."""
+
+    def __init__(self, packed: bytes):
+        self.bases, self.vocabulary, self.index = pickle.loads(packed)
+        self.kept: OrderedDict = OrderedDict()
+
+    def __call__(self, column: pa.Array) -> list[tuple[float, str | None]]:
+        out = []
+        for t, c in _vectors(column, self.bases, self.vocabulary):
+            key = t.tobytes() + c.tobytes()
+            if key not in self.kept:
+                self.kept[key] = self.index.score(t, c)
+                if len(self.kept) > KEPT:
+                    self.kept.popitem(last=False)
+            out.append(self.kept[key])
+        return out
+
+
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """Per row (doc_id, held_out, score, predicted, evidence)."""
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit)))
-    held: list = []
 
     def run(batches):
-        if not held:
-            held.append(pickle.loads(model.value))
-        bases, vocabulary, index = held[0]
-        kept: OrderedDict = OrderedDict()
+        scorer = _Scorer(model.value)
         for b in batches_by_bytes(batches, "t"):
-            out = []
-            for t, c in _vectors(b.column(1), bases, vocabulary):
-                key = t.tobytes() + c.tobytes()
-                if key not in kept:
-                    kept[key] = index.score(t, c)
-                    if len(kept) > KEPT:
-                        kept.popitem(last=False)
-                out.append(kept[key])
-            scores = [s for s, _ in out]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array([e for _, e in out], pa.string())], ["doc_id", "score", "predicted", "evidence"])
+            scores, told = zip(*scorer(b.column(1)), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(told, pa.string())], ["doc_id", "score", "predicted", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, "doc_id long, score double, predicted int, evidence string")
     return out.select("doc_id", _held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """docs without the rows predicted toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit)))
+
+    def run(batches):
+        scorer = _Scorer(model.value)
+        for b in batches_by_bytes(batches, "text"):
+            yield b.filter(pa.array([s < THRESHOLD for s, _ in scorer(b.column(b.schema.get_field_index("text")))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
