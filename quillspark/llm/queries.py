@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import byte_bpe, decontamination, flac, hidden_markov, jaccard_join, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
+from quillspark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +69,3 @@ QUERIES = {
     "op9_suffix_array": op9_suffix_array,
     "op10_hidden_markov": op10_hidden_markov,
 }
-ORACLE_SQL: dict[str, str] = {
-    "op3_decontamination": decontamination.ORACLE_SQL,
-}
