@@ -31,7 +31,7 @@ from quillspark.llm import scratch
 from quillspark.llm.text_kernels import TABLES, U64, batches_by_bytes, mix, sliding_min, spans, span_hashes, text_buffers, text_keys, window_hashes
 
 #: Bytes of text for each bucket, runs a map task holds, bytes up to which a side is broadcast, and symbols a shard indexes at once.
-BUCKET_BYTES, HELD, BROADCAST_BYTES, SHARD_SYMBOLS = 8 << 20, 1 << 19, 48 << 20, 1 << 19
+BUCKET_BYTES, HELD, BROADCAST_BYTES, SHARD_SYMBOLS = 12 << 20, 1 << 19, 96 << 20, 1 << 19
 NO_ID = 2**63 - 1
 PACKED = "bucket long, payload binary"
 
@@ -222,7 +222,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
     classes = scratch.saved(classes, f"{name}-classes")
     runs = _candidates(docs, unit, buckets).join(classes, "key").select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("i"), "key", "runs")
     runs = scratch.saved(runs, f"{name}-runs")
-    by_id = scratch.saved(_listed(runs, "runs", "wanted"), f"{name}-wanted")
+    by_id = _listed(runs, "runs", "wanted").drop("bytes")
     lone = runs.where("i IS NULL").select("key", "runs")  # texts that only rows without an id hold
 
     def ship(batches):
@@ -310,7 +310,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
             if len(rel):
                 out.setdefault((int(ids[k]), int(keys[k])), []).append(rel.astype(np.int64) + int(at[k]))
 
-    shipped = _joined(docs, by_id, "i", "inner").select("i", "t", "wanted").mapInArrow(ship, PACKED)
+    shipped = docs.join(by_id, "i").select("i", "t", "wanted").mapInArrow(ship, PACKED)
     if lone.limit(1).count():
         shipped = shipped.unionByName(_lone(docs, lone).mapInArrow(ship, PACKED))
     hits = _dealt(_dealt(shipped, buckets).mapInArrow(search, PACKED), buckets).mapInArrow(merge, "i long, key long, spans binary")

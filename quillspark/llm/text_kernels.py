@@ -6,6 +6,7 @@ bytes of a whole batch at once, so the cost per word is a few numpy operations a
 
 from __future__ import annotations
 
+import ctypes
 from functools import cache
 
 import numpy as np
@@ -100,15 +101,27 @@ def words(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray,
     return data, starts, ends, first, span_hashes(data, starts, ends, fold)
 
 
+class _Powers(dict):
+    def __missing__(self, n: int):
+        self[n] = U64(pow(0xD6E8FEB86659FD93, n, 2**64))
+        return self[n]
+
+
+_POWER = _Powers()
+
+
 def window_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive symbols; entry j covers symbols j to j+k-1."""
     n = len(symbols) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    h = symbols[:n].copy()
-    for i in range(1, k):
-        h *= U64(0xD6E8FEB86659FD93)
-        h += symbols[i : n + i]
+    h, length = symbols, 1
+    for bit in bin(k)[3:]:  # doubles the length, and adds one symbol for each further bit
+        h = h[: len(h) - length] * _POWER[length] + h[length:]
+        length *= 2
+        if bit == "1":
+            h = h[: len(symbols) - length] * _POWER[1] + symbols[length:]
+            length += 1
     return mix(h + U64(k))
 
 
@@ -130,6 +143,13 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the system: Python workers stay for later tasks and stages."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def batches_by_bytes(batches, column: str, limit: int = 2 << 20):
     """Record batches cut so that the texts of one column hold at most limit bytes, or one text."""
     for batch in batches:
@@ -140,6 +160,7 @@ def batches_by_bytes(batches, column: str, limit: int = 2 << 20):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    trim()
 
 
 LETTERS = np.zeros(256, bool)
