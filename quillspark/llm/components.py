@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
+from quillspark.llm.text_kernels import trim
 
 #: Edges that one task may finish, and edges a task holds at once when it thins them.
 FINISH, HELD = 15_000, 1 << 18
@@ -122,3 +123,4 @@ def sorted_groups(batches, key: int = 0):
             held.append(b.slice(lo, hi - lo))
     if held:
         yield at, pa.Table.from_batches(held)
+    trim()

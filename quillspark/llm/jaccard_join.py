@@ -38,7 +38,7 @@ from quillspark.llm.components import Forest, components, sorted_groups
 from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, text_buffers, window_hashes, words
 
 #: Part signatures that a map task holds at once, and texts' bytes for each bucket of signatures.
-HELD, BUCKET_BYTES = 1 << 19, 32 << 20
+HELD, BUCKET_BYTES = 1 << 18, 8 << 20
 #: Documents of a page, children of a tree node, rows up to which a side is broadcast.
 PAGE, FANOUT, BROADCAST_ROWS = 256, 8, 1_000_000
 
@@ -67,6 +67,8 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
     """(smallest size of each band, its parts, empty parts it allows for); a similar pair spans at most two bands."""
     least, parts, empty = [1], [], []
+    if percent >= 100:  # equal sets are one class already, and no others link
+        return [1, 1 << 62], [1], [0]
     while least[-1] < 1 << 40:
         low = least[-1]
         least.append(max(low + 1, low * 10_000 // percent**2 + 1, (low * 100 // percent + 1) * 100 // percent + 1))

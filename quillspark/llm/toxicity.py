@@ -39,7 +39,7 @@ BASE_VOTE = 0.5
 #: Numbers of times in a text that make terms of their own.
 LEVELS = (2, 3)
 #: Bytes of word beginnings, entries of a block, neighbours, threshold and kept scores of a worker.
-STARTS, BLOCK, NEIGHBOURS, THRESHOLD, KEPT = (4, 5, 6, 7), 64, 8, 0.7, 200_000
+STARTS, BLOCK, NEIGHBOURS, THRESHOLD, KEPT = (4, 5, 6, 7), 64, 8, 0.7, 20_000
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
