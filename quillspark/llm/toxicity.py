@@ -1,14 +1,17 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over sharded indices of all their terms.
 
 Terms are words (runs of letters, small) and their beginnings of 4 to 7 bytes, and each of these again as a
-term of its own where a text has it twice or thrice: a chance hit and a habit differ in number. From the training labels
-the terms are chosen that stand in toxic examples far more often than in others. Each example is its vector
-of chosen terms, (1 + ln tf) * idf at unit length; examples with one vector are one entry with their votes.
-Entries are numbered so that alike ones are near; the index keeps, for each term and block of entries, the
-largest weight. A query bounds every block by these maxima, opens blocks from the best bound down and stops
-when no bound reaches the k-th cosine: the result equals that of comparing with all. Entries as near as the
-k-th all vote, so ties need no rule. A vote weighs 1 / (1.05 - cosine), and the training share of toxic
-examples among texts without a chosen term has BASE_VOTE votes; the score is the weighted share of toxic votes.
+term of its own where a text has it twice or thrice: a chance hit and a habit differ in number. Every term of
+a training example counts, and every example with a term is in the index. Each example is its vector of
+terms, (1 + ln tf) * idf at unit length; examples of one text are one entry with their votes. The entries are
+dealt into shards of bounded size, which are files of the shared folder; a task reads one shard at a time and
+meets a group of texts with it, so no process holds the whole index.
+
+A query first adds up its rare terms over the lists of a shard. The rest of a cosine is at most the product of
+the lengths of both vectors in the common terms, so only entries that can still reach the k-th cosine are
+compared in full: the result equals that of comparing with all. Entries as near as the k-th all vote, so ties
+need no rule. A vote weighs 1 / (1.05 - cosine), and the training share of toxic examples has BASE_VOTE votes;
+the score is the weighted share of toxic votes. Terms that no training example has are in no vector.
 
 Labels, languages, sources and ids are no inputs of a score. At most MAX_LABELLED labelled rows train: all,
 or those of the smallest hashes of their ids. All statistics cover all of these; all documents are scored.
@@ -21,25 +24,28 @@ the score is the base share; an empty table gives no rows.
 from __future__ import annotations
 
 import pickle
-from collections import OrderedDict
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text_kernels import LETTERS, U64, batches_by_bytes, lowered, mix, span_hashes, spans, text_buffers
+from quillspark.llm import scratch
+from quillspark.llm.text_kernels import LETTERS, U64, batches_by_bytes, lowered, mix, span_hashes, spans, text_buffers, text_keys
 
-#: Labelled rows, chosen terms, examples with a term, least toxic examples of a term and least ratio of its shares.
-MAX_LABELLED, MAX_TERMS, LEAST_TOXIC, LEAST_SHARE, LEAST_RATIO = 100_000, 4096, 2, 1 / 400, 5.0
-#: Likelihood ratio asked of a term beyond the largest that so many terms reach by chance.
-CHANCE = 2.0
+#: Labelled rows that train.
+MAX_LABELLED = 100_000
 #: Votes of the base share.
 BASE_VOTE = 0.5
 #: Numbers of times in a text that make terms of their own.
 LEVELS = (2, 3)
-#: Bytes of word beginnings, entries of a block, neighbours, threshold and kept scores of a worker.
-STARTS, BLOCK, NEIGHBOURS, THRESHOLD, KEPT = (4, 5, 6, 7), 64, 8, 0.7, 20_000
+#: Bytes of word beginnings, neighbours and threshold.
+STARTS, NEIGHBOURS, THRESHOLD = (4, 5, 6, 7), 8, 0.7
+#: Bytes of example texts of a shard, its most entries and terms, and bytes of texts that meet a shard at once.
+SHARD_BYTES, SHARD_ENTRIES, SHARD_TERMS, GROUP_BYTES = 32 << 20, 1 << 16, 12 << 20, 32 << 20
+#: Terms of a smaller idf are common: they are added up last. Error of a sum of short weights, and terms held for counting.
+COMMON_IDF, SLACK, HELD = np.log(64), 1e-6, 1 << 22
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,17 +61,17 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
 
 
-def levelled(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, hash it stems from, count) of each distinct hash of a text and of its repeats."""
+def levelled(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of each distinct hash of a text and of its repeats."""
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
     first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1]))[: len(h)])
     count = np.diff(np.append(first, len(h)))
     text, h = text[first], h[first]
-    out = [(text, h, h, count)]
+    out = [(text, h, count)]
     for n in LEVELS:
         has = count >= n
-        out.append((text[has], mix(h[has] + U64(n)), h[has], np.ones(int(has.sum()), np.int64)))
+        out.append((text[has], mix(h[has] + U64(n)), np.ones(int(has.sum()), np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -89,200 +95,240 @@ def _within(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)] == h
 
 
-def _frequencies(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(h, base, c): documents by term, of all terms in toxic rows, or of those that stem from wanted hashes in the others."""
+def _frequencies(examples: DataFrame) -> DataFrame:
+    """(h, c): training examples of every term."""
 
     def run(batches):
         held, n = [], 0
         for b in batches_by_bytes(batches, "t"):
-            y = b.column(2).to_numpy(zero_copy_only=False) > 0
-            pick = pa.array(np.flatnonzero(y if wanted is None else ~y))
-            text, h = terms(b.column(1).take(pick))
-            if wanted is not None:
-                ok = _within(h, wanted)
-                text, h = text[ok], h[ok]
-            held.append(levelled(text, h)[1:3])
-            n += len(held[-1][0])
-            if n > 1 << 21:
+            text, h, _ = levelled(*terms(b.column(0)))
+            held.append((h, b.column(2).to_numpy()[text]))
+            n += len(h)
+            if n > HELD:
                 yield counted(held)
                 held, n = [], 0
         if n:
             yield counted(held)
 
     def counted(held):
-        h, base = (np.concatenate(c) for c in zip(*held, strict=True))
-        h, at, c = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(base[at].view(np.int64)), pa.array(c, pa.int64())], ["h", "base", "c"])
+        h, votes = (np.concatenate(c) for c in zip(*held, strict=True))
+        h, at = np.unique(h, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, votes, len(h)).astype(np.int64))], ["h", "c"])
 
-    return rows.mapInArrow(run, "h long, base long, c long").groupBy("h").agg(F.min("base").alias("base"), F.sum("c").alias("c"))
+    return examples.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _kth(x: np.ndarray, k: int) -> float:
+    return float(np.partition(x, len(x) - k)[len(x) - k]) if len(x) > k else 0.0
+
+
+def _least(cosines: np.ndarray, votes: np.ndarray, k: int) -> float:
+    """The cosine of the k-th vote, or 0 if there are fewer."""
+    by = np.argsort(-cosines, kind="stable")
+    enough = np.searchsorted(np.cumsum(votes[by]), k)
+    return float(cosines[by[enough]]) if enough < len(by) else 0.0
+
+
+def _slots(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i] to first[i] + size[i] - 1 of each i."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
 class Index:
-    """Entries (unit vectors with votes) by term, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray, idf: np.ndarray, base: float):
-        self.idf, self.base = idf, base
-        weighted = [self.unit(t, n) for t, n in vectors]
-        lead = [(int(t[np.argmax(w)]), *t.tolist()) for (t, _), w in zip(vectors, weighted, strict=True)]
-        order = sorted(range(len(vectors)), key=lead.__getitem__)
-        self.toxic, self.votes, self.sample = toxic[order], votes[order], sample[order]
-        entry = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
-        term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([weighted[k] for k in order]) if order else np.zeros(0)
-        by = np.lexsort((entry, term))
-        self.entry, self.weight = entry[by], weight[by]
-        self.first = np.searchsorted(term[by], np.arange(len(idf) + 1))
-        blocks = -(-len(order) // BLOCK)
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for t in range(len(idf)):
-            lo, hi = self.first[t], self.first[t + 1]
-            own, at = np.unique(self.entry[lo:hi] // BLOCK, return_index=True)
-            most = np.maximum.reduceat(self.weight[lo:hi], at) if len(at) else np.zeros(0)
-            self.blocks.append((own, most, np.append(at, hi - lo) + lo))
-        self.n_blocks = blocks
+    """Entries (unit vectors with votes) of a shard, by entry and by term."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray, idf: np.ndarray, base: float = 0.0):
+        size = np.array([len(t) for t, _ in vectors], np.int64)
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        count = np.concatenate([c for _, c in vectors]) if vectors else np.zeros(0, np.int64)
+        self.base = base
+        by = np.argsort(term, kind="stable")
+        entry = np.repeat(np.arange(len(size), dtype=np.uint16 if len(size) <= SHARD_ENTRIES else np.int32), size)[by]
+        self._fill(entry, count[by].astype(np.min_scalar_type(int(count.max(initial=0)))), np.bincount(term, minlength=len(idf)), toxic, votes, sample, idf, np.zeros(len(idf)))
+
+    def _fill(self, entry: np.ndarray, count: np.ndarray, size: np.ndarray, toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray, idf: np.ndarray, dense: np.ndarray) -> None:
+        """From the entries and counts of each term, in the order of terms; dense is room for one number a term."""
+        self.kept = (entry, count, size.astype(np.int32), toxic, votes, sample)
+        self.entry, self.toxic, self.votes, self.sample, self.idf, self.dense = entry, toxic, votes, sample, idf, dense
+        n = len(votes)
+        self.first = np.append(0, np.cumsum(size)).astype(np.int32)
+        w = (1 + np.log(np.arange(int(count.max(initial=0)) + 1).clip(1)))[count] * np.repeat(idf, size)
+        self.norm = np.sqrt(np.bincount(entry, w * w, n))
+        w /= self.norm[entry]
+        self.weight = w.astype(np.float32)
+        self.common = np.sqrt(np.bincount(entry, np.where(np.repeat(idf < COMMON_IDF, size), w * w, 0), n))
+        del w
+        by = np.argsort(entry, kind="stable")
+        self.term, self.count = np.repeat(np.arange(len(idf), dtype=np.int32), size)[by], count[by]
+        self.row = np.append(0, np.cumsum(np.bincount(entry, minlength=n)))
+
+    def save(self, path: str) -> None:
+        system, at = scratch.store(path)
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(at, compression="lz4") as out:
+            pickle.dump(self.kept, out, 5)
+
+    @classmethod
+    def load(cls, path: str, idf: np.ndarray, dense: np.ndarray) -> Index:
+        system, at = scratch.store(path)
+        with system.open_input_stream(at, compression="lz4") as file:
+            kept = pickle.loads(file.read())
+        out = cls.__new__(cls)
+        out._fill(*kept, idf, dense)
+        return out
 
     def unit(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, term: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) of the k nearest examples, with all that are as near as the last, best first."""
+    def _added(self, term: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """For every entry the sum over some terms, a little off as weights are short."""
+        first = self.first[term].astype(np.int64)
+        size = self.first[term + 1] - first
+        at = _slots(first, size)
+        return np.bincount(self.entry[at], np.repeat(query.astype(np.float32), size) * self.weight[at], len(self.votes))
+
+    def nearest(self, term: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) of the k nearest examples of at least a cosine, with all that are as near as the last, best first."""
         query = self.unit(term, tf)
-        bound = np.zeros(self.n_blocks)
-        for t, q in zip(term.tolist(), query.tolist(), strict=True):
-            own, most, _ = self.blocks[t]
-            bound[own] += q * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, score, least, at = [], [], 0.0, 0
-        slack = 1e-9
-        while at < len(order) and bound[order[at]] >= least - slack:
-            step = np.sort(order[at : at + 16])
-            at += 16
-            room = np.zeros((len(step), BLOCK))
-            for t, q in zip(term.tolist(), query.tolist(), strict=True):
-                own, _, cut = self.blocks[t]
-                place = np.searchsorted(own, step)
-                ok = (place < len(own)) & (own[np.minimum(place, len(own) - 1)] == step) if len(own) else np.zeros(len(step), bool)
-                for b, p in zip(np.flatnonzero(ok).tolist(), place[ok].tolist(), strict=True):
-                    e = self.entry[cut[p] : cut[p + 1]]
-                    room[b, e % BLOCK] += q * self.weight[cut[p] : cut[p + 1]]
-            b, e = np.nonzero(room > 0)
-            found.append(step[b] * BLOCK + e)
-            score.append(np.round(room[b, e], 9))
-            s, n = np.concatenate(score), self.votes[np.concatenate(found)]
-            by = np.argsort(-s, kind="stable")
-            enough = np.searchsorted(np.cumsum(n[by]), k)
-            least = s[by[enough]] if enough < len(by) else 0.0
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        e, s = np.concatenate(found), np.concatenate(score)
-        keep = s >= least
+        rare = self.idf[term] >= COMMON_IDF
+        found = self._added(term[rare], query[rare])
+        bound = found + np.sqrt((query[~rare] ** 2).sum()) * self.common
+        e = np.flatnonzero((bound >= max(floor, _kth(found, k)) - SLACK) & (bound > 0))
+        length = self.first[term[~rare] + 1] - self.first[term[~rare]]
+        if (self.row[e + 1] - self.row[e]).sum() > length.sum():
+            found = found + self._added(term[~rare], query[~rare])
+            e = np.flatnonzero((found >= max(floor, _kth(found, k)) - SLACK) & (found > 0))
+        size = self.row[e + 1] - self.row[e]
+        at = _slots(self.row[e], size)
+        own = self.term[at]
+        self.dense[term] = query
+        q = self.dense[own]
+        self.dense[term] = 0
+        met = np.flatnonzero(q)
+        at, own = at[met], own[met]
+        i = np.repeat(np.arange(len(e)), size)[met]
+        s = np.round(np.bincount(i, q[met] * (1 + np.log(self.count[at], dtype=np.float64)) * self.idf[own], len(e)) / self.norm[e], 9)
+        keep = (s >= max(floor, _least(s, self.votes[e], k))) & (s > 0)
         e, s = e[keep], s[keep]
         by = np.lexsort((e, -s))
         return e[by], s[by]
 
-    def score(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, str | None]:
-        """(score, evidence): evidence names an example of each of the three nearest entries, with cosine and votes."""
-        if not len(term):
-            return self.base, None
-        e, s = self.nearest(term, tf)
-        w = 1 / (1.05 - s)
-        score = (float((w * self.toxic[e]).sum()) + BASE_VOTE * self.base) / (float((w * self.votes[e]).sum()) + BASE_VOTE)
-        told = " ".join(f"{self.sample[x]}:{c:.3f}:{self.toxic[x]}/{self.votes[x]}" for x, c in zip(e[:3].tolist(), s[:3].tolist(), strict=True))
-        return score, told or None
-
 
-def _vectors(column: pa.Array, bases: np.ndarray, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(chosen terms, counts) of each text."""
-    text, h = terms(column)
-    ok = _within(h, bases)
-    text, h, _, count = levelled(text[ok], h[ok])
+def _vectors(column: pa.Array, vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each text."""
+    text, h, count = levelled(*terms(column))
     ok = _within(h, vocabulary)
-    text, term, count = text[ok], np.searchsorted(vocabulary, h[ok]), count[ok]
+    text, term, count = text[ok], np.searchsorted(vocabulary, h[ok]).astype(np.int32), count[ok].astype(np.uint32)
     order = np.lexsort((term, text))
     text, term, count = text[order], term[order], count[order]
     cuts = np.searchsorted(text, np.arange(len(column) + 1))
     return [(term[a:b], count[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Twice the log likelihood ratio of a term's presence depending on the label against not."""
-
-    def part(seen, wanted):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(wanted, 1e-9)), 0)
-
-    n, has = max(n_toxic + n_clean, 1), pos + neg
-    return 2 * (part(pos, has * n_toxic / n) + part(neg, has * n_clean / n) + part(n_toxic - pos, (n - has) * n_toxic / n) + part(n_clean - neg, (n - has) * n_clean / n))
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, Index]:
-    """(hashes that terms stem from, term hashes, index) from the labelled training documents."""
-    rows = training_rows(docs, labels, limit)
-    n = {int(r["y"] > 0): r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    least = max(LEAST_TOXIC, int(n_toxic * LEAST_SHARE))
-    toxic = _frequencies(rows, None).where(F.col("c") >= least).toPandas()  # at most mean terms of a text / LEAST_SHARE rows
-    h = toxic["h"].to_numpy(np.int64).view(U64)
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, list[str], float]:
+    """(term hashes, idf, paths of the shards of the index, base share) from the labelled training documents."""
+    spark = docs.sparkSession
+    rows = training_rows(docs, labels, limit).groupBy("t").agg(F.sum((F.col("y") > 0).cast("int")).alias("toxic"), F.count("*").alias("votes"), F.min(F.col("doc_id").cast("long")).alias("sample"))
+    examples = scratch.saved(rows, "toxicity-examples")
+    total = examples.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("votes"), F.lit(0)).alias("votes"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    found = _frequencies(examples).toPandas()  # at most the terms of limit rows
+    h = found["h"].to_numpy(np.int64).view(U64)
     order = np.argsort(h)
-    h, pos, stems = h[order], toxic["c"].to_numpy(float)[order], toxic["base"].to_numpy(np.int64).view(U64)[order]
-    clean = _frequencies(rows, np.unique(stems)).toPandas()
-    other = clean["h"].to_numpy(np.int64).view(U64)
-    known = _within(other, h)
-    neg = np.zeros(len(h))
-    neg[np.searchsorted(h, other[known])] = clean["c"].to_numpy(float)[known]
-    ratio = (pos / max(n_toxic, 1)) / ((neg + 1) / (n_clean + 1))
-    gain = _likelihood_ratio(pos, neg, n_toxic, n_clean)
-    gain[(ratio < LEAST_RATIO) | (gain < 2 * np.log(max(len(h), 2)) + CHANCE)] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(MAX_TERMS, int((gain > 0).sum()))])
-    vocabulary, bases = h[chosen], np.unique(stems[chosen])
-    idf = np.log((n_toxic + n_clean + 1) / (pos[chosen] + neg[chosen] + 1)) + 1e-6
+    vocabulary = h[order]
+    idf = np.log((total["votes"] + 1) / (found["c"].to_numpy(float)[order] + 1)) + 1e-6
+    sent = spark.sparkContext.broadcast(pickle.dumps((vocabulary, idf), 5))
+    folder = scratch.folder(spark, "toxicity-index")
 
     def run(batches):
+        vocabulary, idf = pickle.loads(sent.value)
+        held, told, n = [], [], 0
+
+        def shard():
+            path = f"{folder}/{uuid.uuid4().hex}"
+            toxic, votes, sample = (np.array(c, np.int64) for c in zip(*told, strict=True))
+            Index(held, toxic, votes, sample, idf).save(path)
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
         for b in batches_by_bytes(batches, "t"):
-            made = _vectors(b.column(1), bases, vocabulary)
-            packed = [t.astype(np.uint16).tobytes() + c.astype(np.uint32).tobytes() for t, c in made]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2).cast(pa.int64())], ["i", "v", "y"])
-
-    entries = rows.mapInArrow(run, "i long, v binary, y long").groupBy("v").agg(F.sum((F.col("y") > 0).cast("int")).alias("toxic"), F.count("*").alias("votes"), F.min("i").alias("sample"))
-    found = entries.toPandas()  # at most limit rows of a few terms each
-    blank = found["v"].map(len) == 0
-    base = float((found["toxic"][blank].sum() + 0.5) / (found["votes"][blank].sum() + 1)) if blank.any() else float((n_toxic + 0.5) / (n_toxic + n_clean + 1))
-    found = found[~blank].sort_values("v")
-    vectors = []
-    for v in found["v"]:
-        m = len(v) // 6
-        vectors.append((np.frombuffer(v, np.uint16, m).astype(np.int64), np.frombuffer(v, np.uint32, m, 2 * m).astype(np.int64)))
-    return bases, vocabulary, Index(vectors, found["toxic"].to_numpy(np.int64), found["votes"].to_numpy(np.int64), found["sample"].to_numpy(np.int64), idf, min(max(base, 0.0), 1.0))
+            rest = zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)
+            for v, r in zip(_vectors(b.column(0), vocabulary), rest, strict=True):
+                if len(v[0]):
+                    held.append(v)
+                    told.append(r)
+                    n += len(v[0])
+                if n > SHARD_TERMS or len(held) == SHARD_ENTRIES:
+                    yield shard()
+                    held, told, n = [], [], 0
+        if held:
+            yield shard()
+
+    made = examples.coalesce(int(total["bytes"]) // SHARD_BYTES + 1).mapInArrow(run, "path string")
+    return vocabulary, idf, sorted(r["path"] for r in made.collect()), (total["toxic"] + 0.5) / (total["votes"] + 1)
 
 
 class _Scorer:
-    """Scores of texts with those of recent vectors kept."""
+    """Scores of the texts of a group of batches; each shard is read once a group."""
 
     def __init__(self, packed: bytes):
-        self.bases, self.vocabulary, self.index = pickle.loads(packed)
-        self.kept: OrderedDict = OrderedDict()
-
-    def __call__(self, column: pa.Array) -> list[tuple[float, str | None]]:
-        out = []
-        for t, c in _vectors(column, self.bases, self.vocabulary):
-            key = t.tobytes() + c.tobytes()
-            if key not in self.kept:
-                self.kept[key] = self.index.score(t, c)
-                if len(self.kept) > KEPT:
-                    self.kept.popitem(last=False)
-            out.append(self.kept[key])
-        return out
+        self.vocabulary, self.idf, self.paths, self.base = pickle.loads(packed)
+        self.dense = np.zeros(len(self.idf))
+
+    def groups(self, batches, column: str):
+        """(batch, scores of its texts) of every batch."""
+        held, size = [], 0
+        for b in batches_by_bytes(batches, column):
+            held.append((b, b.column(b.schema.get_field_index(column))))
+            size += int(text_buffers(held[-1][1])[1][-1]) + 64 * b.num_rows
+            if size > GROUP_BYTES:
+                yield from self._scored(held)
+                held, size = [], 0
+        if held:
+            yield from self._scored(held)
+
+    def _scored(self, held):
+        place, rows, vectors = {}, [], []
+        for _, column in held:
+            keys = text_keys(*text_buffers(column)).tolist()
+            fresh = [r for r, k in enumerate(keys) if k not in place and place.setdefault(k, len(place)) >= 0]
+            vectors += _vectors(column.take(pa.array(fresh, pa.int64())), self.vocabulary)
+            rows.append([place[k] for k in keys])
+        near = [(np.zeros(0), *(np.zeros(0, np.int64),) * 3)] * len(vectors)
+        floor = [0.0] * len(vectors)
+        for path in self.paths:
+            index = Index.load(path, self.idf, self.dense)
+            for j, (t, c) in enumerate(vectors):
+                if not len(t):
+                    continue
+                e, s = index.nearest(t, c, floor=floor[j])
+                if len(e):
+                    both = [np.concatenate(x) for x in zip(near[j], (s, index.toxic[e], index.votes[e], index.sample[e]), strict=True)]
+                    floor[j] = _least(both[0], both[2], NEIGHBOURS)
+                    keep = both[0] >= floor[j]
+                    near[j] = tuple(x[keep] for x in both)
+            del index
+        scores = [self._voted(*n) for n in near]
+        for (b, _), r in zip(held, rows, strict=True):
+            yield b, [scores[j] for j in r]
+
+    def _voted(self, s: np.ndarray, toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray) -> tuple[float, str | None]:
+        """(score, evidence): evidence names an example of each of the three nearest entries, with cosine and votes."""
+        by = np.lexsort((sample, -s))
+        s, toxic, votes, sample = s[by], toxic[by], votes[by], sample[by]
+        w = 1 / (1.05 - s)
+        score = (float((w * toxic).sum()) + BASE_VOTE * self.base) / (float((w * votes).sum()) + BASE_VOTE)
+        told = " ".join(f"{x}:{c:.3f}:{a}/{v}" for x, c, a, v in zip(sample[:3].tolist(), s[:3].tolist(), toxic[:3].tolist(), votes[:3].tolist(), strict=True))
+        return score, told or None
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """Per row (doc_id, held_out, score, predicted, evidence)."""
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit)))
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit), 5))
 
     def run(batches):
-        scorer = _Scorer(model.value)
-        for b in batches_by_bytes(batches, "t"):
-            scores, told = zip(*scorer(b.column(1)), strict=True) if b.num_rows else ((), ())
+        for b, found in _Scorer(model.value).groups(batches, "t"):
+            scores, told = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(told, pa.string())], ["doc_id", "score", "predicted", "evidence"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, "doc_id long, score double, predicted int, evidence string")
@@ -291,11 +337,10 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """docs without the rows predicted toxic."""
-    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit)))
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit), 5))
 
     def run(batches):
-        scorer = _Scorer(model.value)
-        for b in batches_by_bytes(batches, "text"):
-            yield b.filter(pa.array([s < THRESHOLD for s, _ in scorer(b.column(b.schema.get_field_index("text")))], pa.bool_()))
+        for b, found in _Scorer(model.value).groups(batches, "text"):
+            yield b.filter(pa.array([s < THRESHOLD for s, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -374,6 +374,20 @@ def test_toxicity(spark):
     assert toxicity.accepted(docs, labels).columns == docs.columns
 
 
+def test_toxicity_indexes_every_term_and_example(spark):
+    """A copy of any labelled training text finds it, however plain its words; a word of one example alone is met."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    train = [k for k in range(400) if not held(k)][:120]
+    own = {k: "".join("abcdefghij"[int(d)] for d in f"{k:04}") for k in train}
+    texts = {k: f"plain common words about {own[k]} and other matters" for k in train}
+    rows = [*texts.items(), (9001, texts[train[5]]), (9002, f"only {own[train[7]]}")]
+    labels = spark.createDataFrame([(k, int(n % 4 == 1)) for n, k in enumerate(train)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(frame(spark, rows), labels).collect()}
+    assert got[9001]["evidence"].startswith(f"{train[5]}:1.000:1/1")
+    assert got[9002]["evidence"].startswith(f"{train[7]}:")
+    assert all(got[k]["evidence"].startswith(f"{k}:1.000:") for k in train)
+
+
 def test_hidden_markov_forward_is_exact():
     rng = np.random.default_rng(1)
     unit = lambda x, a: x / x.sum(a, keepdims=True)
