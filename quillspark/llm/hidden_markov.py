@@ -1,16 +1,15 @@
 """A hidden Markov language model: Baum-Welch over all training documents, exact forward likelihoods.
 
-Tokens are words (A-Z made small) and one end for each text. Symbols are the words that make up at least a
-share of all training tokens, of which there are at most 1 / share, and one symbol for all other words; a
-word behind that symbol has its add-one share of such words. So the model gives every sequence of words,
-known or not, a probability, and the number of parameters is bounded while the counts follow the corpus.
-
-Counts of all words are a distributed table. Words of at least COUNT_SHARE have their counts broadcast, at
-most 1 / COUNT_SHARE of them; the rest of each text meets the table in a join on the word. Training starts
-from word clusters of a bounded sample of texts; each round of Baum-Welch then adds up the expected counts
-of every training document over all partitions. In training a stretch of SEGMENT tokens is a sequence of
-its own; the likelihood of a text is one scaled forward recursion over all of it. Recursions run over many
-texts at once, one token of each a step.
+Tokens are words (A-Z made small) and one end for each text. Every training word is a symbol with emission
+probabilities of its own; each other word has the share of one count, as in the base, so the model gives every
+sequence of words, known or not, a probability.
+
+Counts and emissions of all words are distributed tables. The texts are stored in parts of PART rows, and for
+each round the emissions of the words of a part are joined and put in a file of the shared folder, which the
+task that reads the part loads. Training starts from word clusters of a bounded sample of texts; each round of
+Baum-Welch then adds up the expected counts of every training document over all partitions, by word and
+state. In training a stretch of SEGMENT tokens is a sequence of its own; the likelihood of a text is one
+scaled forward recursion over all of it. Recursions run over many texts at once, one token of each a step.
 
 Defined cases: null and empty texts are one end token; a null id is not held out; repeated rows have equal
 results; without training texts every count is zero, N and V too, and the model knows only unseen words.
@@ -26,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
-from quillspark.llm.text_kernels import U64, batches_by_bytes, text_buffers, text_keys, words
+from quillspark.llm.text_kernels import U64, batches_by_bytes, words
 
-#: Shares of training tokens from which a word is a symbol and from which its count is broadcast.
-SYMBOL_SHARE, COUNT_SHARE = 1e-5, 1e-6
+#: Rows of a part.
+PART = 8192
 #: Latent states, rounds over the corpus, texts of the first clusters and their most bytes, words that cluster them, tokens of a training sequence.
 STATES, ROUNDS, SAMPLE, SAMPLE_BYTES, SAMPLE_WORDS, SEGMENT = 6, 2, 1000, 1 << 20, 2000, 256
 #: Tokens handled at once, tokens counted at once, and the smoothing of expected counts.
@@ -70,7 +69,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Start (first and later stretches), transition and emission probabilities; the last symbol is any other word."""
+    """Start (first and later stretches), transition and emission probabilities; the last symbol is any word not trained on."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
@@ -132,45 +131,29 @@ class Model:
         return likelihood
 
 
-def _estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-    """Parameters from counts; every symbol keeps a little of its overall share in each state."""
-    whole = emit.sum(1, keepdims=True) + 1e-6
-    emit = emit + SMOOTH * whole / whole.sum() * len(whole) ** 0.5
-    unit = lambda x, axis: x / x.sum(axis, keepdims=True)
-    return Model(unit(start + SMOOTH, 1), unit(move + SMOOTH, 1), unit(emit, 0))
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(-1, keepdims=True)
 
 
-def _first_model(sample: list[np.ndarray], counts: np.ndarray) -> Model:
-    """Clusters of sampled texts by their common words (spherical k-means from spread-out seeds) as states that last."""
-    n_symbols = len(counts)
-    common = np.argsort(-counts[:-1], kind="stable")[: min(SAMPLE_WORDS, n_symbols - 1)]
-    column = np.full(n_symbols, -1)
-    column[common] = np.arange(len(common))
+def _clusters(sample: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    """A state for each sampled text, by clusters on the common words (spherical k-means from spread-out seeds)."""
     x = np.zeros((len(sample), max(len(common), 1)))
-    for row, s in zip(x, sample, strict=True):
-        c = column[s]
-        row += np.bincount(c[c >= 0], minlength=len(row))
+    for row, h in zip(x, sample, strict=True):
+        c = _symbols(h, common)
+        row += np.bincount(c[c < len(common)], minlength=len(row))
     x = np.sqrt(x)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    states = STATES
-    if len(x):
-        seeds = [0]
-        while len(seeds) < min(states, len(x)):
-            seeds.append(int(np.argmin((x @ x[seeds].T).max(1))))
-        centre = x[seeds]
-        for _ in range(12):
-            near = np.argmax(x @ centre.T, 1)
-            centre = np.stack([x[near == k].sum(0) if (near == k).any() else centre[k] for k in range(len(seeds))])
-            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-    else:
-        near = np.zeros(0, int)
-    share = counts / max(counts.sum(), 1)
-    emit = np.repeat(share[:, None] * 200 + 1e-9, states, 1)
-    for s, k in zip(sample, near.tolist(), strict=True):
-        emit[:, k] += np.bincount(s, minlength=n_symbols)
-    move = np.full((states, states), 0.02 / max(states - 1, 1))
-    np.fill_diagonal(move, 0.98)
-    return Model(np.full((2, states), 1 / states), move, emit / emit.sum(0))
+    if not len(x):
+        return np.zeros(0, int)
+    seeds = [0]
+    while len(seeds) < min(STATES, len(x)):
+        seeds.append(int(np.argmin((x @ x[seeds].T).max(1))))
+    centre = x[seeds]
+    for _ in range(12):
+        near = np.argmax(x @ centre.T, 1)
+        centre = np.stack([x[near == k].sum(0) if (near == k).any() else centre[k] for k in range(len(seeds))])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return near
 
 
 def _symbols(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -181,16 +164,95 @@ def _symbols(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, len(table))
 
 
-def _round(rows: DataFrame, model: Model, table: np.ndarray) -> Model:
-    """One round of Baum-Welch over all training rows; counts are added up by symbol."""
-    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps((model, table)))
-    states = len(model.move)
-    fields = [f"s{k}" for k in range(states)]
+FIELDS = [f"e{k}" for k in range(STATES)]
+_DOUBLES = ", ".join(f"{f} double" for f in FIELDS)
+
+
+def _by_part(batches, limit: int):
+    """(part, batch) of the rows of one part each."""
+    for b in batches_by_bytes(batches, "t", limit):
+        part = b.column(2).to_numpy()
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+            if hi > lo:
+                yield int(part[lo]), b.slice(lo, hi - lo)
+
+
+def _wanted(rows: DataFrame) -> DataFrame:
+    """(part, h): the distinct words of every part."""
+
+    def run(batches):
+        at, held = None, []
+        for part, b in _by_part(batches, 4 << 20):
+            if part != at and held:
+                yield made(at, held)
+                held = []
+            at = part
+            held.append(np.unique(token_hashes(b.column(1))[0]))
+        if held:
+            yield made(at, held)
+
+    def made(part, held):
+        h = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), part)), pa.array(h.view(np.int64))], ["part", "h"])
+
+    return rows.mapInArrow(run, "part long, h long").distinct()
+
+
+def _files(wanted: DataFrame, emissions: DataFrame) -> str:
+    """Folder with a file for each part: its known words, sorted, with counts and emissions."""
+    folder = scratch.folder(wanted.sparkSession, "markov-emissions")
+
+    def write(t: pa.Table) -> pa.Table:
+        h = t["h"].to_numpy().view(U64)
+        order = np.argsort(h)
+        system, at = scratch.store(f"{folder}/{t['part'][0].as_py()}")
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(at, compression=None) as out:
+            pickle.dump((h[order], t["c"].to_numpy()[order], np.stack([t[f].to_numpy()[order] for f in FIELDS], 1)), out, 5)
+        return pa.table({"m": pa.array([len(h)], pa.int64())})
+
+    wanted.join(emissions, "h").groupBy("part").applyInArrow(write, "m long").agg(F.sum("m")).collect()
+    return folder
+
+
+def _loaded(folder: str, part: int, start: np.ndarray, move: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray, Model]:
+    """(words, counts, model) of a part; a part without known words has no file."""
+    system, at = scratch.store(f"{folder}/{part}")
+    h, c, emit = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((0, STATES))
+    if system.get_file_info(at).is_file:
+        with system.open_input_stream(at, compression=None) as file:
+            h, c, emit = pickle.loads(file.read())
+    return h, c, Model(start, move, np.concatenate([emit.astype(float), np.full((1, STATES), unseen)]))
+
+
+def _emissions(table: DataFrame, n: int, v: int) -> DataFrame:
+    """(h, c, probabilities by state) from (h, c, counts by state); every word keeps a little of its overall share in each state."""
+    sums = np.array(table.agg(*(F.sum(f) for f in FIELDS)).first(), float)
+    whole = float(sums.sum() + 1e-6 * v)
+    little = (sum(F.col(f) for f in FIELDS) + 1e-6) * (SMOOTH * v**0.5 / whole)
+    scale = (n + v) / (n + v + 1) / (sums + SMOOTH * v**0.5)
+    return scratch.saved(table.select("h", "c", *(((F.col(f) + little) * float(x)).cast("float").alias(f) for f, x in zip(FIELDS, scale, strict=True))), "markov-words")
+
+
+def _round(train: DataFrame, counts: DataFrame, folder: str, start: np.ndarray, move: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """One round of Baum-Welch over all training rows: (start, move, expected counts by word and state)."""
+
+    def made(h, counts):
+        seen = np.flatnonzero(counts[2][:-1].any(1))
+        which = np.concatenate([np.zeros(len(seen), np.int64), [-1, -2], -3 - np.arange(STATES)])
+        value = np.concatenate([counts[2][seen], counts[0], counts[1]])
+        word = np.append(h[seen].view(np.int64), np.zeros(2 + STATES, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(word), *(pa.array(value[:, k]) for k in range(STATES))], ["which", "h", *FIELDS])
 
     def run(batches):
-        model, table = pickle.loads(sent.value)
-        counts = [np.zeros((2, states)), np.zeros((states, states)), np.zeros((len(table) + 1, states))]
-        for b in batches_by_bytes(batches, "t", 2 << 20):
+        at, counts = None, None
+        for part, b in _by_part(batches, 2 << 20):
+            if part != at:
+                if counts:
+                    yield made(table, counts)
+                at, (table, _, model) = part, _loaded(folder, part, start, move, unseen)
+                counts = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((len(table) + 1, STATES))]
             h, first = token_hashes(b.column(1))
             s = _symbols(h, table)
             cuts = np.concatenate([np.arange(a, e, SEGMENT) for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
@@ -201,87 +263,64 @@ def _round(rows: DataFrame, model: Model, table: np.ndarray) -> Model:
                 hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + POOL, "right")) - 1)
                 model.expected(s, cuts[lo : hi + 1], opening[lo:hi], counts)
                 lo = hi
-        seen = np.flatnonzero(counts[2].any(1))
-        which = np.concatenate([seen, [-1, -2], -3 - np.arange(states)])
-        value = np.concatenate([counts[2][seen], counts[0], counts[1]])
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *(pa.array(value[:, k]) for k in range(states))], ["which", *fields])
-
-    schema = "which long, " + ", ".join(f"{f} double" for f in fields)
-    got = rows.mapInArrow(run, schema).groupBy("which").agg(*(F.sum(f).alias(f) for f in fields)).toPandas()  # a row for each symbol and state
-    which, value = got["which"].to_numpy(), got[fields].to_numpy()
-    emit, start, move = np.zeros((len(table) + 1, states)), np.zeros((2, states)), np.zeros((states, states))
-    emit[which[which >= 0]] = value[which >= 0]
-    start[-1 - which[(which == -1) | (which == -2)]] = value[(which == -1) | (which == -2)]
+        if counts:
+            yield made(table, counts)
+
+    got = train.mapInArrow(run, f"which long, h long, {_DOUBLES}").groupBy("which", "h").agg(*(F.sum(f).alias(f) for f in FIELDS))
+    got = scratch.saved(got, "markov-expected")
+    few = got.where("which < 0").toPandas()  # a row for each start and state
+    which, value = few["which"].to_numpy(), few[FIELDS].to_numpy()
+    start, move = np.zeros((2, STATES)), np.zeros((STATES, STATES))
+    start[-1 - which[which >= -2]] = value[which >= -2]
     move[-3 - which[which <= -3]] = value[which <= -3]
-    return _estimated(start, move, emit)
+    words = counts.join(got.where("which = 0").drop("which"), "h", "left").select("h", "c", *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FIELDS))
+    return _unit(start + SMOOTH), _unit(move + SMOOTH), words
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); log10 probabilities."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-    train = docs.where(~held_out("i"))
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.expr(f"monotonically_increasing_id() DIV {PART}").alias("part"))
+    docs = scratch.saved(docs, "markov-texts")
+    train = docs.where(~held_out("i"))
     counts = scratch.saved(_counts(train), "markov-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
-    near = counts.where(F.col("c") >= max(1, int(np.ceil(COUNT_SHARE * n)))).toPandas()  # at most 1 / COUNT_SHARE rows
-    h = near["h"].to_numpy(np.int64).view(U64)
-    order = np.argsort(h)
-    known, known_count = h[order], near["c"].to_numpy(np.int64)[order]
-    often = known_count >= max(1, int(np.ceil(SYMBOL_SHARE * n)))
-    table, table_count = known[often], known_count[often]
-    rest, rest_words = int(n - table_count.sum()), int(v - len(table))
+    unseen = 1 / (n + v + 1)
+    wanted = scratch.saved(_wanted(docs), "markov-wanted")
     by_hash = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
     texts = train.count()
     picked = train.where((by_hash < int(min(1.0, SAMPLE / max(texts, 1)) * (1 << 30))) & (F.octet_length("t") <= SAMPLE_BYTES)).limit(2 * SAMPLE).toArrow()
     sample = []
     if picked.num_rows:
         hashes, first = token_hashes(picked.column(1).combine_chunks())
-        s = _symbols(hashes, table)
-        sample = [s[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    model = _first_model(sample, np.append(table_count, rest).astype(float))
+        sample = [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    common = np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(SAMPLE_WORDS).collect()], np.int64).view(U64))
+    near = _clusters(sample, common)
+    own = np.unique(np.concatenate(sample)) if sample else np.zeros(0, U64)
+    value = np.zeros((len(own), STATES))
+    for h, k in zip(sample, near.tolist(), strict=True):
+        value[:, k] += np.bincount(np.searchsorted(own, h), minlength=len(own))
+    seen = spark.createDataFrame(pa.table({"h": pa.array(own.view(np.int64)), **{f: pa.array(value[:, k]) for k, f in enumerate(FIELDS)}}))
+    words = counts.join(seen, "h", "left").select("h", "c", *((F.coalesce(f, F.lit(0.0)) + F.col("c") * (200 / max(n, 1)) + 1e-9).alias(f) for f in FIELDS))
+    start, move = np.full((2, STATES), 1 / STATES), np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
+    np.fill_diagonal(move, 0.98)
+    folder = _files(wanted, _emissions(words, n, v)) if n else scratch.folder(spark, "markov-none")
     for _ in range(rounds if n else 0):
-        model = _round(train, model, table)
-    sent = spark.sparkContext.broadcast(pickle.dumps((model, table, known, known_count)))
-    floor, rest_floor = np.log10(n + v + 1), np.log10(rest + rest_words + 1)
+        start, move, words = _round(train, counts, folder, start, move, unseen)
+        folder = _files(wanted, _emissions(words, n, v))
+    floor = np.log10(n + v + 1)
 
     def run(batches):
-        """Rows of kind 0: one for each input row; of kind 1: the words of a text that need the table."""
-        model, table, known, known_count = pickle.loads(sent.value)
-        seen = set()
-        for b in batches_by_bytes(batches, "t", 4 << 20):
-            keys = text_keys(*text_buffers(b.column(1)))
+        at = None
+        for part, b in _by_part(batches, 4 << 20):
+            if part != at:
+                at, (table, count, model) = part, _loaded(folder, part, start, move, unseen)
             h, first = token_hashes(b.column(1))
             s = _symbols(h, table)
-            forward = model.log_likelihood(s, first) / LN10
-            at = _symbols(h, known)
-            hit = at < len(known)
-            c = np.where(hit, np.append(known_count, 0)[at], 0)
-            base = np.where(hit, np.log10(c + 1.0) - floor, 0.0)
-            behind = np.where(hit & (s == len(table)), np.log10(c + 1.0) - rest_floor, 0.0)
+            base = np.log10(np.append(count, 0)[s] + 1.0) - floor
             add = lambda x: np.add.reduceat(x, first[:-1])
-            rows = len(keys)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.nulls(rows, pa.int64()), pa.array(np.diff(first)), pa.array(add(hit.astype(np.int64))), pa.array(add(base)), pa.array(forward + add(behind))], ["i", "key", "h", "n", "known", "base", "score"])
-            text = np.repeat(np.arange(rows), np.diff(first))[~hit]
-            fresh = np.array([k not in seen and not seen.add(k) for k in keys.tolist()])
-            ok = fresh[text]
-            pair, c = np.unique(np.stack([keys[text[ok]], h[~hit][ok].view(np.int64)], 1), axis=0, return_counts=True)
-            m = len(pair)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(c, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], ["i", "key", "h", "n", "known", "base", "score"])
-
-    made = scratch.saved(docs.mapInArrow(run, "i long, key long, h long, n long, known long, base double, score double"), "markov-rows")
-    far = made.where("h IS NOT NULL").select("key", "h", "n").distinct()
-    rare = counts.where(F.col("c") < max(1, int(np.ceil(COUNT_SHARE * n))))
-    one = F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    far = far.join(rare, "h", "left").groupBy("key").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * (one - float(floor))).alias("far_base"), F.sum(F.col("n") * (one - float(rest_floor))).alias("far_score"))
-    rows = made.where("h IS NULL").join(far, "key", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.select(
-        F.col("i").alias("doc_id"),
-        held_out("i").alias("held_out"),
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("far_base")).alias("base_score"),
-        (F.col("score") + zero("far_score")).alias("score"),
-    )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(add((s < len(table)).astype(np.int64))), pa.array(add(base)), pa.array(model.log_likelihood(s, first) / LN10)], ["i", "n", "known", "base", "score"])
+
+    made = docs.mapInArrow(run, "i long, n long, known long, base double, score double")
+    return made.select(F.col("i").alias("doc_id"), held_out("i").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -429,3 +429,17 @@ def test_hidden_markov(spark):
         assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k, held(k), len(tokens(t)), sum(w in counts for w in tokens(t)), n)
         assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
     assert hidden_markov.score(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_hidden_markov_keeps_rare_words(spark):
+    """Words met once among 100,000 tokens and more have emissions of their own."""
+    rng = random.Random(5)
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    rows = []
+    for n, k in enumerate([k for k in range(100) if not held(k)][:60]):
+        rows.append((k, " ".join(f"{'ab'[n % 2]}{rng.randrange(20)}" for _ in range(2500)) + (" rarea" if n == 0 else " rareb" if n == 1 else "")))
+    new = [k for k in range(1000, 1100) if held(k)][:2]
+    rows += [(k, " ".join(f"a{j}" for j in range(20)) + f" {w}") for k, w in zip(new, ("rarea", "rareb"))]
+    got = {r["doc_id"]: r for r in hidden_markov.score(frame(spark, rows)).collect()}
+    assert got[new[0]]["train_tokens"] > 100_000 and abs(got[new[0]]["base_score"] - got[new[1]]["base_score"]) < 1e-9
+    assert got[new[0]]["score"] > got[new[1]]["score"] + 0.01
