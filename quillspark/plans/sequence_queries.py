@@ -140,7 +140,7 @@ def local_gap_split(spark, sf):
 
 @query()
 def join_continuation(spark, sf):
-    rows = turns(spark, sf).select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.when(F.col("turn") % 2 == 0, ",").otherwise("")).alias("text"), (F.length("text") % 3 != 1).alias("short"))
+    rows = turns(spark, sf).select("conv_id", "turn", F.concat("text", F.when(F.col("turn") % 2 == 0, ",").otherwise("")).alias("text"), (F.length("text") % 3 != 1).alias("short"))
     return S.fold_continuations(rows, "conv_id", "turn", "text", "short")
 
 

@@ -12,6 +12,7 @@ from quillspark.functions import cards as C
 from quillspark.functions import phonetics as P
 from quillspark.functions import text as T
 from quillspark.operators import dedup, layout, quality, review, rules, sequence
+from quillspark.plans import sequence_queries
 from quillspark.sources import files
 from quillspark.streaming import daily
 
@@ -163,6 +164,13 @@ def test_continuations_chain(spark):
     assert got == {(1, 1): ("mother in law of mine", 3), (1, 4): ("x", 1), (2, 1): ("", 1)}
 
 
+def test_continuation_query_reads_whole_texts(spark, tmp_path):
+    long = "a long sentence of many words " * 20 + "end"
+    df = spark.createDataFrame([(1, 1, "user", long), (1, 3, "user", long)], "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["text"] for r in sequence_queries.join_continuation(spark, str(tmp_path)).orderBy("turn").collect()] == [long, long]
+
+
 def test_gap_split(spark):
     words = [{"x0": 0.0, "x1": 20.0, "text": "en"}, {"x0": 24.0, "x1": 40.0, "text": "bild"}, {"x0": 90.0, "x1": 120.0, "text": "picture"}]
     df = spark.createDataFrame([(words,), (words[:1],)], "w array<struct<x0: double, x1: double, text: string>>")
