@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -36,6 +37,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots and backticks, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame):
+    """All columns of a row as the one column row, so that their names cannot clash with an operator's own."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row")
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns that packed() took."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in like.columns))
+
+
 def removed(spark: SparkSession, at: str) -> None:
     """Deletes a scratch path through Hadoop's file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
