@@ -1,32 +1,34 @@
 """Exact join of texts by the Jaccard similarity of their word n-gram sets, with signature trees.
 
-1. Every text becomes the set of its distinct n-word shingles (64-bit hashes); equal sets fall into one
-   class by a 128-bit fingerprint, and only the smallest id of a class goes on.
-2. Parts: two sets as similar as asked differ in at most D elements, D following from their sizes. The
-   hash range is cut into more than D parts, so some part holds equal elements in both. Sets with an equal
-   part are tied; the components of these ties are blocks, and no link leaves a block. Size bands give D;
-   a set near the upper border of its band also enters the next one. Parts without elements are matched
-   only for sets that have more such parts than the cut allows for.
-3. Each block is joined by a signature tree. Nodes hold the OR of their sets' token bitmaps, the range of
-   set sizes and the most bits lost to collisions; a dual traversal drops node pairs whose sizes or whose
-   largest possible overlap rule out a link. What is left is verified on the whole sets, unless both
-   sides are already linked through others.
-4. Large blocks are dealt in pages by size: each page is joined with itself and with one pivot page, then
-   only pages whose members are not yet all in one component meet.
-
-A group of copies is one row per map task before any shuffle, and near copies are spread over pages.
-
-Defined cases: null, empty and wordless texts have no shingles and link with nothing; texts of fewer than
-n words have their whole word sequence as the one shingle; rows with a null id link with nothing and have
-no component; rows that share an id are one node; an empty table gives no rows.
+1. Every text becomes the set of its distinct n-word shingles (64-bit hashes); rows of equal sets are one class by
+   a 128-bit fingerprint and the set size, and only a class goes on, as one node.
+2. Two sets as similar as asked share an element among their first len - ceil(percent * len / 100) + 1, in any one
+   order of all elements. The order here puts those last that are frequent in a sample of the corpus (the sample
+   decides speed, not results), so passages that many texts share tie nobody. Elements that one class alone has
+   are dropped where they meet; a map task that knows an element as shared sends one row to say so.
+3. Star rounds: each node meets the node with which it shares most elements, among the smallest (then the largest)
+   node of each element. What is similar enough is linked, and elements whose nodes are all in one component by
+   now need no more work: most near copies end here, with rows in proportion to the nodes.
+4. The rest. Elements of few nodes count the shared elements of their pairs; a pair of sizes x, y needs
+   ceil(p (x + y) / (100 + p)) - ceil(p max(x, y) / 100) + 1 of them. Elements of many nodes build signature trees over
+   bitmaps of their nodes' sets. Only what survives is closed into blocks, each of which is joined by a tree.
+5. A signature tree's nodes hold the OR of their sets' token bitmaps, the range of set sizes, the fewest elements that
+   the bitmap leaves out, and the range of labels; a dual traversal drops node pairs whose sizes or whose largest
+   possible overlap rule out a link, or that are in one component already. The rest is verified on whole sets.
+6. Stars and blocks are dealt in pages of bounded rows and bytes; of large blocks each page meets itself and a pivot
+   page first, then only pages whose members are not yet all in one component meet.
+
+Results don't depend on pages, samples or the order of rows. Overlaps are counted on 64-bit hashes.
+
+Defined cases: null, empty and wordless texts have no shingles and link with nothing; texts of fewer than n words
+have their whole word sequence as the one shingle; very long texts are taken whole; rows with a null id link with
+nothing and have no component; rows that share an id are linked each by its own text, and repeated rows have equal
+results; an empty table gives no rows; columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
-import zlib
-from functools import lru_cache
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,14 @@ from quillspark.llm import scratch
 from quillspark.llm.components import Forest, components, sorted_groups
 from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, text_buffers, window_hashes, words
 
-#: Part signatures that a map task holds at once, and texts' bytes for each bucket of signatures.
-HELD, BUCKET_BYTES = 1 << 18, 8 << 20
-#: Documents of a page, children of a tree node, rows up to which a side is broadcast.
-PAGE, FANOUT, BROADCAST_ROWS = 256, 8, 1_000_000
+#: Elements a map task holds at once, and texts' bytes for each bucket of elements.
+HELD, BUCKET_BYTES = 1 << 19, 8 << 20
+#: Bytes of the sampled texts whose frequent elements go last, and the most of these.
+SAMPLE_BYTES, COMMON = 32 << 20, 1 << 18
+#: Rows and bytes of a page, children of a tree node, nodes of an element up to which its pairs are counted.
+PAGE, PAGE_BYTES, FANOUT, FEW = 256, 4 << 20, 8, 24
+#: Rows up to which a side is broadcast (about 50 bytes each), and fingerprints a map task remembers.
+BROADCAST_ROWS, SEEN = 400_000, 1 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -63,91 +69,103 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ U64(seed)).sum(dtype=U64).view(np.int64)) for seed in (0x51ED270B, 0xA0761D64))
 
 
-@lru_cache(8)
-def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
-    """(smallest size of each band, its parts, empty parts it allows for); a similar pair spans at most two bands."""
-    least, parts, empty = [1], [], []
-    if percent >= 100:  # equal sets are one class already, and no others link
-        return [1, 1 << 62], [1], [0]
-    while least[-1] < 1 << 40:
-        low = least[-1]
-        least.append(max(low + 1, low * 10_000 // percent**2 + 1, (low * 100 // percent + 1) * 100 // percent + 1))
-        differ = 2 * (least[-1] - 1) * (100 - percent) // (100 + percent)
-        spare = 0
-        if differ:
-            for _ in range(8):
-                p = differ + 1 + spare
-                mean = p * math.exp(-low * percent / 100 / p)
-                spare = math.ceil(mean + 4 * math.sqrt(mean) + 1)
-        parts.append(differ + 1 + spare)
-        empty.append(spare)
-    return least, parts, empty
-
-
-def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the parts of a set, in its band and, near the border, in the next one."""
-    least, parts, empty = bands(percent)
-    band = bisect.bisect_right(least, len(s)) - 1
-    mixed, out = mix(s + U64(0x632BE59BD9B4E019)), []
-    for g in (band, band + 1) if len(s) * 100 >= percent * least[band + 1] else (band,):
-        part = (s >> U64(20)) % U64(parts[g])
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        sums, own = np.add.reduceat(mixed[order], first), part[first]
-        if parts[g] - len(first) > empty[g]:
-            none = np.setdiff1d(np.arange(parts[g], dtype=U64), own)
-            sums, own = np.append(sums, np.zeros(len(none), U64)), np.append(own, none)
-        out.append(mix(sums + mix(own + U64(g << 40))))
-    return np.concatenate(out)
+def prefix(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first elements of a set, of which similar sets share one: by hash, then the common ones by rank."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        hit = common[at] == s
+        if hit.any():
+            s = np.concatenate([s[~hit], s[hit][np.argsort(rank[at[hit]], kind="stable")]])
+    return s[: len(s) + (-percent * len(s) // 100) + 1]
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document: id, set size, fingerprint, bytes of the text."""
+    """A row for each document: id, text key, set size, fingerprint, bytes of the text."""
 
     def run(batches):
         for b in batches_by_bytes(batches, "t"):
-            sets = shingle_sets(b.column(1), n)
+            sets = shingle_sets(b.column(2), n)
             prints = [fingerprint(s) for s in sets]
-            size = np.diff(text_buffers(b.column(1))[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], size))], ["i", "n", "f1", "f2", "size"])
+            size = np.diff(text_buffers(b.column(2))[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], size))], ["i", "k", "n", "f1", "f2", "size"])
+
+    return docs.mapInArrow(run, "i long, k long, n long, f1 long, f2 long, size long")
+
+
+def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, ranks) that several texts of a sample have, the most frequent last."""
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+
+    def run(batches):
+        held, n_held, seen = [], 0, set()
+        for b in batches_by_bytes(batches, "t"):
+            for s in shingle_sets(b.column(0), n):
+                p = fingerprint(s)
+                if p not in seen:
+                    seen.add(p)
+                    held.append(s)
+                    n_held += len(s)
+            if n_held > HELD:
+                yield counted(held)
+                held, n_held, seen = [], 0, set()
+        if n_held:
+            yield counted(held)
+
+    def counted(held):
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
-    return docs.mapInArrow(run, "i long, n long, f1 long, f2 long, size long")
+    picked = docs.where(F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 30)) < int(share * (1 << 30))).select("t")
+    found = picked.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h, c = found["h"].to_numpy().view(U64), found["c"].to_numpy()
+    order = np.argsort(h)
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, c))] = np.arange(len(h))
+    return h[order], rank[order]
 
 
-def _ties(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between documents whose sets have an equal part."""
+def _shared(docs: DataFrame, n: int, percent: int, buckets: int, total: int) -> DataFrame:
+    """(element, f): the prefix elements that several sets have, beside the first half of each set's fingerprint."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, n, total))
 
     def emit(held):
-        """Ties within the task, and one row for each signature, dealt by signature in packed columns."""
-        sig = np.concatenate([h[1] for h in held])
-        ids = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
-        new = np.append(True, sig[1:] != sig[:-1])
+        e = mix(np.concatenate([h[1] for h in held]))
+        f = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+        order = np.lexsort((f, e))
+        e, f = e[order], f[order]
+        new = np.append(True, e[1:] != e[:-1])
         first = np.flatnonzero(new)
-        a, b = ids[first][np.cumsum(new) - 1][~new], ids[~new]
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        bucket = (sig[first] % U64(buckets)).astype(np.int64)
-        deal = np.argsort(bucket, kind="stable")
-        found, at = np.unique(bucket[deal], return_index=True)
-        payloads = []
-        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(deal)], strict=True):
-            rows = first[deal[lo:hi]]
-            own, local = np.unique(ids[rows], return_inverse=True)
-            payloads.append(zlib.compress(sig[rows].tobytes() + local.astype(np.uint32).tobytes() + own.tobytes(), 1))
-        edges = zlib.compress(pairs.tobytes(), 1)
-        found, counts = [*found.tolist(), int(mix(sig[:1])[0] % U64(buckets))], [*np.diff([*at.tolist(), len(deal)]).tolist(), -1]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64()), pa.array([*payloads, edges], pa.binary())], ["bucket", "n", "payload"])
+        last = np.append(first[1:], len(e)) - 1
+        several = f[first] != f[last]
+        known = several[np.cumsum(new) - 1]
+        ask = np.sort(np.concatenate([np.flatnonzero(~known), first[several]]))
+        own, local = np.unique(f, return_inverse=True)
+        local = local.astype(np.uint32)
+        rows = []
+        bucket = ((e[ask] >> U64(32)) * U64(buckets)) >> U64(32)  # ascends with the element
+        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64)).tolist()
+        for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if hi > lo:
+                mine = ask[lo:hi]
+                which, at = np.unique(local[mine], return_inverse=True)
+                rows.append((b, pickle.dumps((True, e[mine], at.astype(np.uint32), own[which], known[mine]), 5)))
+        told = np.flatnonzero(known)
+        if len(told):  # known as shared here: they need no bucket, and go on from anywhere
+            b = int(mix(e[told[:1]])[0] % U64(buckets))
+            rows.append((b, pickle.dumps((False, e[told], local[told], own, None), 5)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     def deal(batches):
+        common, rank = sent.value
         held, n_held, seen = [], 0, set()
         for b in batches_by_bytes(batches, "t"):
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(2), n), strict=True):
                 if i is None or not len(s) or (p := fingerprint(s)) in seen:
                     continue
+                if len(seen) > SEEN:
+                    seen.clear()
                 seen.add(p)
-                held.append((i, part_signatures(s, percent)))
+                held.append((p[0], prefix(s, percent, common, rank)))
                 n_held += len(held[-1][1])
             if n_held > HELD:
                 yield emit(held)
@@ -157,58 +175,74 @@ def _ties(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
     def meet(batches):
         for _, rows in sorted_groups(batches):
-            sig, ids, pairs = [], [], []
-            for m, x in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
-                x = zlib.decompress(x)
-                if m < 0:
-                    pairs.append(np.frombuffer(x, np.int64).reshape(-1, 2))
+            es, fs, flags = [], [], []
+            for x in rows.column(1).to_pylist():
+                asked, e, at, own, told = pickle.loads(x)
+                if asked:
+                    es.append(e)
+                    fs.append(own[at])
+                    flags.append(told)
                 else:
-                    sig.append(np.frombuffer(x, U64, m))
-                    ids.append(np.frombuffer(x, np.int64, offset=12 * m)[np.frombuffer(x, np.uint32, m, 8 * m)] if m % 2 == 0 else np.frombuffer(x[12 * m :], np.int64)[np.frombuffer(x, np.uint32, m, 8 * m)])
-            if sig:
-                sig, ids = np.concatenate(sig), np.concatenate(ids)
-                order = np.lexsort((ids, sig))
-                sig, ids = sig[order], ids[order]
-                new = np.append(True, sig[1:] != sig[:-1])
-                head = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-                pairs.append(np.stack([head[~new], ids[~new]], 1))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    rows = docs.mapInArrow(deal, "bucket long, n long, payload binary")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+                    yield made(e, own[at])
+            if es:
+                e, f, told = np.concatenate(es), np.concatenate(fs), np.concatenate(flags)
+                order = np.lexsort((f, e))
+                e, f, told = e[order], f[order], told[order]
+                first = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+                last = np.append(first[1:], len(e)) - 1
+                shared = (f[first] != f[last]) | np.maximum.reduceat(told, first)
+                keep = np.repeat(shared, last - first + 1) & ~told
+                yield made(e[keep], f[keep])
+
+    def made(e, f):
+        return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(f)], ["element", "f"])
+
+    rows = docs.mapInArrow(deal, "bucket long, payload binary")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "element long, f long")
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of half of a set's elements, with at least a bit for each; its width is a power of two."""
+    half = s[(s >> U64(40)) & U64(1) == 0]
+    row = np.zeros(max(64, 1 << (len(s) - 1).bit_length()), bool)
+    row[(half & U64(len(row) - 1)).astype(np.int64)] = True
+    return np.packbits(row, bitorder="little").tobytes()
 
 
 class SignatureTree:
-    """A tree over sets: nodes hold OR-combined token bitmaps, the size range and the most collisions."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets])
-        width = 64 << max(0, int(4 * np.median(sizes)) // 64).bit_length()
-        width = min(width, 1 << 14)
-        smallest = np.array([int(s[0]) if len(s) else 0 for s in sets], U64)
-        order = np.lexsort((smallest, sizes))
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        lost = np.zeros(len(sets), np.int64)
-        for k, i in enumerate(order.tolist()):
-            row = np.zeros(width, bool)
-            row[(self.sets[i] & U64(width - 1)).astype(np.int64)] = True
-            bits[k] = np.packbits(row)
-            lost[k] = sizes[i] - int(row.sum())
-        level = (bits.view(U64), sizes[order], sizes[order], lost)
+    """A tree over sets: nodes hold OR-combined token bitmaps, the ranges of sizes and labels, and the most elements left out."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        """bits: a row of 64-bit words for each set."""
+        lost = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        _, which, count = np.unique(labels, return_inverse=True, return_counts=True)
+        group = np.where(count[which] > FANOUT, which, -1)  # members of large components stand together
+        order = np.lexsort((bits[:, 0], sizes, group))
+        level = (bits[order], sizes[order], sizes[order], lost[order], labels[order], labels[order])
         self.order, self.levels = order, [level]
         while len(level[1]) > 1:
             at = np.arange(0, len(level[1]), FANOUT)
-            level = (np.bitwise_or.reduceat(level[0], at, 0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at))
+            level = tuple(f.reduceat(x, at, 0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True))
             self.levels.append(level)
 
 
-def candidate_pairs(x: SignatureTree, percent: int):
-    """Pairs of set numbers (arrays) that survive the dual traversal of a tree with itself."""
+def tree_of(sets: list[np.ndarray], labels: np.ndarray) -> SignatureTree:
+    """The tree of whole sets; one width of bitmaps serves all."""
+    sizes = np.array([len(s) for s in sets])
+    width = min(1 << 14, 64 << max(0, int(4 * np.median(sizes)) // 64).bit_length())
+    rows = np.zeros((len(sets), width // 8), np.uint8)
+    for k, s in enumerate(sets):
+        row = np.zeros(width, bool)
+        row[(s & U64(width - 1)).astype(np.int64)] = True
+        rows[k] = np.packbits(row)
+    return SignatureTree(rows.view(U64), sizes, labels)
+
+
+def candidate_pairs(x: SignatureTree, percent: int, apart: bool):
+    """Pairs of set numbers (arrays) that survive the dual traversal of a tree with itself; apart: of different labels."""
     frontier = (np.zeros(1, np.int64), np.zeros(1, np.int64))
     for depth in range(len(x.levels) - 1, -1, -1):
-        bits, low, high, lost = x.levels[depth]
+        bits, low, high, lost, least, most = x.levels[depth]
         if depth < len(x.levels) - 1:
             child = np.arange(FANOUT)
             a = (frontier[0][:, None] * FANOUT + child)[:, :, None].repeat(FANOUT, 2).ravel()
@@ -218,16 +252,18 @@ def candidate_pairs(x: SignatureTree, percent: int):
             a, b = a[ok], b[ok]
         else:
             a, b = frontier
-        # sizes: the larger of one side's smallest cannot exceed the other's largest by more than the threshold
         ok = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
+        if apart:
+            ok &= ~((least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b]))
         a, b = a[ok], b[ok]
         keep = np.zeros(len(a), bool)
-        chunk = max(1, (1 << 22) // bits.shape[1])
+        chunk = max(1, (1 << 21) // bits.shape[1])
         for lo in range(0, len(a), chunk):
             p, q = a[lo : lo + chunk], b[lo : lo + chunk]
-            most = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) + np.minimum(lost[p], lost[q])
-            most = np.minimum(most, np.minimum(high[p], high[q]))
-            keep[lo : lo + chunk] = most * (100 + percent) >= percent * (low[p] + low[q])
+            # Common elements: one for each common bit, and of those left out at most the fewer of both.
+            common = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) + np.minimum(lost[p], lost[q])
+            common = np.minimum(common, np.minimum(high[p], high[q]))
+            keep[lo : lo + chunk] = common * (100 + percent) >= percent * (low[p] + low[q])
         frontier = (a[keep], b[keep])
     if len(x.levels) == 1:
         return frontier[0][:0], frontier[1][:0]
@@ -249,19 +285,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> int | None:
 
 
 def _join_tasks(rows: DataFrame, n: int, percent: int, spanning: bool) -> DataFrame:
-    """rows (task, i, label, t) -> links (a, b, overlap, union) within each task; rows of a task are few.
+    """rows (task, node, label, t) -> links (a, b, overlap, n_union) within each task; rows of a task are few.
 
     With spanning, pairs that are already in one component, by labels or by links found, are not verified.
     """
 
     def run(batches):
         for _, rows in sorted_groups(batches):
-            ids, labels = rows.column(1).to_pylist(), rows.column(2).to_pylist()
-            sets = shingle_sets(rows.column(3).combine_chunks() if rows.column(3).num_chunks != 1 else rows.column(3).chunk(0), n)
+            nodes, at = np.unique(rows.column(1).to_numpy(), return_index=True)  # repeated rows are one node
+            labels = rows.column(2).to_numpy()[at]
+            sets = []
+            for b in batches_by_bytes(rows.select(["t"]).take(pa.array(at)).to_batches(), "t"):
+                sets += shingle_sets(b.column(0), n)
             forest, out = Forest(), []
-            first, second = candidate_pairs(SignatureTree(sets), percent)
-            for i, j in zip(first.tolist(), second.tolist(), strict=True):
-                if ids[i] == ids[j] or spanning and forest.find(labels[i]) == forest.find(labels[j]):
+            first, second = candidate_pairs(tree_of(sets, labels), percent, spanning) if len(nodes) > 1 else ((), ())
+            ids, labels = nodes.tolist(), labels.tolist()
+            for i, j in zip(np.asarray(first).tolist(), np.asarray(second).tolist(), strict=True):
+                if spanning and forest.find(labels[i]) == forest.find(labels[j]):
                     continue
                 if (o := linked(sets[i], sets[j], percent)) is not None:
                     forest.join(labels[i], labels[j])
@@ -273,98 +313,209 @@ def _join_tasks(rows: DataFrame, n: int, percent: int, spanning: bool) -> DataFr
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, overlap long, n_union long")
 
 
-def _links(docs: DataFrame, members: DataFrame, n: int, percent: int, page: int, spanning: bool) -> DataFrame:
-    """Verified links between the members (i, n, block) of blocks; spanning: enough of them to join all components."""
-    band = F.col("n") if percent >= 100 else F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(100 / percent))).cast("long")
-    counted = members.groupBy("block").agg(F.count("*").alias("in_block"))
-    small = members.join(counted.where(F.col("in_block") <= page), "block").select("i", F.col("block").alias("task"), F.col("i").alias("label"))
-    large = members.join(counted.where(F.col("in_block") > page), "block").withColumn("band", band)
-    large = scratch.saved(large.select("i", "block", "band"), "jaccard-large")
-    n_members, n_large = members.count(), large.count()
-
-    def with_text(rows):
-        rows = F.broadcast(rows) if n_members <= BROADCAST_ROWS else rows
-        return docs.join(rows, "i").select("task", "i", "label", "t")
-
-    links = [scratch.saved(_join_tasks(with_text(small), n, percent, spanning), "jaccard-links")]
-    if n_large:
-        per = large.groupBy("block", "band").agg(F.count("*").alias("m")).withColumn("pages", F.ceil(F.col("m") / page))
-        paged = large.join(per, ["block", "band"]).withColumn("page", F.pmod(F.xxhash64("i"), F.col("pages")))
-        paged = scratch.saved(paged.select("i", "block", "band", "page"), "jaccard-pages")
-        pages = paged.select("block", "band", "page").distinct()
-        near = pages.select("block", F.explode(F.array("band", F.col("band") + 1)).alias("band_a"), F.col("band").alias("band_b"), F.col("page").alias("page_b"))
-        first = pages.select("block", F.col("band").alias("band_a"), F.col("page").alias("page_a"))
-        # bands that differ by one hold all sizes within the threshold; one more covers rounding at the borders
-        wide = near.unionByName(pages.select("block", (F.col("band") + 2).alias("band_a"), F.col("band").alias("band_b"), F.col("page").alias("page_b")))
-        met = wide.join(first, ["block", "band_a"]).where("band_a > band_b OR page_a >= page_b")
-        met = met.withColumn("task", F.xxhash64("block", "band_a", "page_a", "band_b", "page_b"))
-
-        def tasks(pairs, labelled):
-            ends = pairs.select("task", "block", F.col("band_a").alias("band"), F.col("page_a").alias("page")).unionByName(pairs.select("task", "block", F.col("band_b").alias("band"), F.col("page_b").alias("page"))).distinct()
-            return labelled.join(ends, ["block", "band", "page"]).select("i", "task", "label")
-
-        own = paged.withColumn("label", F.col("i"))
-        if spanning:
-            pivot = met.where("page_b = 0 OR (band_a = band_b AND page_a = page_b)")
-            links.append(scratch.saved(_join_tasks(with_text(tasks(pivot, own)), n, percent, True), "jaccard-links"))
-            found = components(links[-1].select("a", "b"), "jaccard-pages")
-            own = paged.join(found.withColumnRenamed("node", "i"), "i", "left").withColumn("label", F.coalesce("component", "i")).drop("component")
-            own = scratch.saved(own, "jaccard-labels")
-            even = own.groupBy("block", "band", "page").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-            side = lambda s: even.select("block", F.col("band").alias(f"band_{s}"), F.col("page").alias(f"page_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
-            rest = met.where("page_b <> 0 AND NOT (band_a = band_b AND page_a = page_b)")
-            met = rest.join(side("a"), ["block", "band_a", "page_a"]).join(side("b"), ["block", "band_b", "page_b"]).where("NOT (x_a = y_a AND x_b = y_b AND x_a = x_b)")
-        links.append(scratch.saved(_join_tasks(with_text(tasks(met, own)), n, percent, spanning), "jaccard-links"))
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
+class _Texts:
+    """The texts of classes, for rows that name their nodes."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes = docs, classes.select("node", "i", "k")
+
+    def of(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows (node, ...) beside the text t of the node; rows are broadcast if they are few, else both sides are shuffled."""
+        rows = scratch.saved(rows.join(self.classes, "node"), name)
+        found = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+        return self.docs.join(found, ["i", "k"]).drop("i", "k")
+
+
+def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent: int, largest: bool) -> DataFrame:
+    """Links of each node with the node it shares most elements with, of the first (or last) nodes of elements; members (element, node, label)."""
+    pick = F.max if largest else F.min
+    heads = scratch.saved(members.groupBy("element").agg(pick("node").alias("head"), F.max_by("label", F.col("node") if largest else -F.col("node")).alias("head_label"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard-heads")
+    met = members.join(heads, "element").where("label <> head_label").groupBy("node", "label", "head", "head_label").agg(F.count("*").alias("c"))
+    best = met.groupBy("node").agg(F.max_by(F.struct("label", "head", "head_label"), F.struct("c", "head")).alias("x")).select("node", "x.*")
+    best = scratch.saved(best.join(classes.select("node", "size"), "node"), "jaccard-stars")
+    per = best.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("size") / PAGE_BYTES)).alias("pages"))
+    paged = best.join(scratch.saved(per, "jaccard-pages"), "head").withColumn("task", F.xxhash64("head", F.pmod(F.xxhash64("node"), "pages")))
+    centres = paged.select(F.col("head").alias("node"), "task", F.col("head_label").alias("label")).distinct()
+    return scratch.saved(_join_tasks(texts.of(paged.select("node", "task", "label").unionByName(centres), "jaccard-star").select("task", "node", "label", "t"), n, percent, True), "jaccard-links")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (element, node, label, m) of elements (m nodes) whose nodes are not yet all in one component."""
+    found = components(links.select("a", "b"), "jaccard-found")
+    rows = members.join(found, "node", "left").select("element", "node", F.coalesce("component", "node").alias("label"))
+    rows = scratch.saved(rows, "jaccard-labels")
+    open_ = rows.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("element", "m")
+    return scratch.saved(rows.join(scratch.saved(open_, "jaccard-open"), "element"), "jaccard-rest")
+
+
+def _counted(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of elements of few nodes that share enough elements; elements of many nodes count as shared by both."""
+    p = F.lit(percent)
+    many = rest.where(F.col("m") > FEW).groupBy("node").agg(F.count("*").alias("many"))
+    sizes = classes.select("node", "n")
+    rows = rest.where(F.col("m") <= FEW).join(sizes, "node").join(many, "node", "left").select("element", "node", "label", "n", F.coalesce("many", F.lit(0)).alias("many"))
+    rows = scratch.saved(rows, "jaccard-few")
+    other = rows.select("element", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "many")))
+    pairs = rows.join(other, "element").where("node < node_b AND label <> label_b").where((F.col("n") * 100 >= F.col("n_b") * p) & (F.col("n_b") * 100 >= F.col("n") * p))
+    counted = pairs.groupBy("node", "node_b").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("n", "n_b", "many", "many_b")))
+    least = F.ceil(p * (F.col("n") + F.col("n_b")) / (100 + p)) - F.ceil(p * F.greatest("n", "n_b") / 100) + 1
+    return counted.where(F.col("c") + F.least("many", "many_b") >= least).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
+def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> DataFrame:
+    """Edges (a, b) that connect whatever the signature trees of elements of many nodes leave as possible links."""
+    rows = rest.where(F.col("m") > FEW)
+    if not rows.limit(1).count():
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+
+    def bitmaps(batches):
+        for b in batches_by_bytes(batches, "t"):
+            sets = shingle_sets(b.column(1), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], ["node", "n", "bits"])
 
+    bits = texts.of(rows.select("node").distinct(), "jaccard-mapped").select("node", "t").mapInArrow(bitmaps, "node long, n long, bits binary")
+    bits = scratch.saved(bits.dropDuplicates(["node"]), "jaccard-bitmaps")
+    rows = rows.join(bits, "node").withColumn("w", F.octet_length("bits")).withColumn("band", _band(percent))
 
-def _prepared(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
-    """(documents, profile, copies, members): the stored tables that both results need."""
+    def run(batches):
+        for _, t in sorted_groups(batches):
+            nodes, labels, sizes = (t[c].to_numpy() for c in ("node", "label", "n"))
+            forest, packed = Forest(), t["bits"].to_pylist()
+            width = np.array([len(x) for x in packed])
+            for w in np.unique(width).tolist():  # wider bitmaps that similar sets can have are folded
+                mine = np.flatnonzero((width >= w) & (width * percent <= 200 * w))
+                rows = np.stack([np.bitwise_or.reduce(np.frombuffer(packed[k], U64).reshape(-1, w // 8), 0) for k in mine.tolist()])
+                for i, j in zip(*(mine[x].tolist() for x in candidate_pairs(SignatureTree(rows, sizes[mine], labels[mine]), percent, True)), strict=True):
+                    forest.join(int(nodes[i]), int(nodes[j]))
+            if forest.up:
+                yield forest.rows()
+
+    tasks = _paged(rows.select("element", "node", "label", "n", "bits", "band"), "element", page, F.octet_length("bits"))
+    return tasks.select("task", "node", "label", "n", "bits").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def _band(percent: int):
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(100 / percent))).cast("long")
+
+
+def _pages(rows: DataFrame, key: str, page: int, size) -> tuple[DataFrame, DataFrame]:
+    """(rows with page, pairs of pages that must meet (key, band_a, page_a, band_b, page_b)) of groups by key; bands are of sizes."""
+    per = rows.groupBy(key, "band").agg(F.greatest(F.ceil(F.count("*") / page), F.ceil(F.sum(size) / PAGE_BYTES)).alias("pages"))
+    paged = rows.join(scratch.saved(per, "jaccard-per-band"), [key, "band"]).withColumn("page", F.pmod(F.xxhash64("node"), "pages")).drop("pages")
+    paged = scratch.saved(paged, "jaccard-pages")
+    pages = paged.select(key, "band", "page").distinct()
+    first = pages.select(key, F.col("band").alias("band_a"), F.col("page").alias("page_a"))
+    # bands that differ by one hold all sizes within the threshold; one more covers rounding at the borders
+    second = pages.select(key, F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band_a"), F.col("band").alias("band_b"), F.col("page").alias("page_b"))
+    met = second.join(first, [key, "band_a"]).where("band_a > band_b OR page_a >= page_b")
+    return paged, met.withColumn("task", F.xxhash64(key, "band_a", "page_a", "band_b", "page_b"))
+
+
+def _dealt(pairs: DataFrame, paged: DataFrame, key: str) -> DataFrame:
+    """The rows of both pages of each pair, beside the task of the pair."""
+    side = lambda s: pairs.select("task", key, F.col(f"band_{s}").alias("band"), F.col(f"page_{s}").alias("page"))
+    return paged.join(side("a").unionByName(side("b")).distinct(), [key, "band", "page"])
+
+
+def _paged(rows: DataFrame, key: str, page: int, size) -> DataFrame:
+    """Rows with a task: groups of few rows and bytes are one task, larger ones every pair of pages near in size."""
+    whole = rows.groupBy(key).agg((F.count("*") > page).alias("over"), (F.sum(size) > PAGE_BYTES).alias("heavy"))
+    rows = rows.join(scratch.saved(whole.select(key, (F.col("over") | F.col("heavy")).alias("large")), "jaccard-groups"), key)
+    small = rows.where("NOT large").withColumn("task", F.xxhash64(key)).drop("large")
+    paged, met = _pages(rows.where("large").drop("large"), key, page, size)
+    return small.unionByName(_dealt(met, paged, key).select(*small.columns))
+
+
+def _links(members: DataFrame, texts: _Texts, n: int, percent: int, page: int, spanning: bool) -> DataFrame:
+    """Verified links between the members (node, label, block, n, size) of blocks; spanning: enough of them to join all components."""
+    counted = members.groupBy("block").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    counted = scratch.saved(counted.select("block", ((F.col("m") > page) | (F.col("bytes") > PAGE_BYTES)).alias("large")), "jaccard-blocks")
+    rows = scratch.saved(members.join(counted, "block").withColumn("band", _band(percent)), "jaccard-block-rows")
+
+    def joined(tasks, name):
+        return scratch.saved(_join_tasks(texts.of(tasks.select("node", "task", "label"), name).select("task", "node", "label", "t"), n, percent, spanning), "jaccard-links")
+
+    links = joined(rows.where("NOT large").withColumn("task", F.col("block")), "jaccard-small")
+    large = rows.where("large")
+    if large.limit(1).count():
+        paged, met = _pages(large.select("node", "label", "block", "band", "size"), "block", page, F.col("size"))
+        met = scratch.saved(met, "jaccard-met")
+        if spanning:
+            pivot = "page_b = 0 OR (band_a = band_b AND page_a = page_b)"
+            links = links.unionByName(joined(_dealt(met.where(pivot), paged, "block"), "jaccard-pivot"))
+            more = links.select("a", "b").unionByName(paged.select(F.col("label").alias("a"), F.col("node").alias("b")))
+            found = components(more, "jaccard-pivots")
+            paged = scratch.saved(paged.join(found, "node", "left").withColumn("label", F.coalesce("component", "label")).drop("component"), "jaccard-relabelled")
+            even = paged.groupBy("block", "band", "page").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+            side = lambda s: even.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "page", "x", "y")))
+            met = met.where(f"NOT ({pivot})").join(side("a"), ["block", "band_a", "page_a"]).join(side("b"), ["block", "band_b", "page_b"]).where("NOT (x_a = y_a AND x_b = y_b AND x_a = x_b)")
+        links = links.unionByName(joined(_dealt(met, paged, "block"), "jaccard-large"))
+    return links
+
+
+def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, page: int, spanning: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): the profile of all rows, classes of equal sets, links (a, b, overlap, n_union) of their nodes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    docs = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), F.xxhash64(F.col(scratch.quoted(text_col))).alias("k"), F.col(scratch.quoted(text_col)).alias("t"))
     rows = scratch.saved(_profile(docs, n), "jaccard-profile")
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
-    whole = rows.where("i IS NOT NULL AND n > 0")
-    classes = whole.groupBy("f1", "f2", "n").agg(F.min("i").alias("rep"), F.count("*").alias("c"))
-    copies = whole.join(classes.where("c > 1"), ["f1", "f2", "n"]).where("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
-    copies = scratch.saved(copies, "jaccard-copies")
-    ties = _ties(docs, n, percent, buckets)
-    # Copies join the candidate graph, so that ties found through any of them lead to their representative.
-    blocks = components(ties.distinct().unionByName(copies), "jaccard-blocks")
-    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")).join(blocks, "node").select(F.col("node").alias("i"), "n", F.col("component").alias("block"))
-    reps = scratch.saved(reps, "jaccard-reps")
-    several = reps.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select("block")
-    members = scratch.saved(reps.join(several, "block"), "jaccard-members")
-    return docs, rows, copies, members
+    classes = rows.where("i IS NOT NULL AND n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("i", "k", "size")).alias("r"), F.count("*").alias("c"))
+    classes = scratch.saved(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "r.*", "c"), "jaccard-classes")
+    links = spark.createDataFrame([], "a long, b long, overlap long, n_union long")
+    if percent >= 100:  # equal sets are one class already, and no others link
+        return rows, classes, links
+    texts = _Texts(docs, classes)
+    members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node"), "f").select("element", "node").distinct()
+    members = scratch.saved(members.withColumn("label", F.col("node")), "jaccard-members")
+    rest = members
+    if spanning:
+        for largest in (False, True):
+            links = links.unionByName(_star(rest, classes, texts, n, percent, largest))
+            rest = _labelled(rest.select("element", "node"), links)
+    else:
+        rest = _labelled(members.select("element", "node"), links)
+    edges = scratch.saved(_counted(rest, classes, percent).unionByName(_treed(rest, texts, n, percent, page)).distinct(), "jaccard-edges")
+    blocks = components(edges, "jaccard-closed")
+    labels = rest.select("node", "label").distinct()
+    found = scratch.saved(blocks.withColumnRenamed("component", "block").join(labels, "node").join(classes.select("node", "n", "size"), "node"), "jaccard-candidates")
+    return rows, classes, links.unionByName(_links(found, texts, n, percent, page, spanning))
+
+
+def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, page: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): labels (f1, f2, n, ci, ck) name the smallest (id, text key) of the component of each class that several rows share."""
+    rows, classes, links = _linked(docs, n, percent, id_col, text_col, page, True)
+    found = components(links.select("a", "b"), "jaccard-result")
+    whole = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = whole.groupBy("component").agg(F.min(F.struct("i", "k")).alias("least"), F.sum("c").alias("rows")).where("rows > 1")
+    labels = whole.join(least, "component").select("f1", "f2", "n", F.col("least.i").alias("ci"), F.col("least.k").alias("ck"))
+    return rows, scratch.saved(labels, "jaccard-components")
 
 
 def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:
     """Per row (id, n_shingles, component_id): the smallest id reachable by links of at least percent similarity."""
-    texts, rows, copies, members = _prepared(docs, n, percent, id_col, text_col)
-    links = _links(texts, members, n, percent, page, True).select("a", "b")
-    found = components(links.unionByName(copies.select("a", "b")), "jaccard-result")
-    out = rows.join(found.withColumnRenamed("node", "i"), "i", "left")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"))
+    rows, labels = _components(docs, n, percent, id_col, text_col, page)
+    out = rows.join(labels, ["f1", "f2", "n"], "left").withColumn("ci", F.when(F.col("i").isNotNull(), F.coalesce("ci", "i")))
+    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("ci").alias("component_id"))
 
 
 def join_pairs(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:
-    """All links between representatives of equal sets, (a, b, overlap, n_union), a < b; equal sets are join_classes()."""
-    texts, _, _, members = _prepared(docs, n, percent, id_col, text_col)
-    return _links(texts, members, n, percent, page, False).distinct()
+    """All links (a, b, overlap, n_union), a < b, between the smallest ids of classes of equal sets."""
+    _, classes, links = _linked(docs, n, percent, id_col, text_col, page, False)
+    name = lambda c: classes.select(F.col("node").alias(c), F.col("i").alias(f"{c}_id"))
+    named = links.distinct().join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "overlap", "n_union")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:
-    """docs with one row of each component: that of the smallest id; rows with a null id all stay."""
-    found = join_components(docs, n, percent, id_col, text_col, page)
-    gone = scratch.saved(found.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "jaccard-gone")
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
-    twice = scratch.saved(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "jaccard-twice")
-    if not twice.count():
-        return kept
-    single = kept.join(twice, id_col, "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+    """docs with one row of each component: that of the smallest id, then text key; rows with a null id or no words all stay."""
+    rows, labels = _components(docs, n, percent, id_col, text_col, page)
+    gone = rows.where("i IS NOT NULL").join(labels, ["f1", "f2", "n"]).where("i <> ci OR k <> ck").select("i", "k").distinct()
+    gone = scratch.saved(gone, "jaccard-gone")
+    whole = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), F.xxhash64(F.col(scratch.quoted(text_col))).alias("k"), scratch.packed(docs))
+    kept = whole.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["i", "k"], "left_anti")
+    twice = scratch.saved(rows.where("i IS NOT NULL AND n > 0").groupBy("i", "k").count().where("count > 1").select("i", "k"), "jaccard-twice")
+    if twice.limit(1).count():  # repeated rows: the one that comes first as JSON stays
+        once = kept.join(twice, ["i", "k"]).groupBy("i", "k").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(twice, ["i", "k"], "left_anti").select("row").unionByName(once.select("row"))
+    return scratch.unpacked(kept, docs)

@@ -234,23 +234,57 @@ def test_jaccard_cases(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(frame(spark, rows)).collect())
     assert got == [(False, 1, 2, 1), (False, 1, 2, 1), (False, 2, 0, 2), (False, 3, 0, 3), (False, 4, 2, 1), (False, 6, 2, 1), (True, 0, 2, None)]
     kept = jaccard_join.representatives(frame(spark, rows)).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 2), (False, 3), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 1), (False, 1), (False, 2), (False, 3), (True, 0)]
     assert jaccard_join.join_components(frame(spark, rows).limit(0)).count() == 0
     pairs = jaccard_join.join_pairs(frame(spark, [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "q")]), 3, 90).collect()
     assert [tuple(r) for r in pairs] == [(1, 2, 10, 11)]
 
 
-def test_part_signatures_lose_no_pair():
+def test_prefixes_and_trees_lose_no_pair():
     rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(1, 2**63, 40, dtype=np.int64).astype(np.uint64))
     for percent in (60, 80, 90, 97):
-        for _ in range(150):
-            n = int(rng.integers(1, 200))
-            a = np.unique(rng.integers(1, 2**63, n, dtype=np.int64).astype(np.uint64))
-            most = len(a) * (100 - percent) // 100
-            drop = int(rng.integers(0, most + 1))
-            b = np.delete(a, rng.choice(len(a), drop, False))
-            if len(b) and 100 * len(b) >= percent * len(a):
-                assert np.intersect1d(jaccard_join.part_signatures(a, percent), jaccard_join.part_signatures(b, percent)).size
+        sets = []
+        for _ in range(60):
+            a = np.unique(np.append(rng.integers(1, 2**63, int(rng.integers(1, 200)), dtype=np.int64).astype(np.uint64), common[rng.random(40) < 0.3]))
+            sets += [a, *(np.delete(a, rng.choice(len(a), int(rng.integers(0, len(a) * (100 - percent) // 100 + 1)), False)) for _ in range(2))]
+        sets = [s for s in sets if len(s)]
+        left = set(zip(*(x.tolist() for x in jaccard_join.candidate_pairs(jaccard_join.tree_of(sets, np.arange(len(sets))), percent, True)), strict=True))
+        p = lambda s: jaccard_join.prefix(s, percent, common, np.arange(40))  # noqa: B023, E731
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if jaccard_join.linked(a, b, percent) is not None:
+                    shared = np.intersect1d(p(a), p(b)).size
+                    assert (i, j) in left or (j, i) in left
+                    assert shared >= max(1, -(-percent * (len(a) + len(b)) // (100 + percent)) - -(-percent * max(len(a), len(b)) // 100) + 1)
+
+
+def test_jaccard_joins_pages_of_many_nodes(spark, monkeypatch):
+    """Elements of many nodes, large blocks and small pages: the same links as all pairs."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.sample(base, 3) + base + [f"u{k}" for _ in range(rng.randint(0, 3))])) for k in range(70)]
+    rows += [(100 + k, " ".join(w if rng.random() > 0.02 else "edit" for w in base)) for k in range(60)]
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    monkeypatch.setattr(jaccard_join, "COMMON", 5)
+    for page in (7, 256):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(frame(spark, rows), 2, 85, page=page).collect()}
+        assert got == brute_components(rows, 2, 85)
+    sets = {k: {tuple(w[j : j + 2]) for j in range(len(w) - 1)} for k, t in rows for w in [t.split()]}
+    least = {}
+    for k, s in sets.items():
+        least[frozenset(s)] = min(k, least.get(frozenset(s), k))
+    ids = sorted(least.values())
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in jaccard_join.join_pairs(frame(spark, rows), 2, 85, page=9).collect()} == want
+
+
+def test_representatives_are_rows(spark):
+    rows = [(1, "a b c d e f g h"), (1, "q r s t u v"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f g h"), (0, "x y z x y z"), (5, "w " * 50_000), (6, "W " * 40_000)]
+    docs = spark.createDataFrame([(k, t, 1, "z") for k, t in rows], "doc_id long, text string, `i.k` int, row string")
+    kept = jaccard_join.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"][:3], r["i.k"]) for r in kept.collect()) == [(0, "x y", 1), (1, "a b", 1), (1, "q r", 1), (5, "w w", 1)]
 
 
 def brute_cover(rows, split, window):
