@@ -1,38 +1,51 @@
 """A hidden Markov language model: Baum-Welch over all training documents, exact forward likelihoods.
 
-Tokens are words (A-Z made small) and one end for each text. Every training word is a symbol with emission
-probabilities of its own; each other word has the share of one count, as in the base, so the model gives every
-sequence of words, known or not, a probability.
-
-Counts and emissions of all words are distributed tables. The texts are stored in parts of PART rows, and for
-each round the emissions of the words of a part are joined and put in a file of the shared folder, which the
-task that reads the part loads. Training starts from word clusters of a bounded sample of texts; each round of
-Baum-Welch then adds up the expected counts of every training document over all partitions, by word and
-state. In training a stretch of SEGMENT tokens is a sequence of its own; the likelihood of a text is one
-scaled forward recursion over all of it. Recursions run over many texts at once, one token of each a step.
-
-Defined cases: null and empty texts are one end token; a null id is not held out; repeated rows have equal
-results; without training texts every count is zero, N and V too, and the model knows only unseen words.
+Tokens are words (A-Z made small) and one end for each text. Every training word is a symbol with emissions of its
+own: count times the share of a state in the word, over the state's sum. Shares are stored in 8 bits of logarithm, and
+the sums are of the stored shares, so emissions of a state add up to one. Any other word has the share of one
+count, as in the base, so the model gives every sequence of words, known or not, a probability.
+
+Texts are encoded once, in parts of PART_BYTES, as numbers into the part's own sorted words. The vocabulary is dealt
+into buckets by hash. A round is one job: each part adds up the expected counts of its whole texts, by word and state;
+a bucket adds those of its words over all parts and sends each part the new shares of its words, which are a file of
+the shared folder. So no process holds the vocabulary, and what moves in a round is a few bytes for each word of a
+part. Rounds start from word clusters of a bounded sample of texts and end when the mean log likelihood of a
+training token rises by less than GAIN, or after ROUNDS.
+
+Recursions run over many texts at once, one token of each a step. Texts of more than LONG tokens are cut into
+stretches whose transfer matrices are multiplied up in both directions, which gives each stretch the exact vectors at
+its ends: expected counts and likelihoods are those of whole texts, however long.
+
+Defined cases: null and empty texts are one end token; very long texts are scored whole; a null id is not held out;
+repeated rows have equal results; columns beside doc_id and text are not read; without training texts every count is
+zero, N and V too, and the model knows only unseen words; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import scratch
-from quillspark.llm.text_kernels import U64, batches_by_bytes, words
-
-#: Rows of a part.
-PART = 8192
-#: Latent states, rounds over the corpus, texts of the first clusters and their most bytes, words that cluster them, tokens of a training sequence.
-STATES, ROUNDS, SAMPLE, SAMPLE_BYTES, SAMPLE_WORDS, SEGMENT = 6, 2, 1000, 1 << 20, 2000, 256
-#: Tokens handled at once, tokens counted at once, and the smoothing of expected counts.
-POOL, HELD, SMOOTH = 1 << 19, 1 << 21, 0.05
+from quillspark.llm.components import sorted_groups
+from quillspark.llm.text_kernels import U64, batches_by_bytes, trim, words
+
+#: Latent states, the most rounds, and the rise of log likelihood for each token that ends them.
+STATES, ROUNDS, GAIN = 6, 6, 0.01
+#: Bytes of texts of a part and for each bucket of words, tokens of a row of tokens.
+PART_BYTES, BUCKET_BYTES, CHUNK = 32 << 20, 12 << 20, 1 << 20
+#: Texts of the first clusters, their most bytes each, and the words that cluster them.
+SAMPLE, SAMPLE_BYTES, SAMPLE_WORDS = 1000, 16 << 10, 2000
+#: Tokens handled at once, tokens of a text that is cut and of its stretches, smoothing of start and transition counts.
+POOL, LONG, STRETCH, SMOOTH = 1 << 19, 4096, 512, 0.05
+#: Steps of a stored share for each doubling.
+STEPS = 20
 END = U64(1)
 LN10 = np.log(10.0)
 
@@ -47,61 +60,81 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(h, c) of all tokens."""
-
-    def run(batches):
-        held, n = [], 0
-        for b in batches_by_bytes(batches, "t"):
-            held.append(token_hashes(b.column(1))[0])
-            n += len(held[-1])
-            if n > HELD:
-                yield counted(held)
-                held, n = [], 0
-        if n:
-            yield counted(held)
-
-    def counted(held):
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
-
-    return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 class Model:
-    """Start (first and later stretches), transition and emission probabilities; the last symbol is any word not trained on."""
+    """Start, transition and emission probabilities; emissions have a row for each symbol."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
 
+    def _stretches(self, symbols: np.ndarray, first: np.ndarray, both: bool):
+        """(cuts, opening, before, after): stretches of all sequences; the state vectors before those that open no sequence, and those after, from behind."""
+        length = np.diff(first)
+        k = len(self.start)
+        if not (length > LONG).any():
+            return first, np.ones(len(length), bool), np.zeros((len(length), k)), np.ones((len(length), k))
+        cuts = [np.append(a, np.arange(a + 1, e, STRETCH)) if e - a > LONG else np.array([a]) for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        heads = np.cumsum([0, *map(len, cuts)])
+        cuts = np.append(np.concatenate(cuts), first[-1])
+        opening = np.zeros(len(cuts) - 1, bool)
+        opening[heads[:-1]] = True
+        before, after = np.zeros((len(opening), k)), np.ones((len(opening), k))
+        later = np.flatnonzero(~opening)
+        moved = np.empty((len(opening), k, k))
+        moved[later] = self._transfers(symbols, cuts[later], cuts[later + 1] - cuts[later])
+        for d in np.flatnonzero(length > LONG).tolist():
+            lo, hi = heads[d], heads[d + 1]
+            a = self.start * self.emit[symbols[cuts[lo]]]
+            for s in range(lo + 1, hi):
+                before[s] = a / a.sum()
+                a = before[s] @ moved[s]
+            for s in range(hi - 1, lo, -1) if both else ():
+                b = moved[s] @ after[s]
+                after[s - 1] = b / b.sum()
+        return cuts, opening, before, after
+
+    def _transfers(self, symbols: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """For each stretch the matrix, up to a factor, from the states before it to those at its end."""
+        order = np.argsort(-length, kind="stable")
+        at, length = at[order], length[order]
+        v = np.repeat(np.eye(len(self.start))[None], len(at), 0)
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t, "left"))
+            x = (v[:n] @ self.move) * self.emit[symbols[at[:n] + t]][:, None, :]
+            v[:n] = x / x.sum((1, 2), keepdims=True)
+        out = np.empty_like(v)
+        out[order] = v
+        return out
+
     def log_likelihood(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log likelihood of each sequence symbols[first[d]:first[d+1]], none empty."""
-        length = np.diff(first)
+        cuts, opening, before, _ = self._stretches(symbols, first, False)
+        length = np.diff(cuts)
         order = np.argsort(-length, kind="stable")
-        at, length = first[:-1][order], length[order]
-        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # sequences longer than t
+        at, length, opening, before = cuts[:-1][order], length[order], opening[order], before[order]
+        active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # stretches longer than t
         total = np.zeros(len(order))
         alpha = None
         for t, n in enumerate(active.tolist()):
             e = self.emit[symbols[at[:n] + t]]
-            alpha = self.start[0] * e if t == 0 else (alpha[:n] @ self.move) * e
+            alpha = np.where(opening[:, None], self.start, before @ self.move) * e if t == 0 else (alpha[:n] @ self.move) * e
             scale = alpha.sum(1)
             alpha /= scale[:, None]
             total[:n] += np.log(scale)
         out = np.empty(len(order))
         out[order] = total
-        return out
+        return np.add.reduceat(out, np.searchsorted(cuts[:-1], first[:-1])) if len(first) > 1 else out
 
-    def expected(self, symbols: np.ndarray, first: np.ndarray, opening: np.ndarray, counts: list[np.ndarray]) -> float:
-        """Adds the expected counts of sequences to (start, move, emit); returns their log likelihood. opening: True at the start of a text."""
-        length = np.diff(first)
+    def expected(self, symbols: np.ndarray, first: np.ndarray, counts: list[np.ndarray]) -> float:
+        """Adds the expected counts of sequences to (start, move, emit); returns their log likelihood."""
+        cuts, opening, before, after = self._stretches(symbols, first, True)
+        length = np.diff(cuts)
         order = np.argsort(-length, kind="stable")
-        at, length, opening = first[:-1][order], length[order], opening[order]
+        at, length, opening, before, after = cuts[:-1][order], length[order], opening[order], before[order], after[order]
         active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()
         alphas, scales, likelihood = [], [], 0.0
         for t, n in enumerate(active):
             e = self.emit[symbols[at[:n] + t]]
-            a = self.start[np.where(opening, 0, 1)] * e if t == 0 else (alphas[-1][:n] @ self.move) * e
+            a = np.where(opening[:, None], self.start, before @ self.move) * e if t == 0 else (alphas[-1][:n] @ self.move) * e
             s = a.sum(1)
             alphas.append(a / s[:, None])
             scales.append(s)
@@ -109,25 +142,24 @@ class Model:
         start, move, emit = counts
         beta, gammas, places = None, [], []
         for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            if t + 1 < len(active):
-                m = active[t + 1]
+            n, m = active[t], active[t + 1] if t + 1 < len(active) else 0
+            new = after[:n] / (alphas[t][:n] * after[:n]).sum(1, keepdims=True)  # of stretches that end here
+            if m:
                 ahead = self.emit[symbols[at[:m] + t + 1]] * beta / scales[t + 1][:, None]
                 move += alphas[t][:m].T @ ahead * self.move
-                new = np.ones((n, self.move.shape[0]))
                 new[:m] = ahead @ self.move.T
-                beta = new
-            else:
-                beta = np.ones((n, self.move.shape[0]))
+            beta = new
             g = alphas[t] * beta
             gammas.append(g / g.sum(1, keepdims=True))
             places.append(symbols[at[:n] + t])
+        later = np.flatnonzero(~opening)
+        if len(later):
+            ahead = (self.emit[symbols[at]] * beta / scales[0][:, None])[later]
+            move += before[later].T @ ahead * self.move
+        start += gammas[-1][opening].sum(0)
         g, place = np.concatenate(gammas), np.concatenate(places)
         for k in range(g.shape[1]):
             emit[:, k] += np.bincount(place, g[:, k], len(emit))
-        head = gammas[-1]
-        for k in (0, 1):
-            start[k] += head[opening == (k == 0)].sum(0)
         return likelihood
 
 
@@ -135,6 +167,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def _symbols(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted table, or its length."""
+    if not len(table):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, len(table))
+
+
 def _clusters(sample: list[np.ndarray], common: np.ndarray) -> np.ndarray:
     """A state for each sampled text, by clusters on the common words (spherical k-means from spread-out seeds)."""
     x = np.zeros((len(sample), max(len(common), 1)))
@@ -143,8 +183,6 @@ def _clusters(sample: list[np.ndarray], common: np.ndarray) -> np.ndarray:
         row += np.bincount(c[c < len(common)], minlength=len(row))
     x = np.sqrt(x)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    if not len(x):
-        return np.zeros(0, int)
     seeds = [0]
     while len(seeds) < min(STATES, len(x)):
         seeds.append(int(np.argmin((x @ x[seeds].T).max(1))))
@@ -156,171 +194,262 @@ def _clusters(sample: list[np.ndarray], common: np.ndarray) -> np.ndarray:
     return near
 
 
-def _symbols(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Places of hashes in a sorted table, or its length."""
-    if not len(table):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, at, len(table))
+def _first_shares(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(words, shares of states) of a bounded sample of distinct texts, those of the smallest hashes, by cluster."""
+    texts = train.count()
+    by_hash = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
+    rows = train.where((by_hash < int(min(1.0, 2 * SAMPLE / max(texts, 1)) * (1 << 30))) & (F.octet_length("t") <= SAMPLE_BYTES))
+    picked = rows.groupBy(F.xxhash64("t").alias("x")).agg(F.min("t").alias("t")).orderBy("x").limit(SAMPLE).toArrow()
+    if not picked.num_rows:
+        return np.zeros(0, U64), np.zeros((0, STATES), np.float32)
+    h, first = token_hashes(picked["t"].combine_chunks() if picked["t"].num_chunks != 1 else picked["t"].chunk(0))
+    sample = [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    own, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    near = _clusters(sample, np.sort(own[np.lexsort((own, -count))[:SAMPLE_WORDS]]))
+    state = np.repeat(near, np.diff(first))
+    x = np.stack([np.bincount(at[state == k], minlength=len(own)) for k in range(STATES)], 1) + 0.5 / STATES
+    return own, (x / x.sum(1, keepdims=True)).astype(np.float32)
 
 
-FIELDS = [f"e{k}" for k in range(STATES)]
-_DOUBLES = ", ".join(f"{f} double" for f in FIELDS)
+def _stored(shares: np.ndarray) -> np.ndarray:
+    """Shares of states as 8-bit logarithms; the least stands for every smaller one."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.round(np.log2(shares) * STEPS) + 255, 0, 255).astype(np.uint8)
 
 
-def _by_part(batches, limit: int):
-    """(part, batch) of the rows of one part each."""
-    for b in batches_by_bytes(batches, "t", limit):
-        part = b.column(2).to_numpy()
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-            if hi > lo:
-                yield int(part[lo]), b.slice(lo, hi - lo)
+_SHARES = np.exp2((np.arange(256) - 255) / STEPS)
 
 
-def _wanted(rows: DataFrame) -> DataFrame:
-    """(part, h): the distinct words of every part."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+
+
+def _opened(payload: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
-    def run(batches):
-        at, held = None, []
-        for part, b in _by_part(batches, 4 << 20):
-            if part != at and held:
-                yield made(at, held)
-                held = []
-            at = part
-            held.append(np.unique(token_hashes(b.column(1))[0]))
-        if held:
-            yield made(at, held)
 
-    def made(part, held):
-        h = np.unique(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), part)), pa.array(h.view(np.int64))], ["part", "h"])
+def _put(path: str, *arrays: np.ndarray) -> None:
+    """Writes a file of the shared folder; a task that is run again moves an equal one in its place."""
+    system, at = scratch.store(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    name = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(name, compression=None) as out:
+        pickle.dump(arrays, out, 5)
+    system.move(name, at)
 
-    return rows.mapInArrow(run, "part long, h long").distinct()
 
+def _get(path: str) -> tuple:
+    system, at = scratch.store(path)
+    with system.open_input_stream(at, compression=None) as file:
+        return pickle.loads(file.read())
 
-def _files(wanted: DataFrame, emissions: DataFrame) -> str:
-    """Folder with a file for each part: its known words, sorted, with counts and emissions."""
-    folder = scratch.folder(wanted.sparkSession, "markov-emissions")
 
-    def write(t: pa.Table) -> pa.Table:
-        h = t["h"].to_numpy().view(U64)
-        order = np.argsort(h)
-        system, at = scratch.store(f"{folder}/{t['part'][0].as_py()}")
-        system.create_dir(at.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(at, compression=None) as out:
-            pickle.dump((h[order], t["c"].to_numpy()[order], np.stack([t[f].to_numpy()[order] for f in FIELDS], 1)), out, 5)
-        return pa.table({"m": pa.array([len(h)], pa.int64())})
+ROWS = "part long, bucket long, payload binary"
 
-    wanted.join(emissions, "h").groupBy("part").applyInArrow(write, "m long").agg(F.sum("m")).collect()
-    return folder
 
+def _row(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, bucket, payload = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(bucket, pa.int64()), pa.array(payload, pa.binary())], ["part", "bucket", "payload"])
 
-def _loaded(folder: str, part: int, start: np.ndarray, move: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray, Model]:
-    """(words, counts, model) of a part; a part without known words has no file."""
-    system, at = scratch.store(f"{folder}/{part}")
-    h, c, emit = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((0, STATES))
-    if system.get_file_info(at).is_file:
-        with system.open_input_stream(at, compression=None) as file:
-            h, c, emit = pickle.loads(file.read())
-    return h, c, Model(start, move, np.concatenate([emit.astype(float), np.full((1, STATES), unseen)]))
 
+def _cut(buckets: int, h: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, lo, hi) of sorted hashes."""
+    at = np.searchsorted((h >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64)).tolist()
+    return [(b, lo, hi) for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
 
-def _emissions(table: DataFrame, n: int, v: int) -> DataFrame:
-    """(h, c, probabilities by state) from (h, c, counts by state); every word keeps a little of its overall share in each state."""
-    sums = np.array(table.agg(*(F.sum(f) for f in FIELDS)).first(), float)
-    whole = float(sums.sum() + 1e-6 * v)
-    little = (sum(F.col(f) for f in FIELDS) + 1e-6) * (SMOOTH * v**0.5 / whole)
-    scale = (n + v) / (n + v + 1) / (sums + SMOOTH * v**0.5)
-    return scratch.saved(table.select("h", "c", *(((F.col(f) + little) * float(x)).cast("float").alias(f) for f, x in zip(FIELDS, scale, strict=True))), "markov-words")
 
+def _encoded(docs: DataFrame, buckets: int) -> DataFrame:
+    """Stored rows (kind, part, bucket, payload): tokens of a part as numbers of its words (0), and its words by bucket (1)."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches_by_bytes(batches, "t"):
+            h, first = token_hashes(b.column(1))
+            held.append((b.column(0), b.column(2).to_numpy(zero_copy_only=False).astype(bool), h, first))
+            size += b.column(1).nbytes
+            if size > PART_BYTES:
+                yield from made(held)
+                held, size = [], 0
+        if held:
+            yield from made(held)
+        trim()
+
+    def made(held):
+        part = uuid.uuid4().int >> 66
+        table = np.unique(np.concatenate([np.unique(x[2]) for x in held]))
+        train = np.zeros(len(table), np.int64)
+        rows = []
+        for ids, out, h, first in held:
+            s = np.searchsorted(table, h).astype(np.uint32)
+            train += np.bincount(s[np.repeat(~out, np.diff(first))], minlength=len(table))
+            i = ids.fill_null(0).to_numpy()
+            rows.append((part, -1, _packed(i, ids.is_null().to_numpy(zero_copy_only=False), out, first, s)))
+        for x in rows:
+            yield kind(0, [x])
+        yield kind(1, [(part, b, _packed(table[lo:hi], train[lo:hi])) for b, lo, hi in _cut(buckets, table)])
+
+    def kind(k, rows):
+        b = _row(rows)
+        return pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), *b.columns], ["kind", *b.schema.names])
+
+    at = scratch.folder(docs.sparkSession, "markov-parts")
+    made_ = docs.mapInArrow(run, f"kind int, {ROWS}")
+    made_.write.partitionBy("kind").parquet(at)
+    return docs.sparkSession.read.schema(f"{ROWS}, kind int").parquet(at)
+
+
+def _exchange(rows: DataFrame, buckets: int, folder: str, step: int, first) -> dict[int, float]:
+    """One exchange between parts and buckets: adds up what rows (part, bucket, payload) say, and stores new shares.
+
+    Rows of negative parts carry sums, which are added up as they are. first: a broadcast of the first shares, with which
+    the rows bring the words themselves; then they bring expected counts.
+    """
+
+    def add(batches):
+        for bucket, t in sorted_groups(batches, 1):
+            parts, payloads = t.column(0).to_pylist(), t.column(2).to_pylist()
+            yield from (_row([(-1 - bucket, -1, x)]) for p, x in zip(parts, payloads, strict=True) if p < 0)
+            got = [(p, _opened(x)) for p, x in zip(parts, payloads, strict=True) if p >= 0]
+            if not got:
+                continue
+            if first is not None:
+                h, at = np.unique(np.concatenate([x[0] for _, x in got]), return_inverse=True)
+                c = np.bincount(at, np.concatenate([x[1] for _, x in got])).astype(np.int64)
+                ends = np.cumsum([0, *(len(x[0]) for _, x in got)]).tolist()
+                places = {p: at[lo:hi].astype(np.uint32) for (p, _), lo, hi in zip(got, ends[:-1], ends[1:], strict=True)}
+                _put(f"{folder}/buckets/{bucket}", c, places)
+                own, shares = first.value
+                k = _symbols(h, own)
+                q = _stored(np.concatenate([shares, np.full((1, STATES), 1 / STATES, np.float32)])[k])
+            else:
+                c, places = _get(f"{folder}/buckets/{bucket}")
+                x = np.zeros((len(c), STATES))
+                for p, (share, n) in got:
+                    x[places[p]] += share * (n / 65535)[:, None]
+                q = _stored(x / np.maximum(x.sum(1, keepdims=True), 1e-300))
+            yield _row([(-1 - bucket, -1, _packed(np.append([c.sum(), (c > 0).sum()], (c[:, None] * _SHARES[q]).sum(0))))])
+            for p, at in places.items():
+                yield _row([(p, bucket, _packed(q[at], *([c[at]] if first is not None else [])))])
+
+    def keep(batches):
+        for part, t in sorted_groups(batches):
+            if part >= 0:
+                got = [_opened(x) for x in t.column(2).to_pylist()]
+                _put(f"{folder}/shares-{step}/{part}", np.concatenate([x[0] for x in got]))
+                if first is not None:
+                    ends = np.cumsum([len(x[1]) for x in got])
+                    _put(f"{folder}/counts/{part}", np.concatenate([x[1] for x in got]), np.stack([t.column(1).to_numpy(), np.append(0, ends[:-1]), ends], 1))
+                continue
+            for x in t.column(2).to_pylist():
+                (value,) = _opened(x)
+                shift = 0 if len(value) == 2 + STATES else 100
+                yield pa.RecordBatch.from_arrays([pa.array(shift + np.arange(len(value))), pa.array(value, pa.float64())], ["slot", "value"])
+
+    added = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, ROWS)
+    kept = added.repartition(buckets, "part").sortWithinPartitions("part", "bucket").mapInArrow(keep, "slot long, value double")
+    return {r["slot"]: r["value"] for r in kept.groupBy("slot").agg(F.sum("value").alias("value")).collect()}
+
+
+class _Parts:
+    """Reads the model of the part that a row of tokens belongs to."""
+
+    def __init__(self, folder: str, step: int, start: np.ndarray, move: np.ndarray, sums: np.ndarray, unseen: float):
+        self.folder, self.step, self.start, self.move, self.sums, self.unseen = folder, step, start, move, sums, unseen
+
+    def rows(self, batches):
+        """(part, counts, model, tokens) of each row; the model is read when the part changes."""
+        at = None
+        for b in batches:
+            for part, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if part != at:
+                    at = part
+                    (c, _), (q,) = _get(f"{self.folder}/counts/{part}"), _get(f"{self.folder}/shares-{self.step}/{part}")
+                    emit = _SHARES[q] * c[:, None] * ((1 - self.unseen) / np.maximum(self.sums, 1e-300))
+                    emit[c == 0] = self.unseen
+                    model = Model(self.start, self.move, emit)
+                yield part, c, model, _opened(payload)
 
-def _round(train: DataFrame, counts: DataFrame, folder: str, start: np.ndarray, move: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """One round of Baum-Welch over all training rows: (start, move, expected counts by word and state)."""
 
-    def made(h, counts):
-        seen = np.flatnonzero(counts[2][:-1].any(1))
-        which = np.concatenate([np.zeros(len(seen), np.int64), [-1, -2], -3 - np.arange(STATES)])
-        value = np.concatenate([counts[2][seen], counts[0], counts[1]])
-        word = np.append(h[seen].view(np.int64), np.zeros(2 + STATES, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(word), *(pa.array(value[:, k]) for k in range(STATES))], ["which", "h", *FIELDS])
+def _expected(tokens: DataFrame, parts: _Parts, buckets: int) -> DataFrame:
+    """Rows (part, bucket, payload) of the expected counts of training texts, as shares of states and numbers of tokens; sums in part -1."""
 
     def run(batches):
-        at, counts = None, None
-        for part, b in _by_part(batches, 2 << 20):
+        at, counts, n, told = None, None, None, 0.0
+        for part, c, model, (_, _, out, first, s) in parts.rows(batches):
             if part != at:
                 if counts:
-                    yield made(table, counts)
-                at, (table, _, model) = part, _loaded(folder, part, start, move, unseen)
-                counts = [np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((len(table) + 1, STATES))]
-            h, first = token_hashes(b.column(1))
-            s = _symbols(h, table)
-            cuts = np.concatenate([np.arange(a, e, SEGMENT) for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
-            opening = np.isin(cuts, first[:-1])
-            cuts = np.append(cuts, len(h))
+                    yield from made(at, counts, n, told)
+                at, told = part, 0.0
+                counts, n = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(c), STATES))], np.zeros(len(c), np.int64)
+            mine = np.flatnonzero(~out)
+            length = np.diff(first)[mine]
+            s = s[np.repeat(~out, np.diff(first))]
+            first = np.append(0, np.cumsum(length))
+            n += np.bincount(s, minlength=len(c))
             lo = 0
-            while lo < len(opening):
-                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + POOL, "right")) - 1)
-                model.expected(s, cuts[lo : hi + 1], opening[lo:hi], counts)
+            while lo < len(mine):
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + POOL, "right")) - 1)
+                told += model.expected(s[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], counts)
                 lo = hi
         if counts:
-            yield made(table, counts)
+            yield from made(at, counts, n, told)
+        trim()
 
-    got = train.mapInArrow(run, f"which long, h long, {_DOUBLES}").groupBy("which", "h").agg(*(F.sum(f).alias(f) for f in FIELDS))
-    got = scratch.saved(got, "markov-expected")
-    few = got.where("which < 0").toPandas()  # a row for each start and state
-    which, value = few["which"].to_numpy(), few[FIELDS].to_numpy()
-    start, move = np.zeros((2, STATES)), np.zeros((STATES, STATES))
-    start[-1 - which[which >= -2]] = value[which >= -2]
-    move[-3 - which[which <= -3]] = value[which <= -3]
-    words = counts.join(got.where("which = 0").drop("which"), "h", "left").select("h", "c", *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FIELDS))
-    return _unit(start + SMOOTH), _unit(move + SMOOTH), words
+    def made(part, counts, n, told):
+        start, move, x = counts
+        share = np.round(x / np.maximum(n, 1)[:, None] * 65535).astype(np.uint16)
+        yield _row([(-1, part % buckets, _packed(np.concatenate([[told], start, move.ravel()])))])
+        _, cuts = _get(f"{parts.folder}/counts/{part}")
+        yield _row([(part, b, _packed(share[lo:hi], n[lo:hi])) for b, lo, hi in cuts.tolist()])
 
+    return tokens.mapInArrow(run, ROWS)
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Per row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); log10 probabilities."""
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, _Parts, int, int, list[float]]:
+    """(rows of tokens, model, N, V, mean log likelihood of a token before each round) of docs (i, t, out)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.expr(f"monotonically_increasing_id() DIV {PART}").alias("part"))
-    docs = scratch.saved(docs, "markov-texts")
-    train = docs.where(~held_out("i"))
-    counts = scratch.saved(_counts(train), "markov-counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-    unseen = 1 / (n + v + 1)
-    wanted = scratch.saved(_wanted(docs), "markov-wanted")
-    by_hash = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    texts = train.count()
-    picked = train.where((by_hash < int(min(1.0, SAMPLE / max(texts, 1)) * (1 << 30))) & (F.octet_length("t") <= SAMPLE_BYTES)).limit(2 * SAMPLE).toArrow()
-    sample = []
-    if picked.num_rows:
-        hashes, first = token_hashes(picked.column(1).combine_chunks())
-        sample = [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    common = np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(SAMPLE_WORDS).collect()], np.int64).view(U64))
-    near = _clusters(sample, common)
-    own = np.unique(np.concatenate(sample)) if sample else np.zeros(0, U64)
-    value = np.zeros((len(own), STATES))
-    for h, k in zip(sample, near.tolist(), strict=True):
-        value[:, k] += np.bincount(np.searchsorted(own, h), minlength=len(own))
-    seen = spark.createDataFrame(pa.table({"h": pa.array(own.view(np.int64)), **{f: pa.array(value[:, k]) for k, f in enumerate(FIELDS)}}))
-    words = counts.join(seen, "h", "left").select("h", "c", *((F.coalesce(f, F.lit(0.0)) + F.col("c") * (200 / max(n, 1)) + 1e-9).alias(f) for f in FIELDS))
-    start, move = np.full((2, STATES), 1 / STATES), np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
+    total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
+    parts = _encoded(docs, buckets)
+    tokens, listed = parts.where("kind = 0").drop("kind"), parts.where("kind = 1").drop("kind")
+    folder = scratch.folder(spark, "markov")
+    first = spark.sparkContext.broadcast(_first_shares(docs.where("NOT out")))
+    got = _exchange(listed, buckets, folder, 0, first)
+    n, v = int(got.get(0, 0)), int(got.get(1, 0))
+    sums = lambda got: np.array([got.get(2 + k, 0.0) for k in range(STATES)])
+    start, move = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.02 / max(STATES - 1, 1))
     np.fill_diagonal(move, 0.98)
-    folder = _files(wanted, _emissions(words, n, v)) if n else scratch.folder(spark, "markov-none")
-    for _ in range(rounds if n else 0):
-        start, move, words = _round(train, counts, folder, start, move, unseen)
-        folder = _files(wanted, _emissions(words, n, v))
+    model = _Parts(folder, 0, start, move, sums(got), 1 / (n + v + 1))
+    means: list[float] = []
+    for step in range(1, 1 + (rounds if n else 0)):
+        got = _exchange(_expected(tokens, model, buckets), buckets, folder, step, None)
+        told = np.array([got.get(100 + k, 0.0) for k in range(1 + STATES + STATES**2)])
+        start, move = _unit(told[1 : 1 + STATES] + SMOOTH), _unit(told[1 + STATES :].reshape(STATES, STATES) + SMOOTH)
+        scratch.removed(spark, f"{folder}/shares-{step - 1}")
+        model = _Parts(folder, step, start, move, sums(got), 1 / (n + v + 1))
+        means.append(float(told[0]) / n)
+        if len(means) > 1 and means[-1] - means[-2] < GAIN:
+            break
+    return tokens, model, n, v, means
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Per row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); log10 probabilities."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).withColumn("out", held_out("i"))
+    tokens, parts, n, v, _ = train(docs, rounds)
     floor = np.log10(n + v + 1)
 
     def run(batches):
-        at = None
-        for part, b in _by_part(batches, 4 << 20):
-            if part != at:
-                at, (table, count, model) = part, _loaded(folder, part, start, move, unseen)
-            h, first = token_hashes(b.column(1))
-            s = _symbols(h, table)
-            base = np.log10(np.append(count, 0)[s] + 1.0) - floor
+        for _, c, model, (i, null, out, first, s) in parts.rows(batches):
+            base = np.log10(c[s] + 1.0) - floor
             add = lambda x: np.add.reduceat(x, first[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(add((s < len(table)).astype(np.int64))), pa.array(add(base)), pa.array(model.log_likelihood(s, first) / LN10)], ["i", "n", "known", "base", "score"])
+            likelihood, lo = [], 0
+            while lo < len(out):
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + POOL, "right")) - 1)
+                likelihood.append(model.log_likelihood(s[first[lo] : first[hi]], first[lo : hi + 1] - first[lo]))
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64(), mask=null), pa.array(out), pa.array(np.diff(first)), pa.array(add((c[s] > 0).astype(np.int64))), pa.array(add(base)), pa.array(np.concatenate(likelihood) / LN10)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        trim()
 
-    made = docs.mapInArrow(run, "i long, n long, known long, base double, score double")
-    return made.select(F.col("i").alias("doc_id"), held_out("i").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    made = tokens.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -496,7 +496,7 @@ def test_toxicity_indexes_every_term_and_example(spark):
 def test_hidden_markov_forward_is_exact():
     rng = np.random.default_rng(1)
     unit = lambda x, a: x / x.sum(a, keepdims=True)
-    model = hidden_markov.Model(unit(rng.random((2, 3)), 1), unit(rng.random((3, 3)), 1), unit(rng.random((5, 3)), 0))
+    model = hidden_markov.Model(unit(rng.random(3), 0), unit(rng.random((3, 3)), 1), unit(rng.random((5, 3)), 0))
     seqs = [rng.integers(0, 5, n) for n in (1, 4, 3, 5)]
     first = np.cumsum([0, *map(len, seqs)])
     import itertools
@@ -504,18 +504,97 @@ def test_hidden_markov_forward_is_exact():
     for s, got in zip(seqs, model.log_likelihood(np.concatenate(seqs), first), strict=True):
         total = 0.0
         for path in itertools.product(range(3), repeat=len(s)):
-            p = model.start[0][path[0]] * model.emit[s[0], path[0]]
+            p = model.start[path[0]] * model.emit[s[0], path[0]]
             for t in range(1, len(s)):
                 p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
             total += p
         assert abs(got - np.log(total)) < 1e-9
+    # over all sequences of one length the model sums to one
+    every = np.array(list(itertools.product(range(5), repeat=4))).ravel()
+    assert abs(np.exp(model.log_likelihood(every, np.arange(0, len(every) + 1, 4))).sum() - 1) < 1e-9
     before = None
     for _ in range(6):
-        counts = [np.zeros((2, 3)), np.zeros((3, 3)), np.zeros((5, 3))]
-        now = model.expected(np.concatenate(seqs), first, np.ones(4, bool), counts)
+        counts = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+        now = model.expected(np.concatenate(seqs), first, counts)
         assert abs(counts[2].sum() - first[-1]) < 1e-9 and (before is None or now >= before - 1e-9)
         before = now
-        model = hidden_markov.Model(np.stack([unit(counts[0][0], 0), model.start[1]]), unit(counts[1], 1), unit(counts[2], 0))
+        model = hidden_markov.Model(unit(counts[0], 0), unit(counts[1], 1), unit(counts[2], 0))
+
+
+def test_hidden_markov_stretches_are_exact(monkeypatch):
+    """Long texts, cut and joined by transfer matrices, give the counts and likelihoods of whole ones."""
+    rng = np.random.default_rng(4)
+    unit = lambda x, a: x / x.sum(a, keepdims=True)
+    model = hidden_markov.Model(unit(rng.random(3), 0), unit(rng.random((3, 3)) ** 3, 1), unit(rng.random((50, 3)) ** 3, 0))
+    seqs = [rng.integers(0, 50, n) for n in (1, 2, 700, 40, 41, 999, 7)]
+    symbols, first = np.concatenate(seqs), np.cumsum([0, *map(len, seqs)])
+    got = []
+    for long, stretch in ((10**9, 512), (6, 4), (40, 17)):
+        monkeypatch.setattr(hidden_markov, "LONG", long)
+        monkeypatch.setattr(hidden_markov, "STRETCH", stretch)
+        counts = [np.zeros(3), np.zeros((3, 3)), np.zeros((50, 3))]
+        got.append((model.log_likelihood(symbols, first), model.expected(symbols, first, counts), *counts))
+        assert abs(got[-1][0].sum() - got[-1][1]) < 1e-6 and abs(counts[1].sum() - (len(symbols) - len(seqs))) < 1e-6
+    for x in got[1:]:
+        assert all(np.allclose(a, b, atol=1e-7) for a, b in zip(x, got[0], strict=True))
+
+
+def brute_markov(rows, first, steps):
+    """Baum-Welch over whole texts with a loop for each text and token, from the first shares of states; log10 likelihoods."""
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    texts = [[w.lower() for w in words_of(t)] + [None] for _, t in rows]
+    k = hidden_markov.STATES
+    known, counts = {}, {}
+    for (i, _), t in zip(rows, texts, strict=True):
+        for w in t if not held(i) else ():
+            counts[w] = counts.get(w, 0) + 1
+    name = lambda w: int(hidden_markov.END) if w is None else int(text_kernels.words(pa.array([w.decode()]))[4][0])
+    start = dict(zip(first[0].tolist(), first[1].astype(float), strict=True))
+    for w in counts:
+        known[w] = start.get(name(w), np.full(k, 1 / k))
+    n, v = sum(counts.values()), len(counts)
+    pi, move = np.full(k, 1 / k), np.full((k, k), 0.02 / (k - 1))
+    np.fill_diagonal(move, 0.98)
+    for step in range(steps + 1):
+        stored = {w: 2 ** ((np.clip(np.round(np.log2(np.maximum(x, 1e-30)) * 20) + 255, 0, 255) - 255) / 20) for w, x in known.items()}
+        sums = sum(stored[w] * c for w, c in counts.items())
+        emit = {w: stored[w] * c / sums * (1 - 1 / (n + v + 1)) for w, c in counts.items()}
+        of = lambda w: emit.get(w, np.full(k, 1 / (n + v + 1)))  # noqa: B023, E731
+        likelihoods, new, a0, m0 = [], {w: np.zeros(k) for w in counts}, np.zeros(k), np.zeros((k, k))
+        for (i, _), t in zip(rows, texts, strict=True):
+            alphas, scales = [], []
+            for j, w in enumerate(t):
+                a = (pi if j == 0 else alphas[-1] @ move) * of(w)
+                scales.append(a.sum())
+                alphas.append(a / a.sum())
+            likelihoods.append(float(np.log10(scales).sum()))
+            if held(i) or step == steps:
+                continue
+            b = np.ones(k)
+            for j in range(len(t) - 1, -1, -1):
+                new[t[j]] += alphas[j] * b
+                if j:
+                    m0 += np.outer(alphas[j - 1], of(t[j]) * b / scales[j]) * move
+                    b = move @ (of(t[j]) * b) / scales[j]
+                else:
+                    a0 += alphas[0] * b
+        if step < steps:
+            known = {w: x / x.sum() for w, x in new.items()}
+            pi, move = (a0 + 0.05) / (a0 + 0.05).sum(), (m0 + 0.05) / (m0 + 0.05).sum(1, keepdims=True)
+    return likelihoods
+
+
+def test_hidden_markov_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hidden_markov, "PART_BYTES", 2000)
+    monkeypatch.setattr(hidden_markov, "LONG", 50)
+    monkeypatch.setattr(hidden_markov, "STRETCH", 16)
+    rows = [(k, t) for k, t in corpus(33, 90)] + [(None, "no id of it"), (1000, "far " * 700)]
+    docs = frame(spark, rows)
+    train = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where(~hidden_markov.held_out("i"))
+    want = brute_markov(rows, hidden_markov._first_shares(train), 2)
+    got = sorted(hidden_markov.score(docs, 2).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    for r, (key, x) in zip(got, sorted(zip(rows, want, strict=True), key=lambda r: (r[0][0] is None, r[0][0] or 0)), strict=True):
+        assert r["doc_id"] == key[0] and abs(r["score"] - x) < 0.02 + 0.002 * r["n_tokens"]
 
 
 def test_hidden_markov(spark):
