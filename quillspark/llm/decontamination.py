@@ -13,8 +13,9 @@ documents, so that any number of items is searched whole.
 
 Words are as in text_kernels, A-Z made small. Defined cases: null, empty and wordless texts contain nothing
 and items without words are contained in nothing; items shorter than the shingle have their whole word
-sequence as the one shingle; null ids are reported as null; repeated rows are reported each; equal items
-are all reported; an empty table gives no rows.
+sequence as the one shingle, which may stand anywhere in a document; very long texts are searched whole; null ids
+are reported as null; repeated rows are reported each; equal items are all reported; columns of any name stay as
+they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import scratch
 from quillspark.llm.text_kernels import U64, batches_by_bytes, window_hashes, words
 
 #: Words of a shingle, percent of an item's shingles, sketch hashes that must be met, and sketch rows of a slice.
@@ -106,41 +108,44 @@ def _matches(index: Sketches, column: pa.Array, n: int, percent: int):
     for k in index.short:  # an item shorter than the shingle is one shingle of its own length
         short = window_hashes(h, k)
         if len(short):
-            same = (text[: len(short)] == text[k - 1 : k - 1 + len(short)]) & (counts[text[: len(short)]] == k)
+            same = text[: len(short)] == text[k - 1 : k - 1 + len(short)]
             t, g = np.append(t, text[: len(short)][same]), np.append(g, short[same])
     found, item = index.candidates(t, g)
-    at, held = -1, set()
+    at, held = -1, {}
     for d, i in zip(found.tolist(), item.tolist(), strict=True):
         if d != at:
-            at = d
-            held = shingles(data[starts[first[d]] : ends[first[d + 1] - 1]].tobytes().lower().split(), n)
+            at, held = d, {}
+            tokens = data[starts[first[d]] : ends[first[d + 1] - 1]].tobytes().lower().split()
         key, wanted = index.items[i]
-        met = len(wanted & held)
+        k = min(n, index.lengths[i])
+        if k not in held:
+            held[k] = shingles(tokens, k)
+        met = len(wanted & held[k])
         if met * 100 >= percent * len(wanted):
             yield d, key, met, len(wanted)
 
 
-def _slices(items: DataFrame, item_col: str, item_text: str, index_rows: int) -> list[list[tuple[int, str]]]:
-    """The items in slices of bounded sketch size."""
+def _slices(items: DataFrame, item_col: str, item_text: str, index_rows: int):
+    """Broadcasts of the items in slices of bounded sketch size; the driver holds one slice at a time."""
+    sent = items.sparkSession.sparkContext.broadcast
     rows = items.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    slices, held, size = [], [], 0
+    held, size, n = [], 0, 0
     for r in rows.toLocalIterator():
         held.append((r["k"], r["t"]))
         size += len(r["t"]) // 2 + 1  # at least its words, so its shingles
         if size > index_rows:
-            slices.append(held)
-            held, size = [], 0
-    if held or not slices:
-        slices.append(held)
-    return slices
+            yield sent(held)
+            held, size, n = [], 0, n + 1
+    if held or not n:
+        yield sent(held)
 
 
 def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """(id, item_id, n_met, n_shingles) for each document and item that it contains."""
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
 
-    def search(part):
-        sent, kept = docs.sparkSession.sparkContext.broadcast(part), []
+    def search(sent):
+        kept = []
 
         def run(batches):
             if not kept:
@@ -161,23 +166,25 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """docs without the rows that contain an item."""
+    rows = docs.select(F.col(scratch.quoted(text_col)).alias("t"), scratch.packed(docs))
+    schema = rows.schema
 
-    def without(rows, part):
-        sent, kept = docs.sparkSession.sparkContext.broadcast(part), []
+    def without(rows, sent):
+        kept = []
 
         def run(batches):
             if not kept:
                 kept.append(Sketches(sent.value, n, percent))
-            for b in batches_by_bytes(batches, text_col):
+            for b in batches_by_bytes(batches, "t"):
                 keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in _matches(kept[0], b.column(b.schema.get_field_index(text_col)), n, percent)]] = False
+                keep[[d for d, *_ in _matches(kept[0], b.column(0), n, percent)]] = False
                 yield b.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(run, schema)
 
     for part in _slices(items, item_col, item_text, index_rows):
-        docs = without(docs, part)
-    return docs
+        rows = without(rows, part)
+    return scratch.unpacked(rows, docs)
 
 
 #: DuckDB's form of contained() for the tables documents and benchmark with the default parameters.
@@ -186,11 +193,13 @@ WITH texts AS (
   SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
   UNION ALL
   SELECT 'b', item_id, row_number() OVER (), [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] FROM benchmark
+), lengths AS (
+  SELECT DISTINCT least(len(w), 5) AS k FROM texts WHERE kind = 'b' AND len(w) > 0
 ), grams AS (
-  SELECT DISTINCT kind, id, r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
-  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)
+  SELECT DISTINCT kind, id, r, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM texts JOIN lengths ON kind = 'd' AND len(w) >= k OR kind = 'b' AND k = least(len(w), 5))
 ), sizes AS (SELECT r, count(*) AS n_shingles FROM grams WHERE kind = 'b' GROUP BY r)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_met, any_value(s.n_shingles) AS n_shingles
-FROM grams d JOIN grams b ON d.kind = 'd' AND b.kind = 'b' AND d.g = b.g JOIN sizes s ON s.r = b.r
+FROM grams d JOIN grams b ON d.kind = 'd' AND b.kind = 'b' AND d.k = b.k AND d.g = b.g JOIN sizes s ON s.r = b.r
 GROUP BY d.id, d.r, b.id, b.r HAVING count(*) * 100 >= 80 * any_value(s.n_shingles)
 """

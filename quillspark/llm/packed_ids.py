@@ -9,10 +9,12 @@ harm.
 
 Words cut at ASCII white space, and between a Latin letter and a comma or full stop, are encoded once each
 and kept in a bounded cache, ASCII capitals made small as the tokenizer makes them: neither its normaliser
-nor its pattern looks across such places. Words of the generation before stay at hand.
+nor its pattern looks across such places. Words of the generation before stay at hand. Texts in which the string
+of a special token may stand go to the library as they are.
 
 Defined cases: null texts are empty and hold the end id alone; null document ids come first; repeated
-rows are each written, equal ids in the order of their texts; an empty table makes no file.
+rows are each written, equal ids in the order of their texts; very long texts are written whole; columns beside
+id and text are not read; an empty table makes no file.
 """
 
 from __future__ import annotations
@@ -151,15 +153,15 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # such strings in a text are ordinary text
-    return t, [{}, {}]
+    return Tokenizer.from_file(path), [{}, {}]
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of whole texts without special tokens."""
+    """Ids of whole texts, as the library gives them with add_special_tokens=False."""
     tokenizer, cache = _tokenizer(path)
-    split = [_JOINT.sub(rb"\1 \2", (t or "").encode().lower()).split() for t in texts]
+    special = {k for k, t in enumerate(texts) if t and "<|" in t}  # may hold the string of a special token, which is one token
+    whole = tokenizer.encode_batch_fast([texts[k] for k in special], add_special_tokens=False) if special else ()
+    split = [() if k in special else _JOINT.sub(rb"\1 \2", (t or "").encode().lower()).split() for k, t in enumerate(texts)]
     missing = set().union(*split).difference(cache[0])
     if len(cache[0]) + len(missing) > CACHED_WORDS:
         cache[:] = [{}, cache[0]]
@@ -174,7 +176,10 @@ def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
     for word, got in zip(todo, tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
         now[word] = array("I", got.ids).tobytes()
     get = now.__getitem__
-    return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in split]
+    out = [np.frombuffer(b"".join(map(get, w)), "<u4") for w in split]
+    for k, got in zip(special, whole, strict=True):
+        out[k] = np.array(got.ids, "<u4")
+    return out
 
 
 def vocabulary_of(path: str) -> int:

@@ -6,11 +6,12 @@ each record identifier to bundle, frame and offset in the unpacked frame, so one
 Records whose payload another record holds are revisits of that record and carry no payload.
 
 Bundles are named by partition and attempt, and only those in the index count. Payloads are matched by
-SHA-1. A payload that a third of all pages share is one group of small rows before the join, and the join
-splits large partitions.
+SHA-1: only digests that several pages share are a table, stored before pages meet it. It is broadcast if it has
+few rows; else pages are joined with it, where Spark splits the partition of a payload that many pages share.
 
 Defined cases: null html is an empty payload; a null url gives no target; a null page id sorts after all
-others; repeated ids with one payload are all responses; an empty table makes no bundle.
+others; repeated ids with one payload are all responses; very long payloads are one record in a frame of its
+own; columns beside page_id, url and html are not read; an empty table makes no bundle.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ FRAME, BUNDLE, LEVEL = 1 << 18, 1 << 26, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PREFIX = "urn:page:"
+#: Shared digests up to which they are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 200_000
 INDEX = "page_id long, record_id string, record_type string, bundle string, frame long, offset long, length long"
 RECORDS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -148,8 +151,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = scratch.saved(first.where("n > 1").drop("n"), "warc-shared")
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame: int = FRAME, bundle: int = BUNDLE, level: int = LEVEL, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -178,8 +182,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame: int = FRAME,
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the bundles that an index names, read back through their seek tables and verified."""
-    spark = index.sparkSession
-    bundles = [r[0] for r in index.select("bundle").distinct().collect()]  # a row for each bundle
+    bundles = scratch.saved(index.select("bundle").distinct(), "warc-bundles")
 
     def run(batches):
         for b in batches:
@@ -196,7 +199,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return spark.createDataFrame([(x,) for x in sorted(bundles)], "bundle string").repartition(max(1, len(bundles))).mapInArrow(run, RECORDS)
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, RECORDS)
 
 
 def fetch(index: DataFrame, record_ids: DataFrame) -> DataFrame:
