@@ -7,6 +7,7 @@ separators that it leaves out.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ SEPARATORS = "\u2002\u2003\u2009\u202f"
 EDGES = " \\t\\r\\n.,!?;:\"'“”‘’()\\[\\]{}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
@@ -31,6 +37,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
 
 
+def strip_end(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+$", "")
+
+
 def normalize_basic(c: Column) -> Column:
     """Null as empty; no-break blanks and dashes in plain form; zero-width marks dropped; white space collapsed."""
     return collapse(F.translate(F.coalesce(c, F.lit("")), "\u00a0–—−\u200b\ufeff", " ---"))
@@ -77,8 +87,8 @@ def nfc(s: pd.Series) -> pd.Series:
 
 def strip_inflection(c: Column) -> Column:
     """(text, removed): without parentheses that hold only letters, hyphens, commas and slashes, at least one a hyphen."""
-    cleaned = collapse(F.regexp_replace(c, r"(?U)\(\s*(?=[^)]*-)[A-Za-zÅÄÖåäöÉéÜüÆæØø\-\s,/]+\)", ""))
-    return F.struct(cleaned.alias("text"), (cleaned != c).alias("removed"))
+    cleaned = lambda x: collapse(F.regexp_replace(x, r"(?U)\(\s*(?=[^)]*-)[A-Za-zÅÄÖåäöÉéÜüÆæØø\-\s,/]+\)", ""))
+    return let(c, lambda x: let(cleaned(x), lambda t: F.struct(t.alias("text"), (t != x).alias("removed"))))
 
 
 def strip_edges(c: Column) -> Column:
@@ -86,14 +96,14 @@ def strip_edges(c: Column) -> Column:
 
 
 def lexicon_key(c: Column) -> Column:
-    """(normalized, removed): composed text as a lexicon headword; composition is the caller's, see nfc()."""
-    bare = strip_inflection(collapse(F.coalesce(c, F.lit(""))))
-    return F.struct(F.lower(collapse(strip_edges(bare["text"]))).alias("normalized"), bare["removed"].alias("removed"))
+    """(normalized, removed): a text composed, without inflections and edge punctuation, in small letters."""
+    bare = strip_inflection(collapse(nfc(F.coalesce(c, F.lit("")))))
+    return let(bare, lambda b: F.struct(F.lower(collapse(strip_edges(b["text"]))).alias("normalized"), b["removed"].alias("removed")))
 
 
 def plain_key(c: Column) -> Column:
-    """The older headword form: edge punctuation off, small letters, parentheses kept inside."""
-    return F.lower(strip_edges(collapse(F.coalesce(c, F.lit("")))))
+    """The older headword form: composed, edge punctuation off, small letters, parentheses kept inside."""
+    return F.lower(strip_edges(collapse(nfc(F.coalesce(c, F.lit(""))))))
 
 
 def tokens(c: Column) -> Column:
@@ -122,8 +132,19 @@ def ends_with_any(c: Column, endings: tuple[str, ...]) -> Column:
     return out
 
 
+def listed(values: Column, between: str = ", ") -> Column:
+    """The non-empty members of a list on one line, or null."""
+    return F.nullif(F.array_join(F.filter(values, lambda x: x != ""), between), F.lit(""))
+
+
 def word_display(english: Column, pos: Column, article: Column, ipa: Column) -> Column:
     """One line for a word: meanings, the article or else the part of speech, and pronunciations between slashes."""
     kind = F.coalesce(F.nullif(article, F.lit("")), F.nullif(pos, F.lit("")))
     said = F.when(F.size(ipa) > 0, F.concat(F.lit("/"), F.array_join(ipa, "/, /"), F.lit("/")))
-    return F.concat_ws(" • ", F.nullif(F.array_join(english, ", "), F.lit("")), kind, said)
+    return F.concat_ws(" • ", listed(english), kind, said)
+
+
+def forms_display(noun: list[Column], verb: list[Column]) -> Column:
+    """The forms of a word on one line: those of a noun, or else those of a verb; null if it has neither."""
+    line = lambda parts: F.nullif(F.concat_ws(" • ", *(F.nullif(strip(p), F.lit("")) for p in parts)), F.lit(""))
+    return F.coalesce(line(noun), line(verb))

@@ -62,28 +62,43 @@ def best_forms(forms: str) -> Column:
     return F.coalesce(F.max(F.when(T.strip(c) != "", C.forms_rank(c)))["forms"], F.lit(""))
 
 
-def merge_groups(df: DataFrame, keys: list[str], order: Column, id_col: str = "id", forms: str = "forms", chapter: str = "chapter", occurrences: Column | None = None) -> DataFrame:
+def merge_groups(df: DataFrame, keys: list[str], order: Column, id_col: str = "id", forms: str = "forms", chapter: str = "chapter", occurrences: Column | None = None, lineage: str | None = None, override: tuple[str, str] | None = None) -> DataFrame:
     """One row per key: the survivor's columns, best forms, merged occurrences, sorted chapters and lineage.
 
     order: struct that ranks the rows of a group and ends in a unique field. Rows with an empty key column
-    are never merged. lineage: the other ids, in that order.
+    are never merged. The lineage (deduplicated_from) lists the ids that earlier merges put into lineage, then
+    the other ids of the group, each once and in that order, without the survivor's. override: (column, rule):
+    a value of rule that is not null in the group takes the place of the survivor's column.
     """
     empty = F.lit(False)
     for k in keys:
         empty = empty | (F.coalesce(F.col(k), F.lit("")) == "")
     alone = F.when(empty, F.col(id_col).cast("string"))
-    kept = [c for c in df.columns if c not in (*keys, forms)]
+    kept = [c for c in df.columns if c not in (*keys, forms, "occurrences", "chapters", "deduplicated_from", "group_size", *([override[1]] if override else []))]
+    nothing = F.array().cast(f"array<{df.schema[id_col].dataType.simpleString()}>")
+    earlier = F.coalesce(F.col(lineage), nothing) if lineage else nothing
     seen = occurrences if occurrences is not None else F.array(occurrence(chapter, "page", "source_pdf_page", id_col))
     rows = df.withColumns({"_alone": alone, "_order": order, "_seen": seen})
     out = rows.groupBy(*keys, "_alone").agg(
         F.min(F.struct("_order", *kept)).alias("keeper"),
         best_forms(forms).alias(forms),
         merged_occurrences(F.collect_list("_seen")).alias("occurrences"),
-        F.array_sort(F.collect_set(chapter)).alias("chapters"),
-        _rest(F.transform(F.array_sort(F.collect_list(F.struct("_order", F.col(id_col).alias("id")))), lambda x: x["id"])).alias("deduplicated_from"),
+        F.array_sort(F.collect_list(F.struct("_order", F.col(id_col).alias("id"), earlier.alias("earlier")))).alias("_members"),
         F.count("*").alias("group_size"),
+        *([F.max(override[1]).alias("_override")] if override else []),
     )
-    return out.select(*[F.col("keeper")[c].alias(c) for c in kept], forms, "occurrences", "chapters", "deduplicated_from", "group_size")
+    removed = F.concat(F.flatten(F.transform("_members", lambda x: x["earlier"])), _rest(F.transform("_members", lambda x: x["id"])))
+    chapters = F.array_sort(F.array_compact(F.array_distinct(F.transform("occurrences", lambda o: o["chapter"]))))
+    value = lambda c: F.coalesce("_override", F.col("keeper")[c]) if override and c == override[0] else F.col("keeper")[c]
+    return out.select(*[value(c).alias(c) for c in kept], forms, "occurrences", chapters.alias("chapters"), F.filter(F.array_distinct(removed), lambda x: x != F.col("keeper")[id_col]).alias("deduplicated_from"), "group_size")
+
+
+def normalize_final(cards: DataFrame, chapter: str = "chapter", id_col: str = "id") -> DataFrame:
+    """Final cards: texts without white space at the ends, chapters and occurrences filled where a card was never merged."""
+    own = F.array(occurrence(chapter, "page", "source_pdf_page", id_col))
+    chapters = F.coalesce("chapters", F.array_compact(F.array(chapter))) if "chapters" in cards.columns else F.array_compact(F.array(chapter))
+    seen = F.coalesce("occurrences", own) if "occurrences" in cards.columns else own
+    return cards.withColumns({"chapters": chapters, "occurrences": seen, **{c: T.strip(F.coalesce(c, F.lit(""))) for c in ("head", "translation", "forms")}})
 
 
 def conflicting_groups(df: DataFrame, key: str, value: str) -> DataFrame:

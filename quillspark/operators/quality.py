@@ -30,19 +30,64 @@ def structure_counts(df: DataFrame, rules: dict[str, Column], id_col: str = "id"
 
 def text_artifacts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, field, artifact): one row for each field and artifact in it."""
-    rules = {f"BAD_CHARACTER {name}": lambda v, ch=ch: v.contains(ch) for ch, name in BAD_CHARACTERS.items()}
-    rules["WHITESPACE_ARTIFACT"] = lambda v: v.rlike(r"[\n\r\t]")
-    rules["DOUBLE_SPACE"] = lambda v: v.contains("  ")
-    for word in LITERALS:
-        rules[f"SUSPICIOUS_TEXT {word}"] = lambda v, w=word: T.match_key(v).rlike(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])")
-    rules["TRAILING_HYPHEN"] = lambda v: T.strip(v).rlike("[A-Za-zÅÄÖåäö]{3,}-$")
     cells = df.select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")).where("x.v IS NOT NULL")
-    found = F.array_compact(F.array(*[F.when(rule(F.col("x.v")), F.lit(name)) for name, rule in rules.items()]))
+    v = F.col("x.v")
+    plain = {f"BAD_CHARACTER {name}": v.contains(ch) for ch, name in BAD_CHARACTERS.items()}
+    plain |= {"WHITESPACE_ARTIFACT": v.rlike(r"[\n\r\t]"), "DOUBLE_SPACE": v.contains("  "), "TRAILING_HYPHEN": T.strip_end(v).rlike("[A-Za-zÅÄÖåäö]{3,}-$")}
+    # all literals in one pass over the folded text
+    words = F.regexp_extract_all(F.lower(v), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(LITERALS)})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    literals = F.transform(F.array_distinct(words), lambda w: F.concat(F.lit("SUSPICIOUS_TEXT "), w))
+    found = F.concat(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in plain.items()])), literals)
     return cells.select(id_col, F.col("x.field").alias("field"), F.explode(found).alias("artifact"))
 
 
+def layout_rules(head: Column, translation: Column, page: Column) -> dict[str, Column]:
+    """Signs that a page's furniture was read as a card, or that rows ran together."""
+    low = F.lower(F.coalesce(head, F.lit("")))
+    return {
+        "NO_PAGE": page.isNull(),
+        "LONG_HEAD": F.length(head) > 80,
+        "LONG_TRANSLATION": F.length(translation) > 120,
+        "PAGE_AS_WORD": low.startswith("sidan "),
+        "CHAPTER_AS_WORD": low.startswith("kapitel "),
+        "HEADER": low.contains("ordlista"),
+    }
+
+
+def run_rules(head: Column, translation: Column, chapter: Column, page: Column) -> dict[str, Column]:
+    """What a parse run reports of its cards; a card may be reported for several reasons."""
+    head, translation = F.coalesce(head, F.lit("")), F.coalesce(translation, F.lit(""))
+    both = F.concat(head, F.lit(" "), translation)
+    return {
+        "PARENTHESES_LEFT": head.rlike("[()]"),
+        "NO_PAGE": page.isNull(),
+        "NO_CHAPTER": chapter.isNull(),
+        "SOFT_HYPHEN": both.contains(T.SOFT_HYPHEN),
+        "EMPTY_HEAD": T.strip(head) == "",
+        "EMPTY_TRANSLATION": T.strip(translation) == "",
+        "OPEN_TRANSLATION": T.strip_end(translation).rlike("[,/-]$"),
+    }
+
+
+#: Misspellings that must not come back.
+FORBIDDEN = ("enrmous", "käntt", "spontanteous")
+
+
+def final_violations(cards: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN, levels: tuple[str, ...] = ("B1-B2", "B1–B2"), id_col: str = "id") -> DataFrame:
+    """(id, rule, severity) of final cards (head, translation, forms, level, chapters, occurrences): empty texts, missing lists, forbidden fragments, repeated ids and pairs are errors, unexpected levels warnings."""
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("head", "translation", "forms"))))
+    rules = {"EMPTY_HEAD": T.strip(F.coalesce("head", F.lit(""))) == "", "EMPTY_TRANSLATION": T.strip(F.coalesce("translation", F.lit(""))) == "", "CHAPTERS_NO_LIST": F.col("chapters").isNull(), "OCCURRENCES_NO_LIST": F.col("occurrences").isNull()}
+    rules |= {f"FORBIDDEN {w}": text.contains(w) for w in forbidden}
+    rows = violations(cards, id_col, rules | {"UNEXPECTED_LEVEL": F.col("level").isNotNull() & ~F.col("level").isin(*levels)})
+    twice = cards.groupBy(id_col).count().where("count > 1").select(id_col, F.lit("DUPLICATE_ID").alias("rule"))
+    keyed = cards.select(id_col, T.match_key(F.col("head")).alias("h"), T.match_key(F.col("translation")).alias("t"))
+    pairs = keyed.groupBy("h", "t").agg(F.min(id_col).alias(id_col), F.count("*").alias("n")).where("n > 1").select(id_col, F.lit("DUPLICATE_PAIR").alias("rule"))
+    out = rows.unionByName(twice).unionByName(pairs)
+    return out.withColumn("severity", F.when(F.col("rule") == "UNEXPECTED_LEVEL", "WARNING").otherwise("ERROR"))
+
+
 def reason_rules(head: Column, translation: Column, forms: Column, chapter: Column, page: Column) -> dict[str, Column]:
-    """The reasons to look at a card again."""
+    """The reasons to look at a card again; HEAD and TRANSLATION name the sides of the entry in whatever languages."""
     none = F.lit("")
     head, translation, forms = F.coalesce(head, none), F.coalesce(translation, none), F.coalesce(forms, none)
     return {

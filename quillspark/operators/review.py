@@ -41,13 +41,13 @@ def ladder(answers: DataFrame, keys: list[str], time: str, tiebreak: str, known:
     """Level and next review day of each word from its whole answer log, without state.
 
     A word whose last answer is "learning" is at level 1; otherwise at 1 plus the known answers since the
-    last such one, at most the top level. Only the last "learning" is looked up, then answers are counted.
+    last such one, at most the top level. The last "learning" is looked up and answers are counted in one shuffle.
     """
     at = F.struct(F.col(time), F.col(tiebreak))
-    last = answers.groupBy(*keys).agg(F.max(F.when(~F.col(known), at)).alias("_fall"), F.max(at).alias("_last"))
-    run = answers.join(last, keys).where(F.col(known) & (F.col("_fall").isNull() | (at > F.col("_fall")))).groupBy(*keys).agg(F.count("*").alias("_run"))
-    level = F.least(F.lit(TOP_LEVEL), F.lit(1) + F.coalesce("_run", F.lit(0))).cast("int")
-    out = last.join(run, keys, "left").withColumn("level", level)
+    fall = F.max(F.when(~F.col(known), at)).over(Window.partitionBy(*keys))
+    rows = answers.withColumn("_fall", fall)
+    since = F.col(known) & (F.col("_fall").isNull() | (at > F.col("_fall")))
+    out = rows.groupBy(*keys).agg(F.count_if(since).alias("_run"), F.max(at).alias("_last")).withColumn("level", F.least(F.lit(TOP_LEVEL), F.lit(1) + F.col("_run")).cast("int"))
     return out.select(*keys, "level", F.date_add(F.to_date(F.col("_last")[time]), interval_days(F.col("level"))).alias("next_review"))
 
 
@@ -123,9 +123,46 @@ def migrate_progress(progress: DataFrame, id_map: DataFrame, existing: DataFrame
     return best.select("word_id", F.col("b.level").alias("level"), F.nullif(F.col("b.at"), F.lit("0001-01-01").cast("date")).alias("next_review"))
 
 
-def reset(store: DataFrame, prefixes: tuple[str, ...] = ("progress_", "status_"), key: str = "key") -> DataFrame:
-    """A key-value store without the keys of some prefixes."""
-    gone = F.lit(False)
+def is_due_by_date(next_review: Column, today: Column) -> Column:
+    """The older test, which looks at the date alone: without one a word is due."""
+    return next_review.isNull() | (F.to_date(next_review) <= today)
+
+
+def daily_review(words: DataFrame, key: str, word: str, level: str, next_review: str, today: Column, seed: str) -> DataFrame:
+    """All due words of each user in a shuffled order, that of md5(seed, key, word): (key, word, position)."""
+    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col(word).cast("string")))
+    due = words.where(is_due(F.col(level), F.col(next_review), today)).withColumn("_mark", mark)
+    return due.select(key, word, F.row_number().over(Window.partitionBy(key).orderBy("_mark", word)).alias("position"))
+
+
+def session_results(answers: DataFrame, keys: list[str], known: str) -> DataFrame:
+    """What each session came to: answers, known and still to learn."""
+    return answers.groupBy(*keys).agg(F.count("*").alias("answered"), F.count_if(known).alias("known"), F.count_if(~F.col(known)).alias("learning"))
+
+
+def put(store: DataFrame, new: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """A key-value store after writes: one value a key, the new one where there is one. The result is a new snapshot."""
+    rows = store.select(*keys, value, F.lit(0).alias("_new")).unionByName(new.select(*keys, value, F.lit(1).alias("_new")))
+    return rows.groupBy(*keys).agg(F.max_by(value, F.struct("_new", value)).alias(value))
+
+
+def get(store: DataFrame, keys: list[str], wanted: dict[str, tuple[str, str]], key: str = "key", value: str = "value") -> DataFrame:
+    """Point reads: wanted names for each key a column and a type; a missing or undecodable value is null."""
+    return store.groupBy(*keys).agg(*[F.max(F.when(F.col(key) == k, F.col(value)).try_cast(kind)).alias(name) for k, (name, kind) in wanted.items()])
+
+
+def onboarding(store: DataFrame, keys: list[str], flag: str, prefixes: tuple[str, ...] = ("progress_", "status_"), key: str = "key") -> DataFrame:
+    """Whether the first steps are still to be shown: neither the version's flag nor any progress is stored."""
+    begun = F.lit(False)
+    for p in prefixes:
+        begun = begun | F.col(key).startswith(p)
+    out = store.groupBy(*keys).agg(F.bool_or(F.col(key).startswith(prefixes[0])).alias("has_progress"), F.bool_or(F.col(key) == flag).alias("onboarded"), F.bool_or(begun).alias("_begun"))
+    return out.withColumn("show_onboarding", ~F.col("_begun") & ~F.col("onboarded")).drop("_begun")
+
+
+def reset(store: DataFrame, prefixes: tuple[str, ...] = ("progress_", "status_"), key: str = "key", statistics: tuple[str, ...] = ()) -> DataFrame:
+    """A key-value store without the keys of some prefixes and without some statistics."""
+    gone = F.col(key).isin(*statistics) if statistics else F.lit(False)
     for p in prefixes:
         gone = gone | F.col(key).startswith(p)
     return store.where(~gone)

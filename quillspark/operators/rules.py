@@ -6,9 +6,11 @@ cannot stop half-way, so gates belong to the sink.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import dedup
+
 
 def apply_corrections(df: DataFrame, corrections: DataFrame, id_col: str = "id", columns: list[str] | None = None) -> DataFrame:
     """Replaces the columns that a correction states (not null) by id; adds corrected."""
@@ -43,6 +45,27 @@ def special_merge(df: DataFrame, rules: DataFrame, value: str, id_col: str = "id
     return kept.unionByName(merged)
 
 
+def missing_members(df: DataFrame, rules: DataFrame, ids: str = "ids", id_col: str = "id") -> DataFrame:
+    """(rule_id, id) of the members of id-list rules that do not exist."""
+    return missing_targets(df, explode_merges(rules.select("rule_id", ids), ids, id_col), id_col).select("rule_id", id_col)
+
+
+def finalize(cards: DataFrame, special: DataFrame, keep_separate: DataFrame, merges: DataFrame, order: Column, head_key: str = "head_key", id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(final cards, decisions): id-list merges, then one decision for each headword, whose merges take the rule's translation.
+
+    cards: (id, head, translation, forms, occurrences, deduplicated_from, ...); special: (rule_id, ids, translation);
+    keep_separate: (head_key); merges: (head_key, translation). Lineage and occurrences add up over both steps.
+    """
+    members = explode_merges(special, "ids", id_col).select("rule_id", id_col, F.col("translation").alias("_by_rule"))
+    rows = cards.join(members, id_col, "left").withColumn("_group", F.col("rule_id").cast("string")).drop("rule_id")
+    step = lambda df: dedup.merge_groups(df, ["_group"], order, id_col, occurrences=F.col("occurrences"), lineage="deduplicated_from", override=("translation", "_by_rule")).drop("group_size")
+    once = step(rows)
+    groups = once.groupBy(head_key).agg(F.count("*").alias("n"))
+    decided = decide_conflicts(groups, head_key, keep_separate, merges)
+    by_head = decided.where("decision = 'MERGE'").select(head_key, F.col(head_key).alias("_group"), F.col("translation").alias("_by_rule"))
+    return step(once.join(by_head, head_key, "left")), decided
+
+
 def decide_conflicts(groups: DataFrame, key: str, keep_separate: DataFrame, merges: DataFrame) -> DataFrame:
     """Decision for each group of one headword: single, kept apart, merged by rule, or unresolved (kept and reported).
 
@@ -82,11 +105,29 @@ def apply_fixes(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns:
     updates = fixes.where("action = 'UPDATE_PREVIOUS'").join(matched.where("status = 'OK'").select("review", id_col), "review")
     last = updates.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("review")))).where("_r = 1").select(id_col, *columns)
     updated = apply_corrections(cards, last, id_col, columns).withColumn("origin", F.when(F.col("corrected"), "FIXED").otherwise("PARSED")).drop("corrected")
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("review"))  # fixes are written by hand, so few
-    added = fixes.where("action = 'ADD_CARD'").withColumn(id_col, F.format_string(f"{prefix}%04d", number)).select(id_col, *columns, F.lit("MANUAL").alias("origin"))
+    added = _added(fixes, id_col, prefix).select(id_col, *columns, F.lit("MANUAL").alias("origin"))
     return updated.unionByName(added, allowMissingColumns=True)
 
 
+def _added(fixes: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    return numbered(fixes.where("action = 'ADD_CARD'"), ["review"], "_number").withColumn(id_col, F.format_string(f"{prefix}%04d", F.col("_number"))).drop("_number")
+
+
+def fix_log(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: list[str], id_col: str = "id", prefix: str = "riv_b_manual_") -> DataFrame:
+    """(review, action, id, before_..., after_...) of each fix: an update's card before and after it, an added card's texts after; a skipped or unmatched one has no id.
+
+    Fixes of one card follow each other in the order of reviews: what one left is what the next found.
+    """
+    found = matched.where("status = 'OK'").select("review", id_col)
+    updates = fixes.where("action = 'UPDATE_PREVIOUS'").join(found, "review", "left").join(cards.select(id_col, *[F.col(c).alias(f"_{c}") for c in columns]), id_col, "left")
+    w = Window.partitionBy(id_col).orderBy("review")
+    upto = lambda c, last: F.coalesce(F.last_value(c, ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), f"_{c}")
+    told = [x for c in columns for x in (F.when(F.col(id_col).isNotNull(), upto(c, -1)).alias(f"before_{c}"), F.when(F.col(id_col).isNotNull(), upto(c, 0)).alias(f"after_{c}"))]
+    out = updates.select("review", "action", id_col, *told)
+    added = _added(fixes, id_col, prefix).select("review", "action", id_col, *[F.col(c).alias(f"after_{c}") for c in columns])
+    return out.unionByName(added, allowMissingColumns=True).unionByName(fixes.where("action = 'SKIP'").select("review", "action"), allowMissingColumns=True)
+
+
 def fix_completeness(fixes: DataFrame, expected: int, number: str = "review", required: tuple[str, ...] = ()) -> DataFrame:
     """Violations (number, problem): missing, repeated or unexpected numbers, unknown actions, added cards without texts."""
     spark = fixes.sparkSession
@@ -104,7 +145,9 @@ def fix_completeness(fixes: DataFrame, expected: int, number: str = "review", re
 
 def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     """Adds 1, 2, ... in a total order without one task for all rows: rows are dealt by ranges of the order and each range is offset by those before it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    # A stated number of ranges: neither use of them is coalesced, so both see the same partitions.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     return ranged.join(F.broadcast(before.drop("_n")), "_p").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_p", "_at", "_first", "_before")

@@ -8,20 +8,10 @@ from quillspark.functions import cards as C
 from quillspark.functions import text as T
 from quillspark.operators import dedup, quality
 from quillspark.plans import duck as D
-from quillspark.plans.views import cte, view
+from quillspark.plans.views import Registry, cte, view
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+query = Registry()
+QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
 CARDS = cte("cards")

@@ -59,9 +59,9 @@ def goes_on(x: str) -> str:
     return f"({t} = '' OR regexp_matches({t}, '[{T.SOFT_HYPHEN},/\\-–—]$'))"
 
 
-def goes_on_strict(x: str) -> str:
+def goes_on_strict(x: str, endings: tuple[str, ...] = C.OPEN_ENDINGS) -> str:
     t = f"lower({soft(f'regexp_replace(coalesce({x}, {chr(39)}{chr(39)}), {chr(39)}{WS}+$' + chr(39) + f', {chr(39)}{chr(39)})')})"
-    return f"({goes_on(x)} OR {ends(t, C.OPEN_ENDINGS)})"
+    return f"({goes_on(x)} OR {ends(t, endings)})"
 
 
 def broken(x: str) -> str:

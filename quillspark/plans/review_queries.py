@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import review as R
-from quillspark.plans.views import TODAY, cte, view
+from quillspark.plans.views import TODAY, Registry, cte, view
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+query = Registry()
+QUERIES, ORACLE_SQL = query.queries, query.sql
 ANSWERS, PROGRESS, STORE = cte("answers"), cte("progress"), cte("store")
 DAY = f"DATE '{TODAY}'"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def today():
     return F.lit(TODAY).cast("date")
 
@@ -36,22 +26,18 @@ def daily_stats(spark, sf):
     return R.daily_stats(view(spark, sf, "answers"), "ts", "known", ["user_id"])
 
 
-_STREAK = f"days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM answers WHERE word <> 'view' AND event_id % 3 = 0 AND CAST(ts AS DATE) <= {DAY}), isl AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS i FROM days), runs AS (SELECT user_id, count(*) AS n, max(day) AS last FROM isl GROUP BY user_id, i), streak AS (SELECT user_id, coalesce(max(n) FILTER (last = {DAY} OR last = {DAY} - 1), 0) AS streak FROM runs GROUP BY user_id) "
-
-
-def _studied(spark, sf):
-    return view(spark, sf, "answers").where("word <> 'view' AND event_id % 3 = 0")
+_STREAK = f"days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM answers WHERE CAST(ts AS DATE) <= {DAY}), isl AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS i FROM days), runs AS (SELECT user_id, count(*) AS n, max(day) AS last FROM isl GROUP BY user_id, i), streak AS (SELECT user_id, coalesce(max(n) FILTER (last = {DAY} OR last = {DAY} - 1), 0) AS streak FROM runs GROUP BY user_id) "
 
 
 @query(ANSWERS[:-1] + f", {_STREAK}SELECT user_id, streak FROM streak")
 def study_streak(spark, sf):
-    days = _studied(spark, sf).select("user_id", F.to_date("ts").alias("day"))
+    days = view(spark, sf, "answers").select("user_id", F.to_date("ts").alias("day"))
     return R.streaks(days.where(F.col("day") <= today()), "user_id", "day", today())
 
 
-@query(ANSWERS[:-1] + f", {_STREAK}SELECT user_id, count(*) FILTER (CAST(ts AS DATE) = {DAY}) AS today_studied, count(*) FILTER (known AND CAST(ts AS DATE) = {DAY}) AS today_known, count(*) AS total_studied, count(*) FILTER (known) AS total_known, coalesce(any_value(streak), 0) AS streak FROM answers LEFT JOIN streak USING (user_id) WHERE word <> 'view' AND event_id % 3 = 0 GROUP BY user_id")
+@query(ANSWERS[:-1] + f", {_STREAK}SELECT user_id, count(*) FILTER (CAST(ts AS DATE) = {DAY}) AS today_studied, count(*) FILTER (known AND CAST(ts AS DATE) = {DAY}) AS today_known, count(*) AS total_studied, count(*) FILTER (known) AS total_known, coalesce(any_value(streak), 0) AS streak FROM answers LEFT JOIN streak USING (user_id) GROUP BY user_id")
 def study_stats(spark, sf):
-    return R.study_stats(_studied(spark, sf), "user_id", "ts", "known", today())
+    return R.study_stats(view(spark, sf, "answers"), "user_id", "ts", "known", today())
 
 
 @query(
@@ -100,11 +86,11 @@ def session_build(spark, sf):
     return R.session(view(spark, sf, "progress"), "user_id", "word_id", "level", "next_review", today(), 20, "s1")
 
 
-@query(cte("cards") + "SELECT CASE WHEN level IN ('A1', 'A2') THEN 'A1-A2' WHEN level IN ('B1', 'B2') THEN 'B1-B2' ELSE 'C1-C2' END AS level_group, count(*) AS n FROM cards WHERE level <> 'X' GROUP BY ALL")
+@query(cte("cards") + "SELECT CASE WHEN level IN ('A1', 'A2') THEN 'A1-A2' WHEN level IN ('B1', 'B2') THEN 'B1-B2' WHEN level IN ('C1', 'C2') THEN 'C1-C2' END AS level_group, count(*) AS n FROM cards GROUP BY ALL")
 def level_groups(spark, sf):
     c = F.col("level")
-    group = F.when(c.isin("A1", "A2"), "A1-A2").when(c.isin("B1", "B2"), "B1-B2").otherwise("C1-C2")
-    return view(spark, sf, "cards").where("level <> 'X'").groupBy(group.alias("level_group")).agg(F.count("*").alias("n"))
+    group = F.when(c.isin("A1", "A2"), "A1-A2").when(c.isin("B1", "B2"), "B1-B2").when(c.isin("C1", "C2"), "C1-C2")
+    return view(spark, sf, "cards").groupBy(group.alias("level_group")).agg(F.count("*").alias("n"))
 
 
 @query(cte("cards", "progress") + "SELECT chapter, count(*) AS n_words, count(*) FILTER (progress.level >= 2) AS n_learned FROM cards LEFT JOIN progress ON word_id = id WHERE chapter > 0 GROUP BY chapter")
@@ -138,3 +124,59 @@ def migrate_progress(spark, sf):
 def progress_reset(spark, sf):
     prefix = F.when(F.col("word_id") % 3 == 0, "progress_").when(F.col("word_id") % 3 == 1, "status_").otherwise("theme_")
     return R.reset(view(spark, sf, "progress").select(F.concat(prefix, F.col("word_id").cast("string")).alias("key")))
+
+
+_POOLS = PROGRESS[:-1] + f", p AS (SELECT user_id, word_id, CASE WHEN coalesce(level, 0) <= 0 THEN 2 WHEN level = 1 THEN 1 WHEN {_due()} THEN 0 END AS pool, md5('s1|' || user_id || '|' || word_id) AS mark FROM progress) "
+
+
+@query(_POOLS + "SELECT user_id, word_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pool, mark, word_id) AS INTEGER) AS position FROM p WHERE pool IS NOT NULL")
+def session_all(spark, sf):
+    return R.session(view(spark, sf, "progress"), "user_id", "word_id", "level", "next_review", today(), None, "s1")
+
+
+@query(_POOLS + "SELECT user_id, word_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY mark, word_id) AS INTEGER) AS position FROM p WHERE pool = 0")
+def daily_review(spark, sf):
+    return R.daily_review(view(spark, sf, "progress"), "user_id", "word_id", "level", "next_review", today(), "s1")
+
+
+@query(PROGRESS + f"SELECT word_id, next_review IS NULL OR next_review <= {DAY} AS due FROM progress")
+def due_by_date(spark, sf):
+    return view(spark, sf, "progress").select("word_id", R.is_due_by_date(F.col("next_review"), today()).alias("due"))
+
+
+@query(ANSWERS + "SELECT user_id, CAST(ts AS DATE) AS session, count(*) AS answered, count(*) FILTER (known) AS known, count(*) FILTER (NOT known) AS learning FROM answers GROUP BY ALL")
+def session_result(spark, sf):
+    return R.session_results(view(spark, sf, "answers").withColumn("session", F.to_date("ts")), ["user_id", "session"], "known")
+
+
+#: A key-value store of each user: progress, statistics and settings, some of them flags of versions.
+_KEYS = "CASE CAST(word_id % 5 AS INTEGER) WHEN 0 THEN 'progress_' || CAST(word_id AS STRING) WHEN 1 THEN 'status_' || CAST(word_id AS STRING) WHEN 2 THEN 'stats_days' WHEN 3 THEN 'onboarding_v' || CAST(word_id % 3 AS STRING) ELSE 'theme' END"
+_KV = PROGRESS[:-1] + f", kv AS (SELECT user_id, {_KEYS.replace('STRING', 'VARCHAR')} AS key, max(coalesce(CAST(level AS VARCHAR), '')) AS value FROM progress GROUP BY ALL) "
+
+
+def _store(spark, sf):
+    rows = view(spark, sf, "progress").withColumn("key", F.expr(_KEYS))
+    return rows.groupBy("user_id", "key").agg(F.max(F.coalesce(F.col("level").cast("string"), F.lit(""))).alias("value"))
+
+
+@query(_KV + "SELECT user_id, key, CASE WHEN key = 'theme' THEN 'dark' ELSE value END AS value FROM kv UNION ALL SELECT DISTINCT user_id, 'language', 'sv' FROM kv")
+def store_write(spark, sf):
+    kv = _store(spark, sf)
+    users = kv.select("user_id").distinct()
+    new = kv.where("key = 'theme'").select("user_id", "key", F.lit("dark").alias("value")).unionByName(users.select("user_id", F.lit("language").alias("key"), F.lit("sv").alias("value")))
+    return R.put(kv, new, ["user_id", "key"])
+
+
+@query(_KV + "SELECT user_id, max(value) FILTER (key = 'theme') AS theme, max(TRY_CAST(value AS INTEGER)) FILTER (key = 'stats_days') AS days FROM kv GROUP BY user_id")
+def store_read(spark, sf):
+    return R.get(_store(spark, sf), ["user_id"], {"theme": ("theme", "string"), "stats_days": ("days", "int")})
+
+
+@query(_KV + "SELECT user_id, key, value FROM kv WHERE NOT prefix(key, 'progress_') AND NOT prefix(key, 'status_') AND key <> 'stats_days'")
+def store_reset(spark, sf):
+    return R.reset(_store(spark, sf), statistics=("stats_days",))
+
+
+@query(_KV + "SELECT user_id, bool_or(prefix(key, 'progress_')) AS has_progress, bool_or(key = 'onboarding_v2') AS onboarded, NOT bool_or(prefix(key, 'progress_') OR prefix(key, 'status_')) AND NOT bool_or(key = 'onboarding_v2') AS show_onboarding FROM kv GROUP BY user_id")
+def onboarding_flags(spark, sf):
+    return R.onboarding(_store(spark, sf), ["user_id"], "onboarding_v2")

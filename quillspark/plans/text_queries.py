@@ -9,23 +9,13 @@ from quillspark.functions import phonetics as P
 from quillspark.functions import text as T
 from quillspark.operators import lexicon as L
 from quillspark.plans import duck as D
-from quillspark.plans.views import cte, table, view
+from quillspark.plans.views import Registry, cte, table, view
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+query = Registry()
+QUERIES, ORACLE_SQL = query.queries, query.sql
 TEXTS, ENTRIES = cte("texts"), cte("entries")
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _over(role, column, functions):
     return lambda spark, sf: view(spark, sf, role).select("id", *[f(F.col(column)).alias(n) for n, f in functions.items()])
 
@@ -48,11 +38,11 @@ _pair("nfc_key", "texts", "t", {"composed": T.nfc}, {"composed": lambda x: f"nfc
 _pair("word_count", "texts", "t", {"n_words": T.word_count}, {"n_words": lambda x: f"CAST(len({D.tokens(x)}) AS INTEGER)"})
 _pair("detect_markers", "entries", "raw", {"chapter": lambda c: C.marker(c, "Kapitel"), "page": lambda c: C.marker(c, "Sidan")}, {"chapter": lambda x: D.marker(x, "Kapitel"), "page": lambda x: D.marker(x, "Sidan")})
 _pair("noise_filter", "entries", "raw", {"noise": C.is_noise}, {"noise": D.noise})
-_pair("continuation_signal", "texts", "t", {"open": C.goes_on, "open_strict": C.goes_on_strict, "short": lambda c: T.word_count(c).between(1, 8)}, {"open": D.goes_on, "open_strict": D.goes_on_strict, "short": lambda x: f"len({D.tokens(x)}) BETWEEN 1 AND 8"})
+_pair("continuation_signal", "texts", "t", {"open": C.goes_on, "open_strict": C.goes_on_strict, "open_older": lambda c: C.goes_on_strict(c, C.OLDER_ENDINGS), "short": lambda c: T.word_count(c).between(1, 8)}, {"open": D.goes_on, "open_strict": D.goes_on_strict, "open_older": lambda x: D.goes_on_strict(x, C.OLDER_ENDINGS), "short": lambda x: f"len({D.tokens(x)}) BETWEEN 1 AND 8"})
 
 _GROUP = "regexp_extract(t, '\\(([^()]*)\\)')"
 _STRIP = f"""
-{ENTRIES[:-1]}, s AS (SELECT id, {D.collapse('raw')} AS t FROM entries),
+{ENTRIES[:-1]}, s AS (SELECT id, {D.collapse('nfc_normalize(raw)')} AS t FROM entries),
 b AS (SELECT id, t, {D.collapse("regexp_replace(t, '\\(\\s*[A-Za-zÅÄÖåäöÉéÜüÆæØø\\s,/]*-[A-Za-zÅÄÖåäöÉéÜüÆæØø\\-\\s,/]*\\)', '', 'g')")} AS c FROM s) """
 _EDGE = "[ \\t\\r\\n.,!?;:\"''“”‘’()\\[\\]{}]"
 _LEX = D.collapse(f"regexp_replace(c, '^{_EDGE}+|{_EDGE}+$', '', 'g')")
@@ -60,7 +50,7 @@ _LEX = D.collapse(f"regexp_replace(c, '^{_EDGE}+|{_EDGE}+$', '', 'g')")
 
 @query(_STRIP + "SELECT id, c AS stripped, c <> t AS removed FROM b")
 def strip_inflection(spark, sf):
-    s = T.strip_inflection(T.collapse(F.col("raw")))
+    s = T.strip_inflection(T.collapse(T.nfc(F.col("raw"))))
     return view(spark, sf, "entries").select("id", s["text"].alias("stripped"), s["removed"].alias("removed"))
 
 
@@ -70,35 +60,52 @@ def lexicon_key(spark, sf):
 
 
 _FORMS_OK = f"({D.norm('{g}')} <> '' AND (contains({D.norm('{g}')}, ',') OR prefix({D.norm('{g}')}, '-')))".replace("{g}", "substr(g, 2, length(g) - 2)")
-_MORPH = f"{ENTRIES[:-1]}, m AS (SELECT id, t, list_extract([g FOR g IN regexp_extract_all(t, '\\([^()]*\\)') IF {_FORMS_OK}], 1) AS g FROM (SELECT id, {D.norm('raw')} AS t FROM entries)) "
 
 
-@query(_MORPH + f"SELECT id, CASE WHEN g IS NULL THEN t ELSE {D.norm('substr(t, 1, instr(t, g) - 1) || chr(32) || substr(t, instr(t, g) + length(g))')} END AS rest, CASE WHEN g IS NULL THEN '' ELSE {D.forms('substr(g, 2, length(g) - 2)')} END AS forms FROM m")
+def _grouped(name, source):
+    """CTE of a source (id, t): t and its forms group g."""
+    return f"{name} AS (SELECT id, t, list_extract([g FOR g IN regexp_extract_all(t, '\\([^()]*\\)') IF {_FORMS_OK}], 1) AS g FROM {source})"
+
+
+_INNER = "substr(g, 2, length(g) - 2)"
+_REST = f"CASE WHEN g IS NULL THEN t ELSE {D.norm('substr(t, 1, instr(t, g) - 1) || chr(32) || substr(t, instr(t, g) + length(g))')} END"
+_FORMS = f"CASE WHEN g IS NULL THEN '' ELSE {D.forms(_INNER)} END"
+_MORPH = f"{ENTRIES[:-1]}, " + _grouped("m", f"(SELECT id, {D.norm('raw')} AS t FROM entries)") + " "
+
+
+@query(_MORPH + f"SELECT id, {_REST} AS rest, {_FORMS} AS forms FROM m")
 def extract_morphology(spark, sf):
     m = C.extract_morphology(F.col("raw"))
     return view(spark, sf, "entries").select("id", m["text"].alias("rest"), m["forms"].alias("forms"))
 
 
-_SEPARATED = "replace(raw, ' sig ', '\u2002 ')"
-_WORDS = "[w FOR w IN regexp_split_to_array(" + _SEPARATED + ", '[ \\t\\n\\r]+') IF w <> '']"
+_WORDS = "[w FOR w IN regexp_split_to_array(raw, '[ \\t\\n\\r]+') IF w <> '']"
+_ANY = " OR ".join(f"contains(x, chr({ord(c)}))" for c in T.SEPARATORS)
+_PARTED = f"w AS (SELECT id, raw, {_WORDS} AS ws FROM entries), p AS (SELECT id, raw, ws, list_position([{_ANY} FOR x IN ws], true) AS k FROM w)"
 
 
-@query(ENTRIES[:-1] + f", w AS (SELECT id, {_WORDS} AS ws FROM entries), p AS (SELECT id, ws, list_position([contains(x, chr(8194)) FOR x IN ws], true) AS k FROM w) SELECT id, CASE WHEN k > 0 THEN array_to_string(ws[1:k], ' ') END AS head, CASE WHEN k > 0 THEN array_to_string(ws[k + 1:], ' ') END AS translation FROM p")
+@query(ENTRIES[:-1] + f", {_PARTED} SELECT id, CASE WHEN k > 0 THEN array_to_string(ws[1:k], ' ') END AS head, CASE WHEN k > 0 THEN array_to_string(ws[k + 1:], ' ') END AS translation FROM p")
 def split_separator(spark, sf):
-    s = C.split_by_separator(F.filter(F.split(F.expr(_SEPARATED), "[ \\t\\n\\r]+"), lambda x: x != ""))
+    s = C.split_by_separator(F.filter(F.split("raw", "[ \\t\\n\\r]+"), lambda x: x != ""))
     return view(spark, sf, "entries").select("id", s["head"].alias("head"), s["translation"].alias("translation"))
 
 
-
 def _particle(k):
     word = f"regexp_replace(a[{k}], '^[.,;:!?]+|[.,;:!?]+$', '', 'g')"
     return f"(coalesce({D.key(word)} IN ({', '.join(repr(p) for p in C.PARTICLES)}), false) AND len(a) > {k})"
 
 
-_SPLIT = _MORPH[:-1] + f""", x AS (SELECT id, t, g, trim(substr(t, 1, instr(t, g) - 1), ' ') AS b, {D.tokens('substr(t, instr(t, g) + length(g))')} AS a FROM m),
-n AS (SELECT *, CASE WHEN NOT {_particle(1)} THEN 0 WHEN NOT {_particle(2)} THEN 1 WHEN NOT {_particle(3)} THEN 2 ELSE 3 END AS k FROM x),
-r AS (SELECT id, t, g, b, a, {D.norm("concat_ws(' ', b, nullif(array_to_string(a[1:k], ' '), ''))")} AS head, {D.forms('substr(g, 2, length(g) - 2)')} AS forms, {D.norm("array_to_string(a[k + 1:], ' ')")} AS translation FROM n),
-s AS (SELECT id, g IS NOT NULL AND b <> '' AND len(a) > 0 AND head <> '' AND translation <> '' AS ok, head, forms, translation FROM r) """
+def _by_forms(source):
+    """CTEs from a source (id, t) to s: (id, ok, head, forms, translation)."""
+    after = D.tokens("substr(t, instr(t, g) + length(g))")
+    head, rest = D.norm("concat_ws(' ', b, nullif(array_to_string(a[1:k], ' '), ''))"), D.norm("array_to_string(a[k + 1:], ' ')")
+    return f"""{_grouped("fm", source)}, fx AS (SELECT id, t, g, trim(substr(t, 1, instr(t, g) - 1), ' ') AS b, {after} AS a FROM fm),
+fn AS (SELECT *, CASE WHEN NOT {_particle(1)} THEN 0 WHEN NOT {_particle(2)} THEN 1 WHEN NOT {_particle(3)} THEN 2 ELSE 3 END AS k FROM fx),
+fr AS (SELECT id, t, g, b, a, {head} AS head, {D.forms(_INNER)} AS forms, {rest} AS translation FROM fn),
+s AS (SELECT id, g IS NOT NULL AND b <> '' AND len(a) > 0 AND head <> '' AND translation <> '' AS ok, head, forms, translation FROM fr) """
+
+
+_SPLIT = f"{ENTRIES[:-1]}, " + _by_forms(f"(SELECT id, {D.norm('raw')} AS t FROM entries)")
 
 
 @query(_SPLIT + "SELECT id, CASE WHEN ok THEN head END AS head, CASE WHEN ok THEN forms END AS forms, CASE WHEN ok THEN translation END AS translation FROM s")
@@ -107,16 +114,32 @@ def split_morphology(spark, sf):
     return view(spark, sf, "entries").select("id", *[s[c].alias(c) for c in ("head", "forms", "translation")])
 
 
-@query(_SPLIT + "SELECT id, CASE WHEN ok THEN head END AS head, CASE WHEN ok THEN translation END AS translation, CASE WHEN ok THEN 'MORPHOLOGY_FALLBACK' END AS method FROM s")
+#: parsed: (id, raw, head, forms, translation, method), by separator or else by forms.
+PARSED = f"""{ENTRIES[:-1]}, {_PARTED},
+lm AS (SELECT id, {D.norm(D.clean_output("array_to_string(ws[1:k], ' ')"))} AS t, {D.clean_output("array_to_string(ws[k + 1:], ' ')")} AS translation FROM p WHERE k > 0),
+lg AS (SELECT lm.id, lm.t, m.g, lm.translation FROM lm JOIN ({_grouped("m", "lm").removeprefix("m AS (").removesuffix(")")}) m ON m.id = lm.id AND m.t = lm.t),
+bysep AS (SELECT id, {_REST} AS head, {_FORMS} AS forms, translation FROM lg),
+{_by_forms(f"(SELECT id, {D.norm(D.clean_output('raw'))} AS t FROM entries)")},
+parsed AS (SELECT e.id, e.raw, CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN 'UNICODE_SEPARATOR' WHEN s.ok THEN 'MORPHOLOGY_FALLBACK' END AS method,
+  CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN b.head WHEN s.ok THEN s.head END AS head,
+  CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN b.forms WHEN s.ok THEN s.forms END AS forms,
+  CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN b.translation WHEN s.ok THEN s.translation END AS translation
+  FROM entries e LEFT JOIN bysep b ON b.id = e.id LEFT JOIN s ON s.id = e.id) """
+
+
+@query(PARSED + "SELECT id, head, forms, translation, method FROM parsed")
 def parse_row(spark, sf):
     s = C.parse_row(F.col("raw"))
-    return view(spark, sf, "entries").select("id", *[s[c].alias(c) for c in ("head", "translation", "method")])
+    return view(spark, sf, "entries").select("id", s.alias("s")).select("id", "s.*")
 
 
-@query(_SPLIT + f"SELECT id, coalesce(ok AND {D.key('translation')} IN ({', '.join(repr(p) for p in C.LONE_PARTICLES)}), false) AS suspicious FROM s")
+SUSPICIOUS = f"coalesce(method = 'MORPHOLOGY_FALLBACK' AND {D.key('translation')} IN ({', '.join(repr(p) for p in C.LONE_PARTICLES)}), false)"
+
+
+@query(PARSED + f"SELECT id, {SUSPICIOUS} AS suspicious FROM parsed")
 def suspicious_fallback(spark, sf):
-    s = C.parse_row(F.col("raw"))
-    return view(spark, sf, "entries").select("id", C.suspicious_fallback(s["method"], s["translation"]).alias("suspicious"))
+    rows = view(spark, sf, "entries").select("id", C.parse_row(F.col("raw")).alias("s"))
+    return rows.select("id", C.suspicious_fallback(F.col("s.method"), F.col("s.translation")).alias("suspicious"))
 
 
 # A lexicon made from part names: letters are tokens, so most map and some are unknown.

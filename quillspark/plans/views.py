@@ -21,10 +21,10 @@ CARD = {
 #: Documents with the marks of badly extracted text.
 MESSY = "replace(replace(replace(replace(replace(text, 'e ', 'e '), ' a', ' –a'), 'th', 't\u200bh'), 'en ', 'e\u00adn, '), ' de ', ' - de ')"
 TEXT = {"id": "doc_id", "t": MESSY}
-#: Rows of an entry list made from documents: a headword, sometimes forms, sometimes a separator.
+#: Rows of an entry list made from whole documents: markers, a headword with forms, with a separator, both or neither, a page number.
 ROW = {
     "id": "doc_id",
-    "raw": "CASE CAST(doc_id % 6 AS INTEGER) WHEN 0 THEN 'Kapitel ' || CAST(doc_id AS STRING) WHEN 1 THEN substr(text, 1, 12) || ' (-en, -ar) på sig ' || substr(text, 20, 30) WHEN 2 THEN substr(text, 1, 9) || ' (-en) ' || substr(text, 10, 20) WHEN 3 THEN 'Sidan ' || CAST(doc_id % 90 AS STRING) || ' x' WHEN 4 THEN CAST(doc_id % 1000 AS STRING) ELSE 'ringa (-r, -de) in' END",
+    "raw": "CASE CAST(doc_id % 8 AS INTEGER) WHEN 0 THEN 'Kapitel ' || CAST(doc_id % 18 AS STRING) || ' ' || text WHEN 1 THEN text || ' (-en, -ar) på sig ' || text WHEN 2 THEN text || '\u2002' || ' ' || text WHEN 3 THEN 'Sidan ' || CAST(doc_id % 90 AS STRING) || ' ' || text WHEN 4 THEN '  ' || CAST(doc_id % 1000 AS STRING) WHEN 5 THEN text || ' (-r, -de) in' WHEN 6 THEN 'ett ord (-et,  -en)\u2003 ' || text ELSE text END",
 }
 ANSWER = {"event_id": "event_id", "user_id": "user_id", "word": "event_type", "ts": "ts", "known": "event_id % 4 <> 0"}
 PROGRESS = {
@@ -42,6 +42,23 @@ STORE = {
 ROLES = {"cards": ("part", CARD), "texts": ("documents", TEXT), "entries": ("documents", ROW), "answers": ("events", ANSWER), "progress": ("customer", PROGRESS), "store": ("customer", STORE)}
 
 
+class Registry:
+    """Queries of a module and their DuckDB forms, by name."""
+
+    def __init__(self):
+        self.queries: dict = {}
+        self.sql: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None):
+        def register(f):
+            self.queries[f.__name__] = f
+            if sql:
+                self.sql[f.__name__] = sql
+            return f
+
+        return register
+
+
 def view(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     table, columns = ROLES[role]
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
