@@ -327,10 +327,15 @@ class _Texts:
 
 
 def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent: int, largest: bool) -> DataFrame:
-    """Links of each node with the node it shares most elements with, of the first (or last) nodes of elements; members (element, node, label)."""
+    """Links of each node with the node it shares most elements with, of the first (or last) nodes of elements; members (element, node, label, n).
+
+    Pairs that share less than half of what a link needs are left to the exact steps: they share more elements at most by others' nodes.
+    """
     pick = F.max if largest else F.min
-    heads = scratch.saved(members.groupBy("element").agg(pick("node").alias("head"), F.max_by("label", F.col("node") if largest else -F.col("node")).alias("head_label"), F.count("*").alias("m")).where("m > 1").drop("m"), "jaccard-heads")
-    met = members.join(heads, "element").where("label <> head_label").groupBy("node", "label", "head", "head_label").agg(F.count("*").alias("c"))
+    heads = members.groupBy("element").agg(pick(F.struct(F.col("node").alias("head"), F.col("label").alias("head_label"), F.col("n").alias("head_n"))).alias("x"), F.count("*").alias("m")).where("m > 1")
+    heads = scratch.saved(heads.select("element", "x.*"), "jaccard-heads")
+    met = members.join(heads, "element").where("label <> head_label").groupBy("node", "label", "n", "head", "head_label", "head_n").agg(F.count("*").alias("c"))
+    met = met.where(_similar_sizes("n", "head_n", percent) & (2 * F.col("c") >= _least("n", "head_n", percent)))
     best = met.groupBy("node").agg(F.max_by(F.struct("label", "head", "head_label"), F.struct("c", "head")).alias("x")).select("node", "x.*")
     best = scratch.saved(best.join(classes.select("node", "size"), "node"), "jaccard-stars")
     per = best.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("size") / PAGE_BYTES)).alias("pages"))
@@ -339,33 +344,39 @@ def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent
     return scratch.saved(_join_tasks(texts.of(paged.select("node", "task", "label").unionByName(centres), "jaccard-star").select("task", "node", "label", "t"), n, percent, True), "jaccard-links")
 
 
+def _similar_sizes(a: str, b: str, percent: int):
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def _least(a: str, b: str, percent: int):
+    """Prefix elements that linked sets of these sizes share at least."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent)) - F.ceil(percent * F.greatest(a, b) / 100) + 1
+
+
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members (element, node, label, m) of elements (m nodes) whose nodes are not yet all in one component."""
+    """The members (element, node, n, label, m) of elements (of m nodes) whose nodes are not yet all in one component."""
     found = components(links.select("a", "b"), "jaccard-found")
-    rows = members.join(found, "node", "left").select("element", "node", F.coalesce("component", "node").alias("label"))
+    rows = members.join(found, "node", "left").select("element", "node", "n", F.coalesce("component", "node").alias("label"))
     rows = scratch.saved(rows, "jaccard-labels")
     open_ = rows.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("element", "m")
     return scratch.saved(rows.join(scratch.saved(open_, "jaccard-open"), "element"), "jaccard-rest")
 
 
-def _counted(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _counted(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of elements of few nodes that share enough elements; elements of many nodes count as shared by both."""
-    p = F.lit(percent)
     many = rest.where(F.col("m") > FEW).groupBy("node").agg(F.count("*").alias("many"))
-    sizes = classes.select("node", "n")
-    rows = rest.where(F.col("m") <= FEW).join(sizes, "node").join(many, "node", "left").select("element", "node", "label", "n", F.coalesce("many", F.lit(0)).alias("many"))
+    rows = rest.where(F.col("m") <= FEW).join(many, "node", "left").select("element", "node", "label", "n", F.coalesce("many", F.lit(0)).alias("many"))
     rows = scratch.saved(rows, "jaccard-few")
     other = rows.select("element", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "many")))
-    pairs = rows.join(other, "element").where("node < node_b AND label <> label_b").where((F.col("n") * 100 >= F.col("n_b") * p) & (F.col("n_b") * 100 >= F.col("n") * p))
-    counted = pairs.groupBy("node", "node_b").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("n", "n_b", "many", "many_b")))
-    least = F.ceil(p * (F.col("n") + F.col("n_b")) / (100 + p)) - F.ceil(p * F.greatest("n", "n_b") / 100) + 1
-    return counted.where(F.col("c") + F.least("many", "many_b") >= least).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    pairs = rows.join(other, "element").where("node < node_b AND label <> label_b").where(_similar_sizes("n", "n_b", percent))
+    counted = pairs.groupBy("node", "node_b", "n", "n_b", "many", "many_b").agg(F.count("*").alias("c"))
+    return counted.where(F.col("c") + F.least("many", "many_b") >= _least("n", "n_b", percent)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
 def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> DataFrame:
     """Edges (a, b) that connect whatever the signature trees of elements of many nodes leave as possible links."""
     rows = rest.where(F.col("m") > FEW)
-    if not rows.limit(1).count():
+    if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "a long, b long")
 
     def bitmaps(batches):
@@ -375,7 +386,7 @@ def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> D
 
     bits = texts.of(rows.select("node").distinct(), "jaccard-mapped").select("node", "t").mapInArrow(bitmaps, "node long, n long, bits binary")
     bits = scratch.saved(bits.dropDuplicates(["node"]), "jaccard-bitmaps")
-    rows = rows.join(bits, "node").withColumn("w", F.octet_length("bits")).withColumn("band", _band(percent))
+    rows = rows.drop("n").join(bits, "node").withColumn("band", _band(percent))
 
     def run(batches):
         for _, t in sorted_groups(batches):
@@ -437,7 +448,7 @@ def _links(members: DataFrame, texts: _Texts, n: int, percent: int, page: int, s
 
     links = joined(rows.where("NOT large").withColumn("task", F.col("block")), "jaccard-small")
     large = rows.where("large")
-    if large.limit(1).count():
+    if not large.isEmpty():
         paged, met = _pages(large.select("node", "label", "block", "band", "size"), "block", page, F.col("size"))
         met = scratch.saved(met, "jaccard-met")
         if spanning:
@@ -466,16 +477,21 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, p
     if percent >= 100:  # equal sets are one class already, and no others link
         return rows, classes, links
     texts = _Texts(docs, classes)
-    members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node"), "f").select("element", "node").distinct()
+    members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node", "n"), "f").select("element", "node", "n").distinct()
     members = scratch.saved(members.withColumn("label", F.col("node")), "jaccard-members")
     rest = members
-    if spanning:
-        for largest in (False, True):
-            links = links.unionByName(_star(rest, classes, texts, n, percent, largest))
-            rest = _labelled(rest.select("element", "node"), links)
-    else:
-        rest = _labelled(members.select("element", "node"), links)
-    edges = scratch.saved(_counted(rest, classes, percent).unionByName(_treed(rest, texts, n, percent, page)).distinct(), "jaccard-edges")
+    for largest in (False, True) if spanning else ():
+        if rest.isEmpty():
+            break
+        links = links.unionByName(_star(rest, classes, texts, n, percent, largest))
+        rest = _labelled(rest.select("element", "node", "n"), links)
+    if not spanning:
+        rest = _labelled(rest.select("element", "node", "n"), links)
+    if rest.isEmpty():
+        return rows, classes, links
+    edges = scratch.saved(_counted(rest, percent).unionByName(_treed(rest, texts, n, percent, page)).distinct(), "jaccard-edges")
+    if edges.isEmpty():
+        return rows, classes, links
     blocks = components(edges, "jaccard-closed")
     labels = rest.select("node", "label").distinct()
     found = scratch.saved(blocks.withColumnRenamed("component", "block").join(labels, "node").join(classes.select("node", "n", "size"), "node"), "jaccard-candidates")
