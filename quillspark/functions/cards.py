@@ -123,6 +123,16 @@ def join_continuation(previous: Column, following: Column) -> Column:
     return T.normalize_basic(T.let(T.strip_end(previous), lambda p: F.when(p.endswith(T.SOFT_HYPHEN), F.concat(F.substring(p, F.lit(1), F.length(p) - 1), n)).when(p.endswith("-"), F.concat(p, n)).otherwise(F.concat(p, F.lit(" "), n))))
 
 
+def merge_rows(first: Column, second: Column) -> Column:
+    """Two rows of one entry as one: glued after a soft hyphen, which goes, else with a blank."""
+    rest = F.regexp_replace(second, r"(?U)^[\s\x1c-\x1f]+", "")
+    return T.let(T.strip_end(first), lambda f: F.when(f.endswith(T.SOFT_HYPHEN), F.concat(F.substring(f, F.lit(1), F.length(f) - 1), rest)).otherwise(F.concat(f, F.lit(" "), rest)))
+
+
+def is_short_fragment(c: Column, most: int = 8) -> Column:
+    return T.let(T.word_count(T.normalize_basic(c)), lambda n: n.between(1, most))
+
+
 def is_broken(c: Column) -> Column:
     """A headword that goes on in the next row: an open parenthesis, or a soft hyphen before one."""
     opened, closed = T.count_of(c, "("), T.count_of(c, ")")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import cards as C
 from quillspark.functions import text as T
+from quillspark.operators.rules import numbered
 
 #: Ends of the left column and start of the right one, distance of words in a row, and samples of a boundary.
 LEFT_END, RIGHT_START, ROW_DISTANCE, BOUNDARY_SAMPLES = 280.0, 300.0, 1.8, 3
@@ -28,23 +29,25 @@ def visual_rows(tokens: DataFrame, page: list[str]) -> DataFrame:
     """Words (x0, y0, text) of each page column in rows: (page, column, row, y, raw, words).
 
     A word joins the current row if it is near that row's running mean height. The mean drifts with every
-    word, so this is a fold over the sorted words of one page column.
+    word, so this is a fold over the sorted words of one page column; it notes only where rows begin.
     """
     words = tokens.withColumn("column", column_of(F.col("x0"))).where("column IS NOT NULL")
     sorted_ = F.array_sort(F.collect_list(F.struct(F.col("y0").cast("double").alias("y0"), F.col("x0").cast("double").alias("x0"), "text")))
     grouped = words.groupBy(*page, "column").agg(sorted_.alias("ws"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<struct<row:int,x0:double,y0:double,text:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, w: Column) -> Column:
         near = (acc["n"] > 0) & (F.abs(w["y0"] - acc["mean"]) <= ROW_DISTANCE)
-        row = F.when(near, acc["row"]).otherwise(acc["row"] + 1)
         n = F.when(near, acc["n"] + 1).otherwise(1)
         mean = F.when(near, (acc["mean"] * acc["n"] + w["y0"]) / (acc["n"] + 1)).otherwise(w["y0"])
-        return F.struct(row.alias("row"), mean.alias("mean"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["text"].alias("text")))).alias("out"))
-
-    rows = grouped.select(*page, "column", F.explode(F.aggregate("ws", start, step, lambda a: a["out"])).alias("w")).select(*page, "column", "w.*")
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "text")))
-    out = rows.groupBy(*page, "column", "row").agg(F.avg("y0").alias("y"), ordered.alias("words"))
+        begins = F.when(near, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["at"])))
+        return F.struct((acc["at"] + 1).alias("at"), mean.alias("mean"), n.alias("n"), begins.alias("begins"))
+
+    cut = grouped.withColumn("begins", F.aggregate("ws", start, step, lambda a: F.concat(a["begins"], F.array(a["at"]))))
+    ends = F.transform(F.slice("begins", F.lit(1), F.size("begins") - 1), lambda b, i: F.slice("ws", b + 1, F.get("begins", i + 1) - b))
+    rows = cut.select(*page, "column", F.posexplode(ends).alias("row", "ws"))
+    y = F.aggregate("ws", F.lit(0.0), lambda a, w: a + w["y0"]) / F.size("ws")
+    out = rows.select(*page, "column", "row", y.alias("y"), F.array_sort(F.transform("ws", lambda w: F.struct(w["x0"].alias("x0"), w["text"].alias("text")))).alias("words"))
     return out.withColumn("raw", F.array_join(F.transform("words", lambda x: x["text"]), " "))
 
 
@@ -76,15 +79,35 @@ def split_at_gap(words: Column) -> Column:
     return F.when((F.size(words) > 1) & F.coalesce(wide & safe, F.lit(False)), F.struct(head.alias("head"), rest.alias("translation"), first["gap"].alias("gap")))
 
 
-def parse_rows(rows: DataFrame, partition: list[str], order: list, raw: str = "raw") -> DataFrame:
-    """The parse DAG: every row with its kind (MARKER, NOISE, CARD, REVIEW, REJECT), parsed parts, and carried chapter and page.
+def is_aligned(words: Column, boundary: Column, slack: float) -> Column:
+    """The row's first word stands where translations begin; false without a boundary."""
+    return F.coalesce(F.array_min(F.transform(words, lambda w: w["x0"])) >= boundary - slack, F.lit(False))
+
+
+def parse_rows(rows: DataFrame, partition: list[str], order: list, raw: str = "raw", first_number: int = 1) -> DataFrame:
+    """The parse DAG over repaired rows: every row with its kind (MARKER, NOISE, CARD, REVIEW, REJECT), parsed parts, carried chapter and page, and the card's id.
 
-    Cards, rejects and review items are filters of the result; nothing is parsed twice.
+    Cards, rejects and review items are filters of the result. Parsed texts are cleaned once more; ids number the
+    cards in the order of all rows.
     """
     t = F.col(raw)
-    out = rows.withColumns({"_chapter": C.marker(t, "Kapitel"), "_page": C.marker(t, "Sidan"), "parsed": C.parse_row(t)})
+    out = rows.withColumns({"_chapter": C.marker(t, "Kapitel"), "_page": C.marker(t, "Sidan"), "_noise": C.is_noise(t), "parsed": C.parse_row(t)})
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"chapter": F.last_value("_chapter", ignoreNulls=True).over(w), "page": F.last_value("_page", ignoreNulls=True).over(w)})
     odd = C.suspicious_fallback(F.col("parsed.method"), F.col("parsed.translation"))
-    kind = F.when(F.col("_chapter").isNotNull() | F.col("_page").isNotNull(), "MARKER").when(C.is_noise(t), "NOISE").when(F.col("parsed").isNull(), "REJECT").when(odd, "REVIEW").otherwise("CARD")
-    return out.withColumn("kind", kind).drop("_chapter", "_page")
+    kind = F.when(F.col("_chapter").isNotNull() | F.col("_page").isNotNull(), "MARKER").when(F.col("_noise"), "NOISE").when(F.col("parsed").isNull(), "REJECT").when(odd, "REVIEW").otherwise("CARD")
+    out = out.withColumn("kind", kind).drop("_chapter", "_page", "_noise")
+    clean = F.struct(T.clean_output(F.col("parsed.head")).alias("head"), T.normalize_forms(F.col("parsed.forms")).alias("forms"), T.clean_output(F.col("parsed.translation")).alias("translation"), F.col("parsed.method").alias("method"))
+    out = out.withColumn("parsed", F.when(F.col("parsed").isNotNull(), clean))
+    keys = [*partition, *order]
+    ids = numbered(out.where("kind = 'CARD'").select(*keys), keys).select(*keys, C.card_id(F.col("number") + (first_number - 1)).alias("card_id"))
+    return out.join(ids, keys, "left")
+
+
+def review_items(parsed: DataFrame, partition: list[str], order: list, raw: str = "raw") -> DataFrame:
+    """What a reader needs to settle each REVIEW or REJECT row of parse_rows(): the row, the card before it, the row after it, and the attempted parse."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    card = F.when(F.col("kind") == "CARD", F.struct(F.col("card_id").alias("id"), F.col("parsed.head").alias("head"), F.col("parsed.translation").alias("translation"), "chapter", "page"))
+    out = parsed.withColumns({"previous_card": F.last_value(card, ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next_row": F.lead(raw).over(w)})
+    reason = F.when(F.col("kind") == "REVIEW", "SUSPICIOUS_FALLBACK").otherwise("NO_SPLIT")
+    return out.where("kind IN ('REVIEW', 'REJECT')").withColumns({"reason": reason, "attempted_parse": F.col("parsed")}).drop("parsed", "card_id", "kind")

@@ -5,7 +5,6 @@ Windows are partitioned by document: order never crosses one, so partitions stay
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,40 +41,65 @@ def pair_greedily(df: DataFrame, partition: list[str], order: list, can_start: C
     return out.withColumn("pair", F.when(F.col("_first"), F.col("_n")).when(after, F.col("_n") - 1).otherwise(F.col("_n"))).drop("_s", "_run", "_first").withColumnRenamed("_n", "position")
 
 
-def merge_pairs(df: DataFrame, partition: list[str], text: str) -> DataFrame:
-    """Rows of pair_greedily joined: (partition, pair, text, n_rows)."""
-    glued = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(text).alias("t")))), lambda x: x["t"])
-    rows = df.groupBy(*partition, "pair").agg(glued.alias("_t"), F.count("*").alias("n_rows"))
-    return rows.withColumn(text, F.when(F.size("_t") > 1, C.join_continuation(F.get("_t", F.lit(0)), F.get("_t", F.lit(1)))).otherwise(F.get("_t", F.lit(0)))).drop("_t")
+def _joined_rows(rows: DataFrame, partition: list[str], order: list, starts: Column, raw: str) -> DataFrame:
+    """Greedy pairs of neighbouring rows as one row: the first one's columns, the text of both, position and n_rows."""
+    paired = pair_greedily(rows, partition, order, starts)
+    w = Window.partitionBy(*partition, "pair")
+    both = paired.withColumns({"_second": F.lead(raw).over(w.orderBy("position")), "n_rows": F.count("*").over(w)}).where("position = pair")
+    return both.withColumn(raw, F.when(F.col("n_rows") > 1, C.merge_rows(F.col(raw), F.col("_second"))).otherwise(F.col(raw))).drop("_second", "pair")
 
 
-def fold_continuations(df: DataFrame, partition: str, order: str, text: str, fragment: str) -> DataFrame:
-    """Appends fragments to the row before whose text, as joined so far, goes on; chains follow.
+def repair_broken_rows(rows: DataFrame, partition: list[str], order: list, side: str = "side", raw: str = "raw") -> DataFrame:
+    """Rows whose headword breaks off (an open parenthesis) joined with the next row of the same column; at most two rows become one."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    same = rows.withColumn("_same", F.lead(side).over(w) == F.col(side))
+    return _joined_rows(same, partition, order, C.is_broken(F.col(raw)) & F.col("_same"), raw).drop("_same")
+
+
+def prejoin_rows(rows: DataFrame, partition: list[str], order: list, side: str = "side", y: str = "y", raw: str = "raw") -> DataFrame:
+    """Rows joined with the next one of their column, near below: after a soft hyphen, or if a separated translation goes on and the next row is a short fragment."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    out = rows.withColumns({"_side": F.lead(side).over(w), "_y": F.lead(y).over(w), "_raw": F.lead(raw).over(w)})
+    near = (F.col("_side") == F.col(side)) & F.col("_y").isNotNull() & (F.col("_y") - F.col(y) > 0) & (F.col("_y") - F.col(y) < 24)
+    filled = (T.normalize_basic(F.col(raw)) != "") & (T.normalize_basic(F.col("_raw")) != "")
+    parted = C.split_by_separator(F.filter(F.split(raw, "[ \\t\\n\\r]+"), lambda x: x != ""))
+    unfinished = F.coalesce(T.let(parted, lambda p: F.when(p.isNotNull(), C.goes_on_strict(p["translation"]))), F.lit(False))
+    starts = near & filled & (T.strip_end(F.col(raw)).endswith(T.SOFT_HYPHEN) | (unfinished & C.is_short_fragment(F.col("_raw"))))
+    return _joined_rows(out, partition, order, starts, raw).drop("_side", "_y", "_raw")
 
-    The joined text decides about the next row, so this is a true fold: one group per document, in order.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for key, at, t, f in pdf.sort_values(order)[[partition, order, text, fragment]].itertuples(index=False):
-            t = t or ""
-            if out and f and _goes_on(out[-1][2]):
-                out[-1][2], out[-1][3] = _joined(out[-1][2], t), out[-1][3] + 1
-            else:
-                out.append([key, at, t, 1])
-        return pd.DataFrame(out, columns=[partition, order, text, "n_rows"])
+def continues_below(y: Column, side: Column, page: Column, last_y: Column, last_side: Column, last_page: Column, reach: float = 27.0) -> Column:
+    """A row of the same column and page, a little below."""
+    return F.coalesce((side == last_side) & (page == last_page) & (y - last_y > 0) & (y - last_y < reach), F.lit(False))
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(partition, order, text, fragment).groupBy(partition).applyInPandas(fold, f"{partition} {kinds[partition]}, {order} {kinds[order]}, {text} string, n_rows long")
 
+def continues_across(y: Column, side: Column, page: Column, last_y: Column, last_side: Column, last_page: Column, low: float = 680.0, high: float = 150.0) -> Column:
+    """The top of the right column after the bottom of the left one of the same page."""
+    return F.coalesce((page == last_page) & (last_side == "left") & (side == "right") & (last_y > low) & (y < high), F.lit(False))
 
-def _goes_on(t: str) -> bool:
-    t = t.rstrip()
-    return not t or t[-1] in T.SOFT_HYPHEN + ",/-–—" or t.replace(T.SOFT_HYPHEN, "").casefold().endswith(C.OPEN_ENDINGS)
 
+def fold_continuations(rows: DataFrame, partition: str, order: str, text: str, joins: Column, aligned: Column | None = None) -> DataFrame:
+    """Appends fragments to the row before: (partition, first order, text, n_rows).
 
-def _joined(previous: str, following: str) -> str:
-    previous, following = previous.rstrip(), following.strip()
-    if previous.endswith(T.SOFT_HYPHEN):
-        return " ".join((previous[:-1] + following).split())
-    return " ".join((previous + ("" if previous.endswith("-") else " ") + following).split())
+    rows: (partition, order, text, y, side, page); joins: the row may be a fragment. It is appended if it lies just
+    below the last row of its card, whose text as joined so far goes on, or at the top of the next column. The joined
+    text decides about the next row, so this is a true fold, over the rows of one document in order.
+    """
+    may = joins if aligned is None else joins & aligned
+    row = F.struct(F.col(order).alias("at"), F.coalesce(text, F.lit("")).alias("text"), F.col("y").cast("double").alias("y"), "side", "page", F.coalesce(may, F.lit(False)).alias("may"))
+    grouped = rows.groupBy(partition).agg(F.array_sort(F.collect_list(row)).alias("ws"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    card = f"struct<at:{kinds[order]},text:string,n_rows:bigint>"
+    start = F.struct(F.array().cast(f"array<{card}>").alias("done"), F.lit(None).cast(card).alias("card"), F.lit(None).cast("double").alias("y"), F.lit(None).cast(kinds["side"]).alias("side"), F.lit(None).cast(kinds["page"]).alias("page"))
+
+    def step(acc: Column, w: Column) -> Column:
+        at = (w["y"], w["side"], w["page"], acc["y"], acc["side"], acc["page"])
+        near = (continues_below(*at) & C.goes_on_strict(acc["card"]["text"])) | continues_across(*at)
+        more = acc["card"].isNotNull() & w["may"] & near
+        joined = F.struct(acc["card"]["at"].alias("at"), C.join_continuation(acc["card"]["text"], w["text"]).alias("text"), (acc["card"]["n_rows"] + 1).alias("n_rows"))
+        new = F.struct(w["at"].alias("at"), w["text"].alias("text"), F.lit(1).cast("bigint").alias("n_rows"))
+        done = F.when(more | acc["card"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["card"])))
+        return F.struct(done.alias("done"), F.when(more, joined).otherwise(new).alias("card"), w["y"].alias("y"), w["side"].alias("side"), w["page"].alias("page"))
+
+    cards = F.aggregate("ws", start, step, lambda a: F.concat(a["done"], F.array(a["card"])))
+    return grouped.select(partition, F.explode(cards).alias("c")).select(partition, F.col("c.at").alias(order), F.col("c.text").alias(text), "c.n_rows")

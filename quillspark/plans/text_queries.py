@@ -114,8 +114,8 @@ def split_morphology(spark, sf):
     return view(spark, sf, "entries").select("id", *[s[c].alias(c) for c in ("head", "forms", "translation")])
 
 
-#: parsed: (id, raw, head, forms, translation, method), by separator or else by forms.
-PARSED = f"""{ENTRIES[:-1]}, {_PARTED},
+#: CTEs from entries (id, raw) to parsed: (id, raw, head, forms, translation, method), by separator or else by forms.
+PARSED_CTES = f"""{_PARTED},
 lm AS (SELECT id, {D.norm(D.clean_output("array_to_string(ws[1:k], ' ')"))} AS t, {D.clean_output("array_to_string(ws[k + 1:], ' ')")} AS translation FROM p WHERE k > 0),
 lg AS (SELECT lm.id, lm.t, m.g, lm.translation FROM lm JOIN ({_grouped("m", "lm").removeprefix("m AS (").removesuffix(")")}) m ON m.id = lm.id AND m.t = lm.t),
 bysep AS (SELECT id, {_REST} AS head, {_FORMS} AS forms, translation FROM lg),
@@ -125,6 +125,7 @@ parsed AS (SELECT e.id, e.raw, CASE WHEN coalesce(b.head <> '' AND b.translation
   CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN b.forms WHEN s.ok THEN s.forms END AS forms,
   CASE WHEN coalesce(b.head <> '' AND b.translation <> '', false) THEN b.translation WHEN s.ok THEN s.translation END AS translation
   FROM entries e LEFT JOIN bysep b ON b.id = e.id LEFT JOIN s ON s.id = e.id) """
+PARSED = f"{ENTRIES[:-1]}, {PARSED_CTES}"
 
 
 @query(PARSED + "SELECT id, head, forms, translation, method FROM parsed")
