@@ -37,13 +37,13 @@ from quillspark.llm.components import sorted_groups
 from quillspark.llm.text_kernels import U64, batches_by_bytes, trim, words
 
 #: Latent states, the most rounds, and the rise of log likelihood for each token that ends them.
-STATES, ROUNDS, GAIN = 6, 6, 0.01
+STATES, ROUNDS, GAIN = 6, 6, 0.02
 #: Bytes of texts of a part and for each bucket of words, tokens of a row of tokens.
 PART_BYTES, BUCKET_BYTES, CHUNK = 32 << 20, 12 << 20, 1 << 20
 #: Texts of the first clusters, their most bytes each, and the words that cluster them.
 SAMPLE, SAMPLE_BYTES, SAMPLE_WORDS = 1000, 16 << 10, 2000
 #: Tokens handled at once, tokens of a text that is cut and of its stretches, smoothing of start and transition counts.
-POOL, LONG, STRETCH, SMOOTH = 1 << 19, 4096, 512, 0.05
+POOL, LONG, STRETCH, SMOOTH = 1 << 20, 1536, 768, 0.05
 #: Steps of a stored share for each doubling.
 STEPS = 20
 END = U64(1)
@@ -64,7 +64,7 @@ class Model:
     """Start, transition and emission probabilities; emissions have a row for each symbol."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
+        self.start, self.move, self.emit, self.short = start, move, np.ascontiguousarray(emit), None
 
     def _stretches(self, symbols: np.ndarray, first: np.ndarray, both: bool):
         """(cuts, opening, before, after): stretches of all sequences; the state vectors before those that open no sequence, and those after, from behind."""
@@ -125,39 +125,54 @@ class Model:
         return np.add.reduceat(out, np.searchsorted(cuts[:-1], first[:-1])) if len(first) > 1 else out
 
     def expected(self, symbols: np.ndarray, first: np.ndarray, counts: list[np.ndarray]) -> float:
-        """Adds the expected counts of sequences to (start, move, emit); returns their log likelihood."""
+        """Adds the expected counts of sequences to (start, move, emit); returns their log likelihood. Vectors of a token are short floats, counts are long ones."""
         cuts, opening, before, after = self._stretches(symbols, first, True)
         length = np.diff(cuts)
         order = np.argsort(-length, kind="stable")
-        at, length, opening, before, after = cuts[:-1][order], length[order], opening[order], before[order], after[order]
+        at, length, opening, before, after = cuts[:-1][order], length[order], opening[order], before[order].astype(np.float32), after[order].astype(np.float32)
         active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()
-        alphas, scales, likelihood = [], [], 0.0
+        if self.short is None:
+            self.short = self.emit.astype(np.float32)
+        probability, step = self.short, self.move.astype(np.float32)
+        alphas, emitted, scales, places, likelihood = [], [], [], [], 0.0
         for t, n in enumerate(active):
-            e = self.emit[symbols[at[:n] + t]]
-            a = np.where(opening[:, None], self.start, before @ self.move) * e if t == 0 else (alphas[-1][:n] @ self.move) * e
+            place = symbols[at[:n] + t]
+            e = probability[place]
+            a = (np.where(opening[:, None], self.start.astype(np.float32), before @ step) if t == 0 else alphas[-1][:n] @ step) * e
             s = a.sum(1)
-            alphas.append(a / s[:, None])
+            a /= s[:, None]
+            alphas.append(a)
+            emitted.append(e)
             scales.append(s)
-            likelihood += float(np.log(s).sum())
+            places.append(place)
+            likelihood += float(np.log(s, dtype=np.float64).sum())
         start, move, emit = counts
-        beta, gammas, places = None, [], []
+        moved = np.zeros_like(move)
+        beta, gammas = None, []
         for t in range(len(active) - 1, -1, -1):
             n, m = active[t], active[t + 1] if t + 1 < len(active) else 0
-            new = after[:n] / (alphas[t][:n] * after[:n]).sum(1, keepdims=True)  # of stretches that end here
+            if n > m:  # stretches that end here
+                new = np.empty_like(alphas[t])
+                new[m:] = after[m:n] / (alphas[t][m:] * after[m:n]).sum(1, keepdims=True)
             if m:
-                ahead = self.emit[symbols[at[:m] + t + 1]] * beta / scales[t + 1][:, None]
-                move += alphas[t][:m].T @ ahead * self.move
-                new[:m] = ahead @ self.move.T
-            beta = new
-            g = alphas[t] * beta
-            gammas.append(g / g.sum(1, keepdims=True))
-            places.append(symbols[at[:n] + t])
+                ahead = emitted[t + 1]
+                ahead *= beta
+                ahead /= scales[t + 1][:, None]
+                moved += alphas[t][:m].T @ ahead
+                back = ahead @ step.T
+                beta = back if n == m else new
+                beta[:m] = back
+            else:
+                beta = new
+            gammas.append(alphas[t] * beta)
         later = np.flatnonzero(~opening)
         if len(later):
-            ahead = (self.emit[symbols[at]] * beta / scales[0][:, None])[later]
-            move += before[later].T @ ahead * self.move
-        start += gammas[-1][opening].sum(0)
+            moved += before[later].T @ (emitted[0] * beta / scales[0][:, None])[later]
+        move += moved * self.move
+        start += gammas[-1][opening].sum(0, dtype=np.float64)
+        gammas.reverse()
         g, place = np.concatenate(gammas), np.concatenate(places)
+        g /= g.sum(1, keepdims=True)
         for k in range(g.shape[1]):
             emit[:, k] += np.bincount(place, g[:, k], len(emit))
         return likelihood
