@@ -24,20 +24,63 @@ def classify(words: DataFrame, lexicon: DataFrame, key: str = "normalized") -> D
 
 
 def components(words: DataFrame, lexicon: DataFrame, id_col: str, key: str = "normalized") -> DataFrame:
-    """Multi-word entries: parts found, all found, and whether the whole stands in the lexicon."""
-    known = lexicon.select(F.col("word").alias("part"), F.lit(True).alias("found")).distinct()
-    parts = words.select(id_col, key, F.posexplode(T.tokens(F.col(key))).alias("position", "part")).join(known, "part", "left")
-    met = parts.groupBy(id_col, key).agg(F.count("*").alias("n_parts"), F.count_if("found").alias("n_found"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "part"))), lambda x: x["part"]), " ").alias("parts"))
-    whole = lexicon.select(F.col("word").alias(key), F.lit(True).alias("direct")).distinct()
-    return met.join(whole, key, "left").select(id_col, "n_parts", "n_found", "parts", (F.col("n_parts") == F.col("n_found")).alias("all_found"), F.coalesce("direct", F.lit(False)).alias("direct_match"))
+    """Multi-word entries against pronunciations(): parts found, all found, each part's pronunciations and IPA, and those of the whole entry, which tell but never decide."""
+    known = lexicon.select(F.col("word").alias("part"), "pronunciations")
+    parts = words.select(id_col, key, F.posexplode(T.tokens(F.col(key))).alias("position", "part")).join(known, "part", "left").withColumn("_d", P.distinct_ipa("pronunciations"))
+    nothing = F.array().cast("array<string>")
+    item = F.struct("position", F.col("part").alias("word"), F.col("pronunciations").isNotNull().alias("found"), F.coalesce("pronunciations", nothing).alias("pronunciations"), F.coalesce("_d.distinct_ipa", nothing).alias("distinct_ipa"))
+    met = parts.groupBy(id_col, key).agg(F.count("*").alias("n_parts"), F.count("pronunciations").alias("n_found"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("position")).alias("components"))
+    whole = lexicon.select(F.col("word").alias(key), F.struct("pronunciations", P.distinct_ipa("pronunciations")["distinct_ipa"].alias("distinct_ipa")).alias("direct"))
+    return met.join(whole, key, "left").select(id_col, "n_parts", "n_found", "components", (F.col("n_parts") == F.col("n_found")).alias("all_found"), F.col("direct").isNotNull().alias("direct_match"), "direct")
+
+
+def _routed(words: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, route, removed, unknown, all_found, direct_match) of every entry."""
+    rows = words.select(F.col(id_col), T.lexicon_key(F.col(text_col)).alias("k")).select(id_col, "k.*").withColumn("n_words", T.word_count(F.col("normalized")))
+    single = classify(rows.where("n_words = 1"), lexicon).select(id_col, F.col("status").alias("route"), "removed", F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"))
+    pairs = rows.where("n_words = 2")
+    two = components(pairs, lexicon, id_col).join(pairs.select(id_col, "removed"), id_col).select(id_col, F.lit("REVIEW_TWO_WORD").alias("route"), "removed", "all_found", "direct_match")
+    rest = rows.where("n_words NOT IN (1, 2)").select(id_col, F.when(F.col("n_words") == 0, "EMPTY").otherwise("TOO_LONG").alias("route"), "removed")
+    return single.unionByName(two, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
 def audit(words: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, route): EMPTY, TOO_LONG, REVIEW_TWO_WORD, or the class of a single word."""
-    rows = words.withColumn("normalized", T.lexicon_key(F.col(text_col))["normalized"]).withColumn("n_words", T.word_count(F.col("normalized")))
-    single = classify(rows.where("n_words = 1"), lexicon).select(id_col, F.col("status").alias("route"))
-    rest = F.when(F.col("n_words") == 0, "EMPTY").when(F.col("n_words") == 2, "REVIEW_TWO_WORD").otherwise("TOO_LONG")
-    return single.unionByName(rows.where("n_words <> 1").select(id_col, rest.alias("route")))
+    return _routed(words, lexicon, id_col, text_col).select(id_col, "route")
+
+
+def audit_summary(words: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(metric, value): how the entries fare against the lexicon, in 22 counts and shares."""
+    r, cleaned = F.col("route"), F.col("removed")
+    one, found = r.isin("SAFE", "REVIEW", "MISSING"), r.isin("SAFE", "REVIEW")
+    two, skipped = r == "REVIEW_TWO_WORD", r.isin("EMPTY", "TOO_LONG")
+    metrics = {
+        "total": F.count("*"),
+        "eligible": F.count_if(~skipped),
+        "classified": F.count_if(one | two),
+        "skipped": F.count_if(skipped),
+        "safe": F.count_if(r == "SAFE"),
+        "review": F.count_if(r == "REVIEW"),
+        "review_two_word": F.count_if(two),
+        "missing": F.count_if(r == "MISSING"),
+        "safe_percent_of_eligible": F.round(F.coalesce(F.try_divide(F.count_if(r == "SAFE") * 100, F.count_if(~skipped)), F.lit(0.0)), 2),
+        "one_word_total": F.count_if(one),
+        "one_word_found": F.count_if(found),
+        "one_word_missing": F.count_if(r == "MISSING"),
+        "two_word_total": F.count_if(two),
+        "two_word_all_components_found": F.count_if(two & F.col("all_found")),
+        "two_word_direct_matches": F.count_if(two & F.col("direct_match")),
+        "inflections_removed": F.count_if(cleaned),
+        "cleaned_now_safe": F.count_if(cleaned & (r == "SAFE")),
+        "cleaned_now_review": F.count_if(cleaned & (r == "REVIEW")),
+        "cleaned_still_missing": F.count_if(cleaned & (r == "MISSING")),
+        "cleaned_still_two_word": F.count_if(cleaned & two),
+        "unknown_symbol_occurrences": F.coalesce(F.sum(F.size("unknown")), F.lit(0)),
+    }
+    routed = _routed(words, lexicon, id_col, text_col)
+    counts = routed.agg(*[c.cast("double").alias(n) for n, c in metrics.items()])
+    kinds = routed.select(F.explode("unknown").alias("u")).agg(F.count_distinct("u").cast("double").alias("unique_unknown_symbols"))
+    return counts.crossJoin(kinds).unpivot([], [*metrics, "unique_unknown_symbols"], "metric", "value")  # one row beside one row
 
 
 def unknown_symbols(classified: DataFrame) -> DataFrame:
@@ -49,3 +92,16 @@ def coverage(words: DataFrame, lexicon: DataFrame, id_col: str, key: str = "norm
     """(id, match): DIRECT, COMPOSED (every part found) or MISSING."""
     met = components(words, lexicon, id_col, key)
     return met.select(id_col, F.when(F.col("direct_match"), "DIRECT").when(F.col("all_found"), "COMPOSED").otherwise("MISSING").alias("match"))
+
+
+def coverage_summary(words: DataFrame, lexicon: DataFrame, id_col: str, key: str = "normalized") -> DataFrame:
+    """(match, n, percent) of coverage(), percent of all entries rounded to two places."""
+    counts = coverage(words, lexicon, id_col, key).groupBy("match").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("match", "n", F.round(F.col("n") * 100 / F.col("total"), 2).alias("percent"))  # three rows beside one
+
+
+def probe(lexicon: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """(word, found, pronunciations) of a few words that a lexicon should have."""
+    asked = lexicon.sparkSession.createDataFrame([(w,) for w in words], "asked string").withColumn("key", T.plain_key(F.col("asked")))
+    return asked.join(lexicon, F.col("key") == F.col("word"), "left").select(F.col("asked").alias("word"), F.col("pronunciations").isNotNull().alias("found"), "pronunciations")

@@ -8,7 +8,7 @@ from quillspark.functions import cards as C
 from quillspark.functions import text as T
 from quillspark.operators import dedup, quality
 from quillspark.plans import duck as D
-from quillspark.plans.views import Registry, cte, view
+from quillspark.plans.views import MESSY, ROW, Registry, cte, table, view
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -55,9 +55,14 @@ def dup_grouping_sets(spark, sf):
     return dedup.duplicate_grouping_sets(keyed(spark, sf), sets)
 
 
-@query(KEYED + "SELECT id, head_key, row_number() OVER (PARTITION BY head_key, translation_key ORDER BY id) AS survivor_rank, count(*) OVER (PARTITION BY head_key, translation_key) AS group_size FROM keyed")
+_CARD_ID = "CASE WHEN id % 10 = 0 THEN printf('riv_b_manual_%04d', id) WHEN id % 17 = 0 THEN 'old_' || id ELSE printf('riv_b_%04d', id) END"
+_SORT = "CASE WHEN id % 10 = 0 THEN 1 WHEN id % 17 = 0 THEN 2 ELSE 0 END, CASE WHEN id % 10 <> 0 AND id % 17 = 0 THEN 999999 ELSE id END, " + _CARD_ID
+
+
+@query(KEYED + f"SELECT id, head_key, row_number() OVER (PARTITION BY head_key, translation_key ORDER BY {_SORT}) AS survivor_rank, count(*) OVER (PARTITION BY head_key, translation_key) AS group_size FROM keyed")
 def survivor_rank(spark, sf):
-    return dedup.survivors(keyed(spark, sf), ["head_key", "translation_key"], F.col("id")).select("id", "head_key", "survivor_rank", "group_size")
+    cards = keyed(spark, sf).withColumn("card", F.expr(_CARD_ID))
+    return dedup.survivors(cards, ["head_key", "translation_key"], C.sort_key(F.col("card"))).select("id", "head_key", "survivor_rank", "group_size")
 
 
 _PARTS = f"len([x FOR x IN string_split(forms, ',') IF {D.strip('x')} <> ''])"
@@ -132,14 +137,14 @@ def quality_flags(spark, sf):
 
 
 _CELLS = cte("texts", "entries")[:-1] + ", cells AS (SELECT texts.id, 'text' AS field, t AS v FROM texts UNION ALL SELECT id, 'raw', raw FROM entries) "
-_ARTIFACTS = {f"BAD_CHARACTER {n}": f"contains(v, '{ch}')" for ch, n in quality.BAD_CHARACTERS.items() if ch != "\x00"}
+_ARTIFACTS = {f"BAD_CHARACTER {n}": f"contains(v, chr({ord(ch)}))" for ch, n in quality.BAD_CHARACTERS.items()}
 _ARTIFACTS |= {"WHITESPACE_ARTIFACT": "regexp_matches(v, '[\\n\\r\\t]')", "DOUBLE_SPACE": "contains(v, '  ')", "TRAILING_HYPHEN": f"regexp_matches({D.strip('v')}, '[A-Za-zÅÄÖåäö]{{3,}}-$')"}
 _ARTIFACTS |= {f"SUSPICIOUS_TEXT {w}": f"regexp_matches({D.key('v')}, '(^|{D.NOT_WORD}){w}($|{D.NOT_WORD})')" for w in quality.LITERALS}
 
 
 @query(_CELLS + _union(_ARTIFACTS, lambda n, r: f"SELECT id, field, '{n}' AS artifact FROM cells WHERE {r}"))
 def text_artifacts(spark, sf):
-    rows = view(spark, sf, "texts").join(view(spark, sf, "entries"), "id").withColumnRenamed("t", "text")
+    rows = table(spark, sf, "documents").selectExpr("doc_id AS id", f"{MESSY} AS text", f"{ROW['raw']} AS raw")
     return quality.text_artifacts(rows, "id", ["text", "raw"])
 
 
@@ -220,6 +225,12 @@ def word_display(spark, sf):
     return view(spark, sf, "cards").select("id", T.word_display(meanings, F.col("method"), F.lit(""), F.array("level")).alias("line"))
 
 
+@query(CARDS + f"SELECT id, CASE WHEN concat_ws('', nullif({D.strip('forms')}, '')) <> '' THEN concat_ws(' • ', nullif({D.strip('forms')}, ''), level) WHEN true THEN nullif(concat_ws(' • ', nullif({D.strip('translation')}, ''), nullif(method, 'OTHER')), '') END AS line FROM cards")
+def forms_display(spark, sf):
+    noun = [F.col("forms"), F.when(T.strip(F.col("forms")) != "", F.col("level"))]
+    return view(spark, sf, "cards").select("id", T.forms_display(noun, [F.col("translation"), F.nullif("method", F.lit("OTHER"))]).alias("line"))
+
+
 @query(CARDS + f"SELECT id, CASE WHEN {D.strip('translation')} = '' THEN '' ELSE {D.strip('translation')} || '|' || method END AS listed FROM cards WHERE {D.strip('translation')} <> '' UNION ALL SELECT id, method FROM cards WHERE {D.strip('translation')} = ''")
 def string_list(spark, sf):
     return view(spark, sf, "cards").select("id", F.array_join(T.string_list(F.array("translation", F.lit("  "), "method")), "|").alias("listed"))

@@ -144,7 +144,7 @@ def suspicious_fallback(spark, sf):
 
 
 # A lexicon made from part names: letters are tokens, so most map and some are unknown.
-_LEXICON = "lex AS (SELECT DISTINCT lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))) AS word, CAST(p_partkey % 3 AS BIGINT) AS ord, '\"' || CASE WHEN p_partkey % 3 = 0 THEN replace(array_to_string(regexp_extract_all(lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))), '[a-z]'), '.'), '.', ' $') ELSE array_to_string(regexp_extract_all(lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))), '[a-z]'), ' ') END || CASE WHEN p_partkey % 3 = 2 THEN ' s`' ELSE '' END AS sampa FROM part WHERE p_partkey % 5 <> 1) "
+_LEXICON = "lex AS (SELECT DISTINCT lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))) AS word, CAST(p_partkey % 3 AS BIGINT) AS ord, '\"' || CASE WHEN p_partkey % 3 = 0 THEN replace(array_to_string(regexp_extract_all(lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))), '[a-z]'), '.'), '.', ' $') ELSE array_to_string(regexp_extract_all(lower(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))), '[a-z]'), ' ') END || CASE WHEN p_partkey % 3 = 2 THEN ' s`' ELSE '' END AS sampa FROM part) "
 
 
 def lexicon(spark, sf):
@@ -153,7 +153,7 @@ def lexicon(spark, sf):
     letters = F.array_join(F.regexp_extract_all(word, F.lit("([a-z])")), ".")
     spaced = F.when(third == 0, F.replace(letters, F.lit("."), F.lit(" $"))).otherwise(F.replace(letters, F.lit("."), F.lit(" ")))
     sampa = F.concat(F.lit('"'), spaced, F.when(third == 2, " s`").otherwise(""))
-    return table(spark, sf, "part").where("p_partkey % 5 <> 1").select(word.alias("word"), third.alias("ord"), sampa.alias("sampa")).distinct()
+    return table(spark, sf, "part").select(word.alias("word"), third.alias("ord"), sampa.alias("sampa")).distinct()
 
 
 _MAP = "MAP {" + ", ".join("'{}': '{}'".format(k.replace("'", "''"), v) for k, v in P.SAMPA.items()) + "}"
@@ -182,14 +182,18 @@ def distinct_ipa(spark, sf):
     return L.pronunciations(lexicon(spark, sf)).select("word", F.array_join(s["distinct_ipa"], "|").alias("distinct_ipa"), F.size(s["unknown"]).alias("n_unknown"))
 
 
+#: Entries of one word (some unknown, some with inflections), of more, and of none.
+_TEXT = "CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) WHEN p_partkey % 20 = 13 THEN split_part(p_name, ' ', 2) || ' (-en, -ar)' WHEN p_partkey % 20 = 17 THEN 'zz' || split_part(p_name, ' ', 2) WHEN p_partkey % 4 = 1 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 9 = 2 THEN p_name || ' x' WHEN p_partkey % 9 = 3 THEN '?!' WHEN p_partkey % 9 = 4 THEN split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || ' (-t)' WHEN p_partkey % 9 = 5 THEN 'Zz ' || split_part(p_name, ' ', 2) ELSE p_name END"
+
+
 def _words(spark, sf):
-    name = F.when(F.col("p_partkey") % 4 == 0, F.get(F.split("p_name", " "), F.lit(0))).when(F.col("p_partkey") % 4 == 1, F.get(F.split("p_name", " "), F.lit(1))).when(F.col("p_partkey") % 9 == 2, F.concat(F.col("p_name"), F.lit(" x"))).when(F.col("p_partkey") % 9 == 3, F.lit("?!")).otherwise(F.col("p_name"))
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("text"))
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", f"{_TEXT} AS text")
     return rows.withColumn("normalized", T.lexicon_key(F.col("text"))["normalized"]).withColumn("n_words", T.word_count(F.col("normalized")))
 
 
-_NAME = "CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) WHEN p_partkey % 4 = 1 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 9 = 2 THEN p_name || ' x' WHEN p_partkey % 9 = 3 THEN '' ELSE p_name END"
-_W = _SAID[:-1] + f", w AS (SELECT p_partkey AS id, lower({_NAME}) AS normalized, len([x FOR x IN string_split({_NAME}, ' ') IF x <> '']) AS n_words FROM part), c AS (SELECT w.id, w.n_words, w.normalized, d.word, d.ds, d.unknown, CASE WHEN d.word IS NULL THEN 'MISSING' WHEN len(d.ds) = 1 AND len(d.unknown) = 0 THEN 'SAFE' ELSE 'REVIEW' END AS status FROM w LEFT JOIN d ON w.normalized = d.word), e AS (SELECT w.id, w.normalized, count(*) AS n_parts, count(d.word) AS n_found FROM (SELECT id, normalized, unnest(string_split(normalized, ' ')) AS part FROM w WHERE normalized <> '') w LEFT JOIN d ON d.word = part GROUP BY w.id, w.normalized) "
+_NAME = f"CASE WHEN {_TEXT} = '?!' THEN '' ELSE lower(trim(regexp_replace({_TEXT}, ' \\([^)]*\\)', ''))) END"
+_W = _SAID[:-1] + f", w AS (SELECT p_partkey AS id, {_NAME} AS normalized, contains({_TEXT}, '(') AS removed, len([x FOR x IN string_split({_NAME}, ' ') IF x <> '']) AS n_words FROM part), c AS (SELECT w.id, w.n_words, w.normalized, w.removed, d.word, d.ds, d.unknown, CASE WHEN d.word IS NULL THEN 'MISSING' WHEN len(d.ds) = 1 AND len(d.unknown) = 0 THEN 'SAFE' ELSE 'REVIEW' END AS status FROM w LEFT JOIN d ON w.normalized = d.word), e AS (SELECT w.id, w.normalized, count(*) AS n_parts, count(d.word) AS n_found, string_agg(w.part || '=' || coalesce(array_to_string(d.ds, '/'), '-'), '|' ORDER BY w.k) AS parts FROM (SELECT id, normalized, unnest(string_split(normalized, ' ')) AS part, unnest(range(len(string_split(normalized, ' ')))) AS k FROM w WHERE normalized <> '') w LEFT JOIN d ON d.word = part GROUP BY w.id, w.normalized) "
+_ROUTE = "CASE WHEN n_words = 0 THEN 'EMPTY' WHEN n_words = 1 THEN status WHEN n_words = 2 THEN 'REVIEW_TWO_WORD' ELSE 'TOO_LONG' END"
 
 
 def _known(spark, sf):
@@ -205,12 +209,58 @@ def ipa_classify(spark, sf):
     return _classified(spark, sf).select("id", "status", "selected_ipa")
 
 
-@query(_W + "SELECT id, n_parts, n_found, n_parts = n_found AS all_found, EXISTS (SELECT 1 FROM d WHERE d.word = e.normalized) AS direct_match FROM e WHERE id IN (SELECT id FROM w WHERE n_words = 2)")
+@query(_W + "SELECT e.id, n_parts, n_found, n_parts = n_found AS all_found, parts, d.word IS NOT NULL AS direct_match, array_to_string(d.ds, '/') AS direct_ipa FROM e JOIN w ON w.id = e.id AND n_words = 2 LEFT JOIN d ON d.word = e.normalized")
 def ipa_two_word(spark, sf):
-    return L.components(_words(spark, sf).where("n_words = 2"), _known(spark, sf), "id").drop("parts")
+    rows = L.components(_words(spark, sf).where("n_words = 2"), _known(spark, sf), "id")
+    part = lambda c: F.concat(c["word"], F.lit("="), F.when(c["found"], F.array_join(c["distinct_ipa"], "/")).otherwise("-"))
+    return rows.select("id", "n_parts", "n_found", "all_found", F.array_join(F.transform("components", part), "|").alias("parts"), "direct_match", F.array_join("direct.distinct_ipa", "/").alias("direct_ipa"))
+
+
+_METRICS = {
+    "total": "count(*)",
+    "eligible": "count(*) FILTER (n_words IN (1, 2))",
+    "classified": "count(*) FILTER (n_words IN (1, 2))",
+    "skipped": "count(*) FILTER (n_words NOT IN (1, 2))",
+    "safe": "count(*) FILTER (route = 'SAFE')",
+    "review": "count(*) FILTER (route = 'REVIEW')",
+    "review_two_word": "count(*) FILTER (n_words = 2)",
+    "missing": "count(*) FILTER (route = 'MISSING')",
+    "safe_percent_of_eligible": "round(count(*) FILTER (route = 'SAFE') * 100 / count(*) FILTER (n_words IN (1, 2)), 2)",
+    "one_word_total": "count(*) FILTER (n_words = 1)",
+    "one_word_found": "count(*) FILTER (route IN ('SAFE', 'REVIEW'))",
+    "one_word_missing": "count(*) FILTER (route = 'MISSING')",
+    "two_word_total": "count(*) FILTER (n_words = 2)",
+    "two_word_all_components_found": "count(*) FILTER (n_words = 2 AND n_parts = n_found)",
+    "two_word_direct_matches": "count(*) FILTER (n_words = 2 AND word IS NOT NULL)",
+    "inflections_removed": "count(*) FILTER (removed)",
+    "cleaned_now_safe": "count(*) FILTER (removed AND route = 'SAFE')",
+    "cleaned_now_review": "count(*) FILTER (removed AND route = 'REVIEW')",
+    "cleaned_still_missing": "count(*) FILTER (removed AND route = 'MISSING')",
+    "cleaned_still_two_word": "count(*) FILTER (removed AND n_words = 2)",
+    "unknown_symbol_occurrences": "coalesce(sum(len(unknown)) FILTER (n_words = 1), 0)",
+    "unique_unknown_symbols": "max((SELECT count(DISTINCT u) FROM (SELECT unnest(unknown) AS u FROM c WHERE n_words = 1)))",
+}
+
+
+@query(_W[:-1] + f", r AS (SELECT c.*, e.n_parts, e.n_found, {_ROUTE} AS route FROM c LEFT JOIN e ON e.id = c.id) " + " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({x} AS DOUBLE) AS value FROM r" for n, x in _METRICS.items()))
+def ipa_summary(spark, sf):
+    return L.audit_summary(_words(spark, sf).select("id", "text"), _known(spark, sf), "id", "text")
+
+
+@query(_W + "SELECT match, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM e), 2) AS percent FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.word = e.normalized) THEN 'DIRECT' WHEN n_parts = n_found THEN 'COMPOSED' ELSE 'MISSING' END AS match FROM e) GROUP BY match")
+def coverage_summary(spark, sf):
+    return L.coverage_summary(_words(spark, sf).where("n_words > 0"), _known(spark, sf), "id")
+
+
+_PROBES = ("Almond", "antique!", "(blue)", "missing word")
+
+
+@query(_SAID + "SELECT asked AS word, d.word IS NOT NULL AS found, array_to_string(ps, '|') AS pronunciations FROM (SELECT unnest(['Almond', 'antique!', '(blue)', 'missing word']) AS asked, unnest(['almond', 'antique', 'blue', 'missing word']) AS key) LEFT JOIN d ON d.word = key")
+def lexicon_probe(spark, sf):
+    return L.probe(_known(spark, sf), _PROBES).withColumn("pronunciations", F.array_join("pronunciations", "|"))
 
 
-@query(_W + "SELECT route, count(*) AS n FROM (SELECT CASE WHEN n_words = 0 THEN 'EMPTY' WHEN n_words = 1 THEN status WHEN n_words = 2 THEN 'REVIEW_TWO_WORD' ELSE 'TOO_LONG' END AS route FROM c) GROUP BY route")
+@query(_W + f"SELECT route, count(*) AS n FROM (SELECT {_ROUTE} AS route FROM c) GROUP BY route")
 def ipa_audit(spark, sf):
     return L.audit(_words(spark, sf).select("id", "text"), _known(spark, sf), "id", "text").groupBy("route").agg(F.count("*").alias("n"))
 

@@ -158,17 +158,36 @@ def test_visual_rows_follow_the_running_mean(spark):
 
 
 def test_continuations_chain(spark):
-    rows = [(1, 1, "mother in", False), (1, 2, "law of", True), (1, 3, "mine", True), (1, 4, "x", True), (2, 1, None, True)]
-    df = spark.createDataFrame(rows, "d long, k long, t string, f boolean")
-    got = {(r["d"], r["k"]): (r["t"], r["n_rows"]) for r in sequence.fold_continuations(df, "d", "k", "t", "f").collect()}
-    assert got == {(1, 1): ("mother in law of mine", 3), (1, 4): ("x", 1), (2, 1): ("", 1)}
+    """Chains follow the joined text; geometry decides what is near."""
+    rows = [(1, 1, "mother in", 10.0, "left", False), (1, 2, "law of", 20.0, "left", True), (1, 3, "mine", 30.0, "left", True), (1, 4, "x", 40.0, "left", True), (2, 1, None, 1.0, "left", True)]
+    rows += [(3, 1, "one's", 690.0, "left", False), (3, 2, "mind", 20.0, "right", True), (3, 3, "far of", 30.0, "right", False), (3, 4, "too far", 90.0, "right", True)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "d long, k long, t string, y double, side string, f boolean, page int")
+    got = {(r["d"], r["k"]): (r["t"], r["n_rows"]) for r in sequence.fold_continuations(df, "d", "k", "t", F.col("f")).collect()}
+    assert got == {(1, 1): ("mother in law of mine", 3), (1, 4): ("x", 1), (2, 1): ("", 1), (3, 1): ("one's mind", 2), (3, 3): ("far of", 1), (3, 4): ("too far", 1)}
+    assert sequence.fold_continuations(df.limit(0), "d", "k", "t", F.col("f")).count() == 0
 
 
 def test_continuation_query_reads_whole_texts(spark, tmp_path):
     long = "a long sentence of many words " * 20 + "end"
     df = spark.createDataFrame([(1, 1, "user", long), (1, 3, "user", long)], "conv_id long, turn long, role string, text string")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
-    assert [r["text"] for r in sequence_queries.join_continuation(spark, str(tmp_path)).orderBy("turn").collect()] == [long, long]
+    assert all(long in r["text"] for r in sequence_queries.join_continuation(spark, str(tmp_path)).collect())
+
+
+def test_repairs_join_two_rows(spark):
+    rows = [(1, "hund (-en,", "left", 10.0), (2, "-ar) dog", "left", 20.0), (3, "katt (-en", "left", 30.0), (4, "right side", "right", 10.0), (5, "bil\u2002 car of the", "right", 20.0), (6, "family", "right", 30.0), (7, "sol\u00ad", "right", 40.0), (8, "sken", "right", 70.0)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "d int, k int, raw string, side string, y double")
+    assert [r["raw"] for r in sequence.repair_broken_rows(df, ["d"], ["k"]).orderBy("k").collect()] == ["hund (-en, -ar) dog", "katt (-en", "right side", "bil\u2002 car of the", "family", "sol\u00ad", "sken"]
+    assert [r["raw"] for r in sequence.prejoin_rows(df, ["d"], ["k"]).orderBy("k").collect()] == ["hund (-en,", "-ar) dog", "katt (-en", "right side", "bil\u2002 car of the family", "sol\u00ad", "sken"]
+
+
+def test_store(spark):
+    store = spark.createDataFrame([(1, "progress_a", "3"), (1, "theme", "light"), (2, "stats", "x")], "u int, key string, value string")
+    new = spark.createDataFrame([(1, "theme", "dark"), (3, "onboarding", "1")], "u int, key string, value string")
+    put = review.put(store, new, ["u", "key"])
+    assert {tuple(r) for r in put.collect()} == {(1, "progress_a", "3"), (1, "theme", "dark"), (2, "stats", "x"), (3, "onboarding", "1")}
+    assert {tuple(r) for r in review.get(put, ["u"], {"theme": ("theme", "string"), "stats": ("n", "int")}).collect()} == {(1, "dark", None), (2, None, None), (3, None, None)}
+    assert {(r["u"], r["show_onboarding"]) for r in review.onboarding(put, ["u"], "onboarding").collect()} == {(1, False), (2, True), (3, False)}
 
 
 def test_gap_split(spark):
