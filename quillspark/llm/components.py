@@ -71,6 +71,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Rows with a null end are left out; loops count as nodes; an empty table gives no rows.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    spark, began = edges.sparkSession, scratch.mark()
     current = scratch.saved(thinned(edges).where("a <> b"), f"{name}-edges")
     labels = None
     while True:
@@ -99,6 +100,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         to = lambda c: step.select(F.col("node").alias(c), F.col("root").alias(f"{c}_up"))
         moved = current.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
         current = scratch.saved(thinned(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), f"{name}-edges")
+        scratch.cleared(spark, began, current, labels)
     if labels is None:
         labels = edges.sparkSession.createDataFrame([], "node long, root long")
     moved = labels.select("node", F.col("root").alias("component"))

@@ -166,8 +166,8 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """docs without the rows that contain an item."""
-    rows = docs.select(F.col(scratch.quoted(text_col)).alias("t"), scratch.packed(docs))
-    schema = rows.schema
+    rows = docs.select(scratch.packed(docs))
+    schema, at = rows.schema, docs.columns.index(text_col)
 
     def without(rows, sent):
         kept = []
@@ -175,10 +175,11 @@ def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PE
         def run(batches):
             if not kept:
                 kept.append(Sketches(sent.value, n, percent))
-            for b in batches_by_bytes(batches, "t"):
-                keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in _matches(kept[0], b.column(0), n, percent)]] = False
-                yield b.filter(pa.array(keep))
+            for whole in batches:
+                for b in batches_by_bytes([pa.RecordBatch.from_arrays([whole.column(0), whole.column(0).field(at)], ["row", "t"])], "t"):
+                    keep = np.ones(b.num_rows, bool)
+                    keep[[d for d, *_ in _matches(kept[0], b.column(1), n, percent)]] = False
+                    yield b.select(["row"]).filter(pa.array(keep))
 
         return rows.mapInArrow(run, schema)
 

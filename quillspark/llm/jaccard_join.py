@@ -500,12 +500,15 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, p
 
 def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, page: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): labels (f1, f2, n, ci, ck) name the smallest (id, text key) of the component of each class that several rows share."""
+    began = scratch.mark()
     rows, classes, links = _linked(docs, n, percent, id_col, text_col, page, True)
     found = components(links.select("a", "b"), "jaccard-result")
     whole = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min(F.struct("i", "k")).alias("least"), F.sum("c").alias("rows")).where("rows > 1")
     labels = whole.join(least, "component").select("f1", "f2", "n", F.col("least.i").alias("ci"), F.col("least.k").alias("ck"))
-    return rows, scratch.saved(labels, "jaccard-components")
+    labels = scratch.saved(labels, "jaccard-components")
+    scratch.cleared(docs.sparkSession, began, rows, labels)
+    return rows, labels
 
 
 def join_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", page: int = PAGE) -> DataFrame:

@@ -4,7 +4,7 @@ A window is w consecutive symbols (words or bytes) of one text. Its anchor is th
 k-symbol grams, so equal windows have equal anchors wherever they stand. A run is a stretch of consecutive
 windows with one anchor.
 
-1. Equal texts are one text, held by the smallest id; every other copy is covered whole.
+1. Equal texts (by 128 bits) are one text, held by the smallest id; every other copy is covered whole.
 2. All runs are dealt by anchor into buckets, packed in columns; anchors of two or more texts stay. Within
    a map task such anchors are known at once, so a passage that a third of all texts hold is one row a task.
 3. The symbols of the runs that stay are dealt by anchor into shards. Equal runs are one run of the
@@ -206,19 +206,19 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
     for each an array of (start, end) symbol spans, relative to the run, of windows that start in smaller ids.
     Spans are little-endian unsigned 32-bit pairs; empty bytes stand for the whole text.
     """
-    spark = docs.sparkSession
+    spark, began = docs.sparkSession, scratch.mark()
     window = unit.window
 
     def keyed(batches):
         for b in batches_by_bytes(batches, "t"):
             data, off = text_buffers(b.column(1))
             first = spans(data, off)[2] if unit.words else off
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_keys(data, off), pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(np.diff(first), pa.int64())], ["i", "key", "size", "symbols"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (text_keys(data, off), text_keys(data, off, 1), np.diff(off), np.diff(first)))], ["i", "key", "more", "size", "symbols"])
 
-    rows = scratch.saved(docs.mapInArrow(keyed, "i long, key long, size long, symbols long"), f"{name}-rows")
+    rows = scratch.saved(docs.mapInArrow(keyed, "i long, key long, more long, size long, symbols long"), f"{name}-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
-    classes = rows.groupBy("key").agg(F.min(F.coalesce("i", F.lit(NO_ID))).alias("rep"), F.count("*").alias("n"))
+    classes = rows.groupBy("key", "more").agg(F.min(F.coalesce("i", F.lit(NO_ID))).alias("rep"), F.count("*").alias("n"))
     classes = scratch.saved(classes, f"{name}-classes")
     runs = _candidates(docs, unit, buckets).join(classes, "key").select(F.when(F.col("rep") < NO_ID, F.col("rep")).alias("i"), "key", "runs")
     runs = scratch.saved(runs, f"{name}-runs")
@@ -314,8 +314,10 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
     if lone.limit(1).count():
         shipped = shipped.unionByName(_lone(docs, lone).mapInArrow(ship, PACKED))
     hits = _dealt(_dealt(shipped, buckets).mapInArrow(search, PACKED), buckets).mapInArrow(merge, "i long, key long, spans binary")
-    copies = rows.join(classes.where("n > 1"), "key").where((F.coalesce("i", F.lit(NO_ID)) > F.col("rep")) & (F.col("symbols") >= window)).select(F.coalesce("i", F.lit(NO_ID)).alias("i"), "key", F.lit(b"").alias("spans")).distinct()
-    return docs, scratch.saved(_listed(hits.unionByName(copies), "spans", "found"), f"{name}-spans")
+    copies = rows.join(classes.where("n > 1"), ["key", "more"]).where((F.coalesce("i", F.lit(NO_ID)) > F.col("rep")) & (F.col("symbols") >= window)).select(F.coalesce("i", F.lit(NO_ID)).alias("i"), "key", F.lit(b"").alias("spans")).distinct()
+    found = scratch.saved(_listed(hits.unionByName(copies), "spans", "found"), f"{name}-spans")
+    scratch.cleared(spark, began, found)
+    return docs, found
 
 
 def _lone(docs: DataFrame, lone: DataFrame) -> DataFrame:

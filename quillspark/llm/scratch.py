@@ -30,11 +30,32 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/quillspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of stored tables, in the order they were made; the driver alone keeps this list.
+_MADE: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     at = folder(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    _MADE.append(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def mark() -> int:
+    """A moment; see cleared()."""
+    return len(_MADE)
+
+
+def cleared(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables stored since a moment, but for those kept; no later plan may read them."""
+    kept = {x.stored_at for x in keep}
+    for at in _MADE[since:]:
+        if at not in kept:
+            removed(spark, at)
+    _MADE[since:] = [at for at in _MADE[since:] if at in kept]
 
 
 def quoted(name: str) -> str:
@@ -58,13 +79,6 @@ def removed(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that saved() made; no later plan may read it."""
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillspark/" in at:
-            removed(df.sparkSession, at)
-
-
 def store(path: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system and the path in it, on driver or executor."""
     if path.startswith("file:"):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import repeats
+from quillspark.llm import repeats, scratch
 from quillspark.llm.text_kernels import U64, batches_by_bytes, text_buffers, text_keys
 
 GRAM = 20
@@ -129,7 +129,7 @@ def _cover(ids: np.ndarray, contents: list[bytes], unit: repeats.Unit) -> list[n
 
 def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text"):
     """(documents, spans): see repeats.covered."""
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    docs = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), F.col(scratch.quoted(text_col)).alias("t"))
     return repeats.covered(docs, repeats.Unit(False, window, min(GRAM, window)), _cover, "suffixes")
 
 

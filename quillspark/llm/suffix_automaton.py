@@ -10,7 +10,7 @@ are broadcast and every document streams through each (reference_spans).
 
 Defined cases: null, empty and short texts lose nothing; rows with a null id come after all ids and are no
 reference for each other; rows that share an id are no reference for each other; repeated rows give equal
-results; an empty table gives no rows.
+results; very long texts are taken whole; columns of any name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import repeats
+from quillspark.llm import repeats, scratch
 from quillspark.llm.text_kernels import batches_by_bytes, spans, text_buffers, text_keys
 
 #: Words of a shard of a given reference, and the most words that a given reference may have.
@@ -119,7 +119,7 @@ def _cover(ids: np.ndarray, contents: list[bytes], unit: repeats.Unit) -> list[n
 
 def find_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text"):
     """(documents, spans): see repeats.covered."""
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    docs = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), F.col(scratch.quoted(text_col)).alias("t"))
     return repeats.covered(docs, repeats.Unit(True, window, min(GRAM, window)), _cover, "automaton")
 
 
@@ -170,18 +170,20 @@ def cut_text(text: bytes, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray)
 def remove(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, its texts without the words that documents with smaller ids hold; a null text stays null."""
     _, found = find_repeats(docs, window, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
-    schema = rows.select("t", "row").schema
+    rows = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), scratch.packed(docs))
+    place = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            null = b.column(1).is_null().to_pylist()
-            made = [cut_text(text, starts, ends, cut) for _, text, starts, ends, cut in _rows([b])]
-            texts = pa.array([None if x else t for x, t in zip(null, made, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, b.column(2)], ["t", "row"])
-
-    out = repeats.with_spans(rows, found).mapInArrow(run, schema)
-    return out.select(*(F.col("t").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+        for whole in batches:
+            row = whole.column(1)
+            for b in batches_by_bytes([pa.RecordBatch.from_arrays([whole.column(0), row.field(place), row, whole.column(2)], ["i", "t", "row", "found"])], "t"):
+                null = b.column(1).is_null().to_pylist()
+                made = [cut_text(text, starts, ends, cut) for _, text, starts, ends, cut in _rows([b])]
+                texts = pa.array([None if x else t for x, t in zip(null, made, strict=True)], pa.string())
+                fields = list(b.column(2).type)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([texts if k == place else b.column(2).field(k) for k in range(len(fields))], fields=[pa.field(f.name, pa.string()) if k == place else f for k, f in enumerate(fields)])], ["row"])
+
+    return scratch.unpacked(repeats.with_spans(rows, found).mapInArrow(run, rows.select("row").schema), docs)
 
 
 def reference_spans(docs: DataFrame, reference: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

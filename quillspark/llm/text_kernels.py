@@ -125,12 +125,12 @@ def window_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U64(k))
 
 
-def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit hash of every whole text, as a signed integer."""
+def text_keys(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of every whole text, as a signed integer; another seed gives 64 further bits."""
     import xxhash
 
     whole = memoryview(np.ascontiguousarray(data))
-    return np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U64).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(whole[a:b], seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U64).view(np.int64)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:

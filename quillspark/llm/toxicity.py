@@ -25,16 +25,14 @@ without clean ones there is no calibration; an empty table gives no rows; column
 
 from __future__ import annotations
 
-import pickle
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillspark.llm import scratch
-from quillspark.llm.text_kernels import LETTERS, batches_by_bytes, lowered, span_hashes, spans, text_buffers, trim
+from quillspark.llm.text_kernels import LETTERS, batches_by_bytes, lowered, span_hashes, spans, text_buffers
 
 #: Labelled texts that train, and their bytes.
 MAX_LABELLED, TRAIN_BYTES = 4096, 32 << 20
@@ -225,17 +223,17 @@ class Index:
             self.slope, self.shift = float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Index:
-    """The calibrated index of the labelled training documents."""
-    spark = docs.sparkSession
+def _fitted(docs: DataFrame, labels: DataFrame, limit: int):
+    """(index, its broadcast without calibration) of the labelled training documents."""
+    began = scratch.mark()
     examples = training_rows(docs, labels, limit)
     bags = _bags(examples)
     column = lambda c: bags[c].to_numpy() if bags.num_rows else np.zeros(0, np.int64)
     index = Index([(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for h, c in zip(bags["h"].to_pylist(), bags["tf"].to_pylist(), strict=True)], column("toxic"), column("votes"), column("sample"))
-    sent = spark.sparkContext.broadcast(pickle.dumps(index, 5))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index = _unpacked(sent)
+        index = sent.value
         place = {s: k for k, s in enumerate(index.sample.tolist())}
         for b in batches_by_bytes(batches, "t"):
             at = [place[s] for s in b.column(1).to_pylist()]
@@ -245,36 +243,42 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Index:
     told = examples.select("t", "sample").mapInArrow(run, "at long, share double").toArrow()  # a row for each example
     if told.num_rows:
         index.calibrated(told["share"].to_numpy()[np.argsort(told["at"].to_numpy())])
-    return index
+    scratch.cleared(docs.sparkSession, began)
+    return index, sent
 
 
-@lru_cache(2)
-def _unpacked(sent) -> Index:
-    return pickle.loads(sent.value)
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Index:
+    """The calibrated index of the labelled training documents."""
+    return _fitted(docs, labels, limit)[0]
 
 
-def _scored(docs: DataFrame, labels: DataFrame, limit: int, *columns) -> DataFrame:
-    """columns beside (score, evidence) of the text t, the last of them."""
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels, limit), 5))
-    rows = docs.select(*columns, F.col("text").alias("t"))
+def _scored(docs: DataFrame, labels: DataFrame, limit: int, rows: DataFrame, text: list[int]) -> DataFrame:
+    """The first column of rows with (score, evidence); text: the place of the text in a row, a column and then a field."""
+    index, sent = _fitted(docs, labels, limit)
+    slope, shift = index.slope, index.shift
 
     def run(batches):
-        index = _unpacked(sent)
-        for b in batches_by_bytes(batches, "t"):
-            scores, told = index.score(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(told, pa.string())], [*b.schema.names[:-1], "score", "evidence"])
-        trim()
+        index = sent.value
+        index.slope, index.shift = slope, shift
+        for whole in batches:
+            column = whole.column(text[0])
+            for k in text[1:]:
+                column = column.field(k)
+            for b in batches_by_bytes([pa.RecordBatch.from_arrays([whole.column(0), column], ["first", "t"])], "t"):
+                scores, told = index.score(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(told, pa.string())], [whole.schema.names[0], "score", "evidence"])
 
-    schema = rows.drop("t").schema.add("score", "double").add("evidence", "string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("score", DoubleType()), StructField("evidence", StringType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """Per row (doc_id, held_out, score, predicted, evidence)."""
-    out = _scored(docs, labels, limit, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = _scored(docs, labels, limit, rows, [1])
     return out.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """docs without the rows predicted toxic."""
-    return scratch.unpacked(_scored(docs, labels, limit, scratch.packed(docs)).where(F.col("score") < THRESHOLD), docs)
+    out = _scored(docs, labels, limit, docs.select(scratch.packed(docs)), [0, docs.columns.index("text")])
+    return scratch.unpacked(out.where(F.col("score") < THRESHOLD), docs)
