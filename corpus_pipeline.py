@@ -1,7 +1,11 @@
 """The corpus pipeline: toxic documents go, near duplicates go, repeated passages go, leaked test items go, the rest is encoded.
 
-Each stage takes what its predecessor kept, whole, and all but the last return the columns of documents.
-Rows with null ids or texts pass as their operators define; n_chars follows the text.
+Each stage takes what its predecessor kept, whole, and all but the last return the columns of documents, and
+any further ones, of whatever name. n_chars follows the text.
+
+Defined cases: rows with null ids stay (they are never near duplicates, and lose the passages that rows with ids
+hold); null and empty texts stay as they are and encode to no ids; very long texts are taken whole; of repeated
+rows one stays, as of all near duplicates; ties go to the smallest id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents with smaller ids hold."""
-    return suffix_automaton.remove(docs, PASSAGE).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_automaton.remove(docs, PASSAGE).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each stage's rows stored before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.saved(stage(spark, docs, sf_dir), name)
+        scratch.cleared(spark, began, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
