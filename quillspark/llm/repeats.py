@@ -55,11 +55,11 @@ class Unit:
 
     def runs(self, hashes: np.ndarray, first: np.ndarray):
         """(anchor, text, a, b): windows a to b of a text, counted from its first symbol, share an anchor."""
-        n, w = len(hashes), self.window
-        if n < w:
+        w = self.window
+        counts = np.maximum(np.diff(first) - w + 1, 0)
+        if not counts.any():
             return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
         v = sliding_min(window_hashes(hashes, self.gram), w - self.gram + 1)
-        counts = np.maximum(np.diff(first) - w + 1, 0)
         text = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
         v = v[at + first[text]]
