@@ -7,7 +7,7 @@ character still give the exact bytes.
 
 Defined cases: a null text is an empty one; an empty text has no ids. Rows with null or repeated ids
 are encoded each on its own. Other columns of the input are not read. An id outside the vocabulary
-raises KeyError in decoding.
+raises KeyError in decoding. Very long texts are encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import scratch
 from quillspark.llm.text_kernels import batches_by_bytes
 
 #: Characters from which a text is cut into pieces.
@@ -60,6 +61,7 @@ def encode_text(enc, text: str, chunk: int = CHUNK) -> list[int]:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs -> (id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in a binary column."""
+    scratch.few_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches):

@@ -142,6 +142,7 @@ def _slices(items: DataFrame, item_col: str, item_text: str, index_rows: int):
 
 def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """(id, item_id, n_met, n_shingles) for each document and item that it contains."""
+    scratch.few_rows(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
 
     def search(sent):
@@ -166,6 +167,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int
 
 def clean(docs: DataFrame, items: DataFrame, n: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """docs without the rows that contain an item."""
+    scratch.few_rows(docs.sparkSession)
     rows = docs.select(scratch.packed(docs))
     schema, at = rows.schema, docs.columns.index(text_col)
 

@@ -10,7 +10,8 @@ plain reader of the same format. Both check CRC-8 of every header, CRC-16 of eve
 Texts become samples by their UTF-8 bytes less 128, padded with blanks to a positive multiple of 192.
 
 Defined cases: a null text is an empty one (one frame of blanks); null or repeated ids are carried along;
-null media give null results; a broken checksum raises ValueError; an empty table gives no rows.
+very long texts are one stream each; other columns of the input are not read; null media give null results; a
+broken checksum raises ValueError; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -423,6 +423,7 @@ def _expected(tokens: DataFrame, parts: _Parts, buckets: int) -> DataFrame:
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, _Parts, int, int, list[float]]:
     """(rows of tokens, model, N, V, mean log likelihood of a token before each round) of docs (i, t, out)."""
     spark = docs.sparkSession
+    scratch.few_rows(spark)
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1)
     parts = _encoded(docs, buckets)

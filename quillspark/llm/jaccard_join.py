@@ -467,6 +467,7 @@ def _links(members: DataFrame, texts: _Texts, n: int, percent: int, page: int, s
 def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, page: int, spanning: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): the profile of all rows, classes of equal sets, links (a, b, overlap, n_union) of their nodes."""
     spark = docs.sparkSession
+    scratch.few_rows(spark)
     docs = docs.select(F.col(scratch.quoted(id_col)).cast("long").alias("i"), F.xxhash64(F.col(scratch.quoted(text_col))).alias("k"), F.col(scratch.quoted(text_col)).alias("t"))
     rows = scratch.saved(_profile(docs, n), "jaccard-profile")
     total = rows.agg(F.sum("size")).first()[0] or 0

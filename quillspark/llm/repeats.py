@@ -207,6 +207,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
     Spans are little-endian unsigned 32-bit pairs; empty bytes stand for the whole text.
     """
     spark, began = docs.sparkSession, scratch.mark()
+    scratch.few_rows(spark)
     window = unit.window
 
     def keyed(batches):

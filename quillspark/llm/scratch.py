@@ -58,6 +58,17 @@ def cleared(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     _MADE[since:] = [at for at in _MADE[since:] if at in kept]
 
 
+#: Rows that go to Python at once: texts of kilobytes each make batches of a few megabytes.
+ARROW_ROWS = 1024
+
+
+def few_rows(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ARROW_ROWS, as batches of long texts are held outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def quoted(name: str) -> str:
     """A column name that may hold dots and backticks, as an expression."""
     return "`" + name.replace("`", "``") + "`"

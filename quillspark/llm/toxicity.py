@@ -225,6 +225,7 @@ class Index:
 
 def _fitted(docs: DataFrame, labels: DataFrame, limit: int):
     """(index, its broadcast without calibration) of the labelled training documents."""
+    scratch.few_rows(docs.sparkSession)
     began = scratch.mark()
     examples = training_rows(docs, labels, limit)
     bags = _bags(examples)

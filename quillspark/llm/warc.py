@@ -158,6 +158,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame: int = FRAME, bundle: int = BUNDLE, level: int = LEVEL, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record for each page and returns the stored index from record identifiers to frames and offsets."""
+    scratch.few_rows(pages.sparkSession)
 
     def run(batches):
         out = None
