@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,15 +47,62 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("word <> ''")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a local master without one, a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+    return f"{at.rstrip('/')}/quillspark-files/{uuid.uuid4().hex}"
+
+
+def presence(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, path, present, first) of expected text files: whether each can be read, and its first line."""
+
+    def first(path: str) -> tuple[bool, str | None]:
+        try:
+            row = spark.read.text(path).limit(1).collect()
+        except AnalysisException:
+            return False, None
+        return True, row[0][0] if row else None
+
+    rows = [(name, path, *first(path)) for name, path in paths.items()]  # a few names, given by the caller
+    return spark.createDataFrame(rows, "name string, path string, present boolean, first string")
+
+
+def read_assets(spark: SparkSession, path: str, schema: str = WORD) -> DataFrame:
+    """Words of a JSON list file; anything but a list of objects raises when read."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    is_list = F.col("v").rlike(r"^\ufeff?\s*\[")
+    items = F.from_json("v", "array<string>")
+    sound = is_list & items.isNotNull() & F.forall(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.coalesce(x.rlike(r"^\s*\{"), F.lit(False)))
+    kind = f"array<struct<{_fields(schema)}>>"
+    rows = F.when(sound, F.from_json("v", kind)).otherwise(F.raise_error(F.lit("an asset must be a list of objects")).cast(kind))
+    return whole.select(F.explode(rows).alias("w")).select("w.*")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str | StructType = CARD) -> DataFrame:
+    """JSON objects, one a line."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_checked(df: DataFrame, errors: DataFrame, path: str) -> None:
-    """Writes only if there are no errors."""
+def write_checked(df: DataFrame, errors: DataFrame, path: str, report: str | None = None) -> None:
+    """Writes only if there are no errors; the report of errors by rule is written in any case."""
+    if report:
+        write_report(errors.groupBy("rule").agg(F.count("*").alias("value")).withColumnRenamed("rule", "metric"), report)
     gate(df, errors).write.mode("overwrite").json(path)
 
 
+def write_report(metrics: DataFrame, path: str) -> None:
+    """A report is small: one file of lines, by metric."""
+    report_lines(metrics.orderBy("metric")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def report_lines(metrics: DataFrame, width: int = 40) -> DataFrame:
     """(metric, value) as lines of a fixed-width report."""
     return metrics.select(F.concat(F.rpad("metric", width, " "), F.lpad(F.col("value").cast("string"), 12, " ")).alias("value"))

@@ -203,12 +203,30 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"words": [{"id": "2"}]}')
     assert files.read_words(spark, str(tmp_path / "a.json")).first()["english"] == ["car"]
     assert files.read_words(spark, str(tmp_path / "b.json")).first()["id"] == "2"
+    (tmp_path / "list.json").write_text('[{"id": "1", "swedish": "bil", "chapter": 3},\n {"id": "2"}]')
+    assert [(r["id"], r["chapter"]) for r in files.read_list(spark, str(tmp_path / "list.json")).collect()] == [("1", 3), ("2", None)]
+    assert [r["id"] for r in files.read_assets(spark, str(tmp_path / "list.json")).collect()] == ["1", "2"]
+    for k, bad in enumerate(('{"id": "1"}', '[{"id": "1"}, 5]', '["x"]', "broken")):
+        (tmp_path / f"bad{k}.json").write_text(bad)
+        with pytest.raises(Exception, match="list of objects"):
+            files.read_assets(spark, str(tmp_path / f"bad{k}.json")).collect()
+    (tmp_path / "bytes.txt").write_bytes(b"caf\xff\tk a f\nonly\n")
+    assert [(r["word"], r["sampa"]) for r in files.read_lexicon(spark, str(tmp_path / "bytes.txt")).collect()] == [("caf\ufffd", "k a f")]
+    seen = {r["name"]: (r["present"], r["first"]) for r in files.presence(spark, {"lexicon": str(tmp_path / "lex.txt"), "none": str(tmp_path / "none")}).collect()}
+    assert seen["none"] == (False, None) and seen["lexicon"][0] and seen["lexicon"][1].endswith("b i: l")
     (tmp_path / "c.json").write_text('"no"')
     with pytest.raises(Exception, match=re.escape("words must be a list")):
         files.read_words(spark, str(tmp_path / "c.json")).collect()
     good = spark.createDataFrame([(1,)], "id long")
     files.write_checked(good, good.limit(0), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+    errors = spark.createDataFrame([(1, "EMPTY"), (2, "EMPTY")], "id long, rule string")
+    with pytest.raises(ValueError, match="not written"):
+        files.write_checked(good, errors, str(tmp_path / "shut"), str(tmp_path / "report"))
+    assert not (tmp_path / "shut").exists()
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["EMPTY" + " " * 46 + "2"]
+    files.write_lines(good, str(tmp_path / "plain"))
+    assert files.read_lines(spark, str(tmp_path / "plain"), "id LONG").first()["id"] == 1
 
 
 def test_stream_equals_batch(spark, tmp_path):
