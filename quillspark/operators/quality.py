@@ -20,12 +20,18 @@ def violations(df: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFram
     return df.select(F.col(id_col), F.explode(found).alias("rule"))
 
 
-def structure_counts(df: DataFrame, rules: dict[str, Column], id_col: str = "id") -> DataFrame:
-    """(rule, n): rows against each rule, and ids that stand more than once."""
+def has_residue(*columns: Column) -> Column:
+    """Marks of extraction left in any of the texts."""
+    return F.concat_ws("", *columns).rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in BAD_CHARACTERS) + "]")
+
+
+def structure_counts(df: DataFrame, rules: dict[str, Column], id_col: str = "id", expected: int | None = None) -> DataFrame:
+    """(rule, n): rows against each rule, ids that stand more than once, and how far the number of rows is from the expected one."""
     counted = df.agg(*[F.count_if(c).alias(name) for name, c in rules.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules]))
     repeated = df.groupBy(id_col).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("DUPLICATE_ID").alias("rule"), "n")
-    return counted.select(pairs.alias("p")).select("p.rule", "p.n").unionByName(repeated)
+    out = counted.select(pairs.alias("p")).select("p.rule", "p.n").unionByName(repeated)
+    return out if expected is None else out.unionByName(df.agg(F.abs(F.count("*") - expected).alias("n")).select(F.lit("ROW_COUNT").alias("rule"), "n"))
 
 
 def text_artifacts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -116,24 +116,23 @@ def dedup_invariant(spark, sf):
 
 def _rules():
     c = F.col
-    return {"EMPTY_HEAD": T.strip(F.coalesce("head", F.lit(""))) == "", "EMPTY_TRANSLATION": T.strip(F.coalesce("translation", F.lit(""))) == "", "BAD_CHAPTER": ~F.coalesce(c("chapter").between(1, 18), F.lit(False)), "BAD_LEVEL": ~F.coalesce(c("level").isin(*quality.CEFR), F.lit(False)), "NO_PAGE": c("page").isNull()}
+    return {"EMPTY_HEAD": T.strip(F.coalesce("head", F.lit(""))) == "", "EMPTY_TRANSLATION": T.strip(F.coalesce("translation", F.lit(""))) == "", "BAD_CHAPTER": ~F.coalesce(c("chapter").between(1, 18), F.lit(False)), "BAD_LEVEL": ~F.coalesce(c("level").isin(*quality.CEFR), F.lit(False)), "NO_PAGE": c("page").isNull(), "BAD_PDF_PAGE": ~F.coalesce(c("source_pdf_page") >= 0, F.lit(False)), "RESIDUE": quality.has_residue(c("head"), c("translation"))}
 
 
-_RULE_SQL = {"EMPTY_HEAD": f"{D.strip('coalesce(head, chr(32))')} = ''", "EMPTY_TRANSLATION": f"{D.strip('coalesce(translation, chr(32))')} = ''", "BAD_CHAPTER": "NOT coalesce(chapter BETWEEN 1 AND 18, false)", "BAD_LEVEL": "NOT coalesce(level IN ('A1', 'A2', 'B1', 'B2', 'C1', 'C2'), false)", "NO_PAGE": "page IS NULL"}
-
+_RULE_SQL = {"EMPTY_HEAD": f"{D.strip('coalesce(head, chr(32))')} = ''", "EMPTY_TRANSLATION": f"{D.strip('coalesce(translation, chr(32))')} = ''", "BAD_CHAPTER": "NOT coalesce(chapter BETWEEN 1 AND 18, false)", "BAD_LEVEL": "NOT coalesce(level IN ('A1', 'A2', 'B1', 'B2', 'C1', 'C2'), false)", "NO_PAGE": "page IS NULL", "BAD_PDF_PAGE": "NOT coalesce(source_pdf_page >= 0, false)", "RESIDUE": " OR ".join(f"contains(concat_ws('', head, translation), chr({ord(ch)}))" for ch in quality.BAD_CHARACTERS)}
 
 def _union(rules, select):
     return " UNION ALL ".join(select(n, r) for n, r in rules.items())
 
 
-@query(CARDS + _union(_RULE_SQL, lambda n, r: f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS n FROM cards") + " UNION ALL SELECT 'DUPLICATE_ID', count(*) FROM (SELECT id FROM cards GROUP BY id HAVING count(*) > 1)")
+@query(CARDS + _union(_RULE_SQL, lambda n, r: f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS n FROM cards") + " UNION ALL SELECT 'DUPLICATE_ID', count(*) FROM (SELECT id FROM cards GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'ROW_COUNT', abs(count(*) - 6164) FROM cards")
 def quality_structure(spark, sf):
-    return quality.structure_counts(view(spark, sf, "cards"), _rules())
+    return quality.structure_counts(view(spark, sf, "cards"), _rules(), expected=6164)
 
 
-@query(CARDS + _union(_RULE_SQL | {"SHORT_HEAD": f"length({D.strip('head')}) = 1"}, lambda n, r: f"SELECT id, '{n}' AS rule FROM cards WHERE {r}"))
+@query(CARDS + _union(_RULE_SQL | {"SHORT_HEAD": f"length({D.strip('head')}) = 1", "SHORT_TRANSLATION": f"length({D.strip('translation')}) = 1"}, lambda n, r: f"SELECT id, '{n}' AS rule FROM cards WHERE {r}"))
 def quality_flags(spark, sf):
-    return quality.violations(view(spark, sf, "cards"), "id", _rules() | {"SHORT_HEAD": F.length(T.strip(F.col("head"))) == 1})
+    return quality.violations(view(spark, sf, "cards"), "id", _rules() | {f"SHORT_{c.upper()}": F.length(T.strip(F.col(c))) == 1 for c in ("head", "translation")})
 
 
 _CELLS = cte("texts", "entries")[:-1] + ", cells AS (SELECT texts.id, 'text' AS field, t AS v FROM texts UNION ALL SELECT id, 'raw', raw FROM entries) "

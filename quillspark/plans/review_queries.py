@@ -120,6 +120,16 @@ def migrate_progress(spark, sf):
     return R.migrate_progress(progress, id_map)
 
 
+_MOVED = "SELECT word_id // 3 AS word_id, level, next_review FROM decoded WHERE level > 0"
+
+
+@query(cte("store", "progress")[:-1] + _DECODED.removeprefix(STORE[:-1])[:-1] + f", m AS ({_MOVED} UNION ALL SELECT word_id, level, next_review FROM progress WHERE level > 0), b AS (SELECT word_id, max((level, coalesce(next_review, DATE '0001-01-01'))) AS x FROM m GROUP BY word_id) SELECT word_id, struct_extract_at(x, 1) AS level, nullif(struct_extract_at(x, 2), DATE '0001-01-01') AS next_review FROM b")
+def migrate_existing(spark, sf):
+    progress = _decoded(spark, sf)
+    id_map = progress.select(F.col("word_id").alias("old_id"), F.expr("word_id DIV 3").alias("new_id"))
+    return R.migrate_progress(progress, id_map, view(spark, sf, "progress").where("level > 0"))
+
+
 @query(PROGRESS + "SELECT key FROM (SELECT CASE CAST(word_id % 3 AS INTEGER) WHEN 0 THEN 'progress_' WHEN 1 THEN 'status_' ELSE 'theme_' END || word_id AS key FROM progress) WHERE NOT prefix(key, 'progress_') AND NOT prefix(key, 'status_')")
 def progress_reset(spark, sf):
     prefix = F.when(F.col("word_id") % 3 == 0, "progress_").when(F.col("word_id") % 3 == 1, "status_").otherwise("theme_")

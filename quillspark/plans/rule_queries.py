@@ -52,9 +52,8 @@ def semantic_finalize(spark, sf):
 
 @query(CARDS + f"SELECT id, {D.strip('head')} AS head, {D.strip('translation')} AS translation, coalesce(CAST(chapter AS VARCHAR), '') AS chapters, 1 AS n_occurrences FROM cards")
 def normalize_final(spark, sf):
-    cards = view(spark, sf, "cards")
-    chapters = F.when(F.col("chapter").isNull(), F.array().cast("array<int>")).otherwise(F.array("chapter"))
-    return cards.select("id", T.strip(F.col("head")).alias("head"), T.strip(F.col("translation")).alias("translation"), F.array_join(F.transform(chapters, lambda x: x.cast("string")), "|").alias("chapters"), F.size(F.array(dedup.occurrence("chapter", "page", "source_pdf_page", "id"))).alias("n_occurrences"))
+    cards = dedup.normalize_final(view(spark, sf, "cards"))
+    return cards.select("id", "head", "translation", F.array_join(F.transform("chapters", lambda x: x.cast("string")), "|").alias("chapters"), F.size("occurrences").alias("n_occurrences"))
 
 
 #: Every card as a review item: some headwords are none of a card, some places are off by one.
