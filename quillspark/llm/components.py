@@ -16,7 +16,7 @@ from quillspark.llm import scratch
 from quillspark.llm.text_kernels import trim
 
 #: Edges that one task may finish, and edges a task holds at once when it thins them.
-FINISH, HELD = 15_000, 1 << 18
+FINISH, HELD = 200_000, 1 << 18
 
 
 class Forest:

@@ -8,7 +8,8 @@
    are dropped where they meet; a map task that knows an element as shared sends one row to say so.
 3. Star rounds: each node meets the node with which it shares most elements, among the smallest (then the largest)
    node of each element. What is similar enough is linked, and elements whose nodes are all in one component by
-   now need no more work: most near copies end here, with rows in proportion to the nodes.
+   now need no more work: most near copies end here, with rows in proportion to the nodes. Rounds go on while at
+   least half of the pairs link.
 4. The rest. Elements of few nodes count the shared elements of their pairs; a pair of sizes x, y needs
    ceil(p (x + y) / (100 + p)) - ceil(p max(x, y) / 100) + 1 of them. Elements of many nodes build signature trees over
    bitmaps of their nodes' sets. Only what survives is closed into blocks, each of which is joined by a tree.
@@ -326,8 +327,8 @@ class _Texts:
         return self.docs.join(found, ["i", "k"]).drop("i", "k")
 
 
-def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent: int, largest: bool) -> DataFrame:
-    """Links of each node with the node it shares most elements with, of the first (or last) nodes of elements; members (element, node, label, n).
+def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent: int, largest: bool) -> tuple[int, DataFrame]:
+    """(pairs, links): links of each node with the node it shares most elements with, of the first (or last) nodes of elements; members (element, node, label, n).
 
     Pairs that share less than half of what a link needs are left to the exact steps: they share more elements at most by others' nodes.
     """
@@ -341,7 +342,8 @@ def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent
     per = best.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / PAGE), F.ceil(F.sum("size") / PAGE_BYTES)).alias("pages"))
     paged = best.join(scratch.saved(per, "jaccard-pages"), "head").withColumn("task", F.xxhash64("head", F.pmod(F.xxhash64("node"), "pages")))
     centres = paged.select(F.col("head").alias("node"), "task", F.col("head_label").alias("label")).distinct()
-    return scratch.saved(_join_tasks(texts.of(paged.select("node", "task", "label").unionByName(centres), "jaccard-star").select("task", "node", "label", "t"), n, percent, True), "jaccard-links")
+    tasks = texts.of(paged.select("node", "task", "label").unionByName(centres), "jaccard-star").select("task", "node", "label", "t")
+    return best.count(), scratch.saved(_join_tasks(tasks, n, percent, True), "jaccard-links")
 
 
 def _similar_sizes(a: str, b: str, percent: int):
@@ -480,12 +482,12 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, p
     texts = _Texts(docs, classes)
     members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node", "n"), "f").select("element", "node", "n").distinct()
     members = scratch.saved(members.withColumn("label", F.col("node")), "jaccard-members")
-    rest = members
-    for largest in (False, True) if spanning else ():
-        if rest.isEmpty():
-            break
-        links = links.unionByName(_star(rest, classes, texts, n, percent, largest))
+    rest, largest, more = members, False, spanning
+    while more and not rest.isEmpty():
+        stars, found = _star(rest, classes, texts, n, percent, largest)
+        links = links.unionByName(found)
         rest = _labelled(rest.select("element", "node", "n"), links)
+        more, largest = 0 < stars <= 2 * found.count(), not largest
     if not spanning:
         rest = _labelled(rest.select("element", "node", "n"), links)
     if rest.isEmpty():
