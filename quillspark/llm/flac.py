@@ -454,7 +454,7 @@ def plain_frame(data: bytes, at: int, info: dict) -> tuple[int, list[list[int]],
     lead = r.bits(8)
     more = max(0, 7 - (~lead & 0xFF).bit_length()) if lead >= 0xC0 else 0
     number = lead if not more else lead & (0x3F >> more)
-    for _ in range(more - (more > 0)):
+    for _ in range(more):
         number = number << 6 | r.bits(8) & 0x3F
     size = 192 if size_code == 1 else 576 << (size_code - 2) if 2 <= size_code <= 5 else r.bits(8) + 1 if size_code == 6 else r.bits(16) + 1 if size_code == 7 else 256 << (size_code - 8)
     r.bits({12: 8, 13: 16, 14: 16}.get(rate_code, 0))

@@ -142,6 +142,13 @@ def test_flac_blocks(spark):
     got = {r["doc_id"]: r for r in flac.digests(docs).collect()}
     assert got[2]["payload_bytes"] == 192 and got[2]["payload_sha256"] == hashlib.sha256(b" " * 192).hexdigest()
     assert got[3]["n_bytes"] == 2 and got[1]["tail_crc32"] == zlib.crc32(flac.padded(("abc " * 9000).encode())[-16:])
+    for r in media.collect():  # digests and features from the stored form, by the plain reader and plain loops
+        samples = flac.decode_plain(bytes(r["media"]))[0]
+        d = got[r["doc_id"]]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert d["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and d["media_bytes"] == len(r["media"])
+        assert d["payload_sha256"] == hashlib.sha256(bytes(v + 128 for v in samples)).hexdigest()
+        assert d["feature"] == f"frames={len(samples) // 192} energy={sum(v * v for v in samples)} crossings={crossings} peak={max(map(abs, samples))}"
     assert flac.digests(docs.limit(0)).count() == 0
 
 
@@ -158,6 +165,7 @@ def test_byte_bpe_equals_the_library(spark):
     got = byte_bpe.digests(frame(spark, rows), queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()
     want = sorted((k is None, k or 0, len(i := enc.encode_ordinary(t or "")), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in rows)
     assert sorted((r[0] is None, r[0] or 0, *r[1:]) for r in got) == want
+    assert byte_bpe.digests(frame(spark, rows).limit(0), queries.BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 11, 16, 17, 23, 31])
@@ -188,7 +196,7 @@ def test_packed_ids(spark, tmp_path):
 
 def test_warc(spark):
     rows = [(5, "http://a/\r\nX: y", "<p>é</p>"), (3, None, "<p>é</p>"), (7, "u", None), (8, "u", ""), (9, "u", "x" * 500_000), (None, "u", "<p>é</p>"), (4, "u", "lone"), (9, "u", "x" * 500_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    pages = spark.createDataFrame([(*r, "d", "f", 1) for r in rows], "page_id long, url string, html string, digest string, first string, `a.n` int").repartition(3)
     index = warc.write(pages, scratch.folder(spark, "warc"), frame=2000)
     got = sorted((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read(index).collect())
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
@@ -307,6 +315,7 @@ def brute_cover(rows, split, window):
 
 
 REPEATS = corpus(11, 80) + [(None, "q " * 60), (None, "r1 r2 r3 " * 20), (500, "q " * 60), (12, "one of two rows " * 8), (12, "another row of this id " * 8), (501, "one of two rows " * 8)]
+REPEATS += [(600, "lo ng " * 1500 + "tail a"), (601, "lo ng " * 1500 + "tail b"), (602, " ".join(f"v{k}" for k in range(4000)))]
 
 
 @pytest.mark.parametrize("window", [3, 13])
