@@ -59,6 +59,14 @@ def encode_text(enc, text: str, chunk: int = CHUNK) -> list[int]:
     return [i for p in pieces(text, chunk) for i in enc.encode_ordinary(p)]
 
 
+def _encoded(enc, texts: list[str | None], chunk: int) -> list[np.ndarray]:
+    return [np.asarray(encode_text(enc, t or "", chunk), "<u4") for t in texts]
+
+
+def _decoded(raw: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs -> (id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in a binary column."""
     scratch.few_rows(docs.sparkSession)
@@ -67,7 +75,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         enc, _ = encoding(ranks_path, pattern)
         for b in batches_by_bytes(batches, "t"):
-            ids = [np.asarray(encode_text(enc, t or "", chunk), "<u4") for t in b.column(1).to_pylist()]
+            ids = _encoded(enc, b.column(1).to_pylist(), chunk)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["i", "n_tokens", "ids"])
 
     out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind.simpleString()}, n_tokens long, ids binary")
@@ -81,15 +89,29 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
 
     def run(batches):
         _, raw = encoding(ranks_path, pattern)
-        get = raw.__getitem__
         for b in batches:
-            made = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b.column(at).to_pylist()]
+            made = [None if x is None else _decoded(raw, x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """docs -> (id, n_tokens, ids, decoded): decode(encode(docs)) in one pass of one worker a task, which holds the vocabulary once."""
+    scratch.few_rows(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+
+    def run(batches):
+        enc, raw = encoding(ranks_path, pattern)
+        for b in batches_by_bytes(batches, "t"):
+            ids = [x.tobytes() for x in _encoded(enc, b.column(1).to_pylist(), chunk)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([_decoded(raw, x) for x in ids], pa.binary())], ["i", "n_tokens", "ids", "decoded"])
+
+    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {kind.simpleString()}, n_tokens long, ids binary, decoded binary")
+    return out.withColumnRenamed("i", id_col)
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document the token count and the digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    both = encode_and_decode(docs, ranks_path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

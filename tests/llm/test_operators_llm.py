@@ -165,6 +165,9 @@ def test_byte_bpe_equals_the_library(spark):
     got = byte_bpe.digests(frame(spark, rows), queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()
     want = sorted((k is None, k or 0, len(i := enc.encode_ordinary(t or "")), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in rows)
     assert sorted((r[0] is None, r[0] or 0, *r[1:]) for r in got) == want
+    docs = frame(spark, rows)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, queries.BYTE_RANKS, public_tokenizers.PATTERN), queries.BYTE_RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, byte_bpe.encode_and_decode(docs, queries.BYTE_RANKS, public_tokenizers.PATTERN).collect()))
     assert byte_bpe.digests(frame(spark, rows).limit(0), queries.BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
