@@ -193,7 +193,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id
     file numbers follow the ids.
     """
     spark = docs.sparkSession
-    scratch.few_rows(spark)
     width = width_of(max(vocabulary_of(tokenizer_path), end_id + 1))
 
     def run(batches):
