@@ -42,8 +42,8 @@ from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, text_buffers
 
 #: Elements a map task holds at once, and texts' bytes for each bucket of elements.
 HELD, BUCKET_BYTES = 1 << 19, 8 << 20
-#: Bytes of the sampled texts whose frequent elements go last, and the most of these.
-SAMPLE_BYTES, COMMON = 32 << 20, 1 << 18
+#: Share of the texts (but at least so many bytes) whose frequent elements go last, and the most of these.
+SAMPLE_SHARE, SAMPLE_BYTES, COMMON = 1 / 8, 16 << 20, 1 << 18
 #: Rows and bytes of a page, children of a tree node, nodes of an element up to which its pairs are counted.
 PAGE, PAGE_BYTES, FANOUT, FEW = 256, 4 << 20, 8, 24
 #: Rows up to which a side is broadcast (about 50 bytes each), and fingerprints a map task remembers.
@@ -94,8 +94,8 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, ranks) that several texts of a sample have, the most frequent last."""
-    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    """(elements, ranks) that several texts of a sample have, the most frequent last; at most COMMON, those of the largest counts."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(total, 1)))
 
     def run(batches):
         held, n_held, seen = [], 0, set()
@@ -117,7 +117,14 @@ def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
     picked = docs.where(F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(1 << 30)) < int(share * (1 << 30))).select("t")
-    found = picked.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    counts = scratch.saved(picked.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "jaccard-common")
+    least, kept = 1 << 62, 0
+    for r in sorted(counts.groupBy("c").agg(F.count("*").alias("n")).collect(), reverse=True):  # a row for each count
+        kept += r["n"]
+        if kept > COMMON:
+            break
+        least = r["c"]
+    found = counts.where(F.col("c") >= least).toArrow()
     h, c = found["h"].to_numpy().view(U64), found["c"].to_numpy()
     order = np.argsort(h)
     rank = np.empty(len(h), np.int64)
