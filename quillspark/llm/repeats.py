@@ -31,7 +31,7 @@ from quillspark.llm import scratch
 from quillspark.llm.text_kernels import TABLES, U64, batches_by_bytes, mix, sliding_min, spans, span_hashes, text_buffers, text_keys, window_hashes
 
 #: Bytes of text for each bucket, runs a map task holds, bytes up to which a side is broadcast, and symbols a shard indexes at once.
-BUCKET_BYTES, HELD, BROADCAST_BYTES, SHARD_SYMBOLS = 12 << 20, 1 << 19, 96 << 20, 1 << 19
+BUCKET_BYTES, HELD, BROADCAST_BYTES, SHARD_SYMBOLS = 12 << 20, 1 << 18, 96 << 20, 1 << 19
 NO_ID = 2**63 - 1
 PACKED = "bucket long, payload binary"
 
@@ -248,7 +248,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
                         content = b" ".join(whole[s:e] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)) if unit.words else whole[lo:hi]
                         held.append((int(v), NO_ID if i is None else i, x["key"], a, content))
                         n_held += len(content) + 32
-            if n_held > 12 << 20:
+            if n_held > 4 << 20:
                 yield packed(held)
                 held, n_held = [], 0
         if held:
@@ -273,7 +273,7 @@ def covered(docs: DataFrame, unit: Unit, cover: Callable, name: str) -> tuple[Da
             for e in ends.tolist():
                 size += sum(map(len, texts[cut[-1] if not size else lo : e]))
                 lo = e
-                if size >= SHARD_SYMBOLS * (6 if unit.words else 1):
+                if size >= SHARD_SYMBOLS * (2 if unit.words else 1):
                     cut.append(e)
                     size = 0
             if cut[-1] != len(v):
