@@ -99,9 +99,8 @@ def parse_rows(rows: DataFrame, partition: list[str], order: list, raw: str = "r
     out = out.withColumn("kind", kind).drop("_chapter", "_page", "_noise")
     clean = F.struct(T.clean_output(F.col("parsed.head")).alias("head"), T.normalize_forms(F.col("parsed.forms")).alias("forms"), T.clean_output(F.col("parsed.translation")).alias("translation"), F.col("parsed.method").alias("method"))
     out = out.withColumn("parsed", F.when(F.col("parsed").isNotNull(), clean))
-    keys = [*partition, *order]
-    ids = numbered(out.where("kind = 'CARD'").select(*keys), keys).select(*keys, C.card_id(F.col("number") + (first_number - 1)).alias("card_id"))
-    return out.join(ids, keys, "left")
+    cards = numbered(out, [*partition, *order], "_card", F.col("kind") == "CARD")
+    return cards.withColumn("card_id", F.when(F.col("_card").isNotNull(), C.card_id(F.col("_card") + (first_number - 1)))).drop("_card")
 
 
 def review_items(parsed: DataFrame, partition: list[str], order: list, raw: str = "raw") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import dedup
+from quillspark.sources import files
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame, id_col: str = "id", columns: list[str] | None = None) -> DataFrame:
@@ -143,11 +144,28 @@ def fix_completeness(fixes: DataFrame, expected: int, number: str = "review", re
     return out.unionByName(label(fixes.where((F.col("action") == "ADD_CARD") & empty), "EMPTY_TEXT"))
 
 
-def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
-    """Adds 1, 2, ... in a total order without one task for all rows: rows are dealt by ranges of the order and each range is offset by those before it."""
-    # A stated number of ranges: neither use of them is coalesced, so both see the same partitions.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    return ranged.join(F.broadcast(before.drop("_n")), "_p").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_p", "_at", "_first", "_before")
+#: Rows of a partition hold consecutive values below this in monotonically_increasing_id().
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order: list, name: str = "number", only: Column | None = None) -> DataFrame:
+    """Adds 1, 2, ... in a total order without one task for all rows: rows are dealt by ranges of the order and each range is offset by those before it.
+
+    Ranges come from a sample, so two plans of one exchange may part the rows differently. The ranged rows are
+    therefore stored once, each with its range and its place within it, in the folder that the cluster shares, and both
+    the counts and the result are read from what was stored. The order should be total: equal rows take their places
+    as they come. With only, the rows that it holds for are numbered and the others get null.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)})
+    stored = files.stored(ranged, "numbered")
+    counts = stored.groupBy("_range").agg((F.count("*") if only is None else F.count_if(only)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    rows = stored.join(F.broadcast(before), "_range")
+    if only is None:
+        number = F.col("_before") + F.col("_place") + 1
+    else:
+        upto = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+        number = F.when(only, F.col("_before") + F.count_if(only).over(upto))
+    return rows.withColumn(name, number).select(*df.columns, name)

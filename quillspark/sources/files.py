@@ -57,6 +57,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/quillspark-files/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written as Parquet to the shared folder and read back: what a plan reads twice is then evaluated once, and survives lost executors."""
+    at = f"{work_folder(df.sparkSession)}-{name}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def presence(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(name, path, present, first) of expected text files: whether each can be read, and its first line."""
 

@@ -94,11 +94,31 @@ def test_rules(spark):
         quality.gate(base, problems)
 
 
-def test_numbered_is_a_total_order(spark):
-    df = spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(97)))
-    got = rules.numbered(df, ["k", "id"]).orderBy("number").collect()
-    assert [r["number"] for r in got] == list(range(1, 1001))
+@pytest.mark.parametrize(("parts", "reuse"), [(4, "true"), (8, "false"), (200, "false")])
+def test_numbered_is_a_total_order(spark, parts, reuse):
+    """More rows than the ranges' sample holds, further columns, and no reuse of exchanges."""
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.exchange.reuse": reuse, "spark.sql.execution.rangeExchange.sampleSizePerPartition": "20"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(50_000).withColumns({"k": F.pmod(F.xxhash64("id"), F.lit(97)), "text": F.repeat(F.col("id").cast("string"), 3), "odd": F.col("id") % 3 == 1})
+        rows = rules.numbered(df, ["k", "id"]).collect()
+        odd = rules.numbered(df, [F.desc("k"), "id"], only=F.col("odd")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted(rows, key=lambda r: r["number"])
+    assert [r["number"] for r in got] == list(range(1, 50_001))
     assert [(r["k"], r["id"]) for r in got] == sorted((r["k"], r["id"]) for r in got)
+    assert all(r["text"] == str(r["id"]) * 3 for r in got)
+    numbered = sorted((r for r in odd if r["number"] is not None), key=lambda r: r["number"])
+    assert [r["number"] for r in numbered] == list(range(1, len(numbered) + 1)) and len(odd) == 50_000
+    assert [r["id"] for r in numbered] == [r["id"] for r in sorted((r for r in got if r["odd"]), key=lambda r: (-r["k"], r["id"]))]
+
+
+def test_numbered_of_nothing(spark):
+    assert rules.numbered(spark.range(0), ["id"]).collect() == []
 
 
 def test_ladder_equals_fold(spark):
