@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.llm.decontamination import ORACLE_SQL as CONTAINED
 from quillspark.llm.license_scan import ORACLE_SQL as LICENSES
 from quillspark.llm.merkle import ORACLE_SQL as MERKLE
+from quillspark.llm.spelling import ORACLE_SQL as SPELLING
 
 WORDS = r"[w FOR w IN regexp_split_to_array({}, '[\x20\x09-\x0D]+') IF w <> '']"
 SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,4 +52,4 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_decontamination": CONTAINED, "op4_warc": WARC, "op5_jaccard_join": JACCARD, "op6_suffix_automaton": SUBSTRINGS, "op9_suffix_array": SUFFIXES, "op12_license_scan": LICENSES, "op13_merkle_manifest": MERKLE}
+ORACLE_SQL = {"op3_decontamination": CONTAINED, "op4_warc": WARC, "op5_jaccard_join": JACCARD, "op6_suffix_automaton": SUBSTRINGS, "op9_suffix_array": SUFFIXES, "op11_spelling_variants": SPELLING, "op12_license_scan": LICENSES, "op13_merkle_manifest": MERKLE}

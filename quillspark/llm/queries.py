@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, decontamination, flac, hidden_markov, jaccard_join, license_scan, merkle, packed_ids, scratch, suffix_array, suffix_automaton, toxicity, warc
+from quillspark.llm import byte_bpe, decontamination, flac, hidden_markov, jaccard_join, license_scan, merkle, packed_ids, scratch, spelling, suffix_array, suffix_automaton, toxicity, warc
 from quillspark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,10 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.damaged_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array": op9_suffix_array,
     "op10_hidden_markov": op10_hidden_markov,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_license_scan": op12_license_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
