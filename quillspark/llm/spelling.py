@@ -6,10 +6,10 @@ insertion, one further on. So with a positional inverted index (gram, length, pl
 that have the length and places allowed are merged by a heap; words that come up often enough (the count filter) are
 candidates, and compared.
 
-The index is dealt out. Of the grams of s that may not all be lost, any choice of one more than can be lost must hold one
-that t has (prefix filter), so s asks for its rarest grams only, and asks those shards that hold the postings of such a gram
-and length. A shard gets whole words, indexes all of their grams, and merges all of a question's. The words of one gram
-and length beyond CHUNK are split between shards, and questions go to each: no gram is too frequent, none is left out.
+The index is dealt out. Of all grams in one order, the rarest first, near words share one among the first Q + 1 of each (the
+first Q of a shorter one): prefix filter. So a word is indexed in, and asks, those shards alone that hold such a gram and
+length. A shard gets whole words, indexes all of their grams, and merges all of a question's. The words of one gram and
+length beyond CHUNK are split between shards, and questions go to each: no gram is too frequent, none is left out.
 
 Defined cases: null and empty texts have no words; a null id is an empty one where damage is drawn; counts add up over
 repeated rows; of near words with equal counts the first in code-point order is the form; forms have larger counts than
@@ -34,8 +34,8 @@ from quillspark.llm.letters import small_letters
 Q, LENGTH, COUNT = 3, 6, 5
 #: A form has at least so many times the count of its word.
 TIMES = 5
-#: Words of one gram and length that go to one shard, and postings a shard is meant to hold.
-CHUNK, POSTINGS = 20_000, 40_000
+#: Words of one gram and length that go to one shard, and words a shard is meant to hold.
+CHUNK, HELD = 20_000, 8_000
 #: Letters of words, small ones.
 LETTERS = "a-zÀ-ÿ"
 #: One in so many (document, word) pairs loses a letter, in the damaged counts.
@@ -56,9 +56,9 @@ def word_counts(docs: DataFrame, length: int = LENGTH, count: int = COUNT, one_i
     return runs.select(word.alias("word")).where(F.length("word") >= length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= count)
 
 
-def _merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that stand in at least so many of the ascending lists: a heap of list heads, and jumps past what cannot reach the count."""
-    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+def _merged(lists: list[list[int]], least: int, start: int = 0) -> Iterator[int]:
+    """Numbers from start on that stand in at least so many of the ascending lists: a heap of list heads, and jumps past what cannot reach the count."""
+    heap = [(x[at], k, at) for k, x in enumerate(lists) if (at := bisect_left(x, start)) < len(x)]
     heapify(heap)
     while len(heap) >= least:
         top, taken = heap[0][0], []
@@ -81,48 +81,49 @@ def _merged(lists: list[list[int]], least: int) -> Iterator[int]:
 
 def is_near(s: str, t: str) -> bool:
     """One code point replaced, or inserted into s."""
-    if len(s) == len(t):
-        return sum(a != b for a, b in zip(s, t)) == 1
-    k = next((k for k, a in enumerate(s) if a != t[k]), len(s))
-    return len(t) == len(s) + 1 and s[k:] == t[k + 1 :]
+    k = next((k for k, (a, b) in enumerate(zip(s, t)) if a != b), len(s))
+    return s != t and s[k + (len(s) == len(t)) :] == t[k + 1 :]
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Near pairs between the questions and the words of a shard."""
-    own = rows[rows["role"] < 0].sort_values("word")
+    """Near pairs among the words of a shard, and between them and the words that ask it: of their length, kept in other shards, or shorter by one."""
+    own = rows[rows["asks"] < 0].sort_values("word")
     words, counts = own["word"].tolist(), own["n"].tolist()
+    grams = lambda w: [(w[p : p + Q], p) for p in range(len(w) - Q + 1)]
     postings = defaultdict(list)
     for k, w in enumerate(words):
-        for p in range(len(w) - Q + 1):
-            postings[w[p : p + Q], len(w), p].append(k)
+        for g, p in grams(w):
+            postings[g, len(w), p].append(k)
     out = []
-    asked = rows[rows["role"] >= 0]
-    for s, n, longer in zip(asked["word"], asked["n"], asked["role"]):
-        size, grams = len(s) + longer, [(s[p : p + Q], p) for p in range(len(s) - Q + 1)]
-        lists = [x for g, p in grams for at in range(p, p + longer + 1) if (x := postings.get((g, size, at)))]
-        for k in _merged(lists, len(s) + 1 + longer - 2 * Q):
-            if (longer or words[k] > s) and is_near(s, words[k]):
-                out.append((s, n, words[k], counts[k]))
+    for k, s in enumerate(words):
+        lists = [x for g, p in grams(s) if (x := postings[g, len(s), p])[-1] > k]
+        out += [(s, counts[k], words[t], counts[t]) for t in _merged(lists, len(s) + 1 - 2 * Q, k + 1) if is_near(s, words[t])]
+    asked = rows[rows["asks"] >= 0]
+    for s, n, longer in zip(asked["word"], asked["n"], asked["asks"]):
+        lists = [x for g, p in grams(s) for at in range(p, p + longer + 1) if (x := postings.get((g, len(s) + longer, at)))]
+        out += [(s, n, words[t], counts[t]) for t in _merged(lists, len(s) + 1 + longer - 2 * Q) if (longer or s < words[t]) and is_near(s, words[t])]
     return pd.DataFrame(out, columns=["word", "n", "other", "other_n"])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) of each pair of words (word, n) one edit apart, once; words have at least 2 * Q code points."""
     size = F.length("word")
-    grams = words.select("word", "n", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), size - Q + 1), lambda p: F.struct(p.alias("p"), F.substring("word", p, F.lit(Q)).alias("gram")))).alias("g"))
-    grams = scratch.saved(grams.select("word", "n", "size", "g.p", "g.gram"), "grams")
-    keys = grams.groupBy("gram", "size").agg(F.count_distinct("word").alias("held"))
+    grams = words.select("word", "n", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), size - Q + 1), lambda p: F.substring("word", p, F.lit(Q)))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("_in"))
+    # Repeated grams of a word are told apart by their number, which the order of equal grams stands for.
+    ranked = grams.join(common, "gram").withColumn("_rank", F.row_number().over(Window.partitionBy("word").orderBy("_in", "gram"))).where(F.col("_rank") <= Q + 1)
+    rarest = scratch.saved(ranked.groupBy("word", "n", "size", "gram").agg(F.min("_rank").alias("rank")), "grams")
+    keys = rarest.groupBy("gram", "size").agg(F.count("*").alias("held"))
     keys = scratch.saved(keys.withColumn("parts", F.ceil(F.col("held") / CHUNK)), "gram-sizes")
-    shards = max(1, -(-(keys.agg(F.sum("held")).first()[0] or 0) // POSTINGS))
+    shards = max(1, -(-(keys.agg(F.sum("held")).first()[0] or 0) // HELD))
     shard = lambda part: F.pmod(F.xxhash64("gram", "size", part), F.lit(shards)).cast("int").alias("shard")
-    known = grams.join(keys, ["gram", "size"])
-    rarest = known.withColumn("_rank", F.row_number().over(Window.partitionBy("word").orderBy("held", "p")))
-    held = known.select(shard(F.pmod(F.xxhash64("word"), "parts")), "word", "n", F.lit(-1).alias("role"))
-    parts = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    same = parts(rarest.where(F.col("_rank") <= Q + 1)).select(shard(F.col("_part")), "word", "n", F.lit(0).alias("role"))
-    longer = rarest.where(F.col("_rank") <= Q).select("word", "n", "gram", (F.col("size") + 1).alias("size")).join(keys, ["gram", "size"])
-    longer = parts(longer).select(shard(F.col("_part")), "word", "n", F.lit(1).alias("role"))
-    routed = held.unionByName(same).unionByName(longer).distinct()
+    own_part = F.pmod(F.xxhash64("word"), "parts")
+    every = lambda df: df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    row = lambda part, asks: (shard(part), "word", "n", F.lit(asks).alias("asks"))
+    known = rarest.join(keys, ["gram", "size"])
+    same = every(known.where("parts > 1")).where(F.col("_part") != own_part).select(*row(F.col("_part"), 0))
+    longer = rarest.where(F.col("rank") <= Q).select("word", "n", "gram", (F.col("size") + 1).alias("size")).join(keys, ["gram", "size"])
+    routed = known.select(*row(own_part, -1)).unionByName(same).unionByName(every(longer).select(*row(F.col("_part"), 1))).distinct()
     return routed.groupBy("shard").applyInPandas(_search, "word string, n long, other string, other_n long").distinct()
 
 
@@ -139,7 +140,7 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of words (word, n): the near word of largest count is the form, if its count is so many times the word's."""
-    pairs = near_pairs(words)
+    pairs = scratch.saved(near_pairs(words), "near")
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("word"))).alias("_best"))
     known = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("_best.word").alias("_form"), (-F.col("_best.n")).alias("_form_n"))

@@ -60,7 +60,7 @@ def word_rows(rows):
 def test_variants_equal_all_pairs(spark, monkeypatch, chunk):
     """Few letters, so that grams repeat within words; with small chunks the frequent grams are split between shards."""
     monkeypatch.setattr(spelling, "CHUNK", chunk)
-    monkeypatch.setattr(spelling, "POSTINGS", 60)
+    monkeypatch.setattr(spelling, "HELD", 30)
     rng = random.Random(chunk)
     words = {}
     for _ in range(120):
