@@ -209,12 +209,18 @@ def _clusters(sample: list[np.ndarray], common: np.ndarray) -> np.ndarray:
     return near
 
 
+_WORD = r"[^\x20\x09-\x0D]"
+
+
 def _first_shares(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(words, shares of states) of a bounded sample of distinct texts, those of the smallest hashes, by cluster."""
+    """(words, shares of states) of a bounded sample of distinct texts, those of the smallest hashes, by cluster; of a long text a stretch of SAMPLE_BYTES characters takes part."""
     texts = train.count()
     by_hash = F.pmod(F.xxhash64("t"), F.lit(1 << 30))
-    rows = train.where((by_hash < int(min(1.0, 2 * SAMPLE / max(texts, 1)) * (1 << 30))) & (F.octet_length("t") <= SAMPLE_BYTES))
-    picked = rows.groupBy(F.xxhash64("t").alias("x")).agg(F.min("t").alias("t")).orderBy("x").limit(SAMPLE).toArrow()
+    rows = train.where(by_hash < int(min(1.0, 2 * SAMPLE / max(texts, 1)) * (1 << 30)))
+    begin = F.pmod(F.xxhash64("t", F.lit(1)), F.length("t") - SAMPLE_BYTES + 1).cast("int") + 1
+    stretch = F.regexp_replace(F.substring("t", begin, F.lit(SAMPLE_BYTES)), f"^{_WORD}*|{_WORD}*$", "")  # words that the cut goes through are left out
+    rows = rows.select(F.xxhash64("t").alias("x"), F.when(F.length("t") > SAMPLE_BYTES, stretch).otherwise(F.col("t")).alias("t"))
+    picked = rows.groupBy("x").agg(F.min("t").alias("t")).orderBy("x").limit(SAMPLE).toArrow()
     if not picked.num_rows:
         return np.zeros(0, U64), np.zeros((0, STATES), np.float32)
     h, first = token_hashes(picked["t"].combine_chunks() if picked["t"].num_chunks != 1 else picked["t"].chunk(0))

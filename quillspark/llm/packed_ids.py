@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +149,17 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+_MARK = regex.compile(r"\p{M}")
+
+
+def _marked(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # far faster than a search, and holds no marks
+    except UnicodeEncodeError:
+        return _MARK.search(text) is not None
+    return False
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,7 +171,9 @@ def _tokenizer(path: str):
 def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
     """Ids of whole texts, as the library gives them with add_special_tokens=False."""
     tokenizer, cache = _tokenizer(path)
-    special = {k for k, t in enumerate(texts) if t and "<|" in t}  # may hold the string of a special token, which is one token
+    # Whole texts go to the library where they may hold the string of a special token, which is one token, or marks: those
+    # compose with letters before letters are made small, and a small letter may compose where its capital doesn't.
+    special = {k for k, t in enumerate(texts) if t and ("<|" in t or _marked(t))}
     whole = tokenizer.encode_batch_fast([texts[k] for k in special], add_special_tokens=False) if special else ()
     split = [() if k in special else _JOINT.sub(rb"\1 \2", (t or "").encode().lower()).split() for k, t in enumerate(texts)]
     missing = set().union(*split).difference(cache[0])

@@ -55,13 +55,13 @@ def _held_out(column):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, most: int = TRAIN_BYTES) -> DataFrame:
-    """(t, toxic, votes, sample) of the distinct texts of labelled training documents; their number and bytes are bounded."""
+    """(t, toxic, votes, sample, entry) of the distinct texts of labelled training documents, each an entry of its own; their number and bytes are bounded."""
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y")).where(~_held_out("i"))
     known = known.withColumn("r", F.xxhash64("i")).orderBy("r", "i").limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(F.broadcast(known), "i")
     whole = rows.groupBy(F.coalesce("t", F.lit("")).alias("t")).agg(F.sum("y").alias("toxic"), F.count("*").alias("votes"), F.min("i").alias("sample"), F.min("r").alias("r"))
-    whole = scratch.saved(whole.withColumn("size", F.octet_length("t")), "toxicity-examples")
+    whole = scratch.saved(whole.withColumns({"size": F.octet_length("t"), "entry": F.monotonically_increasing_id()}), "toxicity-examples")
     sizes = whole.select("r", "size").toArrow()  # at most limit rows
     r, size = sizes["r"].to_numpy(), sizes["size"].to_numpy()
     order = np.argsort(r, kind="stable")
@@ -70,7 +70,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED,
 
 
 def _bags(examples: DataFrame) -> pa.Table:
-    """(sample, toxic, votes, h, tf) of each example: its distinct terms and how often it has them."""
+    """(sample, entry, toxic, votes, h, tf) of each example: its distinct terms and how often it has them."""
 
     def run(batches):
         for b in batches_by_bytes(batches, "t"):
@@ -81,9 +81,9 @@ def _bags(examples: DataFrame) -> pa.Table:
             tf = np.diff(np.append(first, len(h))).astype(np.uint32)
             cuts = np.searchsorted(text[first], np.arange(b.num_rows + 1)).tolist()
             bags = [(h[first[a:e]].tobytes(), tf[a:e].tobytes()) for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), b.column(2), *(pa.array(c, pa.binary()) for c in zip(*bags, strict=True))], ["sample", "toxic", "votes", "h", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), b.column(1), b.column(2), *(pa.array(c, pa.binary()) for c in zip(*bags, strict=True))], ["sample", "entry", "toxic", "votes", "h", "tf"])
 
-    return examples.select("t", "toxic", "votes", "sample").mapInArrow(run, "sample long, toxic long, votes long, h binary, tf binary").toArrow()
+    return examples.select("t", "toxic", "votes", "sample", "entry").mapInArrow(run, "sample long, entry long, toxic long, votes long, h binary, tf binary").toArrow()
 
 
 def _slots(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -124,9 +124,9 @@ class Index:
         used[entry[by]] = term[by]
         place = np.lexsort((used, -(toxic / np.maximum(votes, 1))))
         self.toxic, self.votes, self.sample = toxic[place], votes[place], sample[place]
-        moved = np.empty(len(bags), np.int64)
-        moved[place] = np.arange(len(bags))
-        entry = moved[entry]
+        self.moved = np.empty(len(bags), np.int64)  # where each given entry stands
+        self.moved[place] = np.arange(len(bags))
+        entry = self.moved[entry]
         by = np.lexsort((entry, term))
         term, self.entry, self.posting = term[by], entry[by], w[by]
         block = self.entry // BLOCK
@@ -232,16 +232,16 @@ def _fitted(docs: DataFrame, labels: DataFrame, limit: int):
     column = lambda c: bags[c].to_numpy() if bags.num_rows else np.zeros(0, np.int64)
     index = Index([(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for h, c in zip(bags["h"].to_pylist(), bags["tf"].to_pylist(), strict=True)], column("toxic"), column("votes"), column("sample"))
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    place = dict(zip(column("entry").tolist(), index.moved.tolist(), strict=True))  # ids may name several entries
 
     def run(batches):
         index = sent.value
-        place = {s: k for k, s in enumerate(index.sample.tolist())}
         for b in batches_by_bytes(batches, "t"):
             at = [place[s] for s in b.column(1).to_pylist()]
             found = [index.nearest(*v, without=k) if len(v[0]) else (np.zeros(0, np.int64), np.zeros(0)) for v, k in zip(index.vectors(b.column(0)), at, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([index.share(*f) for f in found], pa.float64())], ["at", "share"])
 
-    told = examples.select("t", "sample").mapInArrow(run, "at long, share double").toArrow()  # a row for each example
+    told = examples.select("t", "entry").mapInArrow(run, "at long, share double").toArrow()  # a row for each example
     if told.num_rows:
         index.calibrated(told["share"].to_numpy()[np.argsort(told["at"].to_numpy())])
     scratch.cleared(docs.sparkSession, began)
