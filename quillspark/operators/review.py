@@ -51,6 +51,47 @@ def ladder(answers: DataFrame, keys: list[str], time: str, tiebreak: str, known:
     return out.select(*keys, "level", F.date_add(F.to_date(F.col("_last")[time]), interval_days(F.col("level"))).alias("next_review"))
 
 
+def _after(known: Column, level: Column) -> Column:
+    """The level after one answer."""
+    return F.when(known, F.least(F.greatest(level, F.lit(1)) + 1, F.lit(TOP_LEVEL))).otherwise(F.lit(1))
+
+
+def answer_maps(answers: DataFrame, keys: list[str], time: str, tiebreak: str, known: str, segment: list[Column] | None = None) -> DataFrame:
+    """(keys, _first, _last, _to) of each segment of each word's log: its first and last moment, and the map of levels that it stands for.
+
+    An answer maps the levels 0 to TOP_LEVEL to levels, and so does a sequence of answers: _to holds, for each level before,
+    the level after. Maps of neighbouring segments compose, and composition is associative, so a log may be cut
+    anywhere, and a word with very many answers is many small groups. Segments of a word must not overlap in time.
+    """
+    at = F.struct(F.col(time).alias("ts"), F.col(tiebreak).alias("tie"))
+    parts = {f"_segment{k}": c for k, c in enumerate(segment or [])}
+    grouped = answers.withColumns(parts).groupBy(*keys, *parts) if parts else answers.groupBy(*keys)
+    log = grouped.agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(known).alias("known")))).alias("_log"))
+    same = F.array(*(F.lit(k) for k in range(TOP_LEVEL + 1)))
+    to = F.aggregate("_log", same, lambda levels, x: F.transform(levels, lambda level: _after(x["known"], level)))
+    return log.select(*keys, F.get("_log", F.lit(0))["at"].alias("_first"), F.element_at("_log", -1)["at"].alias("_last"), to.alias("_to"))
+
+
+def composed_maps(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """One map a word from those of its segments, earlier ones first; the result is a map of answer_maps() again."""
+    parts = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_first", "_last", "_to"))).alias("_parts"))
+    same = F.array(*(F.lit(k) for k in range(TOP_LEVEL + 1)))
+    to = F.aggregate("_parts", same, lambda levels, p: F.transform(levels, lambda level: F.get(p["_to"], level)))
+    return parts.select(*keys, F.get("_parts", F.lit(0))["_first"].alias("_first"), F.element_at("_parts", -1)["_last"].alias("_last"), to.alias("_to"))
+
+
+def continued(progress: DataFrame, maps: DataFrame, keys: list[str], level: str = "level", next_review: str = "next_review") -> DataFrame:
+    """(keys, level, next_review) of stored progress after a later answer log: words of either side.
+
+    Without answers a record stays as it is; without a record, or below level 0, a word begins at 0; above the top it counts as the top.
+    """
+    rows = progress.select(*keys, F.col(level).alias("_level"), F.col(next_review).alias("_at")).join(maps, keys, "full")
+    begin = F.least(F.greatest(F.coalesce("_level", F.lit(0)), F.lit(0)), F.lit(TOP_LEVEL)).cast("int")
+    out = rows.withColumn("_new", F.get("_to", begin))
+    due = F.date_add(F.to_date(F.col("_last")["ts"]), interval_days(F.col("_new")))
+    return out.select(*keys, F.when(F.col("_to").isNull(), F.col("_level")).otherwise(F.col("_new")).cast("int").alias("level"), F.when(F.col("_to").isNull(), F.col("_at")).otherwise(due).alias("next_review"))
+
+
 def daily_stats(answers: DataFrame, time: str, known: str, keys: list[str] | None = None) -> DataFrame:
     return answers.groupBy(*(keys or []), F.to_date(time).alias("day")).agg(F.count("*").alias("studied"), F.count_if(known).alias("known"), F.count_if(~F.col(known)).alias("learning"))
 

@@ -106,12 +106,66 @@ def apply_fixes(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns:
     updates = fixes.where("action = 'UPDATE_PREVIOUS'").join(matched.where("status = 'OK'").select("review", id_col), "review")
     last = updates.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("review")))).where("_r = 1").select(id_col, *columns)
     updated = apply_corrections(cards, last, id_col, columns).withColumn("origin", F.when(F.col("corrected"), "FIXED").otherwise("PARSED")).drop("corrected")
-    added = _added(fixes, id_col, prefix).select(id_col, *columns, F.lit("MANUAL").alias("origin"))
+    added = _added(fixes, cards, id_col, prefix).select(id_col, *columns, F.lit("MANUAL").alias("origin"))
     return updated.unionByName(added, allowMissingColumns=True)
 
 
-def _added(fixes: DataFrame, id_col: str, prefix: str) -> DataFrame:
-    return numbered(fixes.where("action = 'ADD_CARD'"), ["review"], "_number").withColumn(id_col, F.format_string(f"{prefix}%04d", F.col("_number"))).drop("_number")
+def _added(fixes: DataFrame, cards: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """The fixes that add cards, with ids: the numbers from 1 that no card's id uses, in the order of reviews."""
+    spark, adds = fixes.sparkSession, fixes.where("action = 'ADD_CARD'")
+    used = cards.where(F.col(id_col).startswith(prefix)).select(F.col(id_col).alias("_name")).distinct()
+    most = adds.count() + used.count()
+    name = F.format_string(f"{prefix}%04d", F.col("id"))
+    free = numbered(spark.range(1, most + 1).select("id", name.alias("_name")).join(used, "_name", "left_anti"), ["id"], "_number")
+    return numbered(adds, ["review"], "_number").join(free.select("_number", F.col("_name").alias(id_col)), "_number").drop("_number")
+
+
+def _ready(pending: DataFrame, key: str) -> DataFrame:
+    """Reviews of which no earlier pending fix touches a key: the key it looks for, or the one it gives a card."""
+    touched = pending.select("review", F.explode(F.array_distinct(F.array_compact(F.array(f"_wanted_{key}", F.when(F.col("action") != "SKIP", F.col(key)))))).alias("_key"))
+    first = touched.groupBy("_key").agg(F.min("review").alias("_first"))
+    waits = touched.join(first, "_key").where(F.col("review") > F.col("_first")).select("review")
+    return pending.join(waits, "review", "left_anti")
+
+
+def fixes_in_order(cards: DataFrame, wanted: DataFrame, fixes: DataFrame, columns: list[str], key: str, scores: list[tuple[str, int, bool]], id_col: str = "id", prefix: str = "riv_b_manual_") -> tuple[DataFrame, DataFrame]:
+    """(cards, log) after fixes that each see what earlier ones left, cards that they added included.
+
+    cards: (id, columns and what is scored); wanted: (review, key, what is scored), the card that a fix means; fixes:
+    (review, action, columns), where a null leaves a card's value. Fixes depend on each other through the keys that
+    they look for or give to a card. Those that no earlier one can touch are applied at once, as one join, then those
+    that waited for them alone, and so on: as many waves as the longest chain. Cards whose keys no fix touches take no
+    part. log: (review, action, id, status, before_..., after_...); status is that of best_match() for updates.
+    """
+    seen = wanted.select("review", *[F.col(c).alias(f"_wanted_{c}") for c in dict.fromkeys([key, *[c for c, *_ in scores]])])
+    updates = F.col("action") == "UPDATE_PREVIOUS"
+    pending = fixes.select("review", "action", *columns).join(seen, "review", "left")
+    pending = files.stored(pending.withColumns({c: F.when(updates, F.col(c)) for c in pending.columns if c.startswith("_wanted_")}), "fixes")
+    new_ids = files.stored(_added(fixes, cards, id_col, prefix).select("review", id_col), "new-ids")
+    keys = pending.select(F.explode(F.array(f"_wanted_{key}", key)).alias(key)).where(F.col(key).isNotNull()).distinct()
+    rest = cards.join(keys, key, "left_anti").withColumn("origin", F.lit("PARSED"))
+    live = files.stored(cards.join(keys, key, "left_semi").select(*cards.columns, F.lit("PARSED").alias("origin")), "live")
+    logs = []
+    while not pending.isEmpty():
+        ready = files.stored(_ready(pending, key), "ready")
+        pending = files.stored(pending.join(ready.select("review"), "review", "left_anti"), "fixes")
+        asked = ready.where(updates).select("review", *[F.col(f"_wanted_{c}").alias(c) for c in dict.fromkeys([key, *[c for c, *_ in scores]])])
+        found = best_match(asked, live, key, scores, id_col).select("review", id_col, "status")
+        before = live.select(id_col, *[F.col(c).alias(f"before_{c}") for c in columns])
+        told = ready.where(updates).select("review", "action", *columns).join(found, "review").join(before, id_col, "left")
+        told = told.select("review", "action", id_col, "status", *[x for c in columns for x in (f"before_{c}", F.when(F.col(id_col).isNotNull(), F.coalesce(c, f"before_{c}")).alias(f"after_{c}"))])
+        added = ready.where("action = 'ADD_CARD'").join(new_ids, "review")
+        others = added.select("review", "action", id_col, *[F.col(c).alias(f"after_{c}") for c in columns]).unionByName(ready.where("action NOT IN ('UPDATE_PREVIOUS', 'ADD_CARD')").select("review", "action"), allowMissingColumns=True)
+        log = files.stored(told.unionByName(others, allowMissingColumns=True), "fix-log")
+        logs.append(log)
+        changes = log.where(updates & F.col(id_col).isNotNull()).select(id_col, *[F.col(f"after_{c}").alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+        changed = live.join(changes, id_col, "left").select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in cards.columns], F.when(F.col("_hit"), "FIXED").otherwise(F.col("origin")).alias("origin"))
+        live = files.stored(changed.unionByName(added.select(id_col, *columns, F.lit("MANUAL").alias("origin")), allowMissingColumns=True), "live")
+    nothing = fixes.select("review", "action", F.lit(None).cast(cards.schema[id_col].dataType).alias(id_col), F.lit(None).cast("string").alias("status"), *[F.lit(None).cast(cards.schema[c].dataType).alias(f"{w}_{c}") for c in columns for w in ("before", "after")]).limit(0)
+    log = nothing
+    for part in logs:
+        log = log.unionByName(part)
+    return rest.unionByName(live), log
 
 
 def fix_log(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: list[str], id_col: str = "id", prefix: str = "riv_b_manual_") -> DataFrame:
@@ -125,7 +179,7 @@ def fix_log(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: lis
     upto = lambda c, last: F.coalesce(F.last_value(c, ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), f"_{c}")
     told = [x for c in columns for x in (F.when(F.col(id_col).isNotNull(), upto(c, -1)).alias(f"before_{c}"), F.when(F.col(id_col).isNotNull(), upto(c, 0)).alias(f"after_{c}"))]
     out = updates.select("review", "action", id_col, *told)
-    added = _added(fixes, id_col, prefix).select("review", "action", id_col, *[F.col(c).alias(f"after_{c}") for c in columns])
+    added = _added(fixes, cards, id_col, prefix).select("review", "action", id_col, *[F.col(c).alias(f"after_{c}") for c in columns])
     return out.unionByName(added, allowMissingColumns=True).unionByName(fixes.where("action = 'SKIP'").select("review", "action"), allowMissingColumns=True)
 
 

@@ -144,7 +144,11 @@ def fix_stats(spark, sf):
     return log.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(cte("cards")[:-1] + f", {_FIX}SELECT review, target FROM fixes WHERE target NOT IN (SELECT id FROM cards)")
+#: Every fifth fix means a card that no table holds.
+_TARGET = "CASE WHEN review % 5 = 0 THEN target + 1000000007 ELSE target END"
+
+
+@query(cte("cards")[:-1] + f", {_FIX}SELECT review, {_TARGET} AS target FROM fixes WHERE {_TARGET} NOT IN (SELECT id FROM cards)")
 def correction_errors(spark, sf):
-    wanted = fixes(spark, sf).select("review", "target")
+    wanted = fixes(spark, sf).selectExpr("review", f"{_TARGET} AS target")
     return rules.missing_targets(view(spark, sf, "cards").select(F.col("id").alias("target")), wanted, "target").select("review", "target")

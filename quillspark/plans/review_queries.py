@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import review as R
-from quillspark.plans.views import TODAY, Registry, cte, view
+from quillspark.plans.views import TODAY, Registry, cte, table, view
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -51,6 +51,27 @@ def srs_ladder(spark, sf):
     return R.ladder(view(spark, sf, "answers"), ["user_id", "word"], "ts", "event_id", "known")
 
 
+#: Answers of customers' words: stored progress that a later log goes on from, for four words in five.
+_LATER = "SELECT event_id, user_id AS word_id, ts, event_id % 4 <> 0 AS known FROM events"
+
+
+@query(
+    PROGRESS.replace("WITH ", "WITH RECURSIVE ", 1)[:-1]
+    + f""", log AS (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY word_id) AS n FROM ({_LATER})),
+    words AS (SELECT coalesce(p.word_id, l.word_id) AS word_id, level, next_review FROM (SELECT * FROM progress WHERE word_id % 5 <> 2) p FULL JOIN (SELECT DISTINCT word_id FROM log) l ON l.word_id = p.word_id),
+    walk AS (SELECT word_id, level, next_review, 0::BIGINT AS k FROM words
+      UNION ALL SELECT w.word_id, CASE WHEN NOT l.known THEN 1 WHEN coalesce(w.level, 0) <= 1 THEN 2 ELSE least(w.level + 1, 6) END,
+        CASE WHEN l.known THEN CAST(CAST(l.ts AS DATE) + CASE WHEN coalesce(w.level, 0) <= 1 THEN 1 WHEN w.level = 2 THEN 3 WHEN w.level = 3 THEN 7 WHEN w.level = 4 THEN 14 ELSE 30 END AS DATE) END, l.k
+      FROM walk w JOIN log l ON l.word_id = w.word_id AND l.k = w.k + 1)
+    SELECT word_id, CAST(arg_max(coalesce(level, -1), k) AS INTEGER) AS level, arg_max({{'d': next_review}}, k).d AS next_review FROM walk GROUP BY word_id""".replace("{{", "{").replace("}}", "}")
+)
+def ladder_continued(spark, sf):
+    progress = view(spark, sf, "progress").where("word_id % 5 <> 2").select("word_id", "level", "next_review")
+    log = table(spark, sf, "events").selectExpr("event_id", "user_id AS word_id", "ts", "event_id % 4 <> 0 AS known")
+    maps = R.composed_maps(R.answer_maps(log, ["word_id"], "ts", "event_id", "known", [F.to_date("ts")]), ["word_id"])
+    return R.continued(progress, maps, ["word_id"]).select("word_id", F.coalesce("level", F.lit(-1)).alias("level"), "next_review")
+
+
 @query(PROGRESS + f"SELECT word_id, level, next_review FROM progress WHERE {_due()}")
 def due_words(spark, sf):
     return view(spark, sf, "progress").where(R.is_due(F.col("level"), F.col("next_review"), today())).select("word_id", "level", "next_review")

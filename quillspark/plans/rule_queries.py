@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import dedup, rules
 from quillspark.plans import duck as D
-from quillspark.plans.views import Registry, cte, table, view
+from quillspark.plans.views import ROLES, Registry, cte, table, view
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -81,3 +81,49 @@ def apply_fixes(spark, sf):
 @query(f"WITH {_FIX[:-1]} SELECT n AS number, 'MISSING' AS problem FROM (SELECT unnest(range(1, 101)) AS n) WHERE n NOT IN (SELECT review FROM fixes) UNION ALL SELECT review, 'UNEXPECTED' FROM fixes WHERE review NOT BETWEEN 1 AND 100 UNION ALL SELECT review, 'EMPTY_TEXT' FROM fixes WHERE action = 'ADD_CARD' AND (coalesce(head, '') = '' OR coalesce(translation, '') = '')")
 def fix_completeness(spark, sf):
     return rules.fix_completeness(fixes(spark, sf), 100, required=("head", "translation"))
+
+
+#: Fixes that depend on earlier ones: pairs of them mean one card, and every sixth means the card that the one before it has renamed or added.
+_SEEN = {"chapter": "c.chapter", "page": "c.page + CAST(s_suppkey % 2 AS INTEGER)", "source_pdf_page": "c.source_pdf_page", "forms": "c.forms", "translation": "c.translation"}
+_HEAD = "CASE WHEN s.s_suppkey % 6 = 4 THEN p.s_name ELSE c.head END"
+
+
+def ordered_fixes(spark, sf):
+    """(cards, wanted, fixes) of the fixes that are applied in order."""
+    cards = view(spark, sf, "cards").selectExpr("CASE WHEN id % 10 = 3 THEN printf('riv_b_manual_%04d', id DIV 10) ELSE CAST(id AS STRING) END AS id", "head", "translation", "forms", "chapter", "page", "source_pdf_page")
+    by_number = view(spark, sf, "cards").alias("c")
+    s, p = table(spark, sf, "supplier").alias("s"), table(spark, sf, "supplier").alias("p")
+    meant = s.join(p, F.expr("p.s_suppkey = s.s_suppkey - 1"), "left").join(by_number, F.expr("c.id = s.s_suppkey DIV 2 * 14"), "left")
+    wanted = meant.selectExpr("s.s_suppkey + 1 AS review", f"{_HEAD} AS head", *[f"{e.replace('s_suppkey', 's.s_suppkey')} AS {c}" for c, e in _SEEN.items()])
+    return cards, wanted, fixes(spark, sf).drop("target")
+
+
+_STATE = "id, head, translation, forms, chapter, page, source_pdf_page, origin, born"
+_IN_ORDER = f"""WITH RECURSIVE cards AS (SELECT {", ".join(f"{e} AS {c}" for c, e in ROLES["cards"][1].items())} FROM part), {_FIX[:-1]},
+named AS (SELECT CASE WHEN id % 10 = 3 THEN printf('riv_b_manual_%04d', id // 10) ELSE CAST(id AS VARCHAR) END AS id, head, translation, forms, chapter, page, source_pdf_page FROM cards),
+free AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT unnest(range(1, 1 + (SELECT count(*) FROM fixes) + (SELECT count(*) FROM named))) AS n) WHERE printf('riv_b_manual_%04d', n) NOT IN (SELECT id FROM named)),
+adds AS (SELECT review, head, translation, row_number() OVER (ORDER BY review) AS k FROM fixes WHERE action = 'ADD_CARD'),
+new AS (SELECT review, head, translation, printf('riv_b_manual_%04d', n) AS id FROM adds JOIN free USING (k)),
+steps AS (SELECT row_number() OVER (ORDER BY f.review) AS step, f.*, {_HEAD} AS w_head, {", ".join(f"{e} AS w_{c}" for c, e in _SEEN.items()).replace("s_suppkey", "s.s_suppkey")} FROM fixes f JOIN supplier s ON f.review = s.s_suppkey + 1 LEFT JOIN supplier p ON p.s_suppkey = s.s_suppkey - 1 LEFT JOIN cards c ON c.id = s.s_suppkey // 2 * 14),
+state AS (SELECT 0::BIGINT AS step, *, 'PARSED' AS origin, 0::BIGINT AS born, 0::BIGINT AS ties, false AS hit, NULL::BIGINT AS review, NULL::VARCHAR AS before_head, NULL::VARCHAR AS before_translation FROM named
+  UNION ALL SELECT 0, id, head, translation, NULL, NULL, NULL, NULL, 'MANUAL', review, 0, false, NULL, NULL, NULL FROM new
+  UNION ALL SELECT step, id, CASE WHEN h THEN coalesce(f_head, head) ELSE head END, CASE WHEN h THEN coalesce(f_translation, translation) ELSE translation END, forms, chapter, page, source_pdf_page, CASE WHEN h THEN 'FIXED' ELSE origin END, born, ties, h, f_review, head, translation
+    FROM (SELECT *, coalesce(score = best AND ties = 1, false) AS h FROM (SELECT *, count(*) FILTER (score = best) OVER () AS ties FROM (SELECT *, max(score) OVER () AS best FROM (
+      SELECT f.step, {", ".join("c." + x for x in _STATE.split(", "))}, f.review AS f_review, f.head AS f_head, f.translation AS f_translation, CASE WHEN f.action = 'UPDATE_PREVIOUS' AND c.born < f.review AND c.head = f.w_head THEN {" + ".join(f"CASE WHEN f.w_{c} = c.{c}{f" AND c.{c} <> ''" if filled else ""} THEN {n} ELSE 0 END" for c, n, filled in SCORES)} END AS score FROM state c JOIN steps f ON f.step = c.step + 1))))) """
+
+
+@query(_IN_ORDER + "SELECT id, head, translation, origin FROM state WHERE step = (SELECT max(step) FROM steps)")
+def fixes_in_order(spark, sf):
+    cards, wanted, f = ordered_fixes(spark, sf)
+    return rules.fixes_in_order(cards, wanted, f, ["head", "translation"], "head", SCORES)[0].select("id", "head", "translation", "origin")
+
+
+@query(
+    _IN_ORDER[:-1]
+    + """, hits AS (SELECT review, id, before_head, head AS after_head, before_translation, translation AS after_translation FROM state WHERE hit), tied AS (SELECT review, max(ties) AS ties FROM state WHERE step > 0 GROUP BY review)
+    SELECT f.review, f.action, coalesce(h.id, n.id) AS id, CASE WHEN f.action = 'UPDATE_PREVIOUS' THEN CASE WHEN h.id IS NOT NULL THEN 'OK' WHEN ties > 1 THEN 'AMBIGUOUS' ELSE 'NONE' END END AS status, before_head, coalesce(after_head, n.head) AS after_head, before_translation, coalesce(after_translation, n.translation) AS after_translation
+    FROM fixes f LEFT JOIN hits h USING (review) LEFT JOIN tied USING (review) LEFT JOIN new n ON n.review = f.review"""
+)
+def fixes_in_order_log(spark, sf):
+    cards, wanted, f = ordered_fixes(spark, sf)
+    return rules.fixes_in_order(cards, wanted, f, ["head", "translation"], "head", SCORES)[1]

@@ -121,6 +121,64 @@ def test_numbered_of_nothing(spark):
     assert rules.numbered(spark.range(0), ["id"]).collect() == []
 
 
+def test_fixes_in_order_equal_the_loop(spark):
+    """Few headwords, so that fixes depend on each other; manual ids in use; ties; keys that no card has."""
+    rng = random.Random(12)
+    heads = list("abcdefgh")
+    cards = {f"m_{k:04d}" if k % 9 == 1 else f"p{k}": [rng.choice(heads), f"t{k}", rng.randrange(50), "PARSED"] for k in range(40)}
+    fixes, wanted = [], []
+    for r in range(1, 23):
+        action = rng.choice(["UPDATE_PREVIOUS"] * 3 + ["ADD_CARD", "SKIP"])
+        head = rng.choice([None, *heads, "g"]) if action != "ADD_CARD" else rng.choice(heads)
+        fixes.append((r, action, head, rng.choice([None, f"n{r}"])))
+        meant = rng.choice(list(cards.values()))
+        wanted.append((r, *rng.choice([(meant[0], meant[2]), (meant[0], meant[2]), (rng.choice([*heads, "none", None]), 1)])))
+    now, log, number = {k: list(v) for k, v in cards.items()}, {}, 1
+    for (r, action, head, translation), (_, seen, page) in zip(fixes, wanted):
+        if action == "ADD_CARD":
+            while f"m_{number:04d}" in now:
+                number += 1
+            now[f"m_{number:04d}"] = [head, translation, None, "MANUAL"]
+            log[r] = (f"m_{number:04d}", None, None, head)
+        elif action == "SKIP":
+            log[r] = (None, None, None, None)
+        else:
+            scored = [(10 * (c[2] is not None and c[2] == page), k) for k, c in now.items() if c[0] == seen]
+            best = [k for x, k in scored if x == max(scored)[0]]
+            status = "NONE" if not best else "OK" if len(best) == 1 else "AMBIGUOUS"
+            log[r] = (None, status, None, None)
+            if status == "OK":
+                card = now[best[0]]
+                before = card[0]
+                now[best[0]] = [head if head is not None else card[0], translation if translation is not None else card[1], card[2], "FIXED"]
+                log[r] = (best[0], status, before, now[best[0]][0])
+    df = spark.createDataFrame([(k, *v[:3]) for k, v in cards.items()], "id string, head string, translation string, page int")
+    out, told = rules.fixes_in_order(df, spark.createDataFrame(wanted, "review long, head string, page int"), spark.createDataFrame(fixes, "review long, action string, head string, translation string"), ["head", "translation"], "head", [("page", 10, False)], prefix="m_")
+    assert {r["id"]: [r["head"], r["translation"], r["page"], r["origin"]] for r in out.collect()} == now
+    assert {r["review"]: (r["id"], r["status"], r["before_head"], r["after_head"]) for r in told.collect()} == log
+    assert sum(x[1] == "OK" for x in log.values()) > 3
+
+
+def test_continued_ladder_equals_the_loop(spark):
+    """Logs cut at random places, composed in two ways, from any level."""
+    rng = random.Random(9)
+    stored = [(u, rng.choice([None, -1, 0, 1, 2, 3, 5, 6, 9]), dt.date(2023, 5, 1 + u % 20)) for u in range(90) if u % 7]
+    log = [(u, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i + rng.randint(0, 6)), rng.random() < 0.7) for u in range(120) if u % 5 for i in range(rng.randint(1, 14))]
+    cuts = {u: sorted(rng.sample(range(1, 14), 4)) for u in range(120)}
+    df = spark.createDataFrame([(*x, sum(x[1] >= c for c in cuts[x[0]])) for x in log], "u long, i long, ts timestamp, known boolean, part int")
+    want = {u: (level, at) for u, level, at in stored}
+    for u, _, ts, known in sorted(log, key=lambda x: (x[0], x[2], x[1])):
+        level = min(want.get(u, (0, None))[0] or 0, 6)
+        level = (2 if level <= 1 else min(level + 1, 6)) if known else 1
+        want[u] = (level, ts.date() + dt.timedelta(days=review.INTERVALS[level]) if known else None)
+    progress = spark.createDataFrame(stored, "u long, level int, next_review date")
+    whole = review.answer_maps(df, ["u"], "ts", "i", "known")
+    parted = review.answer_maps(df, ["u"], "ts", "i", "known", [F.col("part")])
+    halves = review.composed_maps(parted.where("_first.tie < 5"), ["u"]).unionByName(review.composed_maps(parted.where("_first.tie >= 5"), ["u"]))
+    for maps in (whole, review.composed_maps(parted, ["u"]), review.composed_maps(halves, ["u"])):
+        assert {r["u"]: (r["level"], r["next_review"]) for r in review.continued(progress, maps, ["u"]).collect()} == want
+
+
 def test_ladder_equals_fold(spark):
     rng = random.Random(5)
     logs = [(u, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randint(0, 30) + 40 * i), rng.random() < 0.7) for u in range(120) for i in range(rng.randint(1, 12))]
