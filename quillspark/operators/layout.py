@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import cards as C
 from quillspark.functions import text as T
 from quillspark.operators.rules import numbered
+from quillspark.operators.sequence import continues_across, continues_below
+from quillspark.sources import files
 
 #: Ends of the left column and start of the right one, distance of words in a row, and samples of a boundary.
 LEFT_END, RIGHT_START, ROW_DISTANCE, BOUNDARY_SAMPLES = 280.0, 300.0, 1.8, 3
@@ -103,6 +105,61 @@ def parse_rows(rows: DataFrame, partition: list[str], order: list, raw: str = "r
     return cards.withColumn("card_id", F.when(F.col("_card").isNotNull(), C.card_id(F.col("_card") + (first_number - 1)))).drop("_card")
 
 
+def parse_pages(rows: DataFrame, doc: str, order: str, page: str = "page", side: str = "side", short: int | None = None) -> DataFrame:
+    """The parse of rows with word places: by separator, by forms, else where translations begin on the page, else as the continuation of the card before.
+
+    rows: (doc, order, page, side, y, words: array of (x0, text) by place, raw, ...). Where a separator parts a row, the word after it tells
+    where translations begin; the median of at least BOUNDARY_SAMPLES of a page column parts that column's other rows, and tells
+    which rows begin inside the translations. Such a row, if nothing parts it, is joined to the last card, if that
+    card's translation goes on and its last row is just above, or at the foot of the column before. The translation as
+    joined so far decides, so this is a fold over the rows of a document, pages included; it notes joins alone.
+    Adds kind (MARKER, NOISE, CARD, JOINED, REJECT), parsed (a card's with its whole translation), boundary, aligned and card, the order of
+    the card that a row is part of. With short, only fragments of so many words are joined. Rows are parsed once and stored.
+    """
+    t = F.col("raw")
+    at = F.array_position(F.transform("words", lambda w: T.has_separator(w["text"])), True)
+    column = Window.partitionBy(doc, page, side)
+    out = rows.withColumns({"_chapter": C.marker(t, "Kapitel"), "_page": C.marker(t, "Sidan"), "_noise": C.is_noise(t), "_parsed": C.parse_row(t), "_x": F.when(at > 0, F.get("words", at.cast("int"))["x0"])})
+    out = out.withColumn("boundary", F.when(F.count("_x").over(column) >= BOUNDARY_SAMPLES, F.median("_x").over(column)))
+    parted = split_at_boundary(F.col("words"), F.col("boundary"))
+    by_place = T.let(C.extract_morphology(parted["head"]), lambda m: F.struct(m["text"].alias("head"), m["forms"].alias("forms"), T.normalize_basic(parted["translation"]).alias("translation"), F.lit("LAYOUT_FALLBACK").alias("method")))
+    by_place = F.when(parted.isNotNull(), T.let(by_place, lambda x: F.when((x["head"] != "") & (x["translation"] != ""), x)))
+    kind = F.when(F.col("_chapter").isNotNull() | F.col("_page").isNotNull(), "MARKER").when(F.col("_noise"), "NOISE").when(F.col("_parsed").isNotNull(), "CARD").otherwise("REJECT")
+    out = out.withColumns({"aligned": is_aligned(F.col("words"), F.col("boundary"), 4.0), "kind": kind, "_parsed": F.coalesce("_parsed", by_place)})
+    out = out.withColumn("kind", F.when((F.col("kind") == "REJECT") & F.col("_parsed").isNotNull(), "CARD").otherwise(F.col("kind"))).drop("_chapter", "_page", "_noise", "_x")
+    out = files.stored(out, "parsed-rows")
+    may = (F.col("kind") == "REJECT") & F.col("aligned")
+    joins = _continuations(out, doc, order, page, side, may if short is None else may & C.is_short_fragment(t, short))
+    whole = joins.groupBy(doc, "card").agg(F.max_by("_after", order).alias("_whole")).withColumnRenamed("card", order)
+    out = out.join(joins.drop("_after"), [doc, order], "left").join(whole, [doc, order], "left")
+    card = F.when(F.col("kind") == "CARD", F.col("_parsed").withField("translation", F.coalesce("_whole", F.col("_parsed.translation"))))
+    clean = F.struct(T.clean_output(card["head"]).alias("head"), T.normalize_forms(card["forms"]).alias("forms"), T.clean_output(card["translation"]).alias("translation"), card["method"].alias("method"))
+    return out.withColumns({"parsed": F.when(card.isNotNull(), clean), "kind": F.when(F.col("card").isNotNull(), "JOINED").otherwise(F.col("kind")), "card": F.when(F.col("kind") == "CARD", F.col(order)).otherwise(F.col("card"))}).drop("_parsed", "_whole")
+
+
+def _continuations(rows: DataFrame, doc: str, order: str, page: str, side: str, may: Column) -> DataFrame:
+    """(doc, order, card, _after): the rows that go on with a card, and its translation with them."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    text = F.when(F.col("kind") == "CARD", F.col("_parsed.translation")).otherwise(T.normalize_basic(F.col("raw")))
+    row = F.struct(F.col(order).alias("at"), (F.col("kind") == "CARD").alias("card"), text.alias("text"), F.col("y").cast("double").alias("y"), F.col(side).alias("side"), F.col(page).alias("page"))
+    typed = rows.where((F.col("kind") == "CARD") | may).groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    join = f"struct<at:{kinds[order]},card:{kinds[order]},after:string>"
+    empty = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(F.array().cast(f"array<{join}>").alias("joins"), empty(kinds[order]).alias("card"), empty("string").alias("text"), empty("double").alias("y"), empty(kinds[side]).alias("side"), empty(kinds[page]).alias("page"))
+
+    def step(acc: Column, w: Column) -> Column:
+        place = (w["y"], w["side"], w["page"], acc["y"], acc["side"], acc["page"])
+        more = ~w["card"] & acc["card"].isNotNull() & (continues_below(*place) | continues_across(*place)) & C.goes_on_strict(acc["text"])
+        moved = w["card"] | more
+        joined = C.join_continuation(acc["text"], w["text"])
+        now = lambda new, name: F.when(moved, new).otherwise(acc[name]).alias(name)
+        joins = F.when(more, F.concat(acc["joins"], F.array(F.struct(w["at"].alias("at"), acc["card"].alias("card"), joined.alias("after"))))).otherwise(acc["joins"])
+        return F.struct(joins.alias("joins"), F.when(w["card"], w["at"]).otherwise(acc["card"]).alias("card"), now(F.when(w["card"], w["text"]).otherwise(joined), "text"), now(w["y"], "y"), now(w["side"], "side"), now(w["page"], "page"))
+
+    folded = typed.select(doc, F.explode(F.aggregate("_rows", start, step, lambda a: a["joins"])).alias("_j"))
+    return folded.select(doc, F.col("_j.at").alias(order), F.col("_j.card").alias("card"), F.col("_j.after").alias("_after"))
+
+
 def review_items(parsed: DataFrame, partition: list[str], order: list, raw: str = "raw") -> DataFrame:
     """What a reader needs to settle each REVIEW or REJECT row of parse_rows(): the row, the card before it, the row after it, and the attempted parse."""
     w = Window.partitionBy(*partition).orderBy(*order)

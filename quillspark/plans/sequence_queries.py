@@ -9,7 +9,7 @@ from quillspark.operators import layout as L
 from quillspark.operators import quality
 from quillspark.operators import sequence as S
 from quillspark.plans import duck as D
-from quillspark.plans.text_queries import PARSED_CTES, SUSPICIOUS
+from quillspark.plans.text_queries import _ANY, _FORMS, _REST, _WORDS, PARSED_CTES, SUSPICIOUS, _grouped
 from quillspark.plans.views import Registry, table, view
 
 query = Registry()
@@ -39,7 +39,7 @@ _LINE = {
     "side": "CASE WHEN turn % 8 < 4 THEN 'left' ELSE 'right' END",
     "page": "CAST(floor(turn / 8) AS INTEGER)",
     "y": "CAST(CASE WHEN turn % 8 < 4 THEN 640 ELSE 40 END + (turn % 4) * 15 + (conv_id % 3) * 5 AS DOUBLE)",
-    "raw": "CASE CAST((conv_id + turn) % 11 AS INTEGER) WHEN 1 THEN text || ' (-en,' WHEN 2 THEN '-ar) ' || text WHEN 3 THEN 'ett ord (-et, -en) ' || text WHEN 4 THEN text || '\u00ad' WHEN 5 THEN ' kort del' WHEN 6 THEN 'ord\u2002 ' || text || ' of the' WHEN 7 THEN 'och mer,' WHEN 8 THEN 'Kapitel ' || CAST(conv_id % 18 AS STRING) || ' ' || text WHEN 9 THEN CAST(turn AS STRING) WHEN 10 THEN text || ' (-r, -de) in' ELSE text END",
+    "raw": "CASE CAST((conv_id + turn) % 11 AS INTEGER) WHEN 1 THEN text || ' (-en,' WHEN 2 THEN '-ar) ' || text WHEN 3 THEN 'ett ord (-et, -en) ' || text WHEN 4 THEN text || '\u00ad' WHEN 5 THEN ' kort del ' || text WHEN 6 THEN 'ord\u2002 ' || text || ' of the' WHEN 7 THEN text || ' och mer,' WHEN 8 THEN 'Kapitel ' || CAST(conv_id % 18 AS STRING) || ' ' || text WHEN 9 THEN 'B1+B2 ordlista ' || CAST(turn AS STRING) || ' ' || text WHEN 10 THEN text || ' (-r, -de) in' ELSE text END",
 }
 _LINES_SQL = "lines AS (SELECT {} FROM conversations)".format(", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in _LINE.items()))
 _SPLIT_WORDS = "[w FOR w IN regexp_split_to_array({}, '[ \\t\\n\\r]+') IF w <> '']"
@@ -252,3 +252,48 @@ def run_report(spark, sf):
     cards = _parsed(spark, sf).where("kind = 'CARD'").select("card_id", "parsed.*", "chapter", "page")
     rules = quality.run_rules(F.col("head"), F.col("translation"), F.col("chapter"), F.col("page"))
     return quality.violations(cards, "card_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+#: Whole turns as rows of pages with places of words: some are parted by a separator, some begin where translations do, some by forms.
+_PLACED = {
+    "doc": "conv_id % 7",
+    "place": "conv_id * 1000 + turn",
+    "page": "CAST(conv_id % 3 AS INTEGER)",
+    "side": "CASE WHEN turn % 8 < 4 THEN 'left' ELSE 'right' END",
+    "y": "CAST(CASE WHEN turn % 8 < 4 THEN 640 ELSE 40 END + (turn % 4) * 15 AS DOUBLE)",
+    "x": "CASE WHEN turn % 8 < 4 THEN 40 ELSE 310 END + CASE WHEN (conv_id * 3 + turn * 2) % 7 IN (3, 4, 5) THEN 60 ELSE 0 END",
+    "raw": "CASE CAST((conv_id * 3 + turn * 2) % 7 AS INTEGER) WHEN 1 THEN 'ord\u2002 ' || text || ' of the' WHEN 2 THEN 'ett ord\u2002 ' || text || ',' WHEN 3 THEN text || ',' WHEN 6 THEN CASE WHEN turn % 5 = 0 THEN 'Kapitel ' || CAST(conv_id % 18 AS STRING) || ' ' || text ELSE text || ' (-et, -en) in' END ELSE text END",
+}
+_PAGES_SQL = "placed AS (SELECT {} FROM conversations)".format(", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {c}" for c, e in _PLACED.items()))
+_SIDE_OF = "array_to_string([w FOR w, i IN ws IF x + (i - 1) * 12 {} boundary - 3], ' ')"
+_ON = f"(NOT r.card AND f.card IS NOT NULL AND ({_BELOW.format('r', 'f')} OR {_ACROSS.format('r', 'f')}) AND {D.goes_on_strict('f.text')})"
+_JOINED_TEXT = D.norm(_GLUE.format(e=_END.format("f.text"), n=D.strip("r.text")))
+_PAGES = f"""WITH RECURSIVE {_PAGES_SQL}, entries AS (SELECT place AS id, raw FROM placed), {PARSED_CTES[:-1]},
+wordy AS (SELECT *, {_WORDS} AS ws FROM placed),
+spots AS (SELECT *, list_position([{_ANY} FOR x IN ws], true) AS sep FROM wordy),
+edges AS (SELECT doc, page, side, CASE WHEN count(*) >= 3 THEN median(x + sep * 12) END AS boundary FROM spots WHERE sep > 0 AND sep < len(ws) GROUP BY ALL),
+bound AS (SELECT s.*, e.boundary FROM spots s LEFT JOIN edges e ON e.doc = s.doc AND e.page = s.page AND e.side = s.side),
+lay AS (SELECT place AS id, {D.norm(_SIDE_OF.format("<"))} AS t, {D.norm(_SIDE_OF.format(">="))} AS rest FROM bound WHERE boundary IS NOT NULL),
+lax AS (SELECT lay.id, lay.t, m.g, lay.rest FROM lay JOIN ({_grouped("m", "lay").removeprefix("m AS (").removesuffix(")")}) m ON m.id = lay.id AND m.t = lay.t),
+bylay AS (SELECT id, {_REST} AS head, {_FORMS} AS forms, rest AS translation FROM lax WHERE t <> '' AND rest <> ''),
+typed AS (SELECT b.*, CASE WHEN {D.marker("b.raw", "Kapitel")} IS NOT NULL OR {D.marker("b.raw", "Sidan")} IS NOT NULL THEN 'MARKER' WHEN {D.noise("b.raw")} THEN 'NOISE' WHEN p.method IS NOT NULL OR y.id IS NOT NULL THEN 'CARD' ELSE 'REJECT' END AS kind,
+  coalesce(p.head, y.head) AS head, coalesce(p.forms, y.forms) AS forms, coalesce(p.translation, y.translation) AS translation, coalesce(p.method, CASE WHEN y.id IS NOT NULL THEN 'LAYOUT_FALLBACK' END) AS method, coalesce(x >= boundary - 4, false) AS aligned
+  FROM bound b JOIN parsed p ON p.id = b.place LEFT JOIN bylay y ON y.id = b.place AND y.head <> ''),
+live AS (SELECT doc, place, page, side, y, kind = 'CARD' AS card, CASE WHEN kind = 'CARD' THEN translation ELSE {D.norm("raw")} END AS text, row_number() OVER (PARTITION BY doc ORDER BY place) AS i FROM typed WHERE kind = 'CARD' OR kind = 'REJECT' AND aligned),
+fold AS (SELECT doc, i, CASE WHEN card THEN place END AS card, CASE WHEN card THEN text END AS text, CASE WHEN card THEN y END AS y, CASE WHEN card THEN side END AS side, CASE WHEN card THEN page END AS page, NULL::BIGINT AS joined FROM live WHERE i = 1
+  UNION ALL SELECT r.doc, r.i, CASE WHEN r.card THEN r.place ELSE f.card END, CASE WHEN r.card THEN r.text WHEN {_ON} THEN {_JOINED_TEXT} ELSE f.text END, CASE WHEN r.card OR {_ON} THEN r.y ELSE f.y END, CASE WHEN r.card OR {_ON} THEN r.side ELSE f.side END, CASE WHEN r.card OR {_ON} THEN r.page ELSE f.page END, CASE WHEN {_ON} THEN r.place END FROM fold f JOIN live r ON r.doc = f.doc AND r.i = f.i + 1),
+whole AS (SELECT card, arg_max(text, i) AS text FROM fold WHERE joined IS NOT NULL GROUP BY card)
+"""
+
+
+@query(
+    _PAGES
+    + f"""SELECT t.doc, t.place, CASE WHEN j.joined IS NOT NULL THEN 'JOINED' ELSE kind END AS kind, CASE WHEN kind = 'CARD' THEN {D.clean_output("head")} END AS head, CASE WHEN kind = 'CARD' THEN {D.forms("forms")} END AS forms, CASE WHEN kind = 'CARD' THEN {D.clean_output("coalesce(w.text, translation)")} END AS translation,
+    CASE WHEN kind = 'CARD' THEN method END AS method, boundary, aligned, CASE WHEN kind = 'CARD' THEN t.place ELSE j.card END AS card FROM typed t LEFT JOIN fold j ON j.joined = t.place LEFT JOIN whole w ON w.card = t.place"""
+)
+def parse_pages(spark, sf):
+    rows = table(spark, sf, "conversations").selectExpr(*[f"{e} AS {c}" for c, e in _PLACED.items()])
+    words = F.filter(F.split("raw", "[ \\t\\n\\r]+"), lambda w: w != "")
+    rows = rows.withColumn("words", F.transform(words, lambda w, k: F.struct((F.col("x") + k * 12).cast("double").alias("x0"), w.alias("text"))))
+    out = L.parse_pages(rows, "doc", "place")
+    return out.select("doc", "place", "kind", "parsed.head", "parsed.forms", "parsed.translation", "parsed.method", "boundary", "aligned", "card")

@@ -21,10 +21,10 @@ CARD = {
 #: Documents with the marks of badly extracted text.
 MESSY = "replace(replace(replace(replace(replace(text, 'e ', 'e '), ' a', ' –a'), 'th', 't\u200bh'), 'en ', 'e\u00adn, '), ' de ', ' - de ')"
 TEXT = {"id": "doc_id", "t": MESSY}
-#: Rows of an entry list made from whole documents: markers, a headword with forms, with a separator, both or neither, a page number.
+#: Rows of an entry list made from whole documents: markers, a headword with forms, with a separator, both or neither, a page heading.
 ROW = {
     "id": "doc_id",
-    "raw": "CASE CAST(doc_id % 8 AS INTEGER) WHEN 0 THEN 'Kapitel ' || CAST(doc_id % 18 AS STRING) || ' ' || text WHEN 1 THEN text || ' (-en, -ar) på sig ' || text WHEN 2 THEN text || '\u2002' || ' ' || text WHEN 3 THEN 'Sidan ' || CAST(doc_id % 90 AS STRING) || ' ' || text WHEN 4 THEN '  ' || CAST(doc_id % 1000 AS STRING) WHEN 5 THEN text || ' (-r, -de) in' WHEN 6 THEN 'ett ord (-et,  -en)\u2003 ' || text ELSE text END",
+    "raw": "CASE CAST(doc_id % 8 AS INTEGER) WHEN 0 THEN 'Kapitel ' || CAST(doc_id % 18 AS STRING) || ' ' || text WHEN 1 THEN text || ' (-en, -ar) på sig ' || text WHEN 2 THEN text || '\u2002' || ' ' || text WHEN 3 THEN 'Sidan ' || CAST(doc_id % 90 AS STRING) || ' ' || text WHEN 4 THEN '  B1+B2 ordlista ' || CAST(doc_id % 1000 AS STRING) || ' ' || text WHEN 5 THEN text || ' (-r, -de) in' WHEN 6 THEN 'ett ord (-et,  -en)\u2003 ' || text ELSE text END",
 }
 ANSWER = {"event_id": "event_id", "user_id": "user_id", "word": "event_type", "ts": "ts", "known": "event_id % 4 <> 0"}
 PROGRESS = {

@@ -159,6 +159,33 @@ def test_fixes_in_order_equal_the_loop(spark):
     assert sum(x[1] == "OK" for x in log.values()) > 3
 
 
+def test_pages_calibrate_themselves(spark):
+    """Three parted rows tell where translations begin; the fold joins what goes on, over a column's end, and leaves the rest."""
+    line = lambda at, side, y, x, raw: ("d", at, 1, side, float(y), [(float(x + 50 * k), w) for k, w in enumerate(raw.split(" "))], raw)
+    rows = [
+        line(1, "left", 600, 40, "katt\u2002 cat"),
+        line(2, "left", 615, 40, "hund\u2002 dog"),
+        line(3, "left", 630, 40, "Kapitel 4"),
+        line(4, "left", 645, 40, "häst horse and,"),
+        line(5, "left", 660, 90, "mare or,"),
+        line(6, "left", 675, 91, "foal"),
+        line(7, "left", 690, 90, "alone here"),
+        line(8, "left", 705, 40, "bo (-r, -dde) live of the"),
+        line(9, "left", 720, 40, "fisk\u2002 fish,"),
+        line(10, "right", 40, 360, "carp"),
+        line(11, "right", 55, 310, "far gone"),
+    ]
+    df = spark.createDataFrame(rows, "doc string, at long, page int, side string, y double, words array<struct<x0: double, text: string>>, raw string")
+    got = {r["at"]: r for r in layout.parse_pages(df, "doc", "at").collect()}
+    assert [got[k]["kind"] for k in range(1, 12)] == ["CARD", "CARD", "MARKER", "CARD", "JOINED", "JOINED", "REJECT", "CARD", "CARD", "REJECT", "REJECT"]
+    assert got[4]["boundary"] == 90.0 and got[10]["boundary"] is None
+    assert (got[4]["parsed"]["head"], got[4]["parsed"]["translation"], got[4]["parsed"]["method"]) == ("häst", "horse and, mare or, foal", "LAYOUT_FALLBACK")
+    assert [got[k]["card"] for k in (4, 5, 6, 7)] == [4, 4, 4, None]
+    short = {r["at"]: r["kind"] for r in layout.parse_pages(df, "doc", "at", short=1).collect()}
+    assert short[5] == "REJECT" and short[6] == "REJECT"
+    assert layout.parse_pages(df.limit(0), "doc", "at").collect() == []
+
+
 def test_continued_ladder_equals_the_loop(spark):
     """Logs cut at random places, composed in two ways, from any level."""
     rng = random.Random(9)
