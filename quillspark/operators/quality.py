@@ -123,6 +123,36 @@ def word_violations(df: DataFrame, id_col: str, head: str, meanings: str, level:
     return rows.unionByName(df.groupBy(id_col).count().where("count > 1").select(id_col, F.lit("DUPLICATE_ID").alias("rule")))
 
 
+def json_violations(rows: DataFrame, id_col: str, raw: str, fields: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(id, field, problem, found): where raw JSON departs from the fields that each object must have.
+
+    fields gives for each name its type (text, whole, number, flag, list, texts: a list of texts alone) and whether
+    null may stand there. Problems: NO_JSON (not JSON, or no text at all) and NO_OBJECT for the row as a whole (field null), MISSING
+    (no such field), NULL_VALUE, NUMBER_AS_TEXT (a text that reads as a number, where a number must stand), WRONG_TYPE.
+    found is the type that was found. The text is parsed once, to VARIANT; one row may have several problems.
+    """
+    parsed = rows.select(id_col, F.try_parse_json(raw).alias("_v"))
+    kind = F.schema_of_variant("_v")
+
+    def checked(name: str, wanted: str, nullable: bool) -> Column:
+        path = "$['" + name + "']"
+        at = F.try_variant_get("_v", path, "variant")
+        found = F.schema_of_variant(at)
+        short = F.when(found.startswith("DECIMAL"), F.lit("DECIMAL")).otherwise(F.regexp_extract(found, "^[A-Z]+", 0))
+        number = found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL")
+        ok = {"text": found == "STRING", "whole": found == "BIGINT", "number": number, "flag": found == "BOOLEAN", "list": found.startswith("ARRAY<"), "texts": found.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.array_contains(F.transform(F.try_variant_get("_v", path, "array<variant>"), lambda x: F.is_variant_null(x)), True), F.lit(False))}[wanted]
+        text = F.try_variant_get("_v", path, "string")
+        as_text = (found == "STRING") & text.rlike(r"^\s*[-+]?[0-9]+(\.[0-9]+)?\s*$") if wanted in ("whole", "number") else F.lit(False)
+        null = F.lit(None).cast("string") if nullable else F.lit("NULL_VALUE")
+        problem = F.when(at.isNull(), F.lit("MISSING")).when(F.is_variant_null(at), null).when(ok, F.lit(None)).when(as_text, F.lit("NUMBER_AS_TEXT")).otherwise(F.lit("WRONG_TYPE"))
+        return F.when(problem.isNotNull(), F.struct(F.lit(name).alias("field"), problem.alias("problem"), short.alias("found")))
+
+    whole = lambda p, found: F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(p).alias("problem"), found.alias("found")))
+    each = F.array_compact(F.array(*[checked(n, *f) for n, f in fields.items()]))
+    problems = F.when(F.col("_v").isNull(), whole("NO_JSON", F.lit(None).cast("string"))).when(~kind.startswith("OBJECT<"), whole("NO_OBJECT", F.regexp_extract(kind, "^[A-Z]+", 0))).otherwise(each)
+    return parsed.select(id_col, F.explode(problems).alias("_p")).select(id_col, "_p.*")
+
+
 def gate(df: DataFrame, errors: DataFrame) -> DataFrame:
     """df if there are no errors; raises at once otherwise, as the sink must not be reached."""
     bad = errors.limit(5).collect()

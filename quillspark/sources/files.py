@@ -6,11 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillspark.operators.quality import gate
+from quillspark.sources.store import drop, rename_new
 
 CARD = "id STRING, swedish STRING, forms STRING, english STRING, level STRING, chapter INT, page INT, source STRING, source_pdf_page INT, parse_method STRING"
 WORD = "id STRING, swedish STRING, english ARRAY<STRING>, cefr STRING, pos STRING, article STRING, ipa ARRAY<STRING>, examples ARRAY<STRING>"
@@ -39,9 +40,11 @@ def _fields(ddl: str) -> str:
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Lines "word pronunciation": (word, ord, sampa); lines with one field are skipped, a byte order mark is dropped.
 
-    ord follows the order of lines within a file: Spark splits keep it in the high bits.
+    ord is (file, start of the split, row): it sorts like the lines of the files by path, however splits are dealt to tasks,
+    as Spark may put several splits into one task in any order, but reads each from its start to its end.
     """
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("ord"))
     line = F.regexp_replace("value", "^\ufeff", "")
     rows = lines.select(F.regexp_extract(line, r"^\s*(\S+)\s+(.*\S)\s*$", 1).alias("word"), "ord", F.regexp_extract(line, r"^\s*(\S+)\s+(.*\S)\s*$", 2).alias("sampa"))
     return rows.where("word <> ''")
@@ -105,6 +108,38 @@ def write_checked(df: DataFrame, errors: DataFrame, path: str, report: str | Non
     gate(df, errors).write.mode("overwrite").json(path)
 
 
+def write_observed(df: DataFrame, rules: dict[str, Column], path: str, report: str | None = None) -> dict[str, int]:
+    """Writes df as JSON lines and counts its rows and those against each rule in the same scan; returns the counts.
+
+    The rows go to a waiting folder, which takes the place of `path` only if no rule holds for any row; else it is dropped,
+    ValueError is raised, and what stood at `path` stays. The report is written in any case. Rules are Columns of
+    true, false or null (not counted). Unlike write_checked() this reads df once, but rules must look at one row alone.
+    """
+    spark, waiting, found = df.sparkSession, f"{path.rstrip('/')}-waiting-{uuid.uuid4().hex}", Observation()
+    df.observe(found, F.count("*").alias("ROWS"), *[F.count_if(rule).alias(name) for name, rule in rules.items()]).write.json(waiting)
+    counts = {name: int(n) for name, n in found.get.items()}
+    if report:
+        write_report(spark.createDataFrame(sorted(counts.items()), "metric string, value long"), report)
+    bad = {name: n for name, n in counts.items() if n and name != "ROWS"}
+    if bad:
+        drop(spark, waiting)
+        raise ValueError(f"not written: {bad}")
+    drop(spark, path)
+    if not rename_new(spark, waiting, path):
+        raise FileExistsError(path)
+    return counts
+
+
+def write_events(events: DataFrame, kind: str, path: str) -> None:
+    """Events as JSON lines in one folder of each kind; every task writes its own file of a kind, so no kind is gathered anywhere."""
+    events.write.mode("overwrite").partitionBy(kind).json(path)
+
+
+def read_events(spark: SparkSession, path: str, kinds: list[str], kind: str, schema: str) -> DataFrame:
+    """The events of some kinds: folders of others are not opened."""
+    return spark.read.schema(f"{schema}, {kind} string").json(path).where(F.col(kind).isin(kinds))
+
+
 def write_report(metrics: DataFrame, path: str) -> None:
     """A report is small: one file of lines, by metric."""
     report_lines(metrics.orderBy("metric")).coalesce(1).write.mode("overwrite").text(path)
