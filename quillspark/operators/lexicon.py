@@ -77,10 +77,11 @@ def audit_summary(words: DataFrame, lexicon: DataFrame, id_col: str, text_col: s
         "cleaned_still_two_word": F.count_if(cleaned & two),
         "unknown_symbol_occurrences": F.coalesce(F.sum(F.size("unknown")), F.lit(0)),
     }
-    routed = _routed(words, lexicon, id_col, text_col)
-    counts = routed.agg(*[c.cast("double").alias(n) for n, c in metrics.items()])
-    kinds = routed.select(F.explode("unknown").alias("u")).agg(F.count_distinct("u").cast("double").alias("unique_unknown_symbols"))
-    return counts.crossJoin(kinds).unpivot([], [*metrics, "unique_unknown_symbols"], "metric", "value")  # one row beside one row
+    # every entry once without a symbol and once for each of its unknown ones: a group of counts and a group a symbol, in one pass
+    rows = _routed(words, lexicon, id_col, text_col).withColumn("_u", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("unknown", F.array().cast("array<string>")))))
+    groups = rows.groupBy("_u").agg(*[c.cast("double").alias(n) for n, c in metrics.items()])
+    counts = groups.agg(*[F.coalesce(F.max(F.when(F.col("_u").isNull(), F.col(n))), F.lit(0.0)).alias(n) for n in metrics], F.count("_u").cast("double").alias("unique_unknown_symbols"))
+    return counts.unpivot([], [*metrics, "unique_unknown_symbols"], "metric", "value")
 
 
 def unknown_symbols(classified: DataFrame) -> DataFrame:
@@ -101,6 +102,19 @@ def coverage_summary(words: DataFrame, lexicon: DataFrame, id_col: str, key: str
     return counts.crossJoin(F.broadcast(total)).select("match", "n", F.round(F.col("n") * 100 / F.col("total"), 2).alias("percent"))  # three rows beside one
 
 
+def coverage_by_length(words: DataFrame, lexicon: DataFrame, id_col: str, key: str = "normalized", n_words: str = "n_words") -> DataFrame:
+    """(n_words, n_total, n_direct, n_composed, n_missing) of coverage(), for each number of words."""
+    rows = coverage(words, lexicon, id_col, key).join(words.select(id_col, n_words), id_col)
+    of = lambda m: F.count_if(F.col("match") == m)
+    return rows.groupBy(n_words).agg(F.count("*").alias("n_total"), of("DIRECT").alias("n_direct"), of("COMPOSED").alias("n_composed"), of("MISSING").alias("n_missing"))
+
+
+def first_missing(words: DataFrame, lexicon: DataFrame, id_col: str, size: int = 50, key: str = "normalized") -> DataFrame:
+    """(id, key) of the first entries, by id, that coverage() finds nothing for: a sample for a report."""
+    missing = coverage(words, lexicon, id_col, key).where("match = 'MISSING'").orderBy(id_col).limit(size)
+    return words.select(id_col, key).join(F.broadcast(missing.select(id_col)), id_col)
+
+
 def probe(lexicon: DataFrame, words: tuple[str, ...]) -> DataFrame:
     """(word, found, pronunciations) of a few words that a lexicon should have."""
     asked = lexicon.sparkSession.createDataFrame([(w,) for w in words], "asked string").withColumn("key", T.plain_key(F.col("asked")))

@@ -78,11 +78,21 @@ def decide_conflicts(groups: DataFrame, key: str, keep_separate: DataFrame, merg
     return out.withColumn("decision", decision).withColumn("translation", F.when(F.col("decision") == "MERGE", F.col("_merged"))).drop("_apart", "_merged")
 
 
-def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[tuple[str, int, bool]], id_col: str = "id", wanted_id: str = "review") -> DataFrame:
+#: Candidates of one key from which on best_match() counts by columns instead of pairing each with each wanted row.
+CROWD = 4096
+
+
+def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[tuple[str, int, bool]], id_col: str = "id", wanted_id: str = "review", crowd: int = CROWD) -> DataFrame:
     """The candidate of each wanted row with the highest score among those of equal key.
 
-    scores: (column, points, needs a non-empty value). Result: (wanted_id, id, score, status), status OK,
-    AMBIGUOUS where two share the best score (id is then null) or NONE without a candidate.
+    scores: (column, points above 0, needs a non-empty value). Result: (wanted_id, id, score, status), status OK,
+    AMBIGUOUS where two share the best score (id is then null) or NONE without a candidate. Rows of an equal wanted_id are one.
+
+    Keys of up to `crowd` candidates form pairs. In a crowded key candidates are counted by each subset of their columns
+    instead, and a wanted row looks up its own values in each subset: the points of the best subset that is met are
+    the best score, since a candidate that met more columns would have more, and every candidate of that score meets exactly one such
+    subset. So a key of m candidates and n wanted rows costs 2^columns * (m + n) rows, not m * n. Whether there is such
+    a key is asked first (one small job); the result is the same either way.
     """
     w = wanted.select(wanted_id, key, *[F.col(c).alias(f"w_{c}") for c, *_ in scores])
     c = candidates.select(key, id_col, *[F.col(c).alias(f"c_{c}") for c, *_ in scores])
@@ -90,14 +100,40 @@ def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[
     for column, points, filled in scores:
         same = F.col(f"w_{column}") == F.col(f"c_{column}")
         score = score + F.when(same & (F.col(f"w_{column}") != "") if filled else same, points).otherwise(0)
-    met = w.join(c, key, "left").withColumn("score", F.when(F.col(id_col).isNotNull(), score))
-    top = met.groupBy(wanted_id).agg(F.max("score").alias("score"))
-    best = met.join(top, [wanted_id, "score"]).groupBy(wanted_id, "score").agg(F.count("*").alias("ties"), F.min(id_col).alias("best"))
-    out = top.select(wanted_id, "score").join(best, [wanted_id, "score"], "left")
+    full = c.groupBy(key).count().where(F.col("count") > crowd).where(F.col(key).isNotNull()).select(key)
+    crowds = bool(full.take(1))
+    few = lambda rows: rows.join(full, key, "left_anti") if crowds else rows
+    met = few(w).join(few(c), key, "left").withColumn("score", F.when(F.col(id_col).isNotNull(), score))
+    pairs = met.groupBy(wanted_id, "score").agg(F.count(id_col).alias("ties"), F.min(id_col).alias("best"))
+
+    if crowds:
+        pairs = pairs.unionByName(_crowded_matches(w.join(full, key, "left_semi"), c.join(full, key, "left_semi"), key, scores, id_col, wanted_id))
+    out = pairs.groupBy(wanted_id).agg(F.max(F.struct("score", "ties", "best")).alias("_b")).select(wanted_id, "_b.*")
     status = F.when(F.col("score").isNull(), "NONE").when(F.col("ties") > 1, "AMBIGUOUS").otherwise("OK")
     return out.select(wanted_id, F.when(status == "OK", F.col("best")).alias(id_col), "score", status.alias("status"))
 
 
+def _crowded_matches(w: DataFrame, c: DataFrame, key: str, scores: list[tuple[str, int, bool]], id_col: str, wanted_id: str) -> DataFrame:
+    """(wanted_id, score, ties, best) by subsets of columns, for best_match(); of a wanted row only the highest score is exact, lower ones count too much."""
+
+    def subsets(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
+        """Each row under every subset of its columns that hold something to compare: (keep, key, points, values)."""
+        masks = []
+        for mask in range(1 << len(scores)):
+            inside = [s for k, s in enumerate(scores) if mask >> k & 1]
+            fits = F.lit(True)
+            for column, _, filled in inside:
+                value = F.col(f"{side}_{column}")
+                fits = fits & value.isNotNull() & ((value != "") if filled else F.lit(True))
+            values = F.array(*[F.when(F.lit(bool(mask >> k & 1)), F.col(f"{side}_{column}").cast("string")) for k, (column, *_) in enumerate(scores)])
+            masks.append(F.when(fits, F.struct(F.lit(mask).alias("mask"), F.lit(sum(points for _, points, _ in inside)).alias("score"), values.alias("values"))))
+        return rows.select(*keep, key, F.explode(F.array_compact(F.array(*masks))).alias("_m")).select(*keep, key, "_m.*")
+
+    counted = subsets(c, "c", [id_col]).groupBy(key, "mask", "values").agg(F.count("*").alias("ties"), F.min(id_col).alias("best"))
+    met = subsets(w, "w", [wanted_id]).join(counted, [key, "mask", "values"])
+    return met.groupBy(wanted_id, "score").agg(F.sum("ties").alias("ties"), F.min("best").alias("best"))
+
+
 def apply_fixes(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: list[str], id_col: str = "id", prefix: str = "riv_b_manual_") -> DataFrame:
     """Updates matched cards and adds new ones: fixes (review, action, columns...) with UPDATE_PREVIOUS, ADD_CARD or SKIP.
 

@@ -149,3 +149,27 @@ def lexicon_order(spark, sf):
     at = files.work_folder(spark)
     lexicon(spark, sf).orderBy("word", "ord", "sampa").select(F.concat("word", F.lit("\t"), "sampa").alias("value")).write.text(at)
     return rules.numbered(files.read_lexicon(spark, at), ["ord"], "place").select("place", "word", "sampa")
+
+
+_BAD = " OR ".join(f"({r})" for r in _RULE_SQL.values())
+_SECTIONS = ("FIGURES", "CARDS BY METHOD", "CARDS WITH VIOLATIONS")
+
+
+@query(
+    cte("cards")[:-1]
+    + f""", f AS (SELECT {_line("rule", "n")} AS value, row_number() OVER (ORDER BY rule) AS k FROM ({_union(_RULE_SQL, lambda n, r: f"SELECT '{n}' AS rule, count(*) FILTER ({r}) AS n FROM cards")})),
+    h AS (SELECT {_line("method", "n")} AS value, row_number() OVER (ORDER BY n DESC, method) AS k FROM (SELECT method, count(*) AS n FROM cards GROUP BY method)),
+    b AS (SELECT id, id || '  ' || head || ' = ' || translation AS value, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM cards WHERE {_BAD})
+    SELECT CAST(unnest([0, 0, 1, 1, 2, 2]) AS INTEGER) AS section, CAST(unnest([0, 1, 0, 1, 0, 1]) AS INTEGER) AS line, unnest(['{_SECTIONS[0]}', repeat('-', 78), '{_SECTIONS[1]}', repeat('-', 78), '{_SECTIONS[2]}', repeat('-', 78)]) AS value
+    UNION ALL SELECT 0, k + 1, value FROM f UNION ALL SELECT 1, k + 1, value FROM h UNION ALL SELECT 2, k + 1, value FROM b WHERE k <= 20 UNION ALL SELECT DISTINCT 2, 22, '... and ' || (n - 20) || ' more' FROM b WHERE n > 20"""
+)
+def report_sections(spark, sf):
+    cards, found = view(spark, sf, "cards"), F.lit(False)
+    for rule in _rules().values():
+        found = found | F.coalesce(rule, F.lit(False))
+    counts = quality.structure_counts(cards, _rules()).where("rule <> 'DUPLICATE_ID'").select(F.col("rule").alias("metric"), F.col("n").alias("value"))
+    methods = cards.groupBy(F.col("method").alias("metric")).agg(F.count("*").alias("value"))
+    figures = files.report_lines(counts.orderBy("metric")).withColumn("at", F.trim(F.substring("value", 1, 40)))
+    histogram = methods.withColumn("at", -F.col("value")).select(F.concat(F.rpad("metric", 40, " "), F.lpad(F.col("value").cast("string"), 12, " ")).alias("value"), "at", "metric")
+    cases = cards.where(found).select("id", F.concat(F.col("id").cast("string"), F.lit("  "), "head", F.lit(" = "), "translation").alias("value"))
+    return files.report_sections(spark, [(_SECTIONS[0], figures, ["at"], None), (_SECTIONS[1], histogram, ["at", "metric"], None), (_SECTIONS[2], cases, ["id"], 20)])

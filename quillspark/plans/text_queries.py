@@ -252,10 +252,12 @@ def coverage_summary(spark, sf):
     return L.coverage_summary(_words(spark, sf).where("n_words > 0"), _known(spark, sf), "id")
 
 
-_PROBES = ("Almond", "antique!", "(blue)", "missing word")
+_PROBES = ("Almond", "antique!", "(blue)", "missing word", "BISQUE", "black,", "blanched", "'blush'", "burlywood", "chartreuse", "chiffon", "coral", "cornflower", "?", "not there")
+_KEYS = tuple(p.lower().strip("!()?,'") for p in _PROBES)
+_QUOTED = ", ".join("'" + p.replace("'", "''") + "'" for p in _PROBES)
 
 
-@query(_SAID + "SELECT asked AS word, d.word IS NOT NULL AS found, array_to_string(ps, '|') AS pronunciations FROM (SELECT unnest(['Almond', 'antique!', '(blue)', 'missing word']) AS asked, unnest(['almond', 'antique', 'blue', 'missing word']) AS key) LEFT JOIN d ON d.word = key")
+@query(_SAID + f"SELECT asked AS word, d.word IS NOT NULL AS found, array_to_string(ps, '|') AS pronunciations FROM (SELECT unnest([{_QUOTED}]) AS asked, unnest({list(_KEYS)}) AS key) LEFT JOIN d ON d.word = key")
 def lexicon_probe(spark, sf):
     return L.probe(_known(spark, sf), _PROBES).withColumn("pronunciations", F.array_join("pronunciations", "|"))
 
@@ -273,3 +275,16 @@ def unknown_symbols(spark, sf):
 @query(_W + "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.word = e.normalized) THEN 'DIRECT' WHEN n_parts = n_found THEN 'COMPOSED' ELSE 'MISSING' END AS match FROM e")
 def lexicon_coverage(spark, sf):
     return L.coverage(_words(spark, sf).where("n_words > 0"), _known(spark, sf), "id")
+
+
+_COVERED = "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.word = e.normalized) THEN 'DIRECT' WHEN n_parts = n_found THEN 'COMPOSED' ELSE 'MISSING' END AS match FROM e"
+
+
+@query(_W[:-1] + f", m AS ({_COVERED}) SELECT n_words, count(*) AS n_total, count(*) FILTER (match = 'DIRECT') AS n_direct, count(*) FILTER (match = 'COMPOSED') AS n_composed, count(*) FILTER (match = 'MISSING') AS n_missing FROM m JOIN w USING (id) GROUP BY n_words")
+def coverage_by_length(spark, sf):
+    return L.coverage_by_length(_words(spark, sf).where("n_words > 0"), _known(spark, sf), "id")
+
+
+@query(_W[:-1] + f", m AS ({_COVERED}) SELECT id, normalized FROM m JOIN w USING (id) WHERE match = 'MISSING' ORDER BY id LIMIT 50")
+def coverage_missing(spark, sf):
+    return L.first_missing(_words(spark, sf).where("n_words > 0"), _known(spark, sf), "id")

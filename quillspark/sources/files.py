@@ -148,3 +148,22 @@ def write_report(metrics: DataFrame, path: str) -> None:
 def report_lines(metrics: DataFrame, width: int = 40) -> DataFrame:
     """(metric, value) as lines of a fixed-width report."""
     return metrics.select(F.concat(F.rpad("metric", width, " "), F.lpad(F.col("value").cast("string"), 12, " ")).alias("value"))
+
+
+def report_sections(spark: SparkSession, sections: list[tuple[str, DataFrame, list, int | None]], width: int = 78) -> DataFrame:
+    """(section, line, value): a report of titled sections, each a title, a rule and the lines of a DataFrame (value).
+
+    A section names the order of its lines and how many of them it shows: figures and histograms show all their groups (None, for
+    DataFrames of a bounded number of rows), samples of cases the first few; a section that shows fewer than there are says so with
+    their number in a last line. Only shown lines are numbered, so no window sees a table of cases.
+    """
+    out = spark.createDataFrame([(k, n, v) for k, (title, *_) in enumerate(sections) for n, v in enumerate((title, "-" * width))], "section int, line int, value string")
+    for k, (_, rows, order, show) in enumerate(sections):
+        keyed = rows.select(F.struct(*order).alias("_at"), "value")
+        some = keyed if show is None else keyed.orderBy("_at").limit(show)
+        lines = some.agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_l")).select(F.posexplode("_l").alias("n", "l"))
+        out = out.unionByName(lines.select(F.lit(k).alias("section"), (F.col("n") + 2).alias("line"), F.col("l.value").alias("value")))
+        if show is not None:
+            left = rows.agg(F.count("*").alias("n")).where(F.col("n") > show)
+            out = out.unionByName(left.select(F.lit(k).alias("section"), F.lit(show + 2).alias("line"), F.format_string("... and %d more", F.col("n") - show).alias("value")))
+    return out

@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import quality, recorded
+from quillspark.operators import lexicon, quality, recorded, rules
 from quillspark.sources import files, store
 from quillspark.streaming import recorded as stream
 
@@ -191,3 +191,33 @@ def test_times_of_a_day(spark):
     late = datetime(2024, 1, 5, 23, 59, 59)
     df = spark.createDataFrame([(1, late, True)], "u int, ts timestamp, known boolean")
     assert list(json.loads(recorded.record_answers(spark.createDataFrame([], STATS), df, ["u"], "ts", "known").first()["stats_days"])) == ["2024-01-05"]
+
+
+def test_best_match_of_crowded_keys_equals_pairs(spark):
+    r = random.Random(4)
+    row = lambda k: (k, r.choice(["a", "a", "a", "b", "c", None, ""]), r.choice([1, 2, 3, None]), r.choice([1, 2, 3]), r.choice(["", "x", "y", None]))
+    wanted, pool = [row(k) for k in range(60)], [row(k) for k in range(150)]
+    scores = [("chapter", 10, False), ("page", 10, False), ("forms", 5, True)]
+    want = {}
+    for k, head, *own in wanted:
+        points = [(sum(p for (_, p, filled), x, y in zip(scores, own, theirs) if x is not None and x == y and (x != "" or not filled)), i) for i, h, *theirs in pool if h is not None and h == head]
+        best = max((p for p, _ in points), default=None)
+        ids = [i for p, i in points if p == best]
+        want[k] = (ids[0] if len(ids) == 1 else None, best, "NONE" if not ids else "OK" if len(ids) == 1 else "AMBIGUOUS")
+    w = spark.createDataFrame(wanted, "review int, head string, chapter int, page int, forms string")
+    p = spark.createDataFrame(pool, "id int, head string, chapter int, page int, forms string")
+    for crowd in (0, 20, 10_000):
+        assert {x["review"]: (x["id"], x["score"], x["status"]) for x in rules.best_match(w, p, "head", scores, crowd=crowd).collect()} == want
+    assert rules.best_match(w, p.limit(0), "head", scores).where("status = 'NONE'").count() == 60
+
+
+def test_lexicon_summary_of_nothing(spark):
+    words, known = spark.createDataFrame([], "id int, text string"), spark.createDataFrame([], "word string, pronunciations array<string>")
+    assert {r["value"] for r in lexicon.audit_summary(words, known, "id", "text").collect()} == {0.0}
+
+
+def test_report_sections(spark):
+    rows = spark.createDataFrame([(k, f"card {k}") for k in range(5)], "id int, value string")
+    got = files.report_sections(spark, [("ALL", rows, ["id"], None), ("FEW", rows, ["id"], 2), ("NONE", rows.limit(0), ["id"], 2)]).orderBy("section", "line").collect()
+    rule = "-" * 78
+    assert [r["value"] for r in got] == ["ALL", rule, *(f"card {k}" for k in range(5)), "FEW", rule, "card 0", "card 1", "... and 3 more", "NONE", rule]
