@@ -27,6 +27,13 @@ def reading_order(column: Column, y: Column) -> Column:
     return F.struct(F.when(column == "left", 0).otherwise(1).alias("c"), y.alias("y"))
 
 
+def layout_dump(boxes: DataFrame, page: list[str], only: Column | None = None) -> DataFrame:
+    """(page columns, line, value): words (x0, y0, x1, y1, text) as lines of a fixed-width listing, down and then across each page; blank words are left out. only: the pages to list."""
+    rows = (boxes if only is None else boxes.where(only)).where(T.strip(F.col("text")) != "")
+    line = F.row_number().over(Window.partitionBy(*page).orderBy("y0", "x0", "text"))
+    return rows.select(*page, line.alias("line"), F.format_string("%8.1f %8.1f %8.1f %8.1f  %s", "x0", "y0", "x1", "y1", "text").alias("value"))
+
+
 def visual_rows(tokens: DataFrame, page: list[str]) -> DataFrame:
     """Words (x0, y0, text) of each page column in rows: (page, column, row, y, raw, words).
 
