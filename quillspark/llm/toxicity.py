@@ -105,7 +105,8 @@ def _kth(cosines: np.ndarray, votes: np.ndarray, k: int) -> float:
 class Index:
     """Entries with votes, their unit vectors as postings by term, and block maxima."""
 
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray):
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, votes: np.ndarray, sample: np.ndarray, plain: float = PLAIN, base_vote: float = BASE_VOTE):
+        self.base_vote = base_vote
         size = np.array([len(h) for h, _ in bags], np.int64)
         h = np.concatenate([h for h, _ in bags]) if bags else np.zeros(0, np.uint64)
         tf = np.concatenate([c for _, c in bags]) if bags else np.zeros(0)
@@ -115,7 +116,7 @@ class Index:
         count = np.bincount(term, votes[entry], len(self.vocabulary))
         share = positive / n if n else 0.0
         z = (np.bincount(term, toxic[entry], len(self.vocabulary)) - count * share) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9)) if 0 < share < 1 else np.zeros(len(count))
-        self.weight = (np.log((n + 1) / (count + 1)) + 1e-6) * (PLAIN + np.abs(z))
+        self.weight = (np.log((n + 1) / (count + 1)) + 1e-6) * (plain + np.abs(z))
         w = (1 + np.log(tf)) * self.weight[term]
         w /= np.sqrt(np.bincount(entry, w * w, len(bags)))[entry]
         # Alike entries stand together, so that block maxima are tight: by class, then by the commonest of the most used terms.
@@ -142,15 +143,19 @@ class Index:
     def vectors(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, unit weights) of each text, without terms that no example has."""
         text, h = terms(column)
+        return self._vectors(text, h, len(column))
+
+    def _vectors(self, text: np.ndarray, h: np.ndarray, texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of (text, term hash) of all words."""
         if not len(self.vocabulary):
-            return [(np.zeros(0, np.int64), np.zeros(0))] * len(column)
+            return [(np.zeros(0, np.int64), np.zeros(0))] * texts
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == h
         key, tf = np.unique(text[known] * len(self.vocabulary) + at[known], return_counts=True)
         text, term = np.divmod(key, len(self.vocabulary))
         w = (1 + np.log(tf)) * self.weight[term]
-        w /= np.sqrt(np.bincount(text, w * w, len(column)))[text]
-        cuts = np.searchsorted(text, np.arange(len(column) + 1)).tolist()
+        w /= np.sqrt(np.bincount(text, w * w, texts))[text]
+        cuts = np.searchsorted(text, np.arange(texts + 1)).tolist()
         return [(term[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def nearest(self, term: np.ndarray, query: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +194,7 @@ class Index:
     def share(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Distance-weighted share of toxic votes."""
         w = 1 / (1.05 - cosine)
-        return (float((w * self.toxic[near]).sum()) + BASE_VOTE * self.base) / (float((w * self.votes[near]).sum()) + BASE_VOTE)
+        return (float((w * self.toxic[near]).sum()) + self.base_vote * self.base) / (float((w * self.votes[near]).sum()) + self.base_vote)
 
     def probability(self, share: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log(share / (1 - share)) + self.shift, -40, 40))))
@@ -248,6 +253,51 @@ def _fitted(docs: DataFrame, labels: DataFrame, limit: int):
     return index, sent
 
 
+def fold_losses(docs: DataFrame, labels: DataFrame, settings: list[tuple[float, int, float]], folds: int = 4, limit: int = MAX_LABELLED) -> DataFrame:
+    """(plain, neighbours, base_vote, fold, votes, loss, caught, toxic, flagged): how settings do on training rows left out, a fold at a time.
+
+    Folds part the labelled training texts by the order of entries; each (setting, fold) is a task that fits the index and its
+    calibration on the other folds and scores this one: the sum of log losses of its votes, toxic votes at THRESHOLD or more of
+    all toxic ones, and clean votes there. Rows that are held out are never seen, so constants can be chosen by it.
+    """
+    spark, began = docs.sparkSession, scratch.mark()
+    scratch.few_rows(spark)
+    bags = _bags(training_rows(docs, labels, limit)).sort_by("entry")
+    sent = spark.sparkContext.broadcast([bags[c].to_pylist() for c in ("h", "tf", "toxic", "votes")])
+    scratch.cleared(spark, began)
+
+    def run(batches):
+        words, counts, toxic, votes = sent.value
+        toxic, votes = np.array(toxic, np.int64), np.array(votes, np.int64)
+        bags = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for h, c in zip(words, counts, strict=True)]
+        for batch in batches:
+            for plain, k, base_vote, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.arange(len(bags)) % folds == fold
+                rest = np.flatnonzero(~mine)
+                index = Index([bags[i] for i in rest], toxic[rest], votes[rest], rest, plain, base_vote)
+
+                def shares(at, out=()):
+                    size = [int(bags[i][1].sum()) for i in at]
+                    h = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(*bags[i]) for i in at)])
+                    vectors = index._vectors(np.repeat(np.arange(len(at)), size), h, len(at))
+                    none = (np.zeros(0, np.int64), np.zeros(0))
+                    return np.array([index.share(*(index.nearest(*v, k, out[n] if len(out) else -1) if len(v[0]) else none)) for n, v in enumerate(vectors)])
+
+                known = np.zeros(len(rest))
+                known[index.moved] = shares(rest, index.moved)
+                index.calibrated(known)
+                asked = np.flatnonzero(mine)
+                p = np.clip([index.probability(s) for s in shares(asked)], 1e-6, 1 - 1e-6)
+                y, n = toxic[asked], votes[asked]
+                over = p >= THRESHOLD
+                row = [plain, k, base_vote, fold, int(n.sum()), float(-(y * np.log(p) + (n - y) * np.log(1 - p)).sum()), int(y[over].sum()), int(y.sum()), int((n - y)[over].sum())]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))])
+
+    names = ["plain", "neighbours", "base_vote", "fold", "votes", "loss", "caught", "toxic", "flagged"]
+    todo = spark.createDataFrame([(float(p), k, float(b), f) for p, k, b in settings for f in range(folds)], "plain double, neighbours long, base_vote double, fold long")
+    return todo.repartition(len(settings) * folds, "plain", "neighbours", "base_vote", "fold").mapInArrow(run, "plain double, neighbours long, base_vote double, fold long, votes long, loss double, caught long, toxic long, flagged long")
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Index:
     """The calibrated index of the labelled training documents."""
     return _fitted(docs, labels, limit)[0]

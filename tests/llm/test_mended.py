@@ -43,3 +43,27 @@ def test_hidden_markov_learns_from_long_texts_alone(spark):
     assert min(len(t) for _, t in rows) > 2 * hidden_markov.SAMPLE_BYTES
     got = hidden_markov.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
+
+
+def test_toxicity_folds_see_training_rows_alone(spark):
+    """Every labelled training text is left out once, settings that cannot work do worse, and labels of held-out rows change nothing."""
+    rng = random.Random(5)
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    rows = [(k, " ".join(rng.choice(plain) for _ in range(12)) + (" idiot moron" if k % 4 == 0 else "")) for k in range(160)] + [(160, None), (161, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(k, int(k % 4 == 0)) for k, _ in rows]
+    settings = [(0.2, 8, 0.5), (0.2, 8, 1e6)]
+
+    def found(labels):
+        out = toxicity.fold_losses(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), settings)
+        return sorted(map(tuple, out.collect()))
+
+    got = found(marks)
+    assert got == found([(k, 1 - y if held(k) else y) for k, y in marks])
+    free = [(k, y) for k, y in marks if not held(k)]
+    for setting in settings:
+        mine = [r for r in got if r[:3] == setting]
+        assert len(mine) == 4 and sum(r[4] for r in mine) == len(free) and sum(r[7] for r in mine) == sum(y for _, y in free)
+    good, bad = (sum(r[5] for r in got if r[:3] == s) for s in settings)
+    assert good < bad and sum(r[6] for r in got if r[:3] == settings[0]) >= 0.9 * sum(y for _, y in free)
