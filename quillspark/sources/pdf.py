@@ -18,6 +18,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -234,6 +235,11 @@ def _times(a: tuple, b: tuple) -> tuple:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
+@lru_cache(4096)
+def _blank(text: bytes) -> bool:
+    return text.decode("utf-16-be", "replace").isspace()
+
+
 def words(top: float, content: bytes, fonts: dict[str, tuple]) -> list[tuple]:
     """(x0, y0, x1, y1, text) of the words of a page in the order of its content; y grows downwards."""
     out, now = [], []  # now: x0, y0, x1, y1, baseline, text of the word that goes on
@@ -249,22 +255,25 @@ def words(top: float, content: bytes, fonts: dict[str, tuple]) -> list[tuple]:
     def shown(data: bytes):
         nonlocal tm
         n, widths, other, texts, ascent, descent = font or (1, {}, 500, {}, ASCENT, DESCENT)
+        at = _times((1, 0, 0, 1, 0, rise), _times(tm, ctm))
+        high, moved = abs(at[3]) * size, 0.0
         for k in range(0, len(data) - n + 1, n):
             code = int.from_bytes(data[k : k + n], "big")
             advance = (widths.get(code) or other) / 1000 * size
-            at = _times((1, 0, 0, 1, 0, rise), _times(tm, ctm))
-            tm = _times((1, 0, 0, 1, (advance + spread + (between if n == 1 and code == 32 else 0)) * stretch, 0), tm)
-            text, high = texts.get(code, b"\xff\xfd"), abs(at[3]) * size
-            if text.decode("utf-16-be", "replace").isspace():
+            x0, y = at[4] + moved * at[0], at[5] + moved * at[1]
+            x1 = x0 + advance * stretch * at[0]
+            moved += (advance + spread + (between if n == 1 and code == 32 else 0)) * stretch
+            text = texts.get(code, b"\xff\xfd")
+            if _blank(text):
                 ended()
                 continue
-            x0, x1, y = at[4], at[4] + advance * stretch * at[0], at[5]
             if now and (abs(y - now[4]) > LINE or not -high / 2 < x0 - now[2] < GAP * high):
                 ended()
             if not now:
                 now[:] = [x0, top - y - ascent * high, x1, top - y - descent * high, y, b""]
             now[1], now[2], now[3] = min(now[1], top - y - ascent * high), max(now[2], x1), max(now[3], top - y - descent * high)
             now[5] += text
+        tm = (*tm[:4], tm[4] + moved * tm[0], tm[5] + moved * tm[1])
 
     args: list = []
     at, found = 0, values(content)
