@@ -48,6 +48,8 @@ SAMPLE_SHARE, SAMPLE_BYTES, COMMON = 1 / 8, 16 << 20, 1 << 18
 PAGE, PAGE_BYTES, FANOUT, FEW = 256, 4 << 20, 8, 24
 #: Rows up to which a side is broadcast (about 50 bytes each), and fingerprints a map task remembers.
 BROADCAST_ROWS, SEEN = 400_000, 1 << 20
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle (16 MB, broadcast).
+FILTER_BITS = 1 << 27
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -321,6 +323,16 @@ def _join_tasks(rows: DataFrame, n: int, percent: int, spanning: bool) -> DataFr
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, overlap long, n_union long")
 
 
+def asked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The docs whose (i, k) is among those of rows, and some few others whose hash shares a bit with one of them."""
+    bit = F.pmod(F.xxhash64("i", "k"), F.lit(FILTER_BITS))
+    at = rows.select(bit.alias("_bit")).select(F.bitmap_bucket_number("_bit").alias("_bucket"), F.bitmap_bit_position("_bit").alias("_at"))
+    bits = scratch.saved(at.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), "jaccard-asked")
+    met = docs.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("CAST(_at DIV 8 AS INT) + 1"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.expr("CAST(_at % 8 AS INT)")) == 1).select(*docs.columns)
+
+
 class _Texts:
     """The texts of classes, for rows that name their nodes."""
 
@@ -328,10 +340,11 @@ class _Texts:
         self.docs, self.classes = docs, classes.select("node", "i", "k")
 
     def of(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows (node, ...) beside the text t of the node; rows are broadcast if they are few, else both sides are shuffled."""
+        """rows (node, ...) beside the text t of the node; rows are broadcast if they are few, else both sides are shuffled, of the texts those alone that rows may name."""
         rows = scratch.saved(rows.join(self.classes, "node"), name)
-        found = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-        return self.docs.join(found, ["i", "k"]).drop("i", "k")
+        if rows.count() <= BROADCAST_ROWS:
+            return self.docs.join(F.broadcast(rows), ["i", "k"]).drop("i", "k")
+        return asked(self.docs, rows).join(rows, ["i", "k"]).drop("i", "k")
 
 
 def _star(members: DataFrame, classes: DataFrame, texts: _Texts, n: int, percent: int, largest: bool) -> tuple[int, DataFrame]:
@@ -486,14 +499,16 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, p
     links = spark.createDataFrame([], "a long, b long, overlap long, n_union long")
     if percent >= 100:  # equal sets are one class already, and no others link
         return rows, classes, links
-    texts = _Texts(docs, classes)
+    texts, began, kept = _Texts(docs, classes), scratch.mark(), []
     members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node", "n"), "f").select("element", "node", "n").distinct()
     members = scratch.saved(members.withColumn("label", F.col("node")), "jaccard-members")
     rest, largest, more = members, False, spanning
     while more and not rest.isEmpty():
         stars, found = _star(rest, classes, texts, n, percent, largest)
         links = links.unionByName(found)
+        kept.append(found)
         rest = _labelled(rest.select("element", "node", "n"), links)
+        scratch.cleared(spark, began, rest, *kept)
         more, largest = 0 < stars <= 2 * found.count(), not largest
     if not spanning:
         rest = _labelled(rest.select("element", "node", "n"), links)

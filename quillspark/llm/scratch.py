@@ -34,10 +34,19 @@ def folder(spark: SparkSession, name: str) -> str:
 _MADE: list[str] = []
 
 
+#: Spark drops the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
-    at = folder(df.sparkSession, name)
-    df.write.parquet(at)
+    """df written as Parquet to the shared folder and read back: cuts lineage and survives lost executors; its shuffle files go at once."""
+    spark = df.sparkSession
+    at, before = folder(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _MADE.append(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.stored_at = at

@@ -1,11 +1,13 @@
-"""Cases that once went wrong: composed capitals, ids that name several examples, and corpora of long texts alone."""
+"""Cases that once went wrong: composed capitals, ids that name several examples, corpora of long texts alone, and disk that a join kept."""
 
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 
-from quillspark.llm import hidden_markov, packed_ids, queries, toxicity
+from quillspark.llm import hidden_markov, jaccard_join, packed_ids, queries, scratch, toxicity
 
 
 def test_packed_ids_of_combining_marks():
@@ -67,3 +69,37 @@ def test_toxicity_folds_see_training_rows_alone(spark):
         assert len(mine) == 4 and sum(r[4] for r in mine) == len(free) and sum(r[7] for r in mine) == sum(y for _, y in free)
     good, bad = (sum(r[5] for r in got if r[:3] == s) for s in settings)
     assert good < bad and sum(r[6] for r in got if r[:3] == settings[0]) >= 0.9 * sum(y for _, y in free)
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """What a stored table was made from goes when it is stored, not when the driver collects its garbage."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    out = scratch.saved(spark.range(100_000).repartition(4, "id"), "shuffled")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)  # Spark deletes in the background
+    assert not held() - before and out.count() == 100_000
+
+
+def test_jaccard_join_of_shuffled_texts(spark, monkeypatch):
+    """Texts that are shuffled, as rows are too many to be broadcast, give the same result."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"w{rng.randrange(90)}" for _ in range(40))) for k in range(0, 90, 3)]
+    rows += [(k + 1, t.rpartition(" ")[0]) for k, t in rows[::5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    got = {r[0]: r[2] for r in jaccard_join.join_components(docs).collect()}
+    assert got == {k: k - (k % 3 == 1) for k, _ in rows}
+
+
+def test_asked_texts(spark, monkeypatch):
+    """No text that is asked for is lost, and few others are kept."""
+    docs = spark.range(5000).selectExpr("id AS i", "xxhash64(id) AS k", "CAST(id AS STRING) AS t")
+    rows = docs.where("i % 50 = 0").select("i", "k")
+    for bits, most in ((jaccard_join.FILTER_BITS, 101), (1 << 16, 150), (1 << 5, 5000)):
+        monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
+        got = [r["i"] for r in jaccard_join.asked(docs, rows).collect()]
+        assert {k for k in got if k % 50 == 0} == set(range(0, 5000, 50)) and len(got) == len(set(got)) <= most
