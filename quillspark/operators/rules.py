@@ -89,10 +89,11 @@ def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[
     AMBIGUOUS where two share the best score (id is then null) or NONE without a candidate. Rows of an equal wanted_id are one.
 
     Keys of up to `crowd` candidates form pairs. In a crowded key candidates are counted by each subset of their columns
-    instead, and a wanted row looks up its own values in each subset: the points of the best subset that is met are
+    instead, and wanted values are looked up in each subset: the points of the best subset that is met are
     the best score, since a candidate that met more columns would have more, and every candidate of that score meets exactly one such
-    subset. So a key of m candidates and n wanted rows costs 2^columns * (m + n) rows, not m * n. Whether there is such
-    a key is asked first (one small job); the result is the same either way.
+    subset. Candidates and wanted rows of equal values go through this as one. So a key of m candidates and n wanted rows
+    costs at most 2^columns * (m + n) rows, not m * n. Whether there is such a key is asked first (one small job); the
+    result is the same either way. Both sides are shuffled: files of repeated values look small enough to be broadcast, but their rows are not.
     """
     w = wanted.select(wanted_id, key, *[F.col(c).alias(f"w_{c}") for c, *_ in scores])
     c = candidates.select(key, id_col, *[F.col(c).alias(f"c_{c}") for c, *_ in scores])
@@ -103,7 +104,7 @@ def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[
     full = c.groupBy(key).count().where(F.col("count") > crowd).where(F.col(key).isNotNull()).select(key)
     crowds = bool(full.take(1))
     few = lambda rows: rows.join(full, key, "left_anti") if crowds else rows
-    met = few(w).join(few(c), key, "left").withColumn("score", F.when(F.col(id_col).isNotNull(), score))
+    met = few(w).join(few(c).hint("merge"), key, "left").withColumn("score", F.when(F.col(id_col).isNotNull(), score))
     pairs = met.groupBy(wanted_id, "score").agg(F.count(id_col).alias("ties"), F.min(id_col).alias("best"))
 
     if crowds:
@@ -113,25 +114,32 @@ def best_match(wanted: DataFrame, candidates: DataFrame, key: str, scores: list[
     return out.select(wanted_id, F.when(status == "OK", F.col("best")).alias(id_col), "score", status.alias("status"))
 
 
+def _subsets(rows: DataFrame, side: str, scores: list[tuple[str, int, bool]], key: str, keep: list[str]) -> DataFrame:
+    """Each row under every subset of its columns (named side_column) that hold something to compare: (keep, key, mask, score, values)."""
+    masks = []
+    for mask in range(1 << len(scores)):
+        inside = [s for k, s in enumerate(scores) if mask >> k & 1]
+        fits = F.lit(True)
+        for column, _, filled in inside:
+            value = F.col(f"{side}_{column}")
+            fits = fits & value.isNotNull() & ((value != "") if filled else F.lit(True))
+        values = F.array(*[F.when(F.lit(bool(mask >> k & 1)), F.col(f"{side}_{column}").cast("string")) for k, (column, *_) in enumerate(scores)])
+        masks.append(F.when(fits, F.struct(F.lit(mask).alias("mask"), F.lit(sum(points for _, points, _ in inside)).alias("score"), values.alias("values"))))
+    return rows.select(*keep, key, F.explode(F.array_compact(F.array(*masks))).alias("_m")).select(*keep, key, "_m.*")
+
+
 def _crowded_matches(w: DataFrame, c: DataFrame, key: str, scores: list[tuple[str, int, bool]], id_col: str, wanted_id: str) -> DataFrame:
-    """(wanted_id, score, ties, best) by subsets of columns, for best_match(); of a wanted row only the highest score is exact, lower ones count too much."""
-
-    def subsets(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
-        """Each row under every subset of its columns that hold something to compare: (keep, key, points, values)."""
-        masks = []
-        for mask in range(1 << len(scores)):
-            inside = [s for k, s in enumerate(scores) if mask >> k & 1]
-            fits = F.lit(True)
-            for column, _, filled in inside:
-                value = F.col(f"{side}_{column}")
-                fits = fits & value.isNotNull() & ((value != "") if filled else F.lit(True))
-            values = F.array(*[F.when(F.lit(bool(mask >> k & 1)), F.col(f"{side}_{column}").cast("string")) for k, (column, *_) in enumerate(scores)])
-            masks.append(F.when(fits, F.struct(F.lit(mask).alias("mask"), F.lit(sum(points for _, points, _ in inside)).alias("score"), values.alias("values"))))
-        return rows.select(*keep, key, F.explode(F.array_compact(F.array(*masks))).alias("_m")).select(*keep, key, "_m.*")
-
-    counted = subsets(c, "c", [id_col]).groupBy(key, "mask", "values").agg(F.count("*").alias("ties"), F.min(id_col).alias("best"))
-    met = subsets(w, "w", [wanted_id]).join(counted, [key, "mask", "values"])
-    return met.groupBy(wanted_id, "score").agg(F.sum("ties").alias("ties"), F.min("best").alias("best"))
+    """(wanted_id, score, ties, best) by subsets of columns, for best_match(): the best score of each wanted row."""
+    values = [f"w_{column}" for column, *_ in scores]
+    classes = c.groupBy(key, *[f"c_{column}" for column, *_ in scores]).agg(F.count("*").alias("ties"), F.min(id_col).alias("best"))
+    counted = _subsets(classes, "c", scores, key, ["ties", "best"]).groupBy(key, "mask", "values").agg(F.sum("ties").alias("ties"), F.min("best").alias("best"))
+    met = _subsets(w.select(key, *values).distinct(), "w", scores, key, values).hint("merge").join(counted.hint("merge"), [key, "mask", "values"])
+    best = met.groupBy(key, *values, "score").agg(F.sum("ties").alias("ties"), F.min("best").alias("best")).groupBy(key, *values).agg(F.max(F.struct("score", "ties", "best")).alias("_b"))
+    same = F.lit(True)
+    for column in (key, *values):
+        same = same & F.col(f"w.{column}").eqNullSafe(F.col(f"b.{column}"))
+    found = w.hint("merge").alias("w").join(best.hint("merge").alias("b"), same).select(F.col(f"w.{wanted_id}").alias(wanted_id), "b._b.*")
+    return found.groupBy(wanted_id, "score").agg(F.sum("ties").alias("ties"), F.min("best").alias("best"))
 
 
 def apply_fixes(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: list[str], id_col: str = "id", prefix: str = "riv_b_manual_") -> DataFrame:

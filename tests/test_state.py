@@ -211,6 +211,19 @@ def test_best_match_of_crowded_keys_equals_pairs(spark):
     assert rules.best_match(w, p.limit(0), "head", scores).where("status = 'NONE'").count() == 60
 
 
+def test_best_match_broadcasts_no_rows(spark, tmp_path):
+    """Files of repeated values look small, but neither the candidates nor their subsets go through the driver; only the list of crowded keys may."""
+    rows = spark.range(4000).selectExpr("id", "IF(id % 10 < 9, 'a', CAST(id AS STRING)) AS head", "id % 3 AS chapter", "id % 5 AS page", "'x' AS forms")
+    rows.coalesce(1).write.parquet(str(tmp_path / "cards"))
+    cards = spark.read.parquet(str(tmp_path / "cards"))
+    scores = [("chapter", 10, False), ("page", 10, False), ("forms", 5, True)]
+    for crowd in (10, 10_000):
+        out = rules.best_match(cards.withColumnRenamed("id", "review"), cards, "head", scores, crowd=crowd)
+        joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+        assert joins and all("SortMergeJoin" in x or "LeftAnti" in x or "LeftSemi" in x for x in joins)
+        assert {r["status"]: r["count"] for r in out.groupBy("status").count().collect()} == {"AMBIGUOUS": 3600, "OK": 400}
+
+
 def test_lexicon_summary_of_nothing(spark):
     words, known = spark.createDataFrame([], "id int, text string"), spark.createDataFrame([], "word string, pronunciations array<string>")
     assert {r["value"] for r in lexicon.audit_summary(words, known, "id", "text").collect()} == {0.0}
