@@ -164,52 +164,86 @@ def _added(fixes: DataFrame, cards: DataFrame, id_col: str, prefix: str) -> Data
     return numbered(adds, ["review"], "_number").join(free.select("_number", F.col("_name").alias(id_col)), "_number").drop("_number")
 
 
-def _ready(pending: DataFrame, key: str) -> DataFrame:
-    """Reviews of which no earlier pending fix touches a key: the key it looks for, or the one it gives a card."""
-    touched = pending.select("review", F.explode(F.array_distinct(F.array_compact(F.array(f"_wanted_{key}", F.when(F.col("action") != "SKIP", F.col(key)))))).alias("_key"))
-    first = touched.groupBy("_key").agg(F.min("review").alias("_first"))
-    waits = touched.join(first, "_key").where(F.col("review") > F.col("_first")).select("review")
-    return pending.join(waits, "review", "left_anti")
+def _histories(hits: DataFrame, pending: DataFrame, pool: DataFrame, columns: list[str], key: str, scored: list[str], id_col: str) -> DataFrame:
+    """(review, _no, id, before_..., after_..., c_...): each hit with its card's texts before and after it, as all hits of the card leave them; c_ are the scored values that no fix changes."""
+    fixed = hits.where("_no IS NOT NULL").select("review", "_no").join(pending.select("review", *[F.col(c).alias(f"_new_{c}") for c in columns]), "review")
+    # Hits are fewer than cards, whose file may look small: the hits are the side that is hashed.
+    rows = fixed.hint("shuffle_hash").join(pool.select("_no", id_col, *dict.fromkeys([key, *scored, *columns])), "_no")
+    w = Window.partitionBy("_no").orderBy("review")
+    upto = lambda c, last: F.coalesce(F.last_value(f"_new_{c}", ignoreNulls=True).over(w.rowsBetween(Window.unboundedPreceding, last)), c)
+    told = [x for c in columns for x in (upto(c, -1).alias(f"before_{c}"), upto(c, 0).alias(f"after_{c}"))]
+    return rows.select("review", "_no", id_col, *told, *[F.col(c).alias(f"c_{c}") for c in dict.fromkeys([key, *scored]) if c not in columns])
+
+
+def _hits(asked: DataFrame, counted: DataFrame, added: DataFrame, told: DataFrame | None, columns: list[str], key: str, scores: list[tuple[str, int, bool]]) -> DataFrame:
+    """(review, _no, ties) of each update that meets a card, if the cards were changed by the hits told (or none): what each meets just before it.
+
+    Cards come and go as events of the subsets that hold them; the number of cards of a subset at a time is a running sum, and the
+    exclusive or of their numbers names a card that is alone.
+    """
+    events = _subsets(added.select(F.col("review").alias("_at"), F.lit(1).alias("_n"), "_no", key, *[F.col(c).alias(f"c_{c}") for c, *_ in scores]), "c", scores, key, ["_at", "_n", "_no"])
+    if told is not None:
+        name = lambda c, when: F.col(f"{when}_{c}" if c in columns else f"c_{c}")
+        for when, n in (("before", -1), ("after", 1)):
+            moved = told.select(F.col("review").alias("_at"), F.lit(n).alias("_n"), "_no", name(key, when).alias(key), *[name(c, when).alias(f"c_{c}") for c, *_ in scores])
+            events = events.unionByName(_subsets(moved, "c", scores, key, ["_at", "_n", "_no"]))
+    lookups = asked.select(F.col("review").alias("_at"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_no"), key, "mask", "score", "values")
+    rows = lookups.withColumn("_asks", F.lit(0)).unionByName(events.withColumn("_asks", F.lit(1))).unionByName(counted.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key, "mask", "values").orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumns({"_ties": F.sum("_n").over(w), "_x": F.bit_xor("_no").over(w)}).where("_asks = 0 AND _ties > 0")
+    best = found.groupBy("_at", "score").agg(F.sum("_ties").alias("ties"), F.bit_xor("_x").alias("_x")).groupBy("_at").agg(F.max(F.struct("score", "ties", "_x")).alias("_b"))
+    return best.select(F.col("_at").alias("review"), F.when(F.col("_b.ties") == 1, F.col("_b._x")).alias("_no"), F.col("_b.ties").alias("ties"))
 
 
 def fixes_in_order(cards: DataFrame, wanted: DataFrame, fixes: DataFrame, columns: list[str], key: str, scores: list[tuple[str, int, bool]], id_col: str = "id", prefix: str = "riv_b_manual_") -> tuple[DataFrame, DataFrame]:
     """(cards, log) after fixes that each see what earlier ones left, cards that they added included.
 
     cards: (id, columns and what is scored); wanted: (review, key, what is scored), the card that a fix means; fixes:
-    (review, action, columns), where a null leaves a card's value. Fixes depend on each other through the keys that
-    they look for or give to a card. Those that no earlier one can touch are applied at once, as one join, then those
-    that waited for them alone, and so on: as many waves as the longest chain. Cards whose keys no fix touches take no
-    part. log: (review, action, id, status, before_..., after_...); status is that of best_match() for updates.
+    (review, action, columns), where a null leaves a card's value. All fixes are matched at once against the cards as the hits of
+    the round before would have left them just before each fix, until a round finds the hits of the one before. That is the result of the loop: the
+    first fix that were wrong would have been matched with right earlier ones. A round puts right at least the fixes that depend on
+    right ones alone, so there are as many as the longest chain of fixes that change each other's match, and one more; fixes that
+    share a headword but not a card don't count. Cards whose keys no fix touches take no part.
+    log: (review, action, id, status, before_..., after_...); status is that of best_match() for updates. Reviews are distinct.
     """
-    seen = wanted.select("review", *[F.col(c).alias(f"_wanted_{c}") for c in dict.fromkeys([key, *[c for c, *_ in scores]])])
+    scored = [c for c, *_ in scores]
+    seen = wanted.select("review", *[F.col(c).alias(f"_wanted_{c}") for c in dict.fromkeys([key, *scored])])
     updates = F.col("action") == "UPDATE_PREVIOUS"
     pending = fixes.select("review", "action", *columns).join(seen, "review", "left")
     pending = files.stored(pending.withColumns({c: F.when(updates, F.col(c)) for c in pending.columns if c.startswith("_wanted_")}), "fixes")
     new_ids = files.stored(_added(fixes, cards, id_col, prefix).select("review", id_col), "new-ids")
     keys = pending.select(F.explode(F.array(f"_wanted_{key}", key)).alias(key)).where(F.col(key).isNotNull()).distinct()
     rest = cards.join(keys, key, "left_anti").withColumn("origin", F.lit("PARSED"))
-    live = files.stored(cards.join(keys, key, "left_semi").select(*cards.columns, F.lit("PARSED").alias("origin")), "live")
-    logs = []
-    while not pending.isEmpty():
-        ready = files.stored(_ready(pending, key), "ready")
-        pending = files.stored(pending.join(ready.select("review"), "review", "left_anti"), "fixes")
-        asked = ready.where(updates).select("review", *[F.col(f"_wanted_{c}").alias(c) for c in dict.fromkeys([key, *[c for c, *_ in scores]])])
-        found = best_match(asked, live, key, scores, id_col).select("review", id_col, "status")
-        before = live.select(id_col, *[F.col(c).alias(f"before_{c}") for c in columns])
-        told = ready.where(updates).select("review", "action", *columns).join(found, "review").join(before, id_col, "left")
-        told = told.select("review", "action", id_col, "status", *[x for c in columns for x in (f"before_{c}", F.when(F.col(id_col).isNotNull(), F.coalesce(c, f"before_{c}")).alias(f"after_{c}"))])
-        added = ready.where("action = 'ADD_CARD'").join(new_ids, "review")
-        others = added.select("review", "action", id_col, *[F.col(c).alias(f"after_{c}") for c in columns]).unionByName(ready.where("action NOT IN ('UPDATE_PREVIOUS', 'ADD_CARD')").select("review", "action"), allowMissingColumns=True)
-        log = files.stored(told.unionByName(others, allowMissingColumns=True), "fix-log")
-        logs.append(log)
-        changes = log.where(updates & F.col(id_col).isNotNull()).select(id_col, *[F.col(f"after_{c}").alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
-        changed = live.join(changes, id_col, "left").select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in cards.columns], F.when(F.col("_hit"), "FIXED").otherwise(F.col("origin")).alias("origin"))
-        live = files.stored(changed.unionByName(added.select(id_col, *columns, F.lit("MANUAL").alias("origin")), allowMissingColumns=True), "live")
-    nothing = fixes.select("review", "action", F.lit(None).cast(cards.schema[id_col].dataType).alias(id_col), F.lit(None).cast("string").alias("status"), *[F.lit(None).cast(cards.schema[c].dataType).alias(f"{w}_{c}") for c in columns for w in ("before", "after")]).limit(0)
-    log = nothing
-    for part in logs:
-        log = log.unionByName(part)
-    return rest.unionByName(live), log
+    live = cards.join(keys, key, "left_semi").select(*cards.columns, F.lit("PARSED").alias("origin"))
+    new = pending.where("action = 'ADD_CARD'").join(new_ids, "review").select("review", id_col, *columns, F.lit("MANUAL").alias("origin"))
+    pool = files.stored(live.unionByName(new, allowMissingColumns=True).withColumn("_no", F.monotonically_increasing_id()), "pool")
+
+    asked = pending.where(updates).select("review", F.col(f"_wanted_{key}").alias(key), *[F.col(f"_wanted_{c}").alias(f"w_{c}") for c in scored]).where(F.col(key).isNotNull())
+    asked = files.stored(_subsets(asked, "w", scores, key, ["review"]), "asked")
+    added = pool.where("origin = 'MANUAL'").where(F.col(key).isNotNull())
+    classes = pool.where("origin = 'PARSED'").groupBy(key, *scored).agg(F.count("*").alias("_n"), F.bit_xor("_no").alias("_no"))
+    classes = _subsets(classes.select("_n", "_no", key, *[F.col(c).alias(f"c_{c}") for c in scored]), "c", scores, key, ["_n", "_no"])
+    counted = classes.hint("merge").join(asked.select(key, "mask", "values").distinct().hint("merge"), [key, "mask", "values"])
+    counted = files.stored(counted.groupBy(key, "mask", "values").agg(F.sum("_n").alias("_n"), F.bit_xor("_no").alias("_no")), "counted")
+
+    hits = told = None
+    while True:
+        last, hits = hits, files.stored(_hits(asked, counted, added, told, columns, key, scores), "hits")
+        if last is not None:
+            both = hits.join(last.select("review", F.col("_no").alias("_last"), F.col("ties").alias("_ties")), "review", "full")
+            if both.where(~F.col("_no").eqNullSafe(F.col("_last")) | ~F.col("ties").eqNullSafe(F.col("_ties"))).isEmpty():
+                break
+        told = files.stored(_histories(hits, pending, pool, columns, key, scored, id_col), "told")
+
+    status = F.when(F.col("ties").isNull(), "NONE").when(F.col("ties") > 1, "AMBIGUOUS").otherwise("OK")
+    shown = [x for c in columns for x in (f"before_{c}", f"after_{c}")]
+    log = pending.where(updates).select("review", "action").join(hits.select("review", "ties"), "review", "left").join(told.select("review", id_col, *shown), "review", "left").select("review", "action", id_col, status.alias("status"), *shown)
+    log = log.unionByName(new.select("review", F.lit("ADD_CARD").alias("action"), id_col, *[F.col(c).alias(f"after_{c}") for c in columns]), allowMissingColumns=True)
+    log = log.unionByName(pending.where("action NOT IN ('UPDATE_PREVIOUS', 'ADD_CARD')").select("review", "action"), allowMissingColumns=True)
+    final = told.groupBy("_no").agg(F.max_by(F.struct(*[F.col(f"after_{c}").alias(c) for c in columns]), "review").alias("_f"))
+    out = pool.join(final.hint("shuffle_hash"), "_no", "left")
+    kept = [F.when(F.col("_f").isNotNull(), F.col(f"_f.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in cards.columns]
+    return rest.unionByName(out.select(*kept, F.when(F.col("_f").isNotNull(), "FIXED").otherwise(F.col("origin")).alias("origin"))), log
 
 
 def fix_log(cards: DataFrame, matched: DataFrame, fixes: DataFrame, columns: list[str], id_col: str = "id", prefix: str = "riv_b_manual_") -> DataFrame:

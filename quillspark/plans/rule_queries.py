@@ -91,7 +91,7 @@ _HEAD = "CASE WHEN s.s_suppkey % 6 = 4 THEN p.s_name ELSE c.head END"
 def ordered_fixes(spark, sf):
     """(cards, wanted, fixes) of the fixes that are applied in order."""
     cards = view(spark, sf, "cards").selectExpr("CASE WHEN id % 10 = 3 THEN printf('riv_b_manual_%04d', id DIV 10) ELSE CAST(id AS STRING) END AS id", "head", "translation", "forms", "chapter", "page", "source_pdf_page")
-    by_number = view(spark, sf, "cards").alias("c")
+    by_number = view(spark, sf, "cards").alias("c").hint("merge")  # its file may look small enough to be broadcast
     s, p = table(spark, sf, "supplier").alias("s"), table(spark, sf, "supplier").alias("p")
     meant = s.join(p, F.expr("p.s_suppkey = s.s_suppkey - 1"), "left").join(by_number, F.expr("c.id = s.s_suppkey DIV 2 * 14"), "left")
     wanted = meant.selectExpr("s.s_suppkey + 1 AS review", f"{_HEAD} AS head", *[f"{e.replace('s_suppkey', 's.s_suppkey')} AS {c}" for c, e in _SEEN.items()])

@@ -159,6 +159,19 @@ def test_fixes_in_order_equal_the_loop(spark):
     assert sum(x[1] == "OK" for x in log.values()) > 3
 
 
+def test_fixes_of_one_headword_take_few_rounds(spark, monkeypatch):
+    """Fixes that share a headword but no card don't wait for each other; a fix that sees what another left does."""
+    cards = spark.createDataFrame([(f"p{k}", "a", f"t{k}", k) for k in range(40)], "id string, head string, translation string, page int")
+    wanted = spark.createDataFrame([(r, "a", r) for r in range(40)] + [(40, "b", 7)], "review long, head string, page int")
+    fixes = spark.createDataFrame([(r, "UPDATE_PREVIOUS", "b" if r == 7 else None, f"n{r}") for r in range(41)], "review long, action string, head string, translation string")
+    stored, kept = [], rules.files.stored
+    monkeypatch.setattr(rules.files, "stored", lambda df, name="table": stored.append(name) or kept(df, name))
+    out, log = rules.fixes_in_order(cards, wanted, fixes, ["head", "translation"], "head", [("page", 10, False)])
+    assert len(stored) < 20
+    assert {r["id"]: (r["head"], r["translation"]) for r in out.collect()} == {f"p{k}": ("b", "n40") if k == 7 else ("a", f"n{k}") for k in range(40)}
+    assert {r["review"]: (r["id"], r["before_translation"]) for r in log.collect()} == {r: (f"p{r}", f"t{r}") if r < 40 else ("p7", "n7") for r in range(41)}
+
+
 def test_pages_calibrate_themselves(spark):
     """Three parted rows tell where translations begin; the fold joins what goes on, over a column's end, and leaves the rest."""
     line = lambda at, side, y, x, raw: ("d", at, 1, side, float(y), [(float(x + 50 * k), w) for k, w in enumerate(raw.split(" "))], raw)
