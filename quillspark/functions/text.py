@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,12 +79,31 @@ def match_key(c: Column) -> Column:
     return F.replace(F.lower(collapse(F.coalesce(c, F.lit("")))), F.lit("ß"), F.lit("ss"))
 
 
+#: Rows and bytes that go to Python at once.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
+
+
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode composition; Spark has no builtin for it, so whole Arrow batches go through Python."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: Column) -> Column:
+    """Unicode composition; Spark has no builtin for it, so texts go through Python, in batches whose rows and bytes are bounded (settings of the session)."""
+    spark = SparkSession.getActiveSession()
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark is not None and not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+    return _composed(c)
+
+
+def _number(value: str) -> int:
+    """A setting of rows or bytes; one with a unit counts as not set."""
+    bare = value.removesuffix("b").removesuffix("B")
+    return int(bare) if bare.lstrip("-").isdigit() else 0
+
+
 def strip_inflection(c: Column) -> Column:
     """(text, removed): without parentheses that hold only letters, hyphens, commas and slashes, at least one a hyphen."""
     cleaned = lambda x: collapse(F.regexp_replace(x, r"(?U)\(\s*(?=[^)]*-)[A-Za-zÅÄÖåäöÉéÜüÆæØø\-\s,/]+\)", ""))

@@ -159,6 +159,22 @@ def test_fixes_in_order_equal_the_loop(spark):
     assert sum(x[1] == "OK" for x in log.values()) > 3
 
 
+def test_nfc_in_bounded_batches(spark):
+    """Texts go to Python in batches of bounded rows and bytes, whatever the session had, and are composed as before."""
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.unset(keys[1])
+        rows = spark.range(30).select(F.when(F.col("id") > 0, F.repeat(F.lit("e\u0301 "), 100_000)).alias("t")).coalesce(1)
+        got = rows.select(T.nfc(F.col("t")).alias("n")).groupBy("n").count().collect()
+        assert {r["n"]: r["count"] for r in got} == {None: 1, "\u00e9 " * 100_000: 29}
+        assert (int(spark.conf.get(keys[0])), int(spark.conf.get(keys[1]).rstrip("bB"))) == (T.ARROW_ROWS, T.ARROW_BYTES)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_fixes_of_one_headword_take_few_rounds(spark, monkeypatch):
     """Fixes that share a headword but no card don't wait for each other; a fix that sees what another left does."""
     cards = spark.createDataFrame([(f"p{k}", "a", f"t{k}", k) for k in range(40)], "id string, head string, translation string, page int")
