@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import cards as C
 from quillspark.functions import text as T
 from quillspark.operators.rules import numbered
-from quillspark.operators.sequence import continues_across, continues_below
+from quillspark.operators.sequence import carry_over_ranges, continues_across, continues_below
 from quillspark.sources import files
 
 #: Ends of the left column and start of the right one, distance of words in a row, and samples of a boundary.
@@ -68,8 +68,8 @@ def boundaries(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
 def split_at_boundary(words: Column, boundary: Column, slack: float = 3.0) -> Column:
     """(head, translation): words left of the boundary, and the rest; null unless both hold something."""
     side = lambda keep: F.array_join(F.transform(F.filter(words, keep), lambda w: w["text"]), " ")
-    head, rest = side(lambda w: w["x0"] < boundary - slack), side(lambda w: w["x0"] >= boundary - slack)
-    return F.when(boundary.isNotNull() & (T.strip(head) != "") & (T.strip(rest) != ""), F.struct(head.alias("head"), rest.alias("translation")))
+    both = F.struct(side(lambda w: w["x0"] < boundary - slack).alias("head"), side(lambda w: w["x0"] >= boundary - slack).alias("translation"))
+    return F.when(boundary.isNotNull(), T.let(both, lambda p: F.when((T.strip(p["head"]) != "") & (T.strip(p["translation"]) != ""), p)))
 
 
 def split_at_gap(words: Column) -> Column:
@@ -119,52 +119,59 @@ def parse_pages(rows: DataFrame, doc: str, order: str, page: str = "page", side:
     where translations begin; the median of at least BOUNDARY_SAMPLES of a page column parts that column's other rows, and tells
     which rows begin inside the translations. Such a row, if nothing parts it, is joined to the last card, if that
     card's translation goes on and its last row is just above, or at the foot of the column before. The translation as
-    joined so far decides, so this is a fold over the rows of a document, pages included; it notes joins alone.
+    joined so far decides, so this is a fold, over the rows between two cards that lie on the first one's page; documents and page columns may be of any size.
     Adds kind (MARKER, NOISE, CARD, JOINED, REJECT), parsed (a card's with its whole translation), boundary, aligned and card, the order of
-    the card that a row is part of. With short, only fragments of so many words are joined. Rows are parsed once and stored.
+    the card that a row is part of. With short, only fragments of so many words are joined. Rows are read for the boundaries first,
+    then parsed once and stored.
     """
     t = F.col("raw")
-    at = F.array_position(F.transform("words", lambda w: T.has_separator(w["text"])), True)
-    column = Window.partitionBy(doc, page, side)
-    out = rows.withColumns({"_chapter": C.marker(t, "Kapitel"), "_page": C.marker(t, "Sidan"), "_noise": C.is_noise(t), "_parsed": C.parse_row(t), "_x": F.when(at > 0, F.get("words", at.cast("int"))["x0"])})
-    out = out.withColumn("boundary", F.when(F.count("_x").over(column) >= BOUNDARY_SAMPLES, F.median("_x").over(column)))
-    parted = split_at_boundary(F.col("words"), F.col("boundary"))
-    by_place = T.let(C.extract_morphology(parted["head"]), lambda m: F.struct(m["text"].alias("head"), m["forms"].alias("forms"), T.normalize_basic(parted["translation"]).alias("translation"), F.lit("LAYOUT_FALLBACK").alias("method")))
-    by_place = F.when(parted.isNotNull(), T.let(by_place, lambda x: F.when((x["head"] != "") & (x["translation"] != ""), x)))
+    after = lambda ws: T.let(F.array_position(F.transform(ws, lambda w: T.has_separator(w["text"])), True).cast("int"), lambda at: F.when(at > 0, F.get(ws, at)["x0"]))
+    middle = F.when(F.count("_x") >= BOUNDARY_SAMPLES, F.median("_x"))
+    edges = rows.withColumn("_x", T.let(F.col("words"), after)).groupBy(doc, page, side).agg(middle.alias("boundary")).where("boundary IS NOT NULL")
+    edges = files.stored(edges, "boundaries")  # its size as stored decides about a broadcast
+    edges = edges.withColumnsRenamed({doc: "_doc", page: "_on", side: "_side"})
+    out = rows.withColumns({"_chapter": C.marker(t, "Kapitel"), "_page": C.marker(t, "Sidan"), "_noise": C.is_noise(t), "_parsed": C.parse_row(t)})
+    out = out.join(edges, F.col(doc).eqNullSafe(F.col("_doc")) & F.col(page).eqNullSafe(F.col("_on")) & F.col(side).eqNullSafe(F.col("_side")), "left").drop("_doc", "_on", "_side")
+    left = lambda p: T.let(C.extract_morphology(p["head"]), lambda m: F.struct(m["text"].alias("head"), m["forms"].alias("forms"), T.normalize_basic(p["translation"]).alias("translation"), F.lit("LAYOUT_FALLBACK").alias("method")))
+    by_place = T.let(split_at_boundary(F.col("words"), F.col("boundary")), lambda p: F.when(p.isNotNull(), T.let(left(p), lambda x: F.when((x["head"] != "") & (x["translation"] != ""), x))))
     kind = F.when(F.col("_chapter").isNotNull() | F.col("_page").isNotNull(), "MARKER").when(F.col("_noise"), "NOISE").when(F.col("_parsed").isNotNull(), "CARD").otherwise("REJECT")
     out = out.withColumns({"aligned": is_aligned(F.col("words"), F.col("boundary"), 4.0), "kind": kind, "_parsed": F.coalesce("_parsed", by_place)})
-    out = out.withColumn("kind", F.when((F.col("kind") == "REJECT") & F.col("_parsed").isNotNull(), "CARD").otherwise(F.col("kind"))).drop("_chapter", "_page", "_noise", "_x")
+    out = out.withColumn("kind", F.when((F.col("kind") == "REJECT") & F.col("_parsed").isNotNull(), "CARD").otherwise(F.col("kind"))).drop("_chapter", "_page", "_noise")
     out = files.stored(out, "parsed-rows")
     may = (F.col("kind") == "REJECT") & F.col("aligned")
     joins = _continuations(out, doc, order, page, side, may if short is None else may & C.is_short_fragment(t, short))
-    whole = joins.groupBy(doc, "card").agg(F.max_by("_after", order).alias("_whole")).withColumnRenamed("card", order)
-    out = out.join(joins.drop("_after"), [doc, order], "left").join(whole, [doc, order], "left")
+    out = out.join(joins, [doc, order], "left")
     card = F.when(F.col("kind") == "CARD", F.col("_parsed").withField("translation", F.coalesce("_whole", F.col("_parsed.translation"))))
     clean = F.struct(T.clean_output(card["head"]).alias("head"), T.normalize_forms(card["forms"]).alias("forms"), T.clean_output(card["translation"]).alias("translation"), card["method"].alias("method"))
     return out.withColumns({"parsed": F.when(card.isNotNull(), clean), "kind": F.when(F.col("card").isNotNull(), "JOINED").otherwise(F.col("kind")), "card": F.when(F.col("kind") == "CARD", F.col(order)).otherwise(F.col("card"))}).drop("_parsed", "_whole")
 
 
 def _continuations(rows: DataFrame, doc: str, order: str, page: str, side: str, may: Column) -> DataFrame:
-    """(doc, order, card, _after): the rows that go on with a card, and its translation with them."""
+    """(doc, order, card, _whole): the rows that go on with a card, with its order, and the cards that go on, with their whole translation.
+
+    A card begins anew whatever was before it, so each one is folded by itself, if its own translation goes on, with those
+    rows up to the next card that a chain can reach from it: of its page, below it or in the next column.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    text = F.when(F.col("kind") == "CARD", F.col("_parsed.translation")).otherwise(T.normalize_basic(F.col("raw")))
-    row = F.struct(F.col(order).alias("at"), (F.col("kind") == "CARD").alias("card"), text.alias("text"), F.col("y").cast("double").alias("y"), F.col(side).alias("side"), F.col(page).alias("page"))
-    typed = rows.where((F.col("kind") == "CARD") | may).groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    join = f"struct<at:{kinds[order]},card:{kinds[order]},after:string>"
-    empty = lambda kind: F.lit(None).cast(kind)
-    start = F.struct(F.array().cast(f"array<{join}>").alias("joins"), empty(kinds[order]).alias("card"), empty("string").alias("text"), empty("double").alias("y"), empty(kinds[side]).alias("side"), empty(kinds[page]).alias("page"))
+    is_card = F.col("kind") == "CARD"
+    text = F.when(is_card, F.col("_parsed.translation")).otherwise(T.normalize_basic(F.col("raw")))
+    live = rows.where(is_card | may).select(F.col(doc).alias("doc"), F.col(order).alias("at"), is_card.alias("card"), text.alias("text"), F.col("y").cast("double").alias("y"), F.col(side).alias("side"), F.col(page).alias("page"))
+    live = carry_over_ranges(live, ["doc"], ["at"], "of", F.when(F.col("card"), F.struct("at", "y", "side", "page", C.goes_on_strict(F.col("text")).alias("open"))))
+    reached = (F.col("page") == F.col("of.page")) & (((F.col("side") == F.col("of.side")) & (F.col("y") > F.col("of.y"))) | ((F.col("of.side") == "left") & (F.col("side") == "right")))
+    runs = live.where(F.col("of.open") & (F.col("card") | reached)).groupBy("doc", F.col("of.at").alias("card")).agg(F.array_sort(F.collect_list(F.struct("at", "text", "y", "side", "page"))).alias("ws"))
+    first = F.get("ws", F.lit(0))
+    start = F.struct(F.array().cast(f"array<{kinds[order]}>").alias("joins"), *(first[c].alias(c) for c in ("text", "y", "side", "page")))
 
     def step(acc: Column, w: Column) -> Column:
         place = (w["y"], w["side"], w["page"], acc["y"], acc["side"], acc["page"])
-        more = ~w["card"] & acc["card"].isNotNull() & (continues_below(*place) | continues_across(*place)) & C.goes_on_strict(acc["text"])
-        moved = w["card"] | more
-        joined = C.join_continuation(acc["text"], w["text"])
-        now = lambda new, name: F.when(moved, new).otherwise(acc[name]).alias(name)
-        joins = F.when(more, F.concat(acc["joins"], F.array(F.struct(w["at"].alias("at"), acc["card"].alias("card"), joined.alias("after"))))).otherwise(acc["joins"])
-        return F.struct(joins.alias("joins"), F.when(w["card"], w["at"]).otherwise(acc["card"]).alias("card"), now(F.when(w["card"], w["text"]).otherwise(joined), "text"), now(w["y"], "y"), now(w["side"], "side"), now(w["page"], "page"))
-
-    folded = typed.select(doc, F.explode(F.aggregate("_rows", start, step, lambda a: a["joins"])).alias("_j"))
-    return folded.select(doc, F.col("_j.at").alias(order), F.col("_j.card").alias("card"), F.col("_j.after").alias("_after"))
+        more = (continues_below(*place) | continues_across(*place)) & C.goes_on_strict(acc["text"])
+        joined = F.struct(F.concat(acc["joins"], F.array(w["at"])).alias("joins"), C.join_continuation(acc["text"], w["text"]).alias("text"), *(w[c].alias(c) for c in ("y", "side", "page")))
+        return F.when(more, joined).otherwise(acc)
+
+    folded = runs.where(F.size("ws") > 1).select("doc", "card", F.aggregate(F.slice("ws", F.lit(2), F.size("ws")), start, step).alias("f")).where(F.size("f.joins") > 0)
+    no_card, no_text = F.lit(None).cast(kinds[order]).alias("card"), F.lit(None).cast("string").alias("whole")
+    told = F.concat(F.array(F.struct(F.col("card").alias("at"), no_card, F.col("f.text").alias("whole"))), F.transform("f.joins", lambda j: F.struct(j.alias("at"), F.col("card").alias("card"), no_text)))
+    return folded.select(F.col("doc").alias(doc), F.explode(told).alias("t")).select(doc, F.col("t.at").alias(order), F.col("t.card").alias("card"), F.col("t.whole").alias("_whole"))
 
 
 def review_items(parsed: DataFrame, partition: list[str], order: list, raw: str = "raw") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on ordered rows: carried values, neighbours, greedy pairing, continuation folds.
 
-Windows are partitioned by document: order never crosses one, so partitions stay as small as documents.
+Windows are partitioned by document: order never crosses one, so partitions stay as small as documents; carry_over_ranges() parts
+documents too.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import cards as C
 from quillspark.functions import text as T
+from quillspark.sources import files
 
 
 def carry_forward(df: DataFrame, partition: list[str], order: list, columns: dict[str, Column]) -> DataFrame:
@@ -18,6 +20,28 @@ def carry_forward(df: DataFrame, partition: list[str], order: list, columns: dic
     return df.withColumns({name: F.last_value(c, ignoreNulls=True).over(w) for name, c in columns.items()})
 
 
+def carry_over_ranges(df: DataFrame, partition: list[str], order: list[str], name: str, value: Column) -> DataFrame:
+    """carry_forward() of one column, for documents larger than a task: no window sees more than a range of the order.
+
+    Rows are dealt by ranges of document and order and stored once, as a second sample would part them differently. A value is carried
+    within its range, and into a range from the last row with a value before it, if that is of the same document.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*partition, *order]
+    ranged = df.withColumn("_value", value).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    stored = files.stored(ranged.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ranges")
+    ends = stored.groupBy("_range").agg(F.max_by(F.struct(*partition, "_value"), F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_end"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ends.select("_range", F.last_value("_end", ignoreNulls=True).over(earlier).alias("_before"))
+    inside = F.last_value("_value", ignoreNulls=True).over(Window.partitionBy("_range", *partition).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("_before").isNotNull()
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col("_before")[c])
+    carried = F.coalesce(F.col("_inside"), F.when(same, F.col("_before._value")))
+    out = stored.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+    return out.withColumn(name, carried).drop("_value", "_range", "_place", "_inside", "_before")
+
+
 def neighbours(df: DataFrame, partition: list[str], order: list, accepted: Column, value: str, page: list[str] | None = None) -> DataFrame:
     """Adds the value of the last accepted row before, and of the next row (of the same page)."""
     w = Window.partitionBy(*partition).orderBy(*order)

@@ -215,6 +215,34 @@ def test_pages_calibrate_themselves(spark):
     assert layout.parse_pages(df.limit(0), "doc", "at").collect() == []
 
 
+def test_values_are_carried_over_ranges(spark):
+    """A value goes on over ranges that hold none, and ends with its document."""
+    rng = random.Random(3)
+    rows = [(d, k, k if rng.random() < share else None) for d, n, share in ((1, 400, 0.01), (None, 30, 0.2), (2, 300, 0.0), (3, 5, 0.5), (4, 200, 0.5)) for k in range(n)]
+    want, last = {}, {}
+    for d, k, v in rows:
+        last[d] = v if v is not None else last.get(d)
+        want[d, k] = last[d]
+    df = spark.createDataFrame(rows, "d long, k long, v long").repartition(3)
+    got = sequence.carry_over_ranges(df, ["d"], ["k"], "c", F.col("v"))
+    assert got.columns == ["d", "k", "v", "c"]
+    assert {(r["d"], r["k"]): r["c"] for r in got.collect()} == want
+
+
+def test_one_document_of_many_cards(spark):
+    """Cards of one document and page column are folded one by one, and go on over the ranges that rows are dealt by."""
+    line = lambda at, y, x, raw: ("d", at, 1, "left", float(y), [(float(x + 50 * k), w) for k, w in enumerate(raw.split(" "))], raw)
+    rows = [r for k in range(120) for r in (line(3 * k, 600, 40, f"katt\u2002 cat{k},"), line(3 * k + 1, 615, 90, f"kitten{k},"), line(3 * k + 2, 630, 90, f"tom{k}"))]
+    df = spark.createDataFrame(rows, "doc string, at long, page int, side string, y double, words array<struct<x0: double, text: string>>, raw string")
+    out = layout.parse_pages(df, "doc", "at")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(keys.split(",")) for keys in re.findall(r"Aggregate \[([^\]]*)\], .*collect_list", plan)] == [2]
+    assert not re.search(r"percentile|median", plan)
+    got = {r["at"]: (r["kind"], r["card"], r["parsed"] and r["parsed"]["translation"]) for r in out.collect()}
+    want = {3 * k + j: (("JOINED", 3 * k, None) if j else ("CARD", 3 * k, f"cat{k}, kitten{k}, tom{k}")) for k in range(120) for j in range(3)}
+    assert got == want
+
+
 def test_continued_ladder_equals_the_loop(spark):
     """Logs cut at random places, composed in two ways, from any level."""
     rng = random.Random(9)
