@@ -3,21 +3,24 @@
 1. Every text becomes the set of its distinct n-word shingles (64-bit hashes); rows of equal sets are one class by
    a 128-bit fingerprint and the set size, and only a class goes on, as one node.
 2. Two sets as similar as asked share an element among their first len - ceil(percent * len / 100) + 1, in any one
-   order of all elements. The order here puts those last that are frequent in a sample of the corpus (the sample
-   decides speed, not results), so passages that many texts share tie nobody. Elements that one class alone has
-   are dropped where they meet; a map task that knows an element as shared sends one row to say so.
+   order of all elements. The order here is that of their counts in a sample of the corpus, the rarest first (the
+   sample decides speed, not results): exact counts of the most frequent, rough ones by cells of hashes of the rest,
+   in a table that grows with the corpus. So passages and phrases that many texts share tie nobody. Elements that
+   one class alone has are dropped where they meet; a map task that knows an element as shared sends one row to say so.
 3. Star rounds: each node meets the node with which it shares most elements, among the smallest (then the largest)
    node of each element. What is similar enough is linked, and elements whose nodes are all in one component by
    now need no more work: most near copies end here, with rows in proportion to the nodes. Rounds go on while at
    least half of the pairs link.
 4. The rest. Elements of few nodes count the shared elements of their pairs; a pair of sizes x, y needs
    ceil(p (x + y) / (100 + p)) - ceil(p max(x, y) / 100) + 1 of them. Elements of many nodes build signature trees over
-   bitmaps of their nodes' sets. Only what survives is closed into blocks, each of which is joined by a tree.
+   bitmaps of their nodes' sets; nodes that share many such elements, as those of a cluster do, meet in one of them.
+   Only what survives is closed into blocks, each of which is joined by a tree.
 5. A signature tree's nodes hold the OR of their sets' token bitmaps, the range of set sizes, the fewest elements that
    the bitmap leaves out, and the range of labels; a dual traversal drops node pairs whose sizes or whose largest
    possible overlap rule out a link, or that are in one component already. The rest is verified on whole sets.
 6. Stars and blocks are dealt in pages of bounded rows and bytes; of large blocks each page meets itself and a pivot
-   page first, then only pages whose members are not yet all in one component meet.
+   page first, then only pages whose members are not yet all in one component meet. Members of the largest component
+   of a block or element have pages of their own, which don't meet each other.
 
 Results don't depend on pages, samples or the order of rows. Overlaps are counted on 64-bit hashes.
 
@@ -44,8 +47,12 @@ from quillspark.llm.text_kernels import U64, batches_by_bytes, mix, text_buffers
 HELD, BUCKET_BYTES = 1 << 18, 8 << 20
 #: Share of the texts (but at least so many bytes) whose frequent elements go last, and the most of these.
 SAMPLE_SHARE, SAMPLE_BYTES, COMMON = 1 / 8, 16 << 20, 1 << 18
+#: Texts' bytes for each cell of the table of rough counts, and the most cells (of a byte each, broadcast) as a power of two.
+CELL_BYTES, CELLS = 256, 25
 #: Rows and bytes of a page, children of a tree node, nodes of an element up to which its pairs are counted.
 PAGE, PAGE_BYTES, FANOUT, FEW = 256, 4 << 20, 8, 24
+#: Bitmaps that take the room of one text, and pairs of tree nodes whose children are made at once.
+BITMAPS, PARENTS = 4, 1 << 12
 #: Rows up to which a side is broadcast (about 50 bytes each), and fingerprints a map task remembers.
 BROADCAST_ROWS, SEEN = 400_000, 1 << 20
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle (16 MB, broadcast).
@@ -72,8 +79,10 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ U64(seed)).sum(dtype=U64).view(np.int64)) for seed in (0x51ED270B, 0xA0761D64))
 
 
-def prefix(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first elements of a set, of which similar sets share one: by hash, then the common ones by rank."""
+def prefix(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+    """The first elements of a set, of which similar sets share one: by the rough count of their cell and by hash, then the common ones by rank."""
+    if cells is not None:
+        s = s[np.argsort(cells[s >> U64(65 - len(cells).bit_length())], kind="stable")]
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         hit = common[at] == s
@@ -95,8 +104,8 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "i long, k long, n long, f1 long, f2 long, size long")
 
 
-def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, ranks) that several texts of a sample have, the most frequent last; at most COMMON, those of the largest counts."""
+def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, ranks, cells) of what several texts of a sample have, the most frequent last: at most COMMON elements, those of the largest counts, and the rough counts of all."""
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(total, 1)))
 
     def run(batches):
@@ -131,7 +140,24 @@ def _common(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(h)
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, c))] = np.arange(len(h))
-    return h[order], rank[order]
+    return h[order], rank[order], _cells(counts, min(CELLS, max(16, (total // CELL_BYTES).bit_length())))
+
+
+def _cells(counts: DataFrame, bits: int) -> np.ndarray:
+    """The largest count of each cell of hashes, as eighths of its power of two; a task makes a block of 65,536 cells."""
+
+    def run(batches):
+        for block, rows in sorted_groups(batches):
+            held = np.zeros(1 << 16, np.uint8)
+            np.maximum.at(held, rows.column(1).to_numpy(), np.minimum(255, 8 * np.log2(rows.column(2).to_numpy())).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["block", "cells"])
+
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    rows = counts.select(F.shiftright(cell, 16).alias("block"), cell.bitwiseAND(F.lit(65535)).alias("at"), "c")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, cells binary").toLocalIterator():
+        out[r["block"] << 16 :][: 1 << 16] = np.frombuffer(r["cells"], np.uint8)
+    return out
 
 
 def _shared(docs: DataFrame, n: int, percent: int, buckets: int, total: int) -> DataFrame:
@@ -166,7 +192,7 @@ def _shared(docs: DataFrame, n: int, percent: int, buckets: int, total: int) ->
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     def deal(batches):
-        common, rank = sent.value
+        common, rank, cells = sent.value
         held, n_held, seen = [], 0, set()
         for b in batches_by_bytes(batches, "t"):
             for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(2), n), strict=True):
@@ -175,7 +201,7 @@ def _shared(docs: DataFrame, n: int, percent: int, buckets: int, total: int) ->
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(p)
-                held.append((p[0], prefix(s, percent, common, rank)))
+                held.append((p[0], prefix(s, percent, common, rank, cells)))
                 n_held += len(held[-1][1])
             if n_held > HELD:
                 yield emit(held)
@@ -251,17 +277,16 @@ def tree_of(sets: list[np.ndarray], labels: np.ndarray) -> SignatureTree:
 def candidate_pairs(x: SignatureTree, percent: int, apart: bool):
     """Pairs of set numbers (arrays) that survive the dual traversal of a tree with itself; apart: of different labels."""
     frontier = (np.zeros(1, np.int64), np.zeros(1, np.int64))
-    for depth in range(len(x.levels) - 1, -1, -1):
+    child = np.arange(FANOUT)
+
+    def survivors(depth, a, b):
         bits, low, high, lost, least, most = x.levels[depth]
         if depth < len(x.levels) - 1:
-            child = np.arange(FANOUT)
-            a = (frontier[0][:, None] * FANOUT + child)[:, :, None].repeat(FANOUT, 2).ravel()
-            b = (frontier[1][:, None] * FANOUT + child)[:, None, :].repeat(FANOUT, 1).ravel()
+            a = (a[:, None] * FANOUT + child)[:, :, None].repeat(FANOUT, 2).ravel()
+            b = (b[:, None] * FANOUT + child)[:, None, :].repeat(FANOUT, 1).ravel()
             ok = (a <= b) if depth else (a < b)
             ok &= (a < len(low)) & (b < len(low))
             a, b = a[ok], b[ok]
-        else:
-            a, b = frontier
         ok = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
         if apart:
             ok &= ~((least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b]))
@@ -274,7 +299,11 @@ def candidate_pairs(x: SignatureTree, percent: int, apart: bool):
             common = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64) + np.minimum(lost[p], lost[q])
             common = np.minimum(common, np.minimum(high[p], high[q]))
             keep[lo : lo + chunk] = common * (100 + percent) >= percent * (low[p] + low[q])
-        frontier = (a[keep], b[keep])
+        return a[keep], b[keep]
+
+    for depth in range(len(x.levels) - 1, -1, -1):  # PARENTS pairs at once, so that memory is for what survives
+        parts = [survivors(depth, *(f[lo : lo + PARENTS] for f in frontier)) for lo in range(0, len(frontier[0]), PARENTS)]
+        frontier = tuple(np.concatenate(f) for f in zip(*parts, strict=True)) if parts else frontier
     if len(x.levels) == 1:
         return frontier[0][:0], frontier[1][:0]
     return x.order[frontier[0]], x.order[frontier[1]]
@@ -400,6 +429,7 @@ def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> D
     rows = rest.where(F.col("m") > FEW)
     if rows.isEmpty():
         return rows.sparkSession.createDataFrame([], "a long, b long")
+    rows = scratch.saved(_once(rows), "jaccard-many")
 
     def bitmaps(batches):
         for b in batches_by_bytes(batches, "t"):
@@ -408,7 +438,7 @@ def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> D
 
     bits = texts.of(rows.select("node").distinct(), "jaccard-mapped").select("node", "t").mapInArrow(bitmaps, "node long, n long, bits binary")
     bits = scratch.saved(bits.dropDuplicates(["node"]), "jaccard-bitmaps")
-    rows = rows.drop("n").join(bits, "node").withColumn("band", _band(percent))
+    rows = rows.drop("n", "m").join(bits, "node").withColumn("band", _band(percent))
 
     def run(batches):
         for _, t in sorted_groups(batches):
@@ -423,24 +453,50 @@ def _treed(rest: DataFrame, texts: _Texts, n: int, percent: int, page: int) -> D
             if forest.up:
                 yield forest.rows()
 
-    tasks = _paged(rows.select("element", "node", "label", "n", "bits", "band"), "element", page, F.octet_length("bits"))
+    tasks = _paged(rows.select("element", "node", "label", "n", "bits", "band", "code"), "element", BITMAPS * page, F.octet_length("bits"))
     return tasks.select("task", "node", "label", "n", "bits").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows (element, node, label, n, m) of elements where some pair of nodes must meet, beside the node's code.
+
+    Elements of a cluster have nearly the same nodes, which need not meet in each. Two nodes meet in the element of
+    most nodes of both, if that is one; else wherever they share one. The code has a bit for the nodes that have met
+    so in one other element, and a bit for those of one component: of each, that of most of the element's nodes. No
+    two nodes that share a bit need to meet here.
+    """
+    first = rows.groupBy("node").agg(F.max(F.struct("m", "element")).alias("x")).select("node", F.col("x.element").alias("first"))
+    rows = scratch.saved(rows.join(first, "node"), "jaccard-first")
+
+    def most(column):
+        counts = rows.groupBy("element", column).agg(F.count("*").alias("c")).groupBy("element")
+        return counts.agg(F.max(F.struct("c", column)).alias(f"most_{column}"))
+
+    per = most("first").join(most("label"), "element")
+    met = (F.col("first") == F.col("most_first.first")) & (F.col("first") != F.col("element"))
+    code = F.when(met, 1).otherwise(0) + F.when(F.col("label") == F.col("most_label.label"), 2).otherwise(0)
+    open_ = (F.col("most_first.c") < F.col("m")) | (F.col("most_first.first") == F.col("element"))
+    return rows.join(per, "element").where(open_).select("element", "node", "label", "n", "m", code.alias("code"))
+
+
 def _band(percent: int):
     return F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(100 / percent))).cast("long")
 
 
 def _pages(rows: DataFrame, key: str, page: int, size) -> tuple[DataFrame, DataFrame]:
-    """(rows with page, pairs of pages that must meet (key, band_a, page_a, band_b, page_b)) of groups by key; bands are of sizes."""
-    per = rows.groupBy(key, "band").agg(F.greatest(F.ceil(F.count("*") / page), F.ceil(F.sum(size) / PAGE_BYTES)).alias("pages"))
-    paged = rows.join(scratch.saved(per, "jaccard-per-band"), [key, "band"]).withColumn("page", F.pmod(F.xxhash64("node"), "pages")).drop("pages")
+    """(rows with page, pairs of pages that must meet (key, band_a, page_a, band_b, page_b)) of groups by key; bands are of sizes.
+
+    Rows of a page have one code, the last two bits of its number; pages that share a bit of it need not meet.
+    """
+    per = rows.groupBy(key, "band", "code").agg(F.greatest(F.ceil(F.count("*") / page), F.ceil(F.sum(size) / PAGE_BYTES)).alias("pages"))
+    paged = rows.join(scratch.saved(per, "jaccard-per-band"), [key, "band", "code"])
+    paged = paged.withColumn("page", 4 * F.pmod(F.xxhash64("node"), "pages") + F.col("code")).drop("pages", "code")
     paged = scratch.saved(paged, "jaccard-pages")
     pages = paged.select(key, "band", "page").distinct()
     first = pages.select(key, F.col("band").alias("band_a"), F.col("page").alias("page_a"))
     # bands that differ by one hold all sizes within the threshold; one more covers rounding at the borders
     second = pages.select(key, F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band_a"), F.col("band").alias("band_b"), F.col("page").alias("page_b"))
-    met = second.join(first, [key, "band_a"]).where("band_a > band_b OR page_a >= page_b")
+    met = second.join(first, [key, "band_a"]).where("(band_a > band_b OR page_a >= page_b) AND (page_a & page_b & 3) = 0")
     return paged, met.withColumn("task", F.xxhash64(key, "band_a", "page_a", "band_b", "page_b"))
 
 
@@ -454,7 +510,7 @@ def _paged(rows: DataFrame, key: str, page: int, size) -> DataFrame:
     """Rows with a task: groups of few rows and bytes are one task, larger ones every pair of pages near in size."""
     whole = rows.groupBy(key).agg((F.count("*") > page).alias("over"), (F.sum(size) > PAGE_BYTES).alias("heavy"))
     rows = rows.join(scratch.saved(whole.select(key, (F.col("over") | F.col("heavy")).alias("large")), "jaccard-groups"), key)
-    small = rows.where("NOT large").withColumn("task", F.xxhash64(key)).drop("large")
+    small = rows.where("NOT large").withColumn("task", F.xxhash64(key)).drop("large", "code")
     paged, met = _pages(rows.where("large").drop("large"), key, page, size)
     return small.unionByName(_dealt(met, paged, key).select(*small.columns))
 
@@ -471,7 +527,9 @@ def _links(members: DataFrame, texts: _Texts, n: int, percent: int, page: int, s
     links = joined(rows.where("NOT large").withColumn("task", F.col("block")), "jaccard-small")
     large = rows.where("large")
     if not large.isEmpty():
-        paged, met = _pages(large.select("node", "label", "block", "band", "size"), "block", page, F.col("size"))
+        most = large.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+        large = large.join(scratch.saved(most, "jaccard-most"), "block").withColumn("code", F.when(F.col("label") == F.col("most"), 2).otherwise(0))
+        paged, met = _pages(large.select("node", "label", "block", "band", "size", "code"), "block", page, F.col("size"))
         met = scratch.saved(met, "jaccard-met")
         if spanning:
             pivot = "page_b = 0 OR (band_a = band_b AND page_a = page_b)"
@@ -500,7 +558,8 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, p
     if percent >= 100:  # equal sets are one class already, and no others link
         return rows, classes, links
     texts, began, kept = _Texts(docs, classes), scratch.mark(), []
-    members = _shared(docs, n, percent, buckets, total).join(classes.select(F.col("f1").alias("f"), "node", "n"), "f").select("element", "node", "n").distinct()
+    shared = scratch.saved(_shared(docs, n, percent, buckets, total), "jaccard-shared")  # its shuffle files go before the next are made
+    members = shared.join(classes.select(F.col("f1").alias("f"), "node", "n"), "f").select("element", "node", "n").distinct()
     members = scratch.saved(members.withColumn("label", F.col("node")), "jaccard-members")
     rest, largest, more = members, False, spanning
     while more and not rest.isEmpty():

@@ -103,3 +103,63 @@ def test_asked_texts(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
         got = [r["i"] for r in jaccard_join.asked(docs, rows).collect()]
         assert {k for k in got if k % 50 == 0} == set(range(0, 5000, 50)) and len(got) == len(set(got)) <= most
+
+
+def _cluster(size: int, seed: int):
+    """Texts of 200 words that share most of them, no two of them similar enough; each fifth has a copy without its last word."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(202)]
+    rows = []
+    for k in range(size):
+        text = list(base)
+        for at in rng.sample(range(5, 195), 4):
+            text[at] = f"u{k}x{at}"
+        rows.append((2 * k, " ".join(text)))
+        if k % 5 == 0:
+            rows.append((2 * k + 1, " ".join(text[:-1])))
+    return rows
+
+
+def test_jaccard_join_meets_a_cluster_once(spark, monkeypatch):
+    """Nodes of a cluster share many elements and do not go to the trees of each with all others."""
+    rows, dealt, paged = _cluster(60, 3), [], jaccard_join._paged
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    monkeypatch.setattr(jaccard_join, "_paged", lambda *a: [out := paged(*a), dealt.append(out.count())][0])
+    got = {r[0]: r[2] for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), page=4).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+    assert sum(dealt) <= 40 * len(rows)
+
+
+def test_elements_lose_no_pair_that_must_meet(spark):
+    """Two nodes of one element and of two components share some element in which their codes share no bit."""
+    rng = random.Random(4)
+    labels = {k: k if rng.random() < 0.6 else 0 for k in range(50)}
+    rows = {(e, k) for e in range(12) for k in range(50) if rng.random() < (0.9 if e < 6 else 0.2)} | {(90, k) for k in range(30)} | {(91, k) for k in range(30)}
+    m = {e: sum(x == e for x, _ in rows) for e, _ in rows}
+    rest = spark.createDataFrame([(e, k, labels[k], 100, m[e]) for e, k in rows], "element long, node long, label long, n long, m long")
+    got = {}
+    for r in jaccard_join._once(rest).collect():
+        got.setdefault(r["element"], {})[r["node"]] = r["code"]
+    met = {(a, b) for at in got.values() for a in at for b in at if a < b and not at[a] & at[b]}
+    for a in range(50):
+        for b in range(a + 1, 50):
+            if labels[a] != labels[b] and any((e, a) in rows and (e, b) in rows for e in m):
+                assert (a, b) in met
+    assert sum(not at[a] & at[b] for at in got.values() for a in at for b in at if a < b) < 0.5 * sum(x * (x - 1) // 2 for x in m.values())
+
+
+def test_prefixes_by_rough_counts(spark):
+    """Frequent elements go behind rare ones by the counts of their cells, and similar sets share as many elements as before."""
+    rng = np.random.default_rng(5)
+    draw = lambda k: np.unique(rng.integers(1, 2**63, k, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    often = draw(60)
+    counts = spark.createDataFrame([(int(h), 2 + k) for k, h in enumerate(often.view(np.int64).tolist())], "h long, c long")
+    cells = jaccard_join._cells(counts, 17)
+    assert len(cells) == 1 << 17 and np.count_nonzero(cells) == len(np.unique(often >> np.uint64(47)))
+    none = often[:0]
+    for _ in range(40):
+        a = np.unique(np.concatenate([often, draw(140)]))
+        b = np.delete(a, rng.choice(len(a), 8, False))
+        p, q = (jaccard_join.prefix(s, 90, none, none, cells) for s in (a, b))
+        assert np.intersect1d(p, often).size == 0  # by hash alone some three of ten would be frequent
+        assert np.intersect1d(p, q).size >= -(-90 * (len(a) + len(b)) // 190) - -(-90 * len(a) // 100) + 1
