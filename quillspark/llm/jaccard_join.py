@@ -154,8 +154,9 @@ def _cells(counts: DataFrame, bits: int) -> np.ndarray:
 
     cell = F.shiftrightunsigned("h", 64 - bits)
     rows = counts.select(F.shiftright(cell, 16).alias("block"), cell.bitwiseAND(F.lit(65535)).alias("at"), "c")
+    blocks = scratch.saved(rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, cells binary"), "jaccard-cells")
     out = np.zeros(1 << bits, np.uint8)
-    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, cells binary").toLocalIterator():
+    for r in blocks.toLocalIterator():
         out[r["block"] << 16 :][: 1 << 16] = np.frombuffer(r["cells"], np.uint8)
     return out
 
